@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import profile_queries  # noqa: F401  (registers queries)
+from . import eval_queries, profile_queries  # noqa: F401  (register queries)
 from .oracle import ORACLE
 from .registry import QUERIES
 

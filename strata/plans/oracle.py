@@ -237,3 +237,191 @@ def _profile_oracles() -> None:
 
 
 _profile_oracles()
+
+
+# ---------------------------------------------------------------- evaluation
+SCORES_VIEW = """
+SELECT m.model, f.fold, f.id, f.label,
+       CASE WHEN m.model = 'none' THEN NULL
+            WHEN m.model = 'price' THEN ROUND(f.total_price / 500000e0, 2)
+            ELSE ROUND(COALESCE(f.sum_price, 0e0) / 1000000e0, 2) END AS score,
+       CAST(CASE WHEN m.model = 'none' THEN f.is_urgent
+                 WHEN m.model = 'price' AND f.total_price >= 250000 THEN 1
+                 WHEN m.model = 'lines' AND f.sum_price >= 260000 THEN 1 ELSE 0 END AS INT) AS prediction
+FROM (SELECT id, target_signal AS label, total_price, sum_price, is_urgent,
+             CAST((ROW_NUMBER() OVER (PARTITION BY target_signal
+                   ORDER BY MD5(CONCAT('137:', CAST(id AS VARCHAR))), id) - 1) % 10 AS INT) AS fold
+      FROM ord) f
+CROSS JOIN (SELECT 'price' AS model UNION ALL SELECT 'lines' UNION ALL SELECT 'none') m
+"""
+
+CM_VIEW = """
+WITH cmf AS (
+  SELECT model, fold, COUNT(*) FILTER (WHERE label = 1 AND prediction = 1) AS tp,
+         COUNT(*) FILTER (WHERE label = 0 AND prediction = 1) AS fp,
+         COUNT(*) FILTER (WHERE label = 0 AND prediction = 0) AS tn,
+         COUNT(*) FILTER (WHERE label = 1 AND prediction = 0) AS fn
+  FROM scores GROUP BY model, fold)
+SELECT model, CAST(fold AS INTEGER) AS fold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp,
+       CAST(tn AS BIGINT) AS tn, CAST(fn AS BIGINT) AS fn, CAST(tp + fp + tn + fn AS BIGINT) AS n FROM cmf
+UNION ALL
+SELECT model, -1, CAST(SUM(tp) AS BIGINT), CAST(SUM(fp) AS BIGINT), CAST(SUM(tn) AS BIGINT),
+       CAST(SUM(fn) AS BIGINT), CAST(SUM(tp + fp + tn + fn) AS BIGINT) FROM cmf GROUP BY model
+"""
+
+
+def _r(num, den):
+    return f"COALESCE(({num}) * 1e0 / NULLIF({den}, 0), 0e0)"
+
+
+RATES_VIEW = f"""
+SELECT *, {_r('tp', 'tp + fn')} AS sensitivity, {_r('tn', 'tn + fp')} AS specificity,
+       {_r('tp', 'tp + fp')} AS vpp, {_r('tn', 'tn + fn')} AS vpn,
+       {_r('tp + tn', 'tp + fp + tn + fn')} AS accuracy, {_r('2 * tp', '2 * tp + fp + fn')} AS f1_score
+FROM cm
+"""
+
+SC_VIEW = """
+WITH f AS (
+  SELECT model, fold, score, COUNT(*) FILTER (WHERE label = 1) AS pos, COUNT(*) FILTER (WHERE label = 0) AS neg
+  FROM scores WHERE score IS NOT NULL AND NOT isnan(score) GROUP BY model, fold, score)
+SELECT model, CAST(fold AS INTEGER) AS fold, score, CAST(pos AS BIGINT) AS pos, CAST(neg AS BIGINT) AS neg FROM f
+UNION ALL
+SELECT model, -1, score, CAST(SUM(pos) AS BIGINT), CAST(SUM(neg) AS BIGINT) FROM f GROUP BY model, score
+"""
+
+AUC_VIEW = """
+WITH scb AS (
+  SELECT *, COALESCE(SUM(neg) OVER (PARTITION BY model, fold ORDER BY score
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_before
+  FROM sc),
+part AS (
+  SELECT model, fold, SUM(pos * (neg_before + 0.5e0 * neg)) AS num, SUM(pos) AS p, SUM(neg) AS n
+  FROM scb GROUP BY model, fold),
+badf AS (
+  SELECT model, fold, COUNT(*) FILTER (WHERE score IS NULL OR isnan(score)) AS n_bad FROM scores GROUP BY model, fold),
+bad AS (
+  SELECT model, CAST(fold AS INTEGER) AS fold, n_bad FROM badf
+  UNION ALL SELECT model, -1, SUM(n_bad) FROM badf GROUP BY model)
+SELECT b.model, b.fold,
+       CASE WHEN p > 0 AND n > 0 AND b.n_bad = 0 THEN num / (p * 1e0 * n) END AS auc
+FROM bad b LEFT JOIN part a ON a.model = b.model AND a.fold = b.fold
+"""
+
+USABLE_VIEW = """
+SELECT model, CAST(bool_and(score IS NOT NULL AND NOT isnan(score)) AS INTEGER) AS usable
+FROM scores GROUP BY model
+"""
+
+FM_VIEW = """
+SELECT r.*, a.auc FROM rates r LEFT JOIN auc a ON a.model = r.model AND a.fold = r.fold WHERE r.fold <> -1
+"""
+
+_std_cols = ", ".join(
+    f"CASE WHEN COUNT({m}) >= 2 THEN stddev_samp({m}) END AS {m}_std"
+    for m in ("sensitivity", "specificity", "vpp", "vpn", "accuracy", "f1_score", "auc"))
+FSTD_VIEW = f"SELECT model, {_std_cols} FROM fm GROUP BY model"
+
+MT_VIEW = """
+SELECT r.model, r.tp, r.fp, r.tn, r.fn, r.sensitivity, r.specificity, r.vpp, r.vpn, r.accuracy, r.f1_score,
+       a.auc, s.sensitivity_std, s.specificity_std, s.vpp_std, s.vpn_std, s.accuracy_std, s.f1_score_std, s.auc_std
+FROM rates r LEFT JOIN auc a ON a.model = r.model AND a.fold = -1
+LEFT JOIN fstd s ON s.model = r.model
+WHERE r.fold = -1
+"""
+
+BASE_VIEWS.update({
+    "scores": SCORES_VIEW, "cm": CM_VIEW, "rates": RATES_VIEW, "sc": SC_VIEW, "auc": AUC_VIEW,
+    "usable": USABLE_VIEW, "fm": FM_VIEW, "fstd": FSTD_VIEW, "mt": MT_VIEW,
+})
+EVAL_CHAIN = ("ord", "scores", "cm", "rates", "sc", "auc", "usable", "fm", "fstd", "mt")
+MT_DOUBLES = ["sensitivity", "specificity", "vpp", "vpn", "accuracy", "f1_score", "auc", "sensitivity_std",
+              "specificity_std", "vpp_std", "vpn_std", "accuracy_std", "f1_score_std", "auc_std"]
+
+
+def _fmt(expr, digits):
+    scale = f"{10 ** digits}e0"
+    return f"printf('%.{digits}f', FLOOR(({expr}) * {scale} + 0.5) / {scale})"
+
+
+def _fin(expr):
+    return f"({expr} IS NOT NULL AND NOT isnan({expr}))"
+
+
+def _fmt_metric(v, s, percent=False):
+    if percent:
+        fv, fs = f"{_fmt(f'{v} * 100', 1)} || '%'", f"{_fmt(f'{s} * 100', 1)} || '%'"
+    else:
+        fv, fs = _fmt(v, 3), _fmt(s, 3)
+    return (f"CASE WHEN NOT COALESCE({_fin(v)}, FALSE) THEN 'N/A' WHEN NOT COALESCE({_fin(s)}, FALSE) THEN {fv} "
+            f"ELSE {fv} || ' ± ' || {fs} END")
+
+
+def _eval_oracles() -> None:
+    o = ORACLE
+    o["scan_parquet"] = with_views("SELECT * FROM scores", "ord", "scores")
+    o["confusion_matrix"] = with_views("SELECT * FROM cm", "ord", "scores", "cm")
+    for key, col in (("sensitivity", "sensitivity"), ("specificity", "specificity"), ("ppv", "vpp"),
+                     ("npv", "vpn"), ("accuracy", "accuracy"), ("f1", "f1_score")):
+        o[key] = with_views(rounded(f"SELECT model, fold, {col} FROM rates", [col]), "ord", "scores", "cm", "rates")
+    o["auc_exact"] = with_views(rounded("SELECT * FROM auc", ["auc"]), "ord", "scores", "sc", "auc")
+    o["usable_scores"] = with_views("SELECT * FROM usable", "ord", "scores", "usable")
+    o["roc_curve"] = with_views(rounded("""
+        WITH p AS (SELECT * FROM sc WHERE fold = -1),
+        c AS (SELECT model, score, pos, neg,
+                     CAST(ROW_NUMBER() OVER (PARTITION BY model ORDER BY score DESC) - 1 AS BIGINT) AS idx,
+                     SUM(pos) OVER (PARTITION BY model ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS tps,
+                     SUM(neg) OVER (PARTITION BY model ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS fps,
+                     LEAD(pos) OVER (PARTITION BY model ORDER BY score DESC) AS pos_next,
+                     LEAD(neg) OVER (PARTITION BY model ORDER BY score DESC) AS neg_next
+              FROM p),
+        ok AS (SELECT u.model, SUM(p.pos) AS P, SUM(p.neg) AS N FROM usable u JOIN p ON p.model = u.model
+               WHERE u.usable = 1 GROUP BY u.model HAVING SUM(p.pos) > 0 AND SUM(p.neg) > 0)
+        SELECT ok.model, CAST(0 AS BIGINT) AS point, 0e0 AS fpr, 0e0 AS tpr FROM ok
+        UNION ALL
+        SELECT c.model, c.idx + 1, c.fps * 1e0 / ok.N, c.tps * 1e0 / ok.P FROM c JOIN ok ON ok.model = c.model
+        WHERE c.idx = 0 OR c.pos_next IS NULL OR c.pos_next <> c.pos OR c.neg_next <> c.neg""", ["fpr", "tpr"]),
+        "ord", "scores", "sc", "usable")
+    o["minmax_scores"] = with_views(rounded("""
+        SELECT s.model, s.fold, s.id, (s.score - l.lo) / (l.hi - l.lo + 1e-9) AS score
+        FROM scores s JOIN (SELECT model, fold, MIN(score) AS lo, MAX(score) AS hi FROM scores GROUP BY model, fold) l
+        ON l.model = s.model AND l.fold = s.fold WHERE s.model <> 'none'""", ["score"]), "ord", "scores")
+    chain = EVAL_CHAIN
+    o["fold_std"] = with_views(rounded("SELECT * FROM fstd", [f"{m}_std" for m in (
+        "sensitivity", "specificity", "vpp", "vpn", "accuracy", "f1_score", "auc")]), *chain[:-1])
+    o["metrics_table"] = with_views(rounded("SELECT * FROM mt", MT_DOUBLES), *chain)
+    req = "CASE model WHEN 'price' THEN 0 WHEN 'lines' THEN 1 WHEN 'none' THEN 2 END"
+    o["best_model"] = with_views(rounded(
+        f"SELECT model, auc, {req} AS request_pos FROM mt WHERE auc IS NOT NULL AND NOT isnan(auc) "
+        "ORDER BY auc DESC, request_pos LIMIT 1", ["auc"]), *chain)
+    o["filter_metrics_present"] = with_views(rounded(
+        "SELECT model, auc FROM mt WHERE auc IS NOT NULL AND NOT isnan(auc)", ["auc"]), *chain)
+    o["format_metric"] = with_views(f"""
+        SELECT model, {_fmt_metric('auc', 'auc_std')} AS auc_text,
+               {_fmt_metric('accuracy', 'accuracy_std', True)} AS accuracy_text,
+               {_fmt_metric('f1_score', 'f1_score_std')} AS f1_text,
+               {_fmt_metric('sensitivity', 'sensitivity_std')} AS sensitivity_text,
+               {_fmt_metric('specificity', 'specificity_std')} AS specificity_text,
+               {_fmt_metric('vpp', 'vpp_std')} AS vpp_text,
+               {_fmt_metric('vpn', 'vpn_std')} AS vpn_text
+        FROM mt""", *chain)
+    o["comparison_lines"] = with_views(f"""
+        SELECT model, 'Model: ' || model || ' | AUC: ' || {_fmt('auc', 3)} || ' | Accuracy: '
+               || {_fmt('accuracy * 100', 1)} || '%' || ' | Sensitivity (Recall): ' || {_fmt('sensitivity', 3)}
+               || ' | Specificity: ' || {_fmt('specificity', 3)} || ' | F1-Score: ' || {_fmt('f1_score', 3)} AS line
+        FROM mt WHERE auc IS NOT NULL AND NOT isnan(auc)""", *chain)
+    cells = []
+    for label, key in (("AUC", "auc"), ("Accuracy", "accuracy"), ("Sensitivity", "sensitivity"),
+                       ("Specificity", "specificity"), ("VPP", "vpp"), ("VPN", "vpn"), ("F1", "f1_score")):
+        for suffix, col in (("", key), ("_SD", f"{key}_std")):
+            cells.append(f"CASE WHEN COALESCE({_fin(col)}, FALSE) THEN {_fmt(col, 4)} ELSE 'N/A' END "
+                         f"AS {label}{suffix}")
+    o["export_metrics_csv"] = with_views(
+        f"SELECT model AS Model, {', '.join(cells)}, CAST(tp AS VARCHAR) AS TP, CAST(fp AS VARCHAR) AS FP, "
+        "CAST(tn AS VARCHAR) AS TN, CAST(fn AS VARCHAR) AS FN, 'N/A' AS Hyperparameters FROM mt WHERE tp IS NOT NULL",
+        *chain)
+    o["order_results"] = with_views(rounded(
+        f"SELECT model, {req} AS request_pos, 0 AS is_clustering, auc FROM mt", ["auc"]), *chain)
+
+
+_eval_oracles()
