@@ -425,3 +425,162 @@ def _eval_oracles() -> None:
 
 
 _eval_oracles()
+
+
+# ---------------------------------------------------------------- validation, sources, cleaning
+NUMERIC_RE = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^[+-]?(inf|infinity|nan)$"
+ORD_DOUBLES = ["sum_qty", "sum_price", "avg_disc", "total_price", "acctbal"]
+
+
+def _coerce(expr):
+    return (f"CASE WHEN regexp_matches(lower(trim({expr})), '{NUMERIC_RE}') "
+            f"THEN (CASE WHEN isnan(TRY_CAST(lower(trim({expr})) AS DOUBLE)) THEN NULL "
+            f"ELSE TRY_CAST(lower(trim({expr})) AS DOUBLE) END) END")
+
+
+BASE_VIEWS.update({
+    "bad_id_null": f"SELECT CASE WHEN n_lines IS NOT NULL THEN id END AS id, {', '.join(ORD_FEATURES)}, target FROM ord",
+    "bad_target": f"SELECT id, {', '.join(ORD_FEATURES)}, n_lines AS target FROM ord",
+    "bad_target_null": f"SELECT id, {', '.join(ORD_FEATURES)}, CASE WHEN is_urgent = 0 THEN target END AS target FROM ord",
+    "bad_feature": f"SELECT ord.id, {', '.join('ord.' + c for c in ORD_FEATURES)}, o.o_orderpriority, ord.target "
+                   "FROM ord JOIN orders o ON o.o_orderkey = ord.id",
+    "bad_dup": "SELECT l_orderkey AS id, l_quantity, l_extendedprice, l_discount, "
+               "CAST(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS INT) AS target FROM lineitem",
+    "mixed": "SELECT id, sum_qty, CASE WHEN is_urgent = 1 THEN 'x' ELSE CAST(total_price AS VARCHAR) END AS mixed, "
+             "target FROM ord",
+})
+
+
+def _report(view, feats, text_feats=()):
+    rows = [
+        "SELECT 0 AS pos, 'min_columns' AS \"check\", CAST(NULL AS VARCHAR) AS \"column\", CAST(0 AS BIGINT) AS n_bad",
+        f"SELECT 1, 'id_not_null', 'id', CAST(COUNT(*) FILTER (WHERE id IS NULL) AS BIGINT) FROM {view}",
+        f"SELECT 2, 'id_unique', 'id', CAST(COALESCE(SUM(n - 1) FILTER (WHERE n > 1), 0) AS BIGINT) "
+        f"FROM (SELECT id, COUNT(*) AS n FROM {view} WHERE id IS NOT NULL GROUP BY id)",
+        f"SELECT 3, 'target_binary', 'target', CAST(COUNT(*) FILTER (WHERE target IS NOT NULL AND "
+        f"CAST(target AS DOUBLE) NOT IN (0, 1)) AS BIGINT) FROM {view}",
+        f"SELECT 4, 'target_not_null', 'target', CAST(COUNT(*) FILTER (WHERE target IS NULL) AS BIGINT) FROM {view}",
+    ]
+    for i, c in enumerate(feats):
+        ok = (f"COUNT({_coerce(c)})" if c in text_feats else f"COUNT({c})")
+        rows.append(f"SELECT {5 + i}, 'feature_numeric', '{c}', CAST(CASE WHEN {ok} = 0 AND COUNT({c}) > 0 "
+                    f"THEN COUNT({c}) ELSE 0 END AS BIGINT) FROM {view}")
+    body = "\nUNION ALL\n".join(rows)
+    return f"SELECT *, CAST(n_bad = 0 AS INTEGER) AS passed FROM ({body})"
+
+
+CLEAN_VIEWS = {
+    "sugg": f"""
+SELECT CAST(ordinal AS BIGINT) AS pos, 'missing-' || variable AS suggestion_id, 'missing' AS type,
+       'Remove rows with missing values in ''' || variable || ''' (' || {_fmt('pct', 2)} || '% missing).'
+         AS description, variable, CAST(NULL AS VARCHAR) AS var_a, CAST(NULL AS VARCHAR) AS var_b, pct AS value,
+       CAST(NULL AS VARCHAR) AS drop_column,
+       'Missing values can bias model training and need explicit handling.' AS reason
+FROM (SELECT ordinal, variable, n_missing * 100e0 / n_rows AS pct FROM stats WHERE n_missing > 0)
+UNION ALL
+SELECT CAST(ordinal + 10000 AS BIGINT), 'outlier-' || variable, 'outlier',
+       'Remove ' || CAST(count AS VARCHAR) || ' outlier(s) in ''' || variable || ''' (IQR-based detection).',
+       variable, NULL, NULL, CAST(count AS DOUBLE), NULL,
+       'Extreme values may distort model coefficients and should be reviewed.'
+FROM ({OUTINFO_VIEW})
+UNION ALL
+SELECT CAST(i * 100000 + j + 20000 AS BIGINT), 'corr-' || var_a || '-' || var_b, 'correlation',
+       'Remove ''' || var_b || ''' due to high correlation with ''' || var_a || ''' (|r|=' || {_fmt('ABS(r)', 2)}
+         || ').',
+       NULL, var_a, var_b, r, var_b, 'Highly correlated variables can introduce multicollinearity.'
+FROM corr WHERE ABS(r) >= 0.8
+""",
+    "rem": """
+SELECT DISTINCT id FROM (
+  SELECT id FROM ordl WHERE value IS NULL AND variable IN (SELECT variable FROM sugg WHERE type = 'missing')
+  UNION ALL
+  SELECT id FROM outid WHERE variable IN (SELECT variable FROM sugg WHERE type = 'outlier'))
+WHERE id IS NOT NULL
+""",
+    "dropcols": "SELECT DISTINCT var_b AS \"column\" FROM sugg WHERE type = 'correlation'",
+    "keptcols": "SELECT c.name, c.orig FROM (VALUES " + ", ".join(
+        f"('{c}', {i})" for i, c in enumerate(("id",) + ORD_FEATURES + ("target",)))
+        + ") c(name, orig) WHERE c.name NOT IN (SELECT \"column\" FROM dropcols)",
+    "kept": "SELECT * FROM ordc WHERE id NOT IN (SELECT id FROM rem)",
+}
+BASE_VIEWS.update(CLEAN_VIEWS)
+CLEAN_CHAIN = PROFILE_CHAIN + ("corr", "sugg", "rem", "dropcols", "keptcols", "kept")
+
+
+def _clean_oracles() -> None:
+    o = ORACLE
+    o["id_not_null"] = with_views(
+        f"SELECT \"check\", \"column\", n_bad, passed FROM ({_report('bad_id_null', ORD_FEATURES)}) "
+        "WHERE \"check\" = 'id_not_null'", "ord", "bad_id_null")
+    o["target_binary"] = with_views(
+        f"SELECT \"check\", \"column\", n_bad, passed FROM ({_report('bad_target', ORD_FEATURES)}) "
+        "WHERE \"check\" = 'target_binary'", "ord", "bad_target")
+    o["target_not_null"] = with_views(
+        f"SELECT \"check\", \"column\", n_bad, passed FROM ({_report('bad_target_null', ORD_FEATURES)}) "
+        "WHERE \"check\" = 'target_not_null'", "ord", "bad_target_null")
+    bf = ORD_FEATURES + ("o_orderpriority",)
+    o["feature_numeric"] = with_views(
+        f"SELECT \"check\", \"column\", n_bad, passed FROM ({_report('bad_feature', bf, ('o_orderpriority',))}) "
+        "WHERE \"check\" = 'feature_numeric'", "ord", "bad_feature")
+    o["validation_report"] = with_views(_report("bad_feature", bf, ("o_orderpriority",)), "ord", "bad_feature")
+    o["id_unique"] = with_views(
+        "SELECT id, CAST(COUNT(*) AS BIGINT) AS occurrences FROM bad_dup WHERE id IS NOT NULL GROUP BY id "
+        "HAVING COUNT(*) > 1 ORDER BY id LIMIT 5", "bad_dup")
+    o["coerce_numeric"] = with_views(rounded(
+        f"SELECT id, sum_qty, {_coerce('mixed')} AS mixed, CAST(CAST(target AS DOUBLE) AS INTEGER) AS target "
+        "FROM mixed", ["sum_qty", "mixed"]), "ord", "mixed")
+    o["cast_target"] = with_views("SELECT id, CAST(CAST(target AS DOUBLE) AS INTEGER) AS target FROM bad_target_null",
+                                  "ord", "bad_target_null")
+    o["read_csv"] = with_views(rounded(
+        "SELECT id, CAST(n_lines AS BIGINT) AS n_lines, sum_qty, sum_price, avg_disc, total_price, acctbal, "
+        "CAST(is_urgent AS BIGINT) AS is_urgent, CAST(target AS BIGINT) AS target FROM ordc", ORD_DOUBLES),
+        "ord", "ordc")
+    o["preview"] = with_views(rounded("SELECT * FROM ordc ORDER BY id LIMIT 10", ORD_DOUBLES), "ord", "ordc")
+    o["dataset_summary"] = with_views(
+        f"SELECT CAST(COUNT(*) AS BIGINT) AS rows, CAST({len(ORD_FEATURES) + 2} AS BIGINT) AS cols, "
+        f"'id' AS id_column, 'target' AS target_column, '{','.join(ORD_FEATURES)}' AS feature_columns, "
+        "CAST(COUNT(*) FILTER (WHERE target = 0) AS BIGINT) AS class_0, "
+        "CAST(COUNT(*) FILTER (WHERE target = 1) AS BIGINT) AS class_1 FROM ordc", "ord", "ordc")
+    sugg_cols = ["value"]
+    o["suggest_missing"] = with_views(rounded("SELECT * FROM sugg WHERE type = 'missing'", sugg_cols),
+                                      *CLEAN_CHAIN[:10])
+    o["suggest_outliers"] = with_views(rounded("SELECT * FROM sugg WHERE type = 'outlier'", sugg_cols),
+                                       *CLEAN_CHAIN[:10])
+    o["suggest_correlation"] = with_views(rounded("SELECT * FROM sugg WHERE type = 'correlation'", sugg_cols),
+                                          *CLEAN_CHAIN[:10])
+    o["union_suggestions"] = with_views(rounded("SELECT * FROM sugg", sugg_cols), *CLEAN_CHAIN[:10])
+    o["select_suggestions"] = with_views(
+        "SELECT suggestion_id, type FROM sugg WHERE suggestion_id <> 'missing-n_lines'", *CLEAN_CHAIN[:10])
+    sel = ", ".join(f"'{s}'" for s in ("missing-sum_qty", "outlier-avg_disc", "corr-n_lines-sum_qty",
+                                       "no-such-suggestion"))
+    o["filter_in_set"] = with_views(f"SELECT suggestion_id, type FROM sugg WHERE suggestion_id IN ({sel})",
+                                    *CLEAN_CHAIN[:10])
+    o["filter_missing"] = with_views(
+        "SELECT variable, id FROM ordl WHERE value IS NULL AND variable IN (SELECT variable FROM stats "
+        "WHERE n_missing > 0)", "ord", "ordc", "ordl", "vc", "stats")
+    o["union_removed_ids"] = with_views("SELECT id FROM rem", *CLEAN_CHAIN[:11])
+    o["removed_columns"] = with_views("SELECT * FROM dropcols", *CLEAN_CHAIN[:12])
+    o["anti_join_removed"] = with_views("SELECT id FROM kept", *CLEAN_CHAIN)
+    o["drop_columns"] = with_views(
+        "SELECT CAST(ROW_NUMBER() OVER (ORDER BY orig) - 1 AS INTEGER) AS pos, name AS \"column\" FROM keptcols",
+        *CLEAN_CHAIN)
+    long_kept = ("SELECT l.id, l.variable, ROUND(l.value, 6) AS value FROM ordl l "
+                 "WHERE l.id IN (SELECT id FROM kept) AND l.variable IN (SELECT name FROM keptcols)")
+    o["select_features"] = with_views(long_kept, *CLEAN_CHAIN)
+    o["write_cleaned"] = with_views(long_kept, *CLEAN_CHAIN)
+    o["apply_cleaning"] = with_views(
+        long_kept + " UNION ALL SELECT id, 'target', CAST(target AS DOUBLE) FROM kept", *CLEAN_CHAIN)
+    o["cleaning_summary"] = with_views("""
+        SELECT CAST((SELECT COUNT(*) FROM ordc) - (SELECT COUNT(*) FROM kept) AS BIGINT) AS rows_removed,
+               CAST((SELECT COUNT(*) FROM dropcols) AS BIGINT) AS cols_removed,
+               CAST((SELECT COUNT(*) FROM kept) AS BIGINT) AS final_rows,
+               CAST((SELECT COUNT(*) FROM keptcols) - 2 AS BIGINT) AS final_cols,
+               CASE WHEN (SELECT COUNT(*) FROM rem) > 0
+                    THEN 'Removed ' || CAST((SELECT COUNT(*) FROM rem) AS VARCHAR)
+                         || ' rows based on selected cleaning suggestions.'
+                    WHEN (SELECT COUNT(*) FROM dropcols) > 0
+                    THEN 'Removed highly correlated columns based on selected suggestions.' END AS notes""",
+        *CLEAN_CHAIN)
+
+
+_clean_oracles()

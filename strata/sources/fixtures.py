@@ -123,3 +123,43 @@ def scores_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     # each row is repeated once per synthetic model name (a generator, no join)
     return folded.withColumn("model", F.explode(F.array(*[F.lit(x) for x in SCORE_MODELS]))).select(
         "model", "fold", "id", "label", score.alias("score"), pred.cast("int").alias("prediction"))
+
+
+# ---------------------------------------------------------------- validation views
+def bad_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lineitem`` keyed by order: IDs repeat (fails id_unique)."""
+    li = scan_parquet(spark, sf_dir, "lineitem")
+    return li.select(F.col("l_orderkey").alias("id"), "l_quantity", "l_extendedprice", "l_discount",
+                     (F.col("l_returnflag") == "R").cast("int").alias("target"))
+
+
+def bad_id_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``ord`` with the ID missing for orders without lines (fails id_not_null)."""
+    o = ord_frame(spark, sf_dir)
+    return o.select(F.when(F.col("n_lines").isNotNull(), F.col("id")).alias("id"), *ORD_FEATURES, "target")
+
+
+def bad_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``ord`` with the line count as target (values over 1: fails target_binary)."""
+    o = ord_frame(spark, sf_dir)
+    return o.select("id", *ORD_FEATURES, F.col("n_lines").alias("target"))
+
+
+def bad_target_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``ord`` with the target missing for urgent orders (fails target_not_null)."""
+    o = ord_frame(spark, sf_dir)
+    return o.select("id", *ORD_FEATURES, F.when(F.col("is_urgent") == 0, F.col("target")).alias("target"))
+
+
+def bad_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``ord`` plus the text column o_orderpriority as a feature (fails feature_numeric)."""
+    o = ord_frame(spark, sf_dir)
+    pr = scan_parquet(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_orderpriority")
+    return o.join(pr, "id").select("id", *ORD_FEATURES, "o_orderpriority", "target")
+
+
+def mixed_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text feature with numbers and 'x' cells (passes; the 'x' cells become missing)."""
+    o = ord_frame(spark, sf_dir)
+    mixed = F.when(F.col("is_urgent") == 1, F.lit("x")).otherwise(F.col("total_price").cast("string"))
+    return o.select("id", "sum_qty", mixed.alias("mixed"), "target")
