@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import clean_queries, eval_queries, profile_queries  # noqa: F401  (register queries)
+from . import clean_queries, eval_queries, prep_queries, profile_queries  # noqa: F401  (register queries)
 from .oracle import ORACLE
 from .registry import QUERIES
 

@@ -584,3 +584,84 @@ def _clean_oracles() -> None:
 
 
 _clean_oracles()
+
+
+# ---------------------------------------------------------------- folds, preparation, balancing
+def _draw(seed, stream, j):
+    return f"(('0x' || substr(md5('{seed}:{stream}:' || CAST({j} AS VARCHAR)), 1, 8))::BIGINT / 4294967296e0)"
+
+
+BASE_VIEWS.update({
+    "ords": f"SELECT id, {', '.join(ORD_FEATURES)}, target_signal AS target FROM ord",
+    "f42": "SELECT *, CAST((ROW_NUMBER() OVER (ORDER BY target, MD5('42:' || CAST(id AS VARCHAR)), id) - 1) % 10 "
+           "AS INTEGER) AS fold FROM ords",
+    "trl": "\nUNION ALL\n".join(
+        f"SELECT id, {i} AS ordinal, '{c}' AS variable, CAST({c} AS DOUBLE) AS value FROM f42 WHERE fold <> 0"
+        for i, c in enumerate(ORD_FEATURES)),
+    "kinds": """
+SELECT ordinal, variable, CASE WHEN COUNT(value) = 0 THEN 'empty'
+       WHEN COUNT(*) FILTER (WHERE value IS NOT NULL AND value NOT IN (0, 1)) = 0 THEN 'binary'
+       ELSE 'continuous' END AS kind
+FROM (""" + "\nUNION ALL\n".join(
+        f"SELECT {i} AS ordinal, '{c}' AS variable, CAST({c} AS DOUBLE) AS value FROM ords"
+        for i, c in enumerate(ORD_FEATURES)) + ") GROUP BY ordinal, variable",
+    "med": "SELECT t.variable, t.ordinal, quantile_cont(t.value, 0.5) AS median FROM trl t "
+           "JOIN kinds k ON k.ordinal = t.ordinal WHERE k.kind = 'continuous' AND t.value IS NOT NULL "
+           "GROUP BY t.variable, t.ordinal",
+    "mode_": "SELECT variable, ordinal, value AS mode FROM (SELECT t.variable, t.ordinal, t.value, "
+             "ROW_NUMBER() OVER (PARTITION BY t.ordinal ORDER BY COUNT(*) DESC, t.value) AS r FROM trl t "
+             "JOIN kinds k ON k.ordinal = t.ordinal WHERE k.kind = 'binary' AND t.value IS NOT NULL "
+             "GROUP BY t.variable, t.ordinal, t.value) WHERE r = 1",
+    "stdz": "SELECT t.variable, t.ordinal, AVG(COALESCE(t.value, m.median)) AS mean, "
+            "CASE WHEN stddev_pop(COALESCE(t.value, m.median)) = 0 THEN 1e0 "
+            "ELSE stddev_pop(COALESCE(t.value, m.median)) END AS scale "
+            "FROM trl t JOIN med m ON m.ordinal = t.ordinal GROUP BY t.variable, t.ordinal",
+    "prm": """
+SELECT CAST(ROW_NUMBER() OVER (ORDER BY CASE WHEN k.kind = 'continuous' THEN 0 ELSE 1 END, k.ordinal) - 1 AS INTEGER)
+         AS pos, k.variable, COALESCE(m.median, d.mode) AS fill, s.mean, s.scale, k.ordinal
+FROM kinds k LEFT JOIN med m ON m.ordinal = k.ordinal LEFT JOIN mode_ d ON d.ordinal = k.ordinal
+LEFT JOIN stdz s ON s.ordinal = k.ordinal WHERE k.kind <> 'empty'
+""",
+})
+PREP_CHAIN = ("ord", "ords", "f42", "trl", "kinds", "med", "mode_", "stdz", "prm")
+
+
+def _prep_oracles() -> None:
+    o = ORACLE
+    o["stratified_folds"] = with_views("SELECT id, target, fold FROM f42", "ord", "ords", "f42")
+    o["fold_count"] = with_views("""
+        SELECT CAST(MIN(n) AS BIGINT) AS smallest_class, CAST(SUM(n) AS BIGINT) AS n_rows,
+               CAST(COUNT(*) AS BIGINT) AS n_classes, CAST(LEAST(MIN(n), SUM(n), 10) AS INTEGER) AS k,
+               CAST(LEAST(MIN(n), SUM(n), 10) >= 2 AND COUNT(*) >= 2 AS INTEGER) AS ok
+        FROM (SELECT target, COUNT(*) AS n FROM ords GROUP BY target)""", "ord", "ords")
+    o["fold_split"] = with_views("SELECT id, target FROM f42 WHERE fold = 3", "ord", "ords", "f42")
+    o["split_feature_types"] = with_views("SELECT ordinal, variable, kind FROM kinds", "ord", "ords", "kinds")
+    o["impute_median"] = with_views(rounded("SELECT variable, median FROM med", ["median"]), *PREP_CHAIN[:6])
+    o["impute_mode"] = with_views(rounded("SELECT variable, mode FROM mode_", ["mode"]), *PREP_CHAIN[:7])
+    o["standardize"] = with_views(rounded("SELECT pos, variable, fill, mean, scale FROM prm",
+                                          ["fill", "mean", "scale"]), *PREP_CHAIN)
+    cells = "\nUNION ALL\n".join(
+        f"SELECT f.id, '{c}' AS variable, (COALESCE(CAST(f.{c} AS DOUBLE), p.fill) - COALESCE(p.mean, 0e0)) "
+        f"/ COALESCE(p.scale, 1e0) AS value FROM f42 f, prm p WHERE f.fold = 0 AND p.variable = '{c}'"
+        for c in ORD_FEATURES)
+    o["assemble"] = with_views(rounded(cells, ["value"]), *PREP_CHAIN)
+    o["random_oversample"] = with_views("""
+        SELECT id, target, CAST(-1 AS BIGINT) AS draw FROM doc
+        UNION ALL
+        SELECT i.id, i.target, dr.draw FROM dr JOIN idx i ON i.idx = dr.idx""", "doc", extra=f"""
+        , cls AS (SELECT target, COUNT(*) AS n FROM doc GROUP BY target),
+        mn AS (SELECT target AS lab, n AS m FROM cls ORDER BY n, target LIMIT 1),
+        mx AS (SELECT MAX(n) AS big FROM cls),
+        idx AS (SELECT d.*, ROW_NUMBER() OVER (ORDER BY d.id) - 1 AS idx FROM doc d, mn WHERE d.target = mn.lab),
+        dr AS (SELECT r.range AS draw, CAST(FLOOR({_draw(42, 'pick', 'r.range')} * mn.m) AS BIGINT) AS idx
+               FROM mn, mx, range(mx.big - mn.m) r)""")
+
+
+BASE_VIEWS["doc"] = """
+SELECT d.doc_id AS id, CAST(d.n_chars AS DOUBLE) AS n_chars,
+       CAST(LENGTH(d.text) - LENGTH(REPLACE(d.text, ' ', '')) AS DOUBLE) AS n_spaces,
+       CAST(CASE WHEN d.lang = 'en' THEN 1 ELSE 0 END AS INT) AS is_en,
+       l.toxic AS is_toxic, l.quality AS target
+FROM documents d JOIN labels l ON l.doc_id = d.doc_id
+"""
+_prep_oracles()
