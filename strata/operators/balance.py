@@ -63,3 +63,36 @@ def random_oversample(cohort: Cohort, seed: int = 42) -> DataFrame:
     d = draws(cohort.df.sparkSession, big - m, m, seed)
     copies = d.join(idx, "_idx").select(*[qcol(c) for c in cohort.df.columns], "draw")
     return base.unionByName(copies)
+
+
+def smote(cohort: Cohort, feature_cols, seed: int = 42, k: int = 1) -> DataFrame:
+    """Original rows (draw = -1) plus synthetic minority rows x + u * (nn(x) - x) (draw = 0..).
+
+    ``nn(x)`` is x's nearest other minority row (exact k-NN join, the k-th
+    neighbour with k = 1 by default); features must be prepared (no NULL).
+    Synthetic rows have a NULL ID.  Fewer than two minority rows fall back to
+    random oversampling.
+    """
+    from .knn import knn_join
+
+    lab_min, m, _, big = class_sizes(cohort)
+    if m < 2:
+        return random_oversample(cohort, seed)
+    base = cohort.df.withColumn("draw", F.lit(-1).cast("bigint"))
+    if big == m:
+        return base
+    feats = list(feature_cols)
+    vec = F.array(*[qcol(c).cast("double") for c in feats])
+    idx = indexed_minority(cohort, lab_min).select(F.col(cohort.id_col).alias("id"), "_idx", vec.alias("vec"))
+    nn = knn_join(idx.select("id", "vec"), idx.select("id", "vec"), k, exclude_self=True).where(F.col("rank") == k)
+    d = draws(cohort.df.sparkSession, big - m, m, seed)
+    picked = (d.join(idx, "_idx").join(nn.select(F.col("qid").alias("id"), "rid"), "id")
+              .join(idx.select(F.col("id").alias("rid"), F.col("vec").alias("nvec")), "rid"))
+    synth = F.zip_with("vec", "nvec", lambda x, y: x + F.col("_gap") * (y - x))
+    out = picked.select("draw", F.col("id").alias("base_id"), "rid", synth.alias("_s"))
+    cols = [F.lit(None).cast(cohort.df.schema[cohort.id_col].dataType).alias(cohort.id_col)]
+    cols += [F.col("_s")[i].alias(c) for i, c in enumerate(feats)]
+    cols += [F.lit(lab_min).cast(cohort.df.schema[cohort.target_col].dataType).alias(cohort.target_col)]
+    synthetic = out.select(*cols, "draw", "base_id", "rid")
+    return base.withColumn("base_id", F.lit(None).cast(synthetic.schema["base_id"].dataType)).withColumn(
+        "rid", F.lit(None).cast(synthetic.schema["rid"].dataType)).unionByName(synthetic)

@@ -665,3 +665,82 @@ SELECT d.doc_id AS id, CAST(d.n_chars AS DOUBLE) AS n_chars,
 FROM documents d JOIN labels l ON l.doc_id = d.doc_id
 """
 _prep_oracles()
+
+
+# ---------------------------------------------------------------- relational models
+BASE_VIEWS.update({
+    "embv": "SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec, label AS target "
+            "FROM embeddings WHERE label IN (0, 1)",
+    "embf": "SELECT *, CAST((ROW_NUMBER() OVER (ORDER BY target, MD5('42:' || CAST(id AS VARCHAR)), id) - 1) % "
+            "(SELECT LEAST(MIN(n), SUM(n), 10) FROM (SELECT COUNT(*) AS n FROM embv GROUP BY target)) AS INTEGER) "
+            "AS fold FROM embv",
+    "docf": "SELECT *, CAST((ROW_NUMBER() OVER (ORDER BY target, MD5('42:' || CAST(id AS VARCHAR)), id) - 1) % "
+            "(SELECT LEAST(MIN(n), SUM(n), 10) FROM (SELECT COUNT(*) AS n FROM doc GROUP BY target)) AS INTEGER) "
+            "AS fold FROM doc",
+    "knn5": "SELECT q.id AS qid, r.id AS rid, list_distance(q.vec, r.vec) AS dist, "
+            "CAST(ROW_NUMBER() OVER (PARTITION BY q.id ORDER BY list_distance(q.vec, r.vec), r.id) AS INTEGER) AS rank "
+            "FROM embf q, embf r WHERE q.fold = 0 AND r.fold <> 0 QUALIFY rank <= 5",
+    "mino": "SELECT d.* FROM doc d WHERE d.target = (SELECT target FROM (SELECT target, COUNT(*) AS n FROM doc "
+            "GROUP BY target) ORDER BY n, target LIMIT 1)",
+    "mnn": "SELECT a.id AS qid, b.id AS rid, sqrt((a.n_chars - b.n_chars)^2 + (a.n_spaces - b.n_spaces)^2 "
+           "+ (a.is_en - b.is_en)^2 + (a.is_toxic - b.is_toxic)^2) AS dist FROM mino a, mino b WHERE a.id <> b.id "
+           "QUALIFY ROW_NUMBER() OVER (PARTITION BY a.id ORDER BY dist, b.id) = 1",
+})
+
+
+def _model_oracles() -> None:
+    o = ORACLE
+    o["knn_join"] = with_views(rounded("SELECT qid, rank, rid, dist FROM knn5", ["dist"]), "embv", "embf", "knn5")
+    o["knn"] = with_views(rounded(
+        "SELECT k.qid AS id, AVG(CAST(e.target AS DOUBLE)) AS score, CAST(AVG(CAST(e.target AS DOUBLE)) > 0.5 "
+        "AS INTEGER) AS prediction FROM knn5 k JOIN embf e ON e.id = k.rid GROUP BY k.qid", ["score"]),
+        "embv", "embf", "knn5")
+    o["minority_nn_join"] = with_views(rounded("SELECT qid, rid, dist FROM mnn", ["dist"]), "doc", "mino", "mnn")
+    o["smote_k1"] = with_views(rounded("""
+        SELECT id, n_chars, n_spaces, CAST(is_en AS DOUBLE) AS is_en, CAST(is_toxic AS DOUBLE) AS is_toxic,
+               target, CAST(-1 AS BIGINT) AS draw, CAST(NULL AS BIGINT) AS base_id, CAST(NULL AS BIGINT) AS rid
+        FROM doc
+        UNION ALL
+        SELECT NULL, b.n_chars + dr.gap * (n.n_chars - b.n_chars), b.n_spaces + dr.gap * (n.n_spaces - b.n_spaces),
+               b.is_en + dr.gap * (n.is_en - b.is_en), b.is_toxic + dr.gap * (n.is_toxic - b.is_toxic),
+               b.target, dr.draw, b.id, n.id
+        FROM dr JOIN idx b ON b.idx = dr.idx JOIN mnn ON mnn.qid = b.id JOIN mino n ON n.id = mnn.rid""",
+        ["n_chars", "n_spaces", "is_en", "is_toxic"]), "doc", "mino", "mnn", extra=f"""
+        , cls AS (SELECT target, COUNT(*) AS n FROM doc GROUP BY target),
+        mn AS (SELECT MIN(n) AS m FROM cls), mx AS (SELECT MAX(n) AS big FROM cls),
+        idx AS (SELECT *, ROW_NUMBER() OVER (ORDER BY id) - 1 AS idx FROM mino),
+        dr AS (SELECT r.range AS draw, CAST(FLOOR({_draw(42, 'pick', 'r.range')} * mn.m) AS BIGINT) AS idx,
+                      {_draw(42, 'gap', 'r.range')} AS gap FROM mn, mx, range(mx.big - mn.m) r)""")
+    o["gaussian_nb"] = with_views(rounded("""
+        SELECT id, CASE WHEN diff >= 0 THEN 1 / (1 + exp(-diff)) ELSE exp(diff) / (1 + exp(diff)) END AS score,
+               CAST(diff > 0 AS INTEGER) AS prediction
+        FROM (SELECT id, MAX(jll) FILTER (WHERE target = 1) - MAX(jll) FILTER (WHERE target = 0) AS diff
+              FROM jll GROUP BY id)""", ["score"]), "embv", "embf", extra="""
+        , embl AS (SELECT e.id, e.target, e.fold, r.range AS d, e.vec[r.range + 1] AS value
+                   FROM embf e, range(64) r),
+        zst AS (SELECT d, AVG(value) AS mu, CASE WHEN stddev_pop(value) = 0 THEN 1e0 ELSE stddev_pop(value) END AS sd
+                FROM embl WHERE fold <> 0 GROUP BY d),
+        z AS (SELECT l.id, l.target, l.fold, l.d, (l.value - s.mu) / s.sd AS value FROM embl l JOIN zst s ON s.d = l.d),
+        nbp AS (SELECT target, d, AVG(value) AS mean, var_pop(value) AS var0 FROM z WHERE fold <> 0
+                GROUP BY target, d),
+        eps AS (SELECT 1e-9 * MAX(v) AS eps FROM (SELECT var_pop(value) AS v FROM z WHERE fold <> 0 GROUP BY d)),
+        pri AS (SELECT target, LN(COUNT(*) * 1e0 / SUM(COUNT(*)) OVER ()) AS lp FROM embf WHERE fold <> 0
+                GROUP BY target),
+        jll AS (SELECT z.id, p.target, SUM(-0.5 * (LN(2 * PI()) + LN(p.var0 + eps.eps)
+                       + (z.value - p.mean) ^ 2 / (p.var0 + eps.eps))) + MAX(pri.lp) AS jll
+                FROM z JOIN nbp p ON p.d = z.d CROSS JOIN eps JOIN pri ON pri.target = p.target
+                WHERE z.fold = 0 GROUP BY z.id, p.target)""")
+    o["threshold_classifier"] = with_views("""
+        SELECT d.fold, d.id, d.target AS label, CAST(d.n_chars >= t.thr AS INTEGER) AS prediction
+        FROM docf d JOIN (SELECT f.fold, quantile_cont(x.n_chars, 0.5) AS thr FROM (SELECT DISTINCT fold FROM docf) f
+                          JOIN docf x ON x.fold <> f.fold GROUP BY f.fold) t ON t.fold = d.fold""", "doc", "docf")
+    o["voting_soft"] = with_views(rounded("""
+        SELECT fold, id, label, AVG(score) AS score, CAST(AVG(score) > 0.5 AS INTEGER) AS prediction
+        FROM scores WHERE model IN ('price', 'lines') GROUP BY fold, id, label""", ["score"]), "ord", "scores")
+    o["voting_hard"] = with_views(rounded("""
+        SELECT fold, id, label, AVG(CAST(prediction AS DOUBLE)) AS score,
+               CAST(AVG(CAST(prediction AS DOUBLE)) > 0.5 AS INTEGER) AS prediction
+        FROM scores WHERE model IN ('price', 'lines') GROUP BY fold, id, label""", ["score"]), "ord", "scores")
+
+
+_model_oracles()
