@@ -1,38 +1,49 @@
 """Statistics of "all rows except fold f" for every fold in one pass.
 
-Per distinct value the row count of every fold is kept (k columns); the
-running sums of ``total - count_f`` over the sorted values give, for all k
-training sets at once, the exact ECDF, hence exact medians.  One sort, no
-per-fold jobs.
+Per (feature, distinct value) the row count of every fold is kept (k
+columns); the running sums of ``total - count_f`` over the sorted values give,
+for all k training sets and all features at once, the exact ECDF, hence exact
+medians.  One sort, no per-fold or per-feature jobs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .prefix import running_totals
 
 
-def leave_fold_out_median(df: DataFrame, value_col: str, fold_col: str, k: int) -> DataFrame:
-    """(fold, median) of ``value_col`` over the rows outside each fold (linear interpolation)."""
-    v = F.col(value_col).cast("double")
-    vc = df.where(v.isNotNull() & ~F.isnan(v)).groupBy(v.alias("value")).agg(
-        *[F.count_if(F.col(fold_col) == f).alias(f"c{f}") for f in range(k)], F.count(F.lit(1)).alias("call"))
-    w = vc.select("value", *[(F.col("call") - F.col(f"c{f}")).alias(f"w{f}") for f in range(k)])
-    rt = running_totals(w, [], ["value"], [f"w{f}" for f in range(k)])
-    sizes = w.agg(*[F.sum(f"w{f}").alias(f"n{f}") for f in range(k)])
-    tgt = sizes.select(F.inline(F.array(*[
-        F.struct(F.lit(f).alias("fold"), ((F.col(f"n{f}") - 1) * 0.5).alias("h")) for f in range(k)])))
-    tgt = tgt.select("fold", "h", F.explode(F.array_distinct(F.array(
+def leave_fold_out_medians(df: DataFrame, value_cols: Sequence[str], fold_col: str, k: int) -> DataFrame:
+    """(variable, fold, median) over the rows outside each fold (linear interpolation), every column at once."""
+    cells = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(f"`{c}`").cast("double").alias("value"))
+                      for c in value_cols])
+    long = df.select(F.col(fold_col).alias("_fold"), F.inline(cells))
+    v = F.col("value")
+    vc = long.where(v.isNotNull() & ~F.isnan(v)).groupBy("variable", "value").agg(
+        *[F.count_if(F.col("_fold") == f).alias(f"c{f}") for f in range(k)], F.count(F.lit(1)).alias("call"))
+    w = vc.select("variable", "value", *[(F.col("call") - F.col(f"c{f}")).alias(f"w{f}") for f in range(k)])
+    rt = running_totals(w, ["variable"], ["value"], [f"w{f}" for f in range(k)])
+    sizes = w.groupBy("variable").agg(*[F.sum(f"w{f}").alias(f"n{f}") for f in range(k)])
+    tgt = sizes.select(F.col("variable").alias("t_var"), F.inline(F.array(*[
+        F.struct(F.lit(f).alias("t_fold"), ((F.col(f"n{f}") - 1) * 0.5).alias("h")) for f in range(k)])))
+    tgt = tgt.select("t_var", "t_fold", "h", F.explode(F.array_distinct(F.array(
         F.floor("h").cast("bigint"), F.ceil("h").cast("bigint")))).alias("pos"))
-    cells = rt.select("value", F.inline(F.array(*[
+    per_fold = rt.select("variable", "value", F.inline(F.array(*[
         F.struct(F.lit(f).alias("fold"), F.col(f"w{f}").alias("w"), F.col(f"w{f}_before").alias("before"))
         for f in range(k)])))
-    # at most 2 k target rows: broadcast
-    hit = cells.join(F.broadcast(tgt), "fold").where(
-        (F.col("before") <= F.col("pos")) & (F.col("pos") < F.col("before") + F.col("w")))
-    per = hit.groupBy("fold").agg(F.first("h").alias("h"), F.min("pos").alias("lo"),
-                                  F.min_by("value", "pos").alias("v_lo"), F.max_by("value", "pos").alias("v_hi"))
-    return per.select(F.col("fold").cast("int").alias("fold"),
+    # at most 2 k rows per feature: bounded by k x the column count, broadcast
+    hit = per_fold.join(F.broadcast(tgt), (F.col("variable") == F.col("t_var")) & (F.col("fold") == F.col("t_fold"))
+                        ).where((F.col("before") <= F.col("pos")) & (F.col("pos") < F.col("before") + F.col("w")))
+    per = hit.groupBy("variable", "fold").agg(
+        F.first("h").alias("h"), F.min("pos").alias("lo"),
+        F.min_by("value", "pos").alias("v_lo"), F.max_by("value", "pos").alias("v_hi"))
+    return per.select("variable", F.col("fold").cast("int").alias("fold"),
                       (F.col("v_lo") + (F.col("h") - F.col("lo")) * (F.col("v_hi") - F.col("v_lo"))).alias("median"))
+
+
+def leave_fold_out_median(df: DataFrame, value_col: str, fold_col: str, k: int) -> DataFrame:
+    """(fold, median) for one column."""
+    return leave_fold_out_medians(df, [value_col], fold_col, k).select("fold", "median")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import clean_queries, eval_queries, model_queries, prep_queries, profile_queries  # noqa: F401  (register queries)
+from . import clean_queries, eval_queries, model_queries, prep_queries, profile_queries, search_queries  # noqa: F401,E501
 from .oracle import ORACLE
 from .registry import QUERIES
 
