@@ -82,6 +82,15 @@ def q_read_csv(spark, sf):
     return finish(files.read_csv(spark, path))
 
 
+@register("read_workbooks")
+def q_read_workbooks(spark, sf):
+    """Round trip of ``ord`` through .xlsx workbooks (one per partition) in the shared scratch folder."""
+    from ..sources import workbooks
+
+    folder = workbooks.write_workbooks(_ord(spark, sf).df.repartition(4), scratch_path(spark, "ord-xlsx"))
+    return finish(workbooks.read_workbooks(spark, folder))
+
+
 @register("write_cleaned")
 def q_write_cleaned(spark, sf):
     """The cleaned cohort written as parquet and read back (long form for the check)."""

@@ -535,6 +535,7 @@ def _clean_oracles() -> None:
         "SELECT id, CAST(n_lines AS BIGINT) AS n_lines, sum_qty, sum_price, avg_disc, total_price, acctbal, "
         "CAST(is_urgent AS BIGINT) AS is_urgent, CAST(target AS BIGINT) AS target FROM ordc", ORD_DOUBLES),
         "ord", "ordc")
+    o["read_workbooks"] = o["read_csv"]
     o["preview"] = with_views(rounded("SELECT * FROM ordc ORDER BY id LIMIT 10", ORD_DOUBLES), "ord", "ordc")
     o["dataset_summary"] = with_views(
         f"SELECT CAST(COUNT(*) AS BIGINT) AS rows, CAST({len(ORD_FEATURES) + 2} AS BIGINT) AS cols, "
