@@ -246,3 +246,23 @@ def order_by_request(df: DataFrame, names: Sequence[str], col: str = "model") ->
     """Attach the request position of each model name (unknown names get NULL)."""
     pos = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
     return df.withColumn("request_pos", pos[F.col(col)])
+
+
+def results_document(metrics: DataFrame, roc: DataFrame, hyperparameters: Column | None = None) -> DataFrame:
+    """One JSON document per model: name, metrics with the confusion matrix, hyperparameters.
+
+    The ROC curve has one point per distinct score, which grows with the
+    data, so it is not folded into the document; the document carries the
+    number of points and the curve stays the long (model, point, fpr, tpr)
+    table next to it (write both with ``write.json``).
+    """
+    n_pts = roc.groupBy("model").agg(F.count(F.lit(1)).alias("_n_pts"))
+    m = metrics.join(n_pts, "model", "left")
+    metric_cols = ("sensitivity", "specificity", "vpp", "vpn", "accuracy", "f1_score", "auc")
+    doc = F.struct(
+        F.col("model").alias("name"),
+        F.struct(F.struct("tp", "fp", "tn", "fn").alias("confusion_matrix"),
+                 *[F.col(c) for c in metric_cols], *[F.col(f"{c}_std") for c in metric_cols]).alias("metrics"),
+        F.coalesce(F.col("_n_pts"), F.lit(0)).alias("roc_points"),
+        (hyperparameters if hyperparameters is not None else F.lit(None).cast("string")).alias("hyperparameters"))
+    return m.select("model", F.to_json(doc).alias("document"))

@@ -195,14 +195,16 @@ def _svm_fit_score(train, test, cols, params, n_train):
     names = [f"_rff{i}" for i in range(RFF_FEATURES)]
     tr = _assembled(_rff(train, cols, gamma, RFF_FEATURES, TUNING_SEED), names).withColumnRenamed("target", "label")
     te = _assembled(_rff(test, cols, gamma, RFF_FEATURES, TUNING_SEED), names)
-    svm = LinearSVC(regParam=1.0 / (c * n_train), maxIter=200).fit(tr)
+    svm = LinearSVC(regParam=1.0 / (c * n_train), maxIter=100).fit(tr)
     margin = vector_to_array("rawPrediction")[1]
     cal_in = svm.transform(tr).select(margin.alias("m0"), "label")
     cal = LogisticRegression(regParam=0.0, maxIter=100).fit(
         VectorAssembler(inputCols=["m0"], outputCol="features").transform(cal_in))
-    scored = svm.transform(te).select("id", margin.alias("m0"), F.col("prediction").cast("int").alias("prediction"))
+    # predictions come from the margin, scores from the calibrated margin (they can disagree at 0.5)
+    scored = svm.transform(te).select("id", margin.alias("m0"), F.col("prediction").cast("int").alias("svm_pred"))
     out = cal.transform(VectorAssembler(inputCols=["m0"], outputCol="features").transform(scored))
-    return out.select("id", vector_to_array("probability")[1].alias("score"), "prediction"), svm
+    return out.select("id", vector_to_array("probability")[1].alias("score"),
+                      F.col("svm_pred").alias("prediction")), svm
 
 
 def _knn_fit_score(train, test, cols, params, n_train):
@@ -306,23 +308,37 @@ class ModelResult:
     status: str | None = None
 
 
-def train_model(cohort: Cohort, model: str, mode: str = "light", custom: Mapping | None = None,
+class SearchContext:
+    """What every model of one training request shares: the materialized cohort, feature kinds,
+    k and the two fold plans (built on first use)."""
+
+    def __init__(self, cohort: Cohort, k: int | None = None):
+        cohort.require_features()
+        # the cohort is read by every fit: materialize it once (lineage cut, shared folder)
+        self.cohort = cohort.with_df(cohort.df.checkpoint(eager=True))
+        self.k = k or FO.resolve_fold_count(self.cohort.df, self.cohort.target_col)
+        self.types = split_feature_types(self.cohort)
+        self.n_rows = self.cohort.df.count()
+        self._plans: dict[int, FoldPlan] = {}
+
+    def plan(self, seed: int) -> FoldPlan:
+        if seed not in self._plans:
+            self._plans[seed] = fold_plan(self.cohort, self.k, seed, self.types)
+        return self._plans[seed]
+
+
+def train_model(cohort: Cohort | SearchContext, model: str, mode: str = "light", custom: Mapping | None = None,
                 balance: str | None = None, parallelism: int = 4, svm_flexibility: str = "Medium (Balanced)",
                 k: int | None = None) -> ModelResult:
     """Search the grid on the tuning folds, then evaluate the best candidate on the evaluation folds."""
-    cohort.require_features()
+    ctx = cohort if isinstance(cohort, SearchContext) else SearchContext(cohort, k)
     learner = LEARNERS[model]
-    # the cohort is read by every fit: materialize it once (lineage cut, shared folder)
-    cohort = cohort.with_df(cohort.df.checkpoint(eager=True))
-    k = k or FO.resolve_fold_count(cohort.df, cohort.target_col)
-    types = split_feature_types(cohort)
-    n_rows = cohort.df.count()
-    grid = G.select_grid(model, mode, custom, n_rows, svm_flexibility)
+    grid = G.select_grid(model, mode, custom, ctx.n_rows, svm_flexibility)
     candidates = G.expand_grid(grid)
-    spark = cohort.df.sparkSession
+    spark = ctx.cohort.df.sparkSession
     if len(candidates) > 1:
-        tuning = fold_plan(cohort, k, TUNING_SEED, types)
-        tuned = _run(tuning, learner, candidates, balance, parallelism, lambda ci: str(ci)).checkpoint(eager=True)
+        tuned = _run(ctx.plan(TUNING_SEED), learner, candidates, balance, parallelism,
+                     lambda ci: str(ci)).checkpoint(eager=True)
         fold_auc = E.auc_exact(tuned).where(F.col("fold") != E.POOLED).select(
             F.col("model").cast("int").alias("candidate"), "fold", "auc")
         ranked = grid_rank(fold_auc)
@@ -332,8 +348,8 @@ def train_model(cohort: Cohort, model: str, mode: str = "light", custom: Mapping
         ranked = spark.createDataFrame([(0, None, 1)], "candidate int, mean_auc double, rank int")
         best = 0
     params = candidates[best]
-    evaluation = fold_plan(cohort, k, EVALUATION_SEED, types)
-    scores = _run(evaluation, learner, [params], balance, parallelism, lambda ci: model).checkpoint(eager=True)
+    scores = _run(ctx.plan(EVALUATION_SEED), learner, [params], balance, parallelism,
+                  lambda ci: model).checkpoint(eager=True)
     hyper = {**{key: v for key, v in params.items()}, **learner.fixed}
     return ModelResult(model, params, hyper, scores, ranked)
 

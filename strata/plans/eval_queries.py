@@ -97,3 +97,10 @@ def q_order_results(spark, sf):
     """Results in request order (a clustering result would come last)."""
     m = E.order_by_request(E.metrics_table(_scores(spark, sf)), SCORE_MODELS)
     return finish(m.select("model", "request_pos", F.lit(0).alias("is_clustering"), "auc"))
+
+
+@register("results_document")
+def q_results_document(spark, sf):
+    """One JSON result document per model (metrics, confusion matrix, ROC points)."""
+    s = _scores(spark, sf)
+    return E.results_document(E.metrics_table(s), E.roc_curve(s))

@@ -39,11 +39,19 @@ def _signal(spark, sf):
     return X.ord_cohort(spark, sf, target="target_signal")
 
 
+def context(spark, sf):
+    """One search context (cohort, kinds, fold plans) shared by all learners, as in one training request."""
+    key = (id(spark), sf, "context")
+    if key not in _MEMO:
+        _MEMO[key] = S.SearchContext(_signal(spark, sf))
+    return _MEMO[key]
+
+
 def trained(spark, sf, model):
     key = (id(spark), sf, model)
     if key not in _MEMO:
         mode = "light" if model == G.LOGISTIC else "custom"
-        _MEMO[key] = S.train_model(_signal(spark, sf), model, mode=mode, custom=CUSTOM, parallelism=8)
+        _MEMO[key] = S.train_model(context(spark, sf), model, mode=mode, custom=CUSTOM, parallelism=8)
     return _MEMO[key]
 
 
@@ -213,3 +221,13 @@ def q_attach_cluster(spark, sf):
 @register("export_clusters_csv")
 def q_export_clusters_csv(spark, sf):
     return finish(CL.clusters_csv_rows(_kfit(spark, sf).assignments))
+
+
+@register("balanced_fit")
+def q_balanced_fit(spark, sf):
+    """Logistic regression on ``doc`` with SMOTE applied to each training fold only (never to test rows)."""
+    key = (id(spark), sf, "balanced")
+    if key not in _MEMO:
+        _MEMO[key] = S.train_model(X.doc_cohort(spark, sf), G.LOGISTIC, mode="custom",
+                                   custom={G.LOGISTIC: {"C": ["1.0"]}}, balance="smote", parallelism=8)
+    return finish(E.metrics_table(_MEMO[key].scores))

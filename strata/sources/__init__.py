@@ -1,0 +1 @@
+"""Sources and sinks: parquet scans, cohort views over the given tables, CSV and xlsx."""

@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The cohort tool reads one finished table per request; it has no watermarks,
+windows, state or late data, so there is nothing to express with Structured
+Streaming.  Every operator in this package is a batch DataFrame job.
+"""

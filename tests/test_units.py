@@ -170,3 +170,31 @@ def test_empty_feature_list_is_an_error(spark):
     df = spark.createDataFrame([(1, 0)], "id int, target int")
     with pytest.raises(ValueError):
         Cohort(df, "id", "target", ()).require_features()
+
+
+def test_catalog_and_model_filter(spark):
+    got = [(r["request_pos"], r["model"], r["class"]) for r in
+           G.filter_models_frame(spark, [G.KMEANS, G.LOGISTIC, G.VOTING]).orderBy("request_pos").collect()]
+    assert got == [(0, G.KMEANS, "clustering"), (1, G.LOGISTIC, "base"), (2, G.VOTING, "ensemble")]
+    with pytest.raises(ValueError):
+        G.filter_models_frame(spark, ["Nope"])
+    bases = G.collect_bases([G.LOGISTIC, G.VOTING, G.LOGISTIC, G.KNN], {G.LOGISTIC: 1, G.KNN: 2})
+    assert bases == [("logisticregression", 1), ("knearestneighborsknn", 2)]
+
+
+def test_prepare_fallback_and_reset(spark):
+    from strata.operators.prep import FeatureTypes, fit_preparation
+    df = spark.createDataFrame([(1, None, 0), (2, 4.0, 1), (3, 5.0, 0)], "id int, x double, target int")
+    raw = Cohort.from_frame(df)
+    prep = fit_preparation(raw, FeatureTypes((), ()))
+    assert prep.output_cols == ("x",) and prep.fill["x"] == 4.5 and prep.mean == {}
+    # a cleaned cohort is a new value: the raw one is untouched ("reset" = keep using raw)
+    cleaned = raw.with_df(df.where("id > 1"), ["x"])
+    assert raw.df.count() == 3 and cleaned.df.count() == 2
+
+
+def test_reject_format():
+    from strata.sources.tables import reject_format
+    assert reject_format("a/b.CSV") == "csv"
+    with pytest.raises(ValueError):
+        reject_format("a/b.xls")
