@@ -22,6 +22,7 @@ band sizes, which the data decide; there is no cap on candidates.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.ml.feature import PCA, Bucketizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -35,12 +36,13 @@ MAX_BUCKETS = 100_000
 
 
 def _dot(vec: F.Column, u: list[float]) -> F.Column:
-    arr = F.array(*[F.lit(float(x)) for x in u])
-    return F.aggregate(F.zip_with(vec, arr, lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
+    """u . vec unrolled into plain arithmetic (stays inside whole-stage codegen)."""
+    return reduce(lambda acc, t: acc + t, [vec[i] * F.lit(float(x)) for i, x in enumerate(u)])
 
 
-def _dist(a: F.Column, b: F.Column) -> F.Column:
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, v: acc + v))
+def _dist(a: F.Column, b: F.Column, dim: int) -> F.Column:
+    """Euclidean distance unrolled over the known dimension (no interpreted higher-order function)."""
+    return F.sqrt(reduce(lambda acc, t: acc + t, [(a[i] - b[i]) * (a[i] - b[i]) for i in range(dim)]))
 
 
 def principal_direction(ref: DataFrame, vec_col: str = "vec") -> list[float]:
@@ -62,6 +64,7 @@ def knn_join(queries: DataFrame, ref: DataFrame, k: int, exclude_self: bool = Fa
     ``exclude_self`` a reference row never matches the query with the same ID.
     """
     u = principal_direction(ref, vec_col)
+    dim = len(u)
     r = ref.select(F.col("id").alias("rid"), F.col(vec_col).alias("rvec")).withColumn("rp", _dot(F.col("rvec"), u))
     q = queries.select(F.col("id").alias("qid"), F.col(vec_col).alias("qvec")).withColumn("qp", _dot(F.col("qvec"), u))
     n_ref = r.count()
@@ -79,7 +82,7 @@ def knn_join(queries: DataFrame, ref: DataFrame, k: int, exclude_self: bool = Fa
         j = qs.join(rb.drop("_b"), "b")
         if exclude_self:
             j = j.where(F.col("qid") != F.col("rid"))
-        return j.select("qid", "qp", "rid", _dist(F.col("qvec"), F.col("rvec")).alias("dist"))
+        return j.select("qid", "qp", "rid", _dist(F.col("qvec"), F.col("rvec"), dim).alias("dist"))
 
     # round 1: own bucket and both neighbours
     q1 = qb.select("qid", "qvec", "qp", F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("b"))
