@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from ..cohort import Cohort
 from ..functions.numeric import as_double, qcol, ratio
+from ..session import checkpoint_root
 from .prefix import running_totals
 from .topk import top_k_per_group
 
@@ -65,6 +66,17 @@ def value_counts(cohort: Cohort, include_target: bool = False) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("cnt"), F.min("id").alias("first_id")))
 
 
+def shared_value_counts(cohort: Cohort) -> DataFrame:
+    """``value_counts`` materialized once in the shared checkpoint folder.
+
+    Sections that read it several times (statistics, exact quantiles, outlier
+    counts, histograms) then scan this table instead of re-running the
+    source plan (scans, joins, the unpivot and its shuffle) for every reader.
+    """
+    checkpoint_root(cohort.df.sparkSession)
+    return value_counts(cohort).checkpoint(eager=True)
+
+
 def column_stats(cohort: Cohort, vc: DataFrame | None = None) -> DataFrame:
     """Per feature: rows, missing, non-null count, distinct, min, max, integral flag."""
     vc = vc if vc is not None else value_counts(cohort)
@@ -204,7 +216,7 @@ def quartiles(cohort: Cohort, vc: DataFrame | None = None, stats: DataFrame | No
     The value at 0-based rank r is the distinct value whose running count
     interval [before, before + cnt) contains r.
     """
-    vc = vc if vc is not None else value_counts(cohort)
+    vc = vc if vc is not None else shared_value_counts(cohort)
     stats = stats if stats is not None else column_stats(cohort, vc)
     present = vc.where(F.col("value").isNotNull()).select("ordinal", "variable", "value", "cnt")
     ecdf = running_totals(present, ["ordinal"], ["value"], ["cnt"])
@@ -230,8 +242,10 @@ def quartiles(cohort: Cohort, vc: DataFrame | None = None, stats: DataFrame | No
 
 def iqr_fences(cohort: Cohort, q: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
     """Fences for features with more than 15 distinct values and a non-zero IQR."""
-    stats = stats if stats is not None else column_stats(cohort)
-    q = q if q is not None else quartiles(cohort, stats=stats)
+    if q is None or stats is None:
+        vc = shared_value_counts(cohort)
+        stats = stats if stats is not None else column_stats(cohort, vc)
+        q = q if q is not None else quartiles(cohort, vc, stats)
     iqr = F.col("q3") - F.col("q1")
     return (q.join(stats.select("ordinal", "n_distinct"), "ordinal")
             .where((F.col("n_distinct") > LOW_CARDINALITY_THRESHOLD) & (iqr != 0))
@@ -253,7 +267,7 @@ def outlier_ids(cohort: Cohort, fences: DataFrame | None = None, lv: DataFrame |
 
 def outlier_info(cohort: Cohort) -> DataFrame:
     """Variable, outlier count and fences, only for features that have outliers."""
-    vc = value_counts(cohort)
+    vc = shared_value_counts(cohort)
     stats = column_stats(cohort, vc)
     fences = iqr_fences(cohort, quartiles(cohort, vc, stats), stats)
     f = fences.select(F.col("ordinal").alias("f_ordinal"), "lower_bound", "upper_bound")
@@ -266,7 +280,7 @@ def outlier_info(cohort: Cohort) -> DataFrame:
 
 def box_plot(cohort: Cohort) -> DataFrame:
     """Median, quartiles, theoretical whiskers and outlier count for features with > 1 distinct value."""
-    vc = value_counts(cohort)
+    vc = shared_value_counts(cohort)
     stats = column_stats(cohort, vc)
     q = quartiles(cohort, vc, stats)
     fences = iqr_fences(cohort, q, stats).select(F.col("ordinal").alias("f_ordinal"), "lower_bound", "upper_bound")
@@ -290,7 +304,7 @@ def histogram(cohort: Cohort) -> DataFrame:
     computed edges the way numpy does, and clipped to the last bin.
     Long output (ordinal, variable, bin, bin_lo, bin_hi, count) with empty bins.
     """
-    vc = value_counts(cohort)
+    vc = shared_value_counts(cohort)
     stats = column_stats(cohort, vc)
     st = (stats.where(F.col("n_distinct") > 1)
           .select(F.col("ordinal").alias("s_ordinal"), F.col("min_value").alias("lo"), F.col("max_value").alias("hi"),
