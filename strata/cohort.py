@@ -7,7 +7,7 @@ cleaning returns a new cohort instead of mutating a registry.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 
@@ -18,6 +18,8 @@ class Cohort:
     id_col: str
     target_col: str
     feature_cols: tuple[str, ...]
+    # intermediate tables derived from this exact value (profile value counts, fences, ...)
+    cache: dict = field(default_factory=dict, compare=False, repr=False, hash=False)
 
     @classmethod
     def from_frame(cls, df: DataFrame, id_col: str | None = None, target_col: str | None = None,
@@ -29,11 +31,11 @@ class Cohort:
         target_col = target_col or cols[-1]
         if feature_cols is None:
             feature_cols = [c for c in cols if c not in (id_col, target_col)]
-        return cls(df, id_col, target_col, tuple(feature_cols))
+        return cls(df, id_col, target_col, tuple(feature_cols), {})
 
     def with_df(self, df: DataFrame, feature_cols: list[str] | tuple[str, ...] | None = None) -> "Cohort":
         feats = self.feature_cols if feature_cols is None else tuple(feature_cols)
-        return replace(self, df=df, feature_cols=feats)
+        return replace(self, df=df, feature_cols=feats, cache={})
 
     def require_features(self) -> tuple[str, ...]:
         if not self.feature_cols:

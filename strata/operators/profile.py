@@ -73,8 +73,10 @@ def shared_value_counts(cohort: Cohort) -> DataFrame:
     counts, histograms) then scan this table instead of re-running the
     source plan (scans, joins, the unpivot and its shuffle) for every reader.
     """
-    checkpoint_root(cohort.df.sparkSession)
-    return value_counts(cohort).checkpoint(eager=True)
+    if "vc" not in cohort.cache:
+        checkpoint_root(cohort.df.sparkSession)
+        cohort.cache["vc"] = value_counts(cohort).checkpoint(eager=True)
+    return cohort.cache["vc"]
 
 
 def column_stats(cohort: Cohort, vc: DataFrame | None = None) -> DataFrame:
@@ -240,18 +242,31 @@ def quartiles(cohort: Cohort, vc: DataFrame | None = None, stats: DataFrame | No
     return out
 
 
+def _shared_quartiles(cohort: Cohort, vc: DataFrame, stats: DataFrame) -> DataFrame:
+    """Default quartiles of a cohort, computed once per cohort value (small: 3 numbers per feature)."""
+    if "quartiles" not in cohort.cache:
+        cohort.cache["quartiles"] = quartiles(cohort, vc, stats).checkpoint(eager=True)
+    return cohort.cache["quartiles"]
+
+
 def iqr_fences(cohort: Cohort, q: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
     """Fences for features with more than 15 distinct values and a non-zero IQR."""
+    default = q is None and stats is None
+    if default and "fences" in cohort.cache:
+        return cohort.cache["fences"]
     if q is None or stats is None:
         vc = shared_value_counts(cohort)
         stats = stats if stats is not None else column_stats(cohort, vc)
-        q = q if q is not None else quartiles(cohort, vc, stats)
+        q = q if q is not None else _shared_quartiles(cohort, vc, stats)
     iqr = F.col("q3") - F.col("q1")
-    return (q.join(stats.select("ordinal", "n_distinct"), "ordinal")
-            .where((F.col("n_distinct") > LOW_CARDINALITY_THRESHOLD) & (iqr != 0))
-            .select("ordinal", "variable", "q1", "q3",
-                    (F.col("q1") - FENCE_FACTOR * iqr).alias("lower_bound"),
-                    (F.col("q3") + FENCE_FACTOR * iqr).alias("upper_bound")))
+    fences = (q.join(stats.select("ordinal", "n_distinct"), "ordinal")
+              .where((F.col("n_distinct") > LOW_CARDINALITY_THRESHOLD) & (iqr != 0))
+              .select("ordinal", "variable", "q1", "q3",
+                      (F.col("q1") - FENCE_FACTOR * iqr).alias("lower_bound"),
+                      (F.col("q3") + FENCE_FACTOR * iqr).alias("upper_bound")))
+    if default:
+        cohort.cache["fences"] = fences
+    return fences
 
 
 def outlier_ids(cohort: Cohort, fences: DataFrame | None = None, lv: DataFrame | None = None) -> DataFrame:
@@ -268,8 +283,7 @@ def outlier_ids(cohort: Cohort, fences: DataFrame | None = None, lv: DataFrame |
 def outlier_info(cohort: Cohort) -> DataFrame:
     """Variable, outlier count and fences, only for features that have outliers."""
     vc = shared_value_counts(cohort)
-    stats = column_stats(cohort, vc)
-    fences = iqr_fences(cohort, quartiles(cohort, vc, stats), stats)
+    fences = iqr_fences(cohort)
     f = fences.select(F.col("ordinal").alias("f_ordinal"), "lower_bound", "upper_bound")
     # count from the value counts: one row per distinct value, not per cell
     counts = (vc.join(F.broadcast(f), F.col("ordinal") == F.col("f_ordinal"))
@@ -282,8 +296,8 @@ def box_plot(cohort: Cohort) -> DataFrame:
     """Median, quartiles, theoretical whiskers and outlier count for features with > 1 distinct value."""
     vc = shared_value_counts(cohort)
     stats = column_stats(cohort, vc)
-    q = quartiles(cohort, vc, stats)
-    fences = iqr_fences(cohort, q, stats).select(F.col("ordinal").alias("f_ordinal"), "lower_bound", "upper_bound")
+    q = _shared_quartiles(cohort, vc, stats)
+    fences = iqr_fences(cohort).select(F.col("ordinal").alias("f_ordinal"), "lower_bound", "upper_bound")
     out_counts = (vc.join(F.broadcast(fences), F.col("ordinal") == F.col("f_ordinal"))
                   .where((F.col("value") < F.col("lower_bound")) | (F.col("value") > F.col("upper_bound")))
                   .groupBy(F.col("f_ordinal").alias("ordinal")).agg(F.sum("cnt").cast("bigint").alias("n_outliers")))
