@@ -54,7 +54,7 @@ def stratified_folds(df: DataFrame, id_col: str, target_col: str, k: int, seed:
     if offset_classes:
         ranked = running_totals(keyed, [], [target_col, "_h", id_col], ["_one"])
     else:
-        ranked = running_totals(keyed, [target_col], ["_h", id_col], ["_one"])
+        ranked = running_totals(keyed, [target_col], ["_h", id_col], ["_one"], max_groups=2)
     return ranked.withColumn(fold_col, (F.col("_one_before") % k).cast("int")).drop("_h", "_one", "_one_before")
 
 

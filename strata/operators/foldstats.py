@@ -25,7 +25,7 @@ def leave_fold_out_medians(df: DataFrame, value_cols: Sequence[str], fold_col: s
     vc = long.where(v.isNotNull() & ~F.isnan(v)).groupBy("variable", "value").agg(
         *[F.count_if(F.col("_fold") == f).alias(f"c{f}") for f in range(k)], F.count(F.lit(1)).alias("call"))
     w = vc.select("variable", "value", *[(F.col("call") - F.col(f"c{f}")).alias(f"w{f}") for f in range(k)])
-    rt = running_totals(w, ["variable"], ["value"], [f"w{f}" for f in range(k)])
+    rt = running_totals(w, ["variable"], ["value"], [f"w{f}" for f in range(k)], max_groups=len(value_cols))
     sizes = w.groupBy("variable").agg(*[F.sum(f"w{f}").alias(f"n{f}") for f in range(k)])
     tgt = sizes.select(F.col("variable").alias("t_var"), F.inline(F.array(*[
         F.struct(F.lit(f).alias("t_fold"), ((F.col(f"n{f}") - 1) * 0.5).alias("h")) for f in range(k)])))

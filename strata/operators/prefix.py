@@ -57,11 +57,14 @@ def running_totals(
     order_cols: Sequence[str | tuple[str, bool]],
     weight_cols: Sequence[str],
     suffix: str = "_before",
+    max_groups: int | None = None,
 ) -> DataFrame:
     """Add ``<w><suffix>`` = sum of ``w`` over earlier rows of the same group.
 
     ``order_cols`` items are names (ascending) or ``(name, descending)``.
-    Integral weights give BIGINT sums, others DOUBLE.
+    Integral weights give BIGINT sums, others DOUBLE.  ``max_groups`` is a
+    caller-proven bound on the number of groups (features, models x folds,
+    classes); with it the size of the offsets table is known without a job.
     """
     spark = df.sparkSession
     checkpoint_root(spark)
@@ -124,7 +127,11 @@ def running_totals(
         F.col("_pid").alias("_o_pid"), *[F.col(g).alias(f"_o_{g}") for g in group_cols],
         *[F.coalesce(F.sum(f"_tot_{w}").over(win), F.lit(0)).alias(f"_off_{w}") for w in weights],
     )
-    n_offsets = offsets.count()
+    if max_groups is not None or not group_cols:
+        # one row per (partition, group); a range partition spans consecutive groups
+        n_offsets = num_partitions(spark) + (max_groups or 1)
+    else:
+        n_offsets = offsets.count()
     right = F.broadcast(offsets) if n_offsets <= BROADCAST_OFFSET_ROWS else offsets
     cond = [F.col("_pid") == F.col("_o_pid")] + [F.col(g).eqNullSafe(F.col(f"_o_{g}")) for g in group_cols]
     joined = local.join(right, cond, "left")

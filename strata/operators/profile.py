@@ -221,7 +221,7 @@ def quartiles(cohort: Cohort, vc: DataFrame | None = None, stats: DataFrame | No
     vc = vc if vc is not None else shared_value_counts(cohort)
     stats = stats if stats is not None else column_stats(cohort, vc)
     present = vc.where(F.col("value").isNotNull()).select("ordinal", "variable", "value", "cnt")
-    ecdf = running_totals(present, ["ordinal"], ["value"], ["cnt"])
+    ecdf = running_totals(present, ["ordinal"], ["value"], ["cnt"], max_groups=len(cohort.feature_cols))
     n = F.col("n_present")
     targets = []
     for p, name in probs:
