@@ -7,6 +7,8 @@ only if |u.x - u.q| <= r_q, the query's true k-th distance.  The projected
 axis is cut into buckets at approximate quantiles (``Bucketizer``: an
 equi-join key instead of a range join):
 
+0. identical vectors are collapsed on both sides (a reference vector keeps
+   its k smallest IDs; a query vector is searched once);
 1. every query is joined with the reference points of its own bucket and the
    two neighbouring ones; the k best give an upper bound r_q of its k-th
    distance;
@@ -62,47 +64,68 @@ def knn_join(queries: DataFrame, ref: DataFrame, k: int, exclude_self: bool = Fa
 
     ``queries`` has (id, vec); ``ref`` has (id, vec, ...).  With
     ``exclude_self`` a reference row never matches the query with the same ID.
+    Ties are broken by the reference ID.
+
+    Identical vectors are collapsed first on both sides: a distinct reference
+    vector keeps only its k (+1 with ``exclude_self``) smallest IDs, which is
+    all an exact top-k can use, and each distinct query vector is searched
+    once and fanned back out to its IDs.  A vector repeated in a third of the
+    rows therefore costs one candidate, not a third of all pairs.
     """
-    u = principal_direction(ref, vec_col)
+    kk = k + 1 if exclude_self else k
+    r_all = ref.select(F.col("id").alias("rid"), F.col(vec_col).alias("rvec"))
+    r_top = top_k_per_group(r_all, ["rvec"], [F.col("rid")], kk, "_r")
+    # at most kk IDs per distinct vector: a bounded list
+    rd = r_top.groupBy("rvec").agg(F.sort_array(F.collect_list("rid")).alias("rids"))
+    q_all = queries.select(F.col("id").alias("qid"), F.col(vec_col).alias("qvec"))
+    qd = q_all.select("qvec").distinct()
+
+    u = principal_direction(rd.select(F.col("rvec").alias("vec")), "vec")
     dim = len(u)
-    r = ref.select(F.col("id").alias("rid"), F.col(vec_col).alias("rvec")).withColumn("rp", _dot(F.col("rvec"), u))
-    q = queries.select(F.col("id").alias("qid"), F.col(vec_col).alias("qvec")).withColumn("qp", _dot(F.col("qvec"), u))
+    r = rd.withColumn("rp", _dot(F.col("rvec"), u))
+    q = qd.withColumn("qp", _dot(F.col("qvec"), u))
     n_ref = r.count()
     nb = int(min(MAX_BUCKETS, max(1, n_ref // TARGET_BUCKET_ROWS)))
     probs = [i / nb for i in range(1, nb)]
     cuts = sorted(set(r.approxQuantile("rp", probs, 1.0 / (4 * nb)))) if probs else []  # nb - 1 numbers
     splits = [-math.inf] + [c for c in cuts if math.isfinite(c)] + [math.inf]
     if len(splits) < 3:
-        splits = [-math.inf, 0.0, math.inf] if len(splits) < 3 else splits
+        splits = [-math.inf, 0.0, math.inf]
     n_buckets = len(splits) - 1
     rb = Bucketizer(splits=splits, inputCol="rp", outputCol="_b").transform(r).withColumn("b", F.col("_b").cast("int"))
     qb = Bucketizer(splits=splits, inputCol="qp", outputCol="_b").transform(q).withColumn("b", F.col("_b").cast("int"))
 
     def pairs(qs: DataFrame) -> DataFrame:
         j = qs.join(rb.drop("_b"), "b")
-        if exclude_self:
-            j = j.where(F.col("qid") != F.col("rid"))
-        return j.select("qid", "qp", "rid", _dist(F.col("qvec"), F.col("rvec"), dim).alias("dist"))
+        j = j.select("qvec", "qp", _dist(F.col("qvec"), F.col("rvec"), dim).alias("dist"), F.explode("rids").alias("rid"))
+        return j
 
+    order = [F.col("dist"), F.col("rid")]
     # round 1: own bucket and both neighbours
-    q1 = qb.select("qid", "qvec", "qp", F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("b"))
+    q1 = qb.select("qvec", "qp", F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("b"))
     q1 = q1.where((F.col("b") >= 0) & (F.col("b") < n_buckets))
-    c1 = top_k_per_group(pairs(q1), ["qid"], [F.col("dist"), F.col("rid")], k, "rank")
-    bound = c1.groupBy("qid").agg(F.max("dist").alias("r_q"), F.count(F.lit(1)).alias("n_c"))
-    qr = qb.join(bound, "qid", "left").withColumn(
-        "r_q", F.when(F.col("n_c") >= k, F.col("r_q")).otherwise(F.lit(math.inf)))
+    c1 = top_k_per_group(pairs(q1), ["qvec"], order, kk, "rank")
+    bound = c1.groupBy("qvec").agg(F.max("dist").alias("r_q"), F.count(F.lit(1)).alias("n_c"))
+    qr = qb.join(bound, "qvec", "left").withColumn(
+        "r_q", F.when(F.col("n_c") >= kk, F.col("r_q")).otherwise(F.lit(math.inf)))
     # a little slack so that floating error in the projections never drops a tie at r_q
     slack = F.col("r_q") * (1 + 1e-9) + 1e-12
     qr = qr.withColumn("lo_p", F.col("qp") - slack).withColumn("hi_p", F.col("qp") + slack)
     qr = Bucketizer(splitsArray=[splits, splits], inputCols=["lo_p", "hi_p"], outputCols=["lo_b", "hi_b"],
                     handleInvalid="keep").transform(qr)
     # round 2: buckets of the certified band not scanned in round 1
-    extra = qr.select("qid", "qvec", "qp", F.explode(F.sequence(F.col("lo_b").cast("int"), F.col("hi_b").cast("int")))
+    extra = qr.select("qvec", "qp", F.explode(F.sequence(F.col("lo_b").cast("int"), F.col("hi_b").cast("int")))
                       .alias("b2"), F.col("b").alias("b0"))
-    extra = extra.where(F.abs(F.col("b2") - F.col("b0")) > 1).select("qid", "qvec", "qp", F.col("b2").alias("b"))
-    cand = c1.select("qid", "qp", "rid", "dist").unionByName(pairs(extra))
-    return top_k_per_group(cand, ["qid"], [F.col("dist"), F.col("rid")], k, "rank").select(
-        "qid", "rank", "rid", "dist")
+    extra = extra.where(F.abs(F.col("b2") - F.col("b0")) > 1).select("qvec", "qp", F.col("b2").alias("b"))
+    cand = c1.select("qvec", "rid", "dist").unionByName(pairs(extra).select("qvec", "rid", "dist"))
+    best = top_k_per_group(cand, ["qvec"], order, kk, "rank").select("qvec", "rid", "dist")
+    # fan out to the query IDs: at most kk rows per query
+    per_q = q_all.join(best, "qvec")
+    if exclude_self:
+        per_q = per_q.where(F.col("qid") != F.col("rid"))
+    w = Window.partitionBy("qid").orderBy("dist", "rid")  # at most kk rows per query
+    return (per_q.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
+            .select("qid", "rank", "rid", "dist"))
 
 
 def knn_scores(queries: DataFrame, ref: DataFrame, k: int, weights: str = "uniform",
