@@ -55,15 +55,29 @@ RFF_FEATURES = 64
 
 
 # ---------------------------------------------------------------- fold-aware preparation
-def fit_fold_preparations(cohort: Cohort, fold_col: str, k: int, types: FeatureTypes) -> dict[int, Preparation]:
-    """Preparation fitted on the training rows of each of the k folds, in three passes."""
+IMPUTER_KEY = "continuous__imputer__strategy"
+IMPUTER_STRATEGIES = ("median", "mean", "constant")
+
+
+def fit_fold_preparations(cohort: Cohort, fold_col: str, k: int, types: FeatureTypes,
+                          strategy: str = "median") -> dict[int, Preparation]:
+    """Preparation fitted on the training rows of each of the k folds, in three passes.
+
+    ``strategy`` is the continuous imputer: median (default), mean of the
+    present training values, or the constant 0.
+    """
+    if strategy not in IMPUTER_STRATEGIES:
+        raise ValueError(f"unsupported imputer strategy {strategy!r}; use one of {IMPUTER_STRATEGIES}")
     df = cohort.df
     cont, binr = list(types.continuous), list(types.binary)
     med_cols = cont if (cont or not binr) else []
     if not cont and not binr:
         med_cols = list(cohort.feature_cols)
     fills: dict[int, dict] = {f: {} for f in range(k)}
-    if med_cols:
+    if med_cols and strategy == "constant":
+        for f in range(k):
+            fills[f].update({c: 0.0 for c in med_cols})
+    elif med_cols and (strategy == "median" or not cont):
         for r in leave_fold_out_medians(df, med_cols, fold_col, k).collect():  # k rows per feature
             fills[r["fold"]][r["variable"]] = r["median"]
     if binr:
@@ -89,6 +103,13 @@ def fit_fold_preparations(cohort: Cohort, fold_col: str, k: int, types: FeatureT
             aggs += [F.sum(x).alias(f"s1_{i}"), F.sum(x * x).alias(f"s2_{i}"), F.count(x).alias(f"np_{i}")]
         per = {r[fold_col]: r for r in df.groupBy(fold_col).agg(*aggs).collect()}  # k rows
         tot = {key: sum((r[key] or 0) for r in per.values()) for key in per[next(iter(per))].asDict() if key != fold_col}
+        if strategy == "mean":
+            for f in range(k):
+                r = per.get(f)
+                for i, c in enumerate(cont):
+                    npres = tot[f"np_{i}"] - (r[f"np_{i}"] if r else 0)
+                    s1 = tot[f"s1_{i}"] - ((r[f"s1_{i}"] or 0) if r else 0)
+                    fills[f][c] = float(shift[f"c{i}"] or 0.0) + (s1 / npres if npres else 0.0)
         for f in range(k):
             r = per.get(f)
             n = tot["n"] - (r["n"] if r else 0)
@@ -243,18 +264,27 @@ class FoldPlan:
     cohort: Cohort          # with a "fold" column
     k: int
     preps: dict[int, Preparation]
+    types: FeatureTypes | None = None
+    by_strategy: dict = field(default_factory=dict)
+
+    def preps_for(self, strategy: str) -> dict[int, Preparation]:
+        if strategy == "median":
+            return self.preps
+        if strategy not in self.by_strategy:
+            self.by_strategy[strategy] = fit_fold_preparations(self.cohort, "fold", self.k, self.types, strategy)
+        return self.by_strategy[strategy]
 
 
 def fold_plan(cohort: Cohort, k: int, seed: int, types: FeatureTypes) -> FoldPlan:
     # materialized once in the shared checkpoint folder: every fit of the search reads it
     df = FO.stratified_folds(cohort.df, cohort.id_col, cohort.target_col, k, seed).checkpoint(eager=True)
     c = cohort.with_df(df)
-    return FoldPlan(c, k, fit_fold_preparations(c, "fold", k, types))
+    return FoldPlan(c, k, fit_fold_preparations(c, "fold", k, types), types)
 
 
-def _fold_data(plan: FoldPlan, f: int, balance: str | None):
+def _fold_data(plan: FoldPlan, f: int, balance: str | None, strategy: str = "median"):
     c = plan.cohort
-    prep = plan.preps[f]
+    prep = plan.preps_for(strategy)[f]
     cols = list(prep.output_cols)
     base = c.df.withColumnRenamed(c.id_col, "id").withColumnRenamed(c.target_col, "target")
     train = prep.transform(base.where(F.col("fold") != f), "id", ["target"])
@@ -270,9 +300,12 @@ def _run(plan: FoldPlan, learner: Learner, candidates: Sequence[dict], balance:
          tag: Callable[[int], str]) -> DataFrame:
     jobs = []
     data = {}
+    strategies = sorted({str(p.get(IMPUTER_KEY) or "median") for p in candidates})
+    for strategy in strategies:
+        for f in range(plan.k):
+            train, test, cols = _fold_data(plan, f, balance, strategy)
+            data[(strategy, f)] = (train, test, cols, train.count())
     for f in range(plan.k):
-        train, test, cols = _fold_data(plan, f, balance)
-        data[f] = (train, test, cols, train.count())
         for ci, params in enumerate(candidates):
             jobs.append((f, ci, params))
 
@@ -281,8 +314,9 @@ def _run(plan: FoldPlan, learner: Learner, candidates: Sequence[dict], balance:
 
     def one(job):
         f, ci, params = job
-        train, test, cols, n_train = data[f]
-        scores, _ = learner.fit_score(train, test, cols, params, n_train)
+        train, test, cols, n_train = data[(str(params.get(IMPUTER_KEY) or "median"), f)]
+        learner_params = {key: v for key, v in params.items() if "__" not in key}
+        scores, _ = learner.fit_score(train, test, cols, learner_params, n_train)
         out = scores.join(test.select("id", F.col("target").alias("label")), "id").select(
             F.lit(tag(ci)).alias("model"), F.lit(f).cast("int").alias("fold"), "id", "label", "score",
             "prediction")

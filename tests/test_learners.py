@@ -56,3 +56,19 @@ def test_kmeans_cost_does_not_rise(spark):
     assert costs[0] == pytest.approx(60.0)  # k = 1: n x number of scaled features
     assert all(costs[i + 1] <= costs[i] + 1e-9 for i in range(len(costs) - 1))
     assert suggest_k(spark.createDataFrame(elbow)).first()["suggested_k"] in (2, 3)
+
+
+def test_imputer_strategy_is_tunable(spark):
+    rows = [(i, None if i % 5 == 0 else float(i), float((i * 7) % 11), int(i >= 15)) for i in range(30)]
+    c = Cohort.from_frame(spark.createDataFrame(rows, "id int, a double, b double, target int"))
+    custom = {G.LOGISTIC: {"C": ["1.0"], "preprocessor__continuous__imputer__strategy": ["mean", "median"]}}
+    grid = G.select_grid(G.LOGISTIC, "custom", custom)
+    assert grid == {"C": [1.0], "continuous__imputer__strategy": ["mean", "median"]}
+    r = S.train_model(c, G.LOGISTIC, mode="custom", custom=custom, parallelism=2)
+    assert r.best_params["continuous__imputer__strategy"] in ("mean", "median")
+    assert r.candidates.count() == 2
+    ctx = S.SearchContext(c)
+    plan = ctx.plan(S.EVALUATION_SEED)
+    means = plan.preps_for("mean")
+    train = [x for x in rows if x[1] is not None]
+    assert means[0].fill["a"] != plan.preps[0].fill["a"] or len(train) == 0
