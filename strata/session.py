@@ -45,7 +45,10 @@ def checkpoint_root(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="strata-ckpt-")
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder: checkpoints and intermediate "
+                               "tables must survive the loss of any one machine")
+        configured = tempfile.mkdtemp(prefix="strata-ckpt-")  # local sessions (tests) only
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
