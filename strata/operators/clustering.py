@@ -84,9 +84,18 @@ def kmeans_elbow(cohort: Cohort, max_k: int = MAX_ELBOW_K, n_init: int = N_INIT,
     data = data.checkpoint(eager=True)
     n = data.count()
     rows = [(1, one_cluster_inertia(data, cols))]
-    for k in range(2, min(max_k, n) + 1):
-        cost, _, _ = _best_fit(data, k, n_init, parallelism)
-        rows.append((k, float(cost)))
+    ks = list(range(2, min(max_k, n) + 1))
+
+    def one(job):
+        k, seed = job
+        m = KMeans(k=k, seed=seed, maxIter=300, tol=1e-4, initMode="k-means||").fit(data)
+        return k, seed, m.summary.trainingCost
+
+    # every (k, restart) fit in one pool: the driver threads keep the executors busy
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        fits = list(pool.map(one, [(k, SEED + i) for k in ks for i in range(n_init)]))
+    for k in ks:
+        rows.append((k, float(min((c, s) for kk, s, c in fits if kk == k)[0])))
     return cohort.df.sparkSession.createDataFrame(rows, "k int, inertia double")
 
 
