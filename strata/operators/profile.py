@@ -218,7 +218,10 @@ def quartiles(cohort: Cohort, vc: DataFrame | None = None, stats: DataFrame | No
     The value at 0-based rank r is the distinct value whose running count
     interval [before, before + cnt) contains r.
     """
-    vc = vc if vc is not None else shared_value_counts(cohort)
+    if vc is None:
+        # reuse the materialized value counts when a section already made them; a one-off
+        # quantile query reads the plan directly
+        vc = cohort.cache.get("vc") if "vc" in cohort.cache else value_counts(cohort)
     stats = stats if stats is not None else column_stats(cohort, vc)
     present = vc.where(F.col("value").isNotNull()).select("ordinal", "variable", "value", "cnt")
     ecdf = running_totals(present, ["ordinal"], ["value"], ["cnt"], max_groups=len(cohort.feature_cols))
