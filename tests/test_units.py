@@ -198,3 +198,21 @@ def test_reject_format():
     assert reject_format("a/b.CSV") == "csv"
     with pytest.raises(ValueError):
         reject_format("a/b.xls")
+
+
+def test_fold_sizes_and_balanced_training_folds(spark):
+    from strata.operators import search as S
+    from strata.operators.folds import stratified_folds
+    rows = [(i, float(i % 17), int(i % 4 == 0)) for i in range(203)]
+    df = spark.createDataFrame(rows, "id int, x double, target int")
+    f = stratified_folds(df, "id", "target", 5, 42).toPandas()
+    sizes = f.groupby("fold").size()
+    assert sizes.max() - sizes.min() <= 1
+    per_class = f.groupby(["target", "fold"]).size().unstack()
+    assert (per_class.max(axis=1) - per_class.min(axis=1)).max() <= 1
+    ctx = S.SearchContext(Cohort.from_frame(df), k=5)
+    plan = ctx.plan(S.EVALUATION_SEED)
+    train, test, _ = S._fold_data(plan, 0, "oversample")
+    counts = train.groupBy("target").count().toPandas().set_index("target")["count"]
+    assert counts[0] == counts[1]
+    assert test.count() == int((plan.cohort.df.toPandas()["fold"] == 0).sum())
