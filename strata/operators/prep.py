@@ -53,15 +53,15 @@ def split_feature_types(cohort: Cohort) -> FeatureTypes:
                         tuple(r["variable"] for r in rows if r["kind"] == "binary"))
 
 
-def medians(cohort: Cohort) -> DataFrame:
-    """(ordinal, variable, median) exact, per feature."""
-    q = P.quartiles(cohort, probs=((0.5, "median"),))
+def medians(cohort: Cohort, vc: DataFrame | None = None) -> DataFrame:
+    """(ordinal, variable, median) exact, per feature (``vc``: value counts to read, optional)."""
+    q = P.quartiles(cohort, vc=vc, probs=((0.5, "median"),))
     return q.select("ordinal", "variable", "median")
 
 
-def modes(cohort: Cohort) -> DataFrame:
+def modes(cohort: Cohort, vc: DataFrame | None = None) -> DataFrame:
     """(ordinal, variable, mode): most frequent present value, smallest on ties."""
-    vc = P.value_counts(cohort).where(F.col("value").isNotNull())
+    vc = (vc if vc is not None else P.value_counts(cohort)).where(F.col("value").isNotNull())
     top = top_k_per_group(vc, ["ordinal", "variable"], [F.col("cnt").desc(), F.col("value")], 1, "r")
     return top.select("ordinal", "variable", F.col("value").alias("mode"))
 
@@ -109,12 +109,19 @@ def fit_preparation(train: Cohort, types: FeatureTypes | None = None, scale_all:
         types = FeatureTypes(tuple(train.feature_cols), ())
     cont, binr = list(types.continuous), list(types.binary)
     fill: dict = {}
-    if cont or not binr:
-        target_cols = cont if cont else list(train.feature_cols)
-        med = medians(train.with_df(train.df, target_cols)).collect()  # one row per feature
+    med_cols = cont if (cont or not binr) else []
+    if not cont and not binr:
+        med_cols = list(train.feature_cols)
+    # one value-count table of the training rows feeds both the medians and the modes
+    vc = P.shared_value_counts(train) if (med_cols and binr) else None
+
+    def part(cols):
+        return None if vc is None else vc.where(F.col("variable").isin(list(cols)))
+    if med_cols:
+        med = medians(train.with_df(train.df, med_cols), part(med_cols)).collect()  # one row per feature
         fill.update({r["variable"]: r["median"] for r in med})
     if binr:
-        md = modes(train.with_df(train.df, binr)).collect()  # one row per feature
+        md = modes(train.with_df(train.df, binr), part(binr)).collect()  # one row per feature
         fill.update({r["variable"]: r["mode"] for r in md})
     mean, scale = {}, {}
     if cont:
