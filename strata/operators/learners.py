@@ -34,15 +34,16 @@ def wide_to_long(df: DataFrame, id_col: str, cols: Sequence[str], keep: Sequence
 def gaussian_nb_fit(train: DataFrame, var_smoothing: float = 1e-9) -> DataFrame:
     """(target, d, mean, var, log_prior) from long training rows (id, target, d, value)."""
     per = train.groupBy("target", "d").agg(
-        F.avg("value").alias("mean"), F.var_pop("value").alias("var0"), F.count(F.lit(1)).alias("n_cd"))
-    overall = train.groupBy("d").agg(F.var_pop("value").alias("v"))
-    eps = overall.agg((F.lit(var_smoothing) * F.max("v")).alias("eps"))
+        F.avg("value").alias("mean"), F.var_pop("value").alias("var0"))
+    # two scalars from one-row aggregates: the largest feature variance and the row count
+    max_var = train.groupBy("d").agg(F.var_pop("value").alias("v")).agg(F.max("v").alias("m")).first()["m"]
+    eps = float(var_smoothing) * float(max_var or 0.0)
     counts = train.select("id", "target").distinct().groupBy("target").agg(F.count(F.lit(1)).alias("n_c"))
-    total = counts.agg(F.sum("n_c").alias("n"))
-    prior = counts.join(F.broadcast(total), how="left").select(  # 1-row right side
-        "target", F.log(F.col("n_c") / F.col("n")).alias("log_prior"))
-    return (per.join(F.broadcast(eps), how="left").join(F.broadcast(prior), "target")
-            .select("target", "d", "mean", (F.col("var0") + F.col("eps")).alias("var"), "log_prior"))
+    n = train.select("id").distinct().count()
+    prior = counts.select("target", F.log(F.col("n_c") / F.lit(float(n))).alias("log_prior"))
+    # at most two classes: broadcast
+    return (per.join(F.broadcast(prior), "target")
+            .select("target", "d", "mean", (F.col("var0") + F.lit(eps)).alias("var"), "log_prior"))
 
 
 def gaussian_nb_score(test: DataFrame, params: DataFrame) -> DataFrame:
