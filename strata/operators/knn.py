@@ -74,9 +74,14 @@ def knn_join(queries: DataFrame, ref: DataFrame, k: int, exclude_self: bool = Fa
     """
     kk = k + 1 if exclude_self else k
     r_all = ref.select(F.col("id").alias("rid"), F.col(vec_col).alias("rvec"))
-    r_top = top_k_per_group(r_all, ["rvec"], [F.col("rid")], kk, "_r")
-    # at most kk IDs per distinct vector: a bounded list
-    rd = r_top.groupBy("rvec").agg(F.sort_array(F.collect_list("rid")).alias("rids"))
+    sizes = r_all.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("rvec").alias("nd")).first()  # one row
+    if sizes["nd"] < sizes["n"]:
+        r_top = top_k_per_group(r_all, ["rvec"], [F.col("rid")], kk, "_r")
+        # at most kk IDs per distinct vector: a bounded list
+        rd = r_top.groupBy("rvec").agg(F.sort_array(F.collect_list("rid")).alias("rids"))
+    else:
+        # no repeated vector: every reference row is its own distinct vector
+        rd = r_all.select("rvec", F.array("rid").alias("rids"))
     q_all = queries.select(F.col("id").alias("qid"), F.col(vec_col).alias("qvec"))
     qd = q_all.select("qvec").distinct()
 
