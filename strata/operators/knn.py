@@ -66,10 +66,11 @@ def knn_join(queries: DataFrame, ref: DataFrame, k: int, exclude_self: bool = Fa
     ``exclude_self`` a reference row never matches the query with the same ID.
     Ties are broken by the reference ID.
 
-    Identical vectors are collapsed first on both sides: a distinct reference
+    Identical vectors are collapsed first on both sides: when the reference
+    side repeats a vector (one distinct-count check), a distinct reference
     vector keeps only its k (+1 with ``exclude_self``) smallest IDs, which is
-    all an exact top-k can use, and each distinct query vector is searched
-    once and fanned back out to its IDs.  A vector repeated in a third of the
+    all an exact top-k can use; each distinct query vector is searched once
+    and fanned back out to its IDs.  A vector repeated in a third of the
     rows therefore costs one candidate, not a third of all pairs.
     """
     kk = k + 1 if exclude_self else k
