@@ -84,7 +84,15 @@ def knn_join(queries: DataFrame, ref: DataFrame, k: int, exclude_self: bool = Fa
         # no repeated vector: every reference row is its own distinct vector
         rd = r_all.select("rvec", F.array("rid").alias("rids"))
     q_all = queries.select(F.col("id").alias("qid"), F.col(vec_col).alias("qvec"))
-    qd = q_all.select("qvec").distinct()
+    qsizes = q_all.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("qvec").alias("nd")).first()  # one row
+    if qsizes["nd"] < qsizes["n"]:
+        # repeated query vectors are searched once: key = the vector's exact text
+        q_all = q_all.withColumn("qk", F.to_json(F.col("qvec")))
+        qd = q_all.select("qk", "qvec").distinct()
+    else:
+        # all distinct: key = the query ID (no grouping on arrays)
+        q_all = q_all.withColumn("qk", F.col("qid").cast("string"))
+        qd = q_all.select("qk", "qvec")
 
     u = principal_direction(rd.select(F.col("rvec").alias("vec")), "vec")
     dim = len(u)
@@ -103,16 +111,16 @@ def knn_join(queries: DataFrame, ref: DataFrame, k: int, exclude_self: bool = Fa
 
     def pairs(qs: DataFrame) -> DataFrame:
         j = qs.join(rb.drop("_b"), "b")
-        j = j.select("qvec", "qp", _dist(F.col("qvec"), F.col("rvec"), dim).alias("dist"), F.explode("rids").alias("rid"))
+        j = j.select("qk", "qp", _dist(F.col("qvec"), F.col("rvec"), dim).alias("dist"), F.explode("rids").alias("rid"))
         return j
 
     order = [F.col("dist"), F.col("rid")]
     # round 1: own bucket and both neighbours
-    q1 = qb.select("qvec", "qp", F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("b"))
+    q1 = qb.select("qk", "qvec", "qp", F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("b"))
     q1 = q1.where((F.col("b") >= 0) & (F.col("b") < n_buckets))
-    c1 = top_k_per_group(pairs(q1), ["qvec"], order, kk, "rank")
-    bound = c1.groupBy("qvec").agg(F.max("dist").alias("r_q"), F.count(F.lit(1)).alias("n_c"))
-    qr = qb.join(bound, "qvec", "left").withColumn(
+    c1 = top_k_per_group(pairs(q1), ["qk"], order, kk, "rank")
+    bound = c1.groupBy("qk").agg(F.max("dist").alias("r_q"), F.count(F.lit(1)).alias("n_c"))
+    qr = qb.join(bound, "qk", "left").withColumn(
         "r_q", F.when(F.col("n_c") >= kk, F.col("r_q")).otherwise(F.lit(math.inf)))
     # a little slack so that floating error in the projections never drops a tie at r_q
     slack = F.col("r_q") * (1 + 1e-9) + 1e-12
@@ -120,13 +128,13 @@ def knn_join(queries: DataFrame, ref: DataFrame, k: int, exclude_self: bool = Fa
     qr = Bucketizer(splitsArray=[splits, splits], inputCols=["lo_p", "hi_p"], outputCols=["lo_b", "hi_b"],
                     handleInvalid="keep").transform(qr)
     # round 2: buckets of the certified band not scanned in round 1
-    extra = qr.select("qvec", "qp", F.explode(F.sequence(F.col("lo_b").cast("int"), F.col("hi_b").cast("int")))
+    extra = qr.select("qk", "qvec", "qp", F.explode(F.sequence(F.col("lo_b").cast("int"), F.col("hi_b").cast("int")))
                       .alias("b2"), F.col("b").alias("b0"))
-    extra = extra.where(F.abs(F.col("b2") - F.col("b0")) > 1).select("qvec", "qp", F.col("b2").alias("b"))
-    cand = c1.select("qvec", "rid", "dist").unionByName(pairs(extra).select("qvec", "rid", "dist"))
-    best = top_k_per_group(cand, ["qvec"], order, kk, "rank").select("qvec", "rid", "dist")
+    extra = extra.where(F.abs(F.col("b2") - F.col("b0")) > 1).select("qk", "qvec", "qp", F.col("b2").alias("b"))
+    cand = c1.select("qk", "rid", "dist").unionByName(pairs(extra).select("qk", "rid", "dist"))
+    best = top_k_per_group(cand, ["qk"], order, kk, "rank").select("qk", "rid", "dist")
     # fan out to the query IDs: at most kk rows per query
-    per_q = q_all.join(best, "qvec")
+    per_q = q_all.select("qid", "qk").join(best, "qk")
     if exclude_self:
         per_q = per_q.where(F.col("qid") != F.col("rid"))
     w = Window.partitionBy("qid").orderBy("dist", "rid")  # at most kk rows per query
