@@ -6,12 +6,17 @@ given.  ``local_session`` exists for tests, the bench and the examples.
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
+_SHIPPED: set[str] = set()
+_SCRATCH: dict[str, SparkSession] = {}
+
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "strata") -> SparkSession:
     """A local session with the settings the tests and the bench use."""
@@ -56,7 +61,50 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder, for written tables."""
     root = checkpoint_root(spark).rstrip("/")
-    return f"{root}/strata-{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{root}/strata-{name}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH[path] = spark
+    return path
+
+
+def drop_scratch(path: str | None = None) -> None:
+    """Delete one scratch table, or all that this process has written.
+
+    Frames that still read a dropped table can no longer be computed.  All are
+    dropped when the process ends; a long-lived session calls this between
+    requests.
+    """
+    for p in [path] if path else list(_SCRATCH):
+        spark = _SCRATCH.pop(p, None)
+        if spark is None or spark.sparkContext._jsc is None:
+            continue
+        jvm = spark.sparkContext._jvm
+        target = jvm.org.apache.hadoop.fs.Path(p)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@atexit.register
+def _drop_at_exit() -> None:
+    try:
+        drop_scratch()
+    except Exception:  # noqa: BLE001  the JVM may be gone already
+        pass
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers on other machines import this package (once per application)."""
+    sc = spark.sparkContext
+    if sc.master.startswith("local[") or sc.master == "local" or sc.applicationId in _SHIPPED:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="strata-code-"), "strata.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, names in os.walk(here):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(here)))
+    sc.addPyFile(target)
+    _SHIPPED.add(sc.applicationId)
 
 
 def num_partitions(spark: SparkSession) -> int:
