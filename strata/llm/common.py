@@ -19,12 +19,15 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import scratch_path, ship_package
 
 PLAIN_WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Texts are worked on in slices of about so many bytes, so that a batch of long ones stays small.
 SLICE_BYTES = 4 << 20
+#: Size of a pre-selection bitmap that goes to the executors: 2^22 bits, 512 KB, whatever the input.
+BITMAP_BITS = 22
 
 
 def plain_words(text: str | None) -> list[bytes]:
@@ -115,3 +118,22 @@ def session_of(df: DataFrame) -> SparkSession:
     """The frame's session, with this package made importable on its executors."""
     ship_package(df.sparkSession)
     return df.sparkSession
+
+
+def bitmap(rows: DataFrame, column: str) -> np.ndarray:
+    """Bits set at the low ``BITMAP_BITS`` of a BIGINT column; at most 2^16 rows of 64 bits reach the driver.
+
+    Membership in it is necessary, never sufficient: a pre-selection before an exact join.
+    """
+    low = F.col(column).bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
+    words = (rows.select(F.shiftright(low, 6).alias("w"),
+                             F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("b"))
+             .groupBy("w").agg(F.bit_or("b").alias("b")).toArrow())
+    bits = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
+    bits[words["w"].to_numpy()] = words["b"].to_numpy()
+    return bits
+
+
+def passes(bits: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    low = codes & np.uint64((1 << BITMAP_BITS) - 1)
+    return (bits[(low >> np.uint64(6)).astype(np.int64)].view(np.uint64) >> (low & np.uint64(63))) & np.uint64(1) > 0

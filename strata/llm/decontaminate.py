@@ -11,7 +11,7 @@ has no room for it, and the exact comparison runs over the item-sized stretch of
 document words.
 
 Data flow: documents are read twice (shingle frequencies; candidates).  Executors
-pre-select shingles with a bitmap of fixed size (``BITMAP_BITS``), which can only
+pre-select shingles with a bitmap of fixed size (``common.BITMAP_BITS``), which can only
 pass too many; the joins that decide are ordinary Spark joins, with the document
 side salted, so neither the benchmark nor the hits have to fit anywhere.  Each
 candidate carries its own stretch of words, so texts are never shuffled.
@@ -33,12 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, as_long, materialise, plain_words, session_of, shingle_hashes
+from .common import (WordHashes, as_long, bitmap, materialise, passes, plain_words, session_of,
+                     shingle_hashes)
 
 WINDOW = 10
 SHINGLE = 2
-#: Size of the pre-selection bitmap that goes to the executors: 2^22 bits, 512 KB, whatever the input.
-BITMAP_BITS = 22
 SALTS = 16
 #: Partial counts are emitted whenever so many distinct shingles are held.
 HELD_SHINGLES = 200_000
@@ -76,22 +75,6 @@ def windows_of(items: DataFrame, item_id: str = "item_id", text: str = "text",
                                       F.collect_set("item").alias("items"))
 
 
-def _bitmap(shingles: DataFrame, column: str) -> np.ndarray:
-    """Bits of the low ``BITMAP_BITS`` of each shingle; at most 2^16 rows of 64 bits reach the driver."""
-    low = F.col(column).bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
-    words = (shingles.select(F.shiftright(low, 6).alias("w"),
-                             F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("b"))
-             .groupBy("w").agg(F.bit_or("b").alias("b")).toArrow())
-    bits = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
-    bits[words["w"].to_numpy()] = words["b"].to_numpy()
-    return bits
-
-
-def _passes(bits: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    low = codes & np.uint64((1 << BITMAP_BITS) - 1)
-    return (bits[(low >> np.uint64(6)).astype(np.int64)].view(np.uint64) >> (low & np.uint64(63))) & np.uint64(1) > 0
-
-
 def _sizes(codes_of: np.ndarray, size: int) -> list[np.ndarray]:
     """Shingles of every size from 1 to ``size``: windows shorter than ``size`` words are one short shingle."""
     return [shingle_hashes(codes_of, k) for k in range(1, size + 1) if len(codes_of) >= k]
@@ -110,7 +93,7 @@ def _count_rows(batches: Iterator[pa.RecordBatch], bits: np.ndarray, size: int)
     for batch in batches:
         for text in batch.column(0):
             for codes in _sizes(hashes.of(plain_words(text.as_py())), size):
-                held.update(codes[_passes(bits, codes)].tolist())
+                held.update(codes[passes(bits, codes)].tolist())
             if len(held) >= HELD_SHINGLES:
                 yield flush()
     yield flush()
@@ -131,7 +114,7 @@ def _candidate_rows(batches: Iterator[pa.RecordBatch], bits: np.ndarray, window:
                 n_words.append(len(words))
                 mine = []
                 for codes in _sizes(hashes.of(words), size):
-                    hits = np.flatnonzero(_passes(bits, codes)).tolist()
+                    hits = np.flatnonzero(passes(bits, codes)).tolist()
                     for p, c in zip(hits, as_long(codes[hits]).tolist()):
                         first = max(0, p - window + 1)
                         mine.append((c, p, p - first, b" ".join(words[first:p + window]).decode()))
@@ -158,7 +141,7 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     windows = materialise(spark, windows_of(items, item_id, item_text, window, size)
                           .withColumn("unit", F.monotonically_increasing_id()), "windows")
     shingles = windows.select("unit", "n", F.posexplode("shingles").alias("offset", "shingle"))
-    all_bits = spark.sparkContext.broadcast(_bitmap(shingles, "shingle"))
+    all_bits = spark.sparkContext.broadcast(bitmap(shingles, "shingle"))
     source = docs.select(F.col(f"`{text}`").alias("text"))
     counts = (source.mapInArrow(lambda b: _count_rows(b, all_bits.value, size), "shingle bigint, n bigint")
               .groupBy("shingle").agg(F.sum("n").alias("df")))
@@ -173,7 +156,7 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
               .select("unit", "n", F.explode(F.slice("by_rarity", F.lit(1), F.col("take"))).alias("p"))
               .select("unit", "n", F.col("p.shingle").alias("shingle"), F.col("p.offset").alias("offset")))
     prefix = materialise(spark, prefix, "prefix")
-    some_bits = spark.sparkContext.broadcast(_bitmap(prefix, "shingle"))
+    some_bits = spark.sparkContext.broadcast(bitmap(prefix, "shingle"))
 
     keyed = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{text}`").alias("text"),
                         F.col(f"`{doc_id}`").alias("doc"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality_rules
+from . import decontaminate, jaccard_join, quality_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its near-duplicate class and its number of links (5 words, similarity 0.8)."""
+    return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: measurements, failure bits and the verdict of policy ``v2``."""
     ledger = quality_rules.rule_ledger(_table(spark, sf_dir, "documents"))
@@ -29,4 +34,4 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                     base.alias("base_failed"), "kept", "fail_bits"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op7_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op4_jaccard_join, op7_quality_rules)}
