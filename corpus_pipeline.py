@@ -1,21 +1,36 @@
-"""Corpus preparation: quality rules first, token files last."""
+"""Corpus preparation in five stages: quality rules, near duplicates, benchmark, mixing, token files.
+
+Every stage takes (spark, docs, sf_dir) and works on all documents that its
+predecessor kept.  All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strata.llm import decontaminate, quality_rules
+from strata.llm import decontaminate, jaccard_join, mixing, quality_rules, token_files
 from strata.llm.common import materialise
+from strata.llm.queries import WORD_END_ID, word_tokenizer
+from strata.session import scratch_path
 
+#: Similarity search, a fitted classifier and a tokenizer are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
+#: Posterior of the clean domain from which a document is certain to stay in the mix.
+SURE_CLEAN = 0.8
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that policy ``v2`` of the rule ledger keeps."""
     ledger = quality_rules.apply_policy(quality_rules.rule_ledger(docs), "v2")
-    return ledger.where("kept").select(*docs.columns)
+    return ledger.where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    return jaccard_join.one_per_class(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,9 +38,38 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn at the rates that give the domains their target token weights.
+
+    Rates are scaled so that every document of clean posterior ``SURE_CLEAN`` or more has a rate of at least 1, and
+    no document is repeated: the clean ones stay, the over-represented domains are thinned out.
+    """
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = mixing.fit_domains(mixing.domain_labels(docs, labels), mixing.DOMAINS)
+    scored = mixing.memberships(docs, model)
+    members = materialise(spark, scored.select("tokens", "posterior"), "members")
+    total = members.agg(F.sum("tokens")).first()[0] or 0
+    steps, _ = mixing.fit_rates(members, [mixing.WEIGHTS[d] * total for d in mixing.DOMAINS])
+    sure = F.col("posterior")[mixing.DOMAINS.index("clean")] >= SURE_CLEAN
+    lowest = mixing.with_rates(members, steps, keys=("tokens",)).where(sure).agg(F.min("rate")).first()[0]
+    rated = mixing.with_rates(scored, steps, scale=1 / lowest if lowest else 1.0, max_copies=1,
+                              keys=("doc_id", "text"))
+    return rated.where("copies > 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of the remaining documents, and their index (doc_id, start, n_tokens, ids_crc32)."""
+    path = scratch_path(spark, "corpus")
+    token_files.write_token_files(docs, path, word_tokenizer(), WORD_END_ID, word_by_word=True)
+    return token_files.token_index(spark, path)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality rules", quality),
+    ("n-gram Jaccard join", near_duplicates),
     ("benchmark decontamination", benchmark),
+    ("mixing to target weights", mix),
+    ("token files", tokens),
 ]
 
 

@@ -5,13 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, quality_rules
+from ..session import scratch_path
+from . import (decontaminate, jaccard_join, mixing, quality_rules, token_counts, token_files,
+               toxicity)
+from .common import materialise
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+WORD_END_ID = 2
+
+
+def word_tokenizer() -> str:
+    """Path of the public word tokenizer (49k ids); it drops white space and never joins across it."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: words inside 10-word benchmark windows and the items they come from."""
     found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -20,11 +33,55 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per line of every document: its tokens, from one encoding of the whole text."""
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = token_counts.section_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"),
+                                          token_counts.line_sections(F.col("text")), rule="most")
+    return counted.select("doc_id", "n_tokens", F.explode("section_tokens").alias("s")).select(
+        "doc_id", "n_tokens", F.col("s.section").alias("line"), "s.start", "s.stop",
+        F.col("s.tokens").cast("bigint").alias("line_tokens"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: probabilities of the severity grades, expected severity, and toxic from grade 1."""
+    docs = _table(spark, sf_dir, "documents")
+    graded = materialise(spark, toxicity.graded_labels(docs, _table(spark, sf_dir, "labels")), "graded")
+    model = toxicity.fit_severity(graded, toxicity.GRADES)
+    scored = toxicity.severity(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", F.col("at_least")[0].alias("p_toxic"), F.col("at_least")[1].alias("p_severe"),
+                         "expected_severity", "grade", (F.col("at_least")[0] >= 0.5).alias("toxic"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its near-duplicate class and its number of links (5 words, similarity 0.8)."""
     return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document, read back from the written ORC files: start, number and checksum of its token ids."""
+    path = scratch_path(spark, "token-files")
+    token_files.write_token_files(_table(spark, sf_dir, "documents"), path, word_tokenizer(), WORD_END_ID,
+                                  word_by_word=True)
+    return token_files.token_index(spark, path)
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: domain posteriors, fitted rate and copies at the target token weights."""
+    docs = _table(spark, sf_dir, "documents")
+    labelled = mixing.domain_labels(docs, _table(spark, sf_dir, "labels"))
+    model = mixing.fit_domains(labelled, mixing.DOMAINS)
+    members = materialise(spark, mixing.memberships(docs.select("doc_id", "text"), model)
+                          .select("doc_id", F.xxhash64("text").alias("text_hash"), "tokens", "posterior"), "members")
+    total = members.agg(F.sum("tokens")).first()[0] or 0
+    steps, _ = mixing.fit_rates(members, [mixing.WEIGHTS[d] * total for d in mixing.DOMAINS])
+    rated = mixing.with_rates(members, steps, keys=("doc_id", "text_hash"))
+    return rated.select("doc_id", "tokens", *[F.col("posterior")[k].alias(f"p_{d}")
+                                              for k, d in enumerate(mixing.DOMAINS)], "rate", "copies")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: measurements, failure bits and the verdict of policy ``v2``."""
     ledger = quality_rules.rule_ledger(_table(spark, sf_dir, "documents"))
@@ -34,4 +91,5 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                     base.alias("base_failed"), "kept", "fail_bits"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op4_jaccard_join, op7_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_counts, op3_toxicity, op4_jaccard_join, op5_token_files, op6_mixing,
+                                  op7_quality_rules)}
