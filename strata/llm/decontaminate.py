@@ -75,12 +75,12 @@ def windows_of(items: DataFrame, item_id: str = "item_id", text: str = "text",
                                       F.collect_set("item").alias("items"))
 
 
-def _sizes(codes_of: np.ndarray, size: int) -> list[np.ndarray]:
-    """Shingles of every size from 1 to ``size``: windows shorter than ``size`` words are one short shingle."""
-    return [shingle_hashes(codes_of, k) for k in range(1, size + 1) if len(codes_of) >= k]
+def _sizes(codes_of: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
+    """Shingles of the sizes in use: a window shorter than a shingle is one short shingle."""
+    return [shingle_hashes(codes_of, k) for k in sizes if len(codes_of) >= k]
 
 
-def _count_rows(batches: Iterator[pa.RecordBatch], bits: np.ndarray, size: int) -> Iterator[pa.RecordBatch]:
+def _count_rows(batches: Iterator[pa.RecordBatch], bits: np.ndarray, sizes: list[int]) -> Iterator[pa.RecordBatch]:
     hashes, held = WordHashes(), Counter()
 
     def flush() -> pa.RecordBatch:
@@ -92,7 +92,7 @@ def _count_rows(batches: Iterator[pa.RecordBatch], bits: np.ndarray, size: int)
 
     for batch in batches:
         for text in batch.column(0):
-            for codes in _sizes(hashes.of(plain_words(text.as_py())), size):
+            for codes in _sizes(hashes.of(plain_words(text.as_py())), sizes):
                 held.update(codes[passes(bits, codes)].tolist())
             if len(held) >= HELD_SHINGLES:
                 yield flush()
@@ -100,7 +100,7 @@ def _count_rows(batches: Iterator[pa.RecordBatch], bits: np.ndarray, size: int)
 
 
 def _candidate_rows(batches: Iterator[pa.RecordBatch], bits: np.ndarray, window: int,
-                    size: int) -> Iterator[pa.RecordBatch]:
+                    sizes: list[int]) -> Iterator[pa.RecordBatch]:
     """Per document its word count and, per passing shingle, (shingle, place, before, words around it)."""
     cand = pa.struct([("shingle", pa.int64()), ("place", pa.int32()), ("before", pa.int32()),
                       ("around", pa.string())])
@@ -113,7 +113,7 @@ def _candidate_rows(batches: Iterator[pa.RecordBatch], bits: np.ndarray, window:
                 words = plain_words(text.as_py())
                 n_words.append(len(words))
                 mine = []
-                for codes in _sizes(hashes.of(words), size):
+                for codes in _sizes(hashes.of(words), sizes):
                     hits = np.flatnonzero(passes(bits, codes)).tolist()
                     for p, c in zip(hits, as_long(codes[hits]).tolist()):
                         first = max(0, p - window + 1)
@@ -141,17 +141,18 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     windows = materialise(spark, windows_of(items, item_id, item_text, window, size)
                           .withColumn("unit", F.monotonically_increasing_id()), "windows")
     shingles = windows.select("unit", "n", F.posexplode("shingles").alias("offset", "shingle"))
+    sizes = sorted(r[0] for r in windows.select(F.least("n", F.lit(size))).distinct().collect())  # at most ``size`` rows
     all_bits = spark.sparkContext.broadcast(bitmap(shingles, "shingle"))
     source = docs.select(F.col(f"`{text}`").alias("text"))
-    counts = (source.mapInArrow(lambda b: _count_rows(b, all_bits.value, size), "shingle bigint, n bigint")
+    counts = (source.mapInArrow(lambda b: _count_rows(b, all_bits.value, sizes), "shingle bigint, n bigint")
               .groupBy("shingle").agg(F.sum("n").alias("df")))
     ranked = (shingles.join(counts, "shingle").groupBy("unit", "n")
               .agg(F.array_sort(F.collect_list(F.struct("df", "shingle", "offset"))).alias("by_rarity"),
                    F.count(F.lit(1)).alias("m")))
     # A window with a shingle that no document has can only match below t = 1: absent shingles rank first, at no cost.
-    sizes = windows.select("unit", F.size("shingles").alias("total"))
+    totals = windows.select("unit", F.size("shingles").alias("total"))
     need = F.col("total") - F.ceil(F.col("total") * F.lit(threshold) - 1e-9).cast("int") + 1
-    prefix = (ranked.join(sizes, "unit").withColumn("take", need - (F.col("total") - F.col("m").cast("int")))
+    prefix = (ranked.join(totals, "unit").withColumn("take", need - (F.col("total") - F.col("m").cast("int")))
               .where("take > 0")
               .select("unit", "n", F.explode(F.slice("by_rarity", F.lit(1), F.col("take"))).alias("p"))
               .select("unit", "n", F.col("p.shingle").alias("shingle"), F.col("p.offset").alias("offset")))
@@ -162,7 +163,7 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
                         F.col(f"`{doc_id}`").alias("doc"))
     kind = keyed.schema["doc"].dataType.simpleString()
     rows = materialise(spark, keyed.mapInArrow(
-        lambda b: _candidate_rows(b, some_bits.value, window, size),
+        lambda b: _candidate_rows(b, some_bits.value, window, sizes),
         "row bigint, n_words bigint, found array<struct<shingle: bigint, place: int, before: int, around: string>>, "
         f"doc {kind}"), "candidates")
 
@@ -173,7 +174,7 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
               .withColumn("start", F.col("place") - F.col("offset"))
               .where("start >= 0 AND start + n <= n_words")  # positional and length bounds
               .withColumn("stretch", F.array_join(
-                  F.slice(F.split("around", " "), F.col("before") - F.col("offset") + 1, F.col("n")), " "))
+                  F.slice(F.split("around", " "), F.greatest(F.lit(1), F.col("before") - F.col("offset") + 1), F.col("n")), " "))
               .select("row", "start", "unit", "n", "stretch").distinct())
     if threshold == 1.0:
         matched = placed.join(windows.select(F.col("phrase").alias("stretch"), "unit", "items"), ["unit", "stretch"])
