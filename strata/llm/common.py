@@ -137,3 +137,44 @@ def bitmap(rows: DataFrame, column: str) -> np.ndarray:
 def passes(bits: np.ndarray, codes: np.ndarray) -> np.ndarray:
     low = codes & np.uint64((1 << BITMAP_BITS) - 1)
     return (bits[(low >> np.uint64(6)).astype(np.int64)].view(np.uint64) >> (low & np.uint64(63))) & np.uint64(1) > 0
+
+
+def runs_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Consecutive rows with equal values in the first ``keys`` columns, as tables of whole runs.
+
+    Batches are joined only as far as a run crosses their border.
+    """
+    held: list[pa.RecordBatch] = []
+
+    def last_start(batch: pa.RecordBatch) -> int:
+        cut = 0
+        for k in range(keys):
+            v = batch.column(k).to_numpy(zero_copy_only=False)
+            change = np.flatnonzero(v[1:] != v[:-1])
+            cut = max(cut, int(change[-1]) + 1 if len(change) else 0)
+        return cut
+
+    def same_key(a: pa.RecordBatch, b: pa.RecordBatch) -> bool:
+        return all(a.column(k)[a.num_rows - 1].as_py() == b.column(k)[0].as_py() for k in range(keys))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held and not same_key(held[-1], batch):
+            yield pa.Table.from_batches(held)
+            held = []
+        cut = last_start(batch)
+        if cut:
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def bounds_of(*keys: np.ndarray) -> np.ndarray:
+    """Borders of the runs of equal keys, first 0 and last the length."""
+    change = np.zeros(len(keys[0]) - 1, bool)
+    for k in keys:
+        change |= k[1:] != k[:-1]
+    return np.concatenate([[0], np.flatnonzero(change) + 1, [len(keys[0])]])

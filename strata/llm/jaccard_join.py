@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import (WordHashes, bitmap, materialise, mixed, passes, plain_words, session_of,
+from .common import (WordHashes, bitmap, bounds_of, materialise, mixed, passes, plain_words, runs_of, session_of,
                      shingle_hashes, text_slices)
 from .components import components
 
@@ -125,46 +125,6 @@ def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(reps)], ["bucket", "rep"])
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """Consecutive rows with equal values in the first ``keys`` columns, as tables of whole runs.
-
-    Batches are joined only as far as a run crosses their border.
-    """
-    held: list[pa.RecordBatch] = []
-
-    def last_start(batch: pa.RecordBatch) -> int:
-        cut = 0
-        for k in range(keys):
-            v = batch.column(k).to_numpy(zero_copy_only=False)
-            change = np.flatnonzero(v[1:] != v[:-1])
-            cut = max(cut, int(change[-1]) + 1 if len(change) else 0)
-        return cut
-
-    def same_key(a: pa.RecordBatch, b: pa.RecordBatch) -> bool:
-        return all(a.column(k)[a.num_rows - 1].as_py() == b.column(k)[0].as_py() for k in range(keys))
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        if held and not same_key(held[-1], batch):
-            yield pa.Table.from_batches(held)
-            held = []
-        cut = last_start(batch)
-        if cut:
-            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
-            held = []
-        held.append(batch.slice(cut))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _bounds(*keys: np.ndarray) -> np.ndarray:
-    change = np.zeros(len(keys[0]) - 1, bool)
-    for k in keys:
-        change |= k[1:] != k[:-1]
-    return np.concatenate([[0], np.flatnonzero(change) + 1, [len(keys[0])]])
-
-
 def _shared_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of buckets with two to BLOCK members, and star edges of larger ones.
 
@@ -176,7 +136,7 @@ def _shared_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         if not len(keys):
             continue
         out_key, out_rep, out_to = [], [], []
-        bounds = _bounds(keys).tolist()
+        bounds = bounds_of(keys).tolist()
         for a, b in zip(bounds, bounds[1:]):
             if keys[a] != bucket:
                 if 1 < len(held) <= BLOCK:
@@ -215,10 +175,10 @@ def _forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def _bucket_forests(batches: Iterator[pa.RecordBatch], least: dict[int, int]) -> Iterator[pa.RecordBatch]:
-    for table in _runs(batches, 1):
+    for table in runs_of(batches, 1):
         keys, reps = (table.column(k).to_numpy() for k in (0, 1))
         signs = np.frombuffer(b"".join(table.column(2).to_pylist()), np.uint8).reshape(len(keys), -1)
-        bounds = _bounds(keys)
+        bounds = bounds_of(keys)
         sizes = np.diff(bounds)
         tails, heads = [], []
         for size in np.unique(sizes).tolist():  # buckets of equal size together
@@ -275,11 +235,11 @@ def common_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -
 def _verified_rows(batches: Iterator[pa.RecordBatch], least: dict[int, int],
                    threshold: float) -> Iterator[pa.RecordBatch]:
     """Per member of a unit with links: (rep, documents linked here, smallest linked member here)."""
-    for table in _runs(batches, 3):
+    for table in runs_of(batches, 3):
         keys = [table.column(k).to_numpy() for k in range(3)]
         reps, blocks, copies = (table.column(k).to_numpy() for k in (3, 4, 5))
         signs = np.frombuffer(b"".join(table.column(6).to_pylist()), np.uint8).reshape(len(reps), -1)
-        bounds = _bounds(*keys).tolist()
+        bounds = bounds_of(*keys).tolist()
         out = [], [], []
         for a, b in zip(bounds, bounds[1:]):
             sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column(7).slice(a, b - a)]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import (decontaminate, jaccard_join, mixing, quality_rules, token_counts, token_files,
+from . import (decontaminate, jaccard_join, mixing, pitman_yor, quality_rules, token_counts, token_files,
                toxicity)
 from .common import materialise
 
@@ -91,5 +91,15 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                     base.alias("base_failed"), "kept", "fail_bits"))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: base and model log10 probability; learned from the documents that are not held out."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2
+    model = pitman_yor.train(docs.where(~held_out))
+    return pitman_yor.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"),
+        "base_score", "score")
+
+
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_counts, op3_toxicity, op4_jaccard_join, op5_token_files, op6_mixing,
-                                  op7_quality_rules)}
+                                  op7_quality_rules, op10_lm_score)}
