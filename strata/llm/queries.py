@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import (decontaminate, jaccard_join, mixing, pitman_yor, quality_rules, token_counts, token_files,
+from . import (decontaminate, jaccard_join, line_dedup, mixing, pitman_yor, quality_rules, token_counts, token_files,
                toxicity)
 from .common import materialise
 
@@ -91,6 +91,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                     base.alias("base_failed"), "kept", "fail_bits"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its lines, those dropped as copies or near copies of earlier ones, and the kept line numbers."""
+    return line_dedup.line_report(_table(spark, sf_dir, "documents"))
+
+
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: base and model log10 probability; learned from the documents that are not held out."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -102,4 +107,4 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_counts, op3_toxicity, op4_jaccard_join, op5_token_files, op6_mixing,
-                                  op7_quality_rules, op10_lm_score)}
+                                  op7_quality_rules, op8_line_dedup, op10_lm_score)}
