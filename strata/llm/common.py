@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, ship_package
@@ -178,3 +178,16 @@ def bounds_of(*keys: np.ndarray) -> np.ndarray:
     for k in keys:
         change |= k[1:] != k[:-1]
     return np.concatenate([[0], np.flatnonzero(change) + 1, [len(keys[0])]])
+
+
+def flagged(rows: DataFrame, key: Column, ids: DataFrame, name: str) -> DataFrame:
+    """``rows`` with a boolean column ``name``: false only if the BIGINT ``key`` is surely not among ``ids`` (id).
+
+    The same bitmap as ``bitmap``, as a broadcast table of at most 2^16 rows: in DataFrame operations only.
+    """
+    low = F.col("id").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
+    bits = (ids.select(F.shiftright(low, 6).alias("_bit_word"), F.expr("shiftleft(1L, cast(id & 63 as int))").alias("_bits"))
+            .groupBy("_bit_word").agg(F.bit_or("_bits").alias("_bits")))
+    at = F.shiftright(key.bitwiseAND(F.lit((1 << BITMAP_BITS) - 1)), 6) == bits["_bit_word"]
+    hit = F.coalesce(F.getbit(F.col("_bits"), key.bitwiseAND(F.lit(63)).cast("int")) == 1, F.lit(False))
+    return rows.join(F.broadcast(bits), at, "left").withColumn(name, hit).drop("_bit_word", "_bits")

@@ -27,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BITMAP_BITS, materialise
+from .common import flagged, materialise
 
 EDITS = 2
 MIN_CHARS = 20
@@ -140,15 +140,6 @@ def distinct_lines(lines: DataFrame) -> DataFrame:
                                          F.min(F.struct("doc", "text_hash", "place")).alias("first"))
 
 
-def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """``rows`` without most of those whose h1 is not among ``ids`` (id): a bitmap of at most 2^16 rows is broadcast."""
-    low = F.col("id").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
-    bits = ids.select(F.shiftright(low, 6).alias("_w"), F.expr("shiftleft(1L, cast(id & 63 as int))").alias("_b")).groupBy(
-        "_w").agg(F.bit_or("_b").alias("_b"))
-    at = F.shiftright(F.col("h1").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1)), 6) == F.col("_w")
-    return rows.join(F.broadcast(bits), at).where(F.expr("getbit(_b, cast(h1 & 63 as int)) = 1")).drop("_w", "_b")
-
-
 def near_lines(distinct: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """Pairs of different lines within ``edits``: (a_h1, a_h2, b_h1, b_h2), each pair once."""
     spark = distinct.sparkSession
@@ -163,8 +154,8 @@ def near_lines(distinct: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
     pairs = materialise(spark, index.join(probe, near).select(
         F.least("i", "p").alias("a"), F.greatest("i", "p").alias("b")).distinct(), "line-pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = materialise(spark, _only(distinct.select("h1", "h2", "line"), ids).join(
-        ids, F.col("h1") == F.col("id"), "left_semi"), "line-texts")
+    texts = materialise(spark, flagged(distinct.select("h1", "h2", "line"), F.col("h1"), ids, "asked")
+                        .where("asked").drop("asked").join(ids, F.col("h1") == F.col("id"), "left_semi"), "line-texts")
     side = lambda s: texts.select(*[F.col(c).alias(f"{s}_{c}") for c in ("h1", "h2", "line")])
     return (pairs.join(side("a"), F.col("a") == F.col("a_h1")).join(side("b"), F.col("b") == F.col("b_h1"))
             .where(within_edits(F.col("a_line"), F.col("b_line"), edits)).select("a_h1", "a_h2", "b_h1", "b_h2"))

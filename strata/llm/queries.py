@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import (decontaminate, jaccard_join, line_dedup, mixing, pitman_yor, quality_rules, token_counts, token_files,
+from . import (decontaminate, jaccard_join, line_dedup, mixing, pii, pitman_yor, quality_rules, token_counts, token_files,
                toxicity)
 from .common import materialise
 
@@ -93,7 +93,20 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its lines, those dropped as copies or near copies of earlier ones, and the kept line numbers."""
-    return line_dedup.line_report(_table(spark, sf_dir, "documents"))
+    report = line_dedup.line_report(_table(spark, sf_dir, "documents"))
+    return report.select("doc_id", "n_lines", "n_exact", "n_near", "n_kept",
+                         F.array_join(F.col("kept").cast("array<string>"), ",").alias("kept_lines"))
+
+
+#: The key of the registered query; a production run passes a secret of its own.
+SURROGATE_KEY = "registered query"
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: the text with surrogates in place of personal data, and where they are."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, SURROGATE_KEY).select(
+        "doc_id", F.size("entities").cast("bigint").alias("n_entities"), "entities", "text")
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,4 +120,4 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_counts, op3_toxicity, op4_jaccard_join, op5_token_files, op6_mixing,
-                                  op7_quality_rules, op8_line_dedup, op10_lm_score)}
+                                  op7_quality_rules, op8_line_dedup, op9_pii, op10_lm_score)}
