@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm import decontaminate, jaccard_join, mixing, quality_rules, token_files
-from strata.llm.common import materialise
+from strata.llm.common import folded, materialise, unfolded
 from strata.llm.queries import WORD_END_ID, word_tokenizer
 from strata.session import scratch_path
 
@@ -24,8 +24,8 @@ SURE_CLEAN = 0.8
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that policy ``v2`` of the rule ledger keeps."""
-    ledger = quality_rules.apply_policy(quality_rules.rule_ledger(docs), "v2")
-    return ledger.where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    ledger = quality_rules.rule_ledger(folded(docs, text=F.col("text")))
+    return unfolded(quality_rules.apply_policy(ledger, "v2").where("kept"), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = mixing.fit_domains(mixing.domain_labels(docs, labels), mixing.DOMAINS)
-    scored = mixing.memberships(docs, model)
+    scored = mixing.memberships(folded(docs, doc_id=F.col("doc_id"), text=F.col("text")), model)
     members = materialise(spark, scored.select("tokens", "posterior"), "members")
     total = members.agg(F.sum("tokens")).first()[0] or 0
     steps, _ = mixing.fit_rates(members, [mixing.WEIGHTS[d] * total for d in mixing.DOMAINS])
@@ -54,7 +54,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     lowest = mixing.with_rates(members, steps, keys=("tokens",)).where(sure).agg(F.min("rate")).first()[0]
     rated = mixing.with_rates(scored, steps, scale=1 / lowest if lowest else 1.0, max_copies=1,
                               keys=("doc_id", "text"))
-    return rated.where("copies > 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return unfolded(rated.where("copies > 0"), docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -191,3 +191,15 @@ def flagged(rows: DataFrame, key: Column, ids: DataFrame, name: str) -> DataFram
     at = F.shiftright(key.bitwiseAND(F.lit((1 << BITMAP_BITS) - 1)), 6) == bits["_bit_word"]
     hit = F.coalesce(F.getbit(F.col("_bits"), key.bitwiseAND(F.lit(63)).cast("int")) == 1, F.lit(False))
     return rows.join(F.broadcast(bits), at, "left").withColumn(name, hit).drop("_bit_word", "_bits")
+
+
+def folded(docs: DataFrame, **own: Column) -> DataFrame:
+    """All columns of ``docs`` in one struct ``all``, beside columns of the operator's own: names cannot clash."""
+    every = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("all")
+    return docs.select(every, *[column.alias(name) for name, column in own.items()])
+
+
+def unfolded(rows: DataFrame, columns: list[str], **own: Column) -> DataFrame:
+    """The columns of ``all`` again; ``own`` columns replace those of the same name or are added."""
+    kept = [own.pop(c).alias(c) if c in own else F.col("all").getField(c).alias(c) for c in columns]
+    return rows.select(*kept, *[column.alias(name) for name, column in own.items()])

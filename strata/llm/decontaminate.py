@@ -33,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import (WordHashes, as_long, bitmap, materialise, passes, plain_words, session_of,
-                     shingle_hashes)
+from .common import (WordHashes, as_long, bitmap, folded, materialise, passes, plain_words, session_of,
+                     shingle_hashes, unfolded)
 
 WINDOW = 10
 SHINGLE = 2
@@ -211,5 +211,6 @@ def clean_documents(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
     keyed = docs.select(F.struct(F.col(f"`{doc_id}`").alias("id"), key.alias("h")).alias("doc"), F.col(f"`{text}`").alias("text"))
     dirty = (contamination(keyed, items, "doc", "text").where(F.col("n_hit") > max_hits)
              .select(F.col("doc_id.id").alias("_i"), F.col("doc_id.h").alias("_h")).distinct())
-    same = docs[f"`{doc_id}`"].eqNullSafe(dirty["_i"]) & (F.xxhash64(docs[f"`{text}`"]) == dirty["_h"])
-    return docs.join(dirty, same, "left_anti")
+    rows = folded(docs, id=F.col(f"`{doc_id}`"), h=key)
+    same = F.col("id").eqNullSafe(F.col("_i")) & (F.col("h") == F.col("_h"))
+    return unfolded(rows.join(dirty, same, "left_anti"), docs.columns)

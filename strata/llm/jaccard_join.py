@@ -39,8 +39,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import (WordHashes, bitmap, bounds_of, materialise, mixed, passes, plain_words, runs_of, session_of,
-                     shingle_hashes, text_slices)
+from .common import (WordHashes, bitmap, bounds_of, folded, materialise, mixed, passes, plain_words, runs_of, session_of,
+                     shingle_hashes, text_slices, unfolded)
 from .components import components
 
 SIZE = 5
@@ -338,10 +338,10 @@ def one_per_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *
                         F.col(f"`{text}`").alias("text"))
     stay = (near_duplicates(keyed, "doc", "text", **options).where("doc_id = class_id").groupBy("doc_id")
             .agg(F.count(F.lit(1)).alias("n")))
-    stay = materialise(docs.sparkSession, stay.select(
-        F.col("doc_id.id").alias("_stay_id"), F.col("doc_id.h").alias("_stay_h"), F.col("n").alias("_stay_n")), "stay")
-    own = [docs[f"`{c}`"] for c in docs.columns]
-    same = docs[f"`{doc_id}`"].eqNullSafe(stay["_stay_id"]) & (F.xxhash64(docs[f"`{text}`"]) == stay["_stay_h"])
-    single = docs.join(stay.where("_stay_n = 1"), same, "left_semi")
-    many = docs.join(stay.where("_stay_n > 1"), same).groupBy("_stay_id", "_stay_h").agg(F.first(F.struct(*own)).alias("_row"))
-    return single.unionByName(many.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns]))
+    stay = materialise(docs.sparkSession, stay.select(F.col("doc_id.id").alias("stay_id"), F.col("doc_id.h").alias("stay_h"), "n"),
+                       "stay")
+    rows = folded(docs, id=F.col(f"`{doc_id}`"), h=text_hash)
+    same = F.col("id").eqNullSafe(F.col("stay_id")) & (F.col("h") == F.col("stay_h"))
+    single = rows.join(stay.where("n = 1"), same).select("all")
+    many = rows.join(stay.where("n > 1"), same).groupBy("stay_id", "stay_h").agg(F.first("all").alias("all"))
+    return unfolded(single.union(many.select("all")), docs.columns)

@@ -27,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import flagged, materialise
+from .common import flagged, folded, materialise, unfolded
 
 EDITS = 2
 MIN_CHARS = 20
@@ -183,21 +183,17 @@ def line_verdicts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", e
         F.count(F.lit(1)).alias("first_places"))
 
 
-def _with_verdicts(docs: DataFrame, verdicts: DataFrame, doc_id: str, text: str) -> DataFrame:
-    v = verdicts.select(F.col("doc").alias("_v_doc"), F.col("text_hash").alias("_v_hash"), F.col("kept").alias("_v_kept"),
-                        F.col("first_places").alias("_v_first"))
-    same = docs[f"`{doc_id}`"].eqNullSafe(v["_v_doc"]) & (F.xxhash64(docs[f"`{text}`"]) == v["_v_hash"])
-    return docs.join(v, same, "left")
-
-
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: int = EDITS,
                 min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with the dropped lines cut out of the text; all other columns unchanged."""
-    marked = _with_verdicts(docs, line_verdicts(docs, doc_id, text, edits, min_chars), doc_id, text)
-    kept = F.coalesce("_v_kept", F.array().cast("array<int>"))
-    lines = F.filter(F.split(F.col(f"`{text}`"), "\n"), lambda x, i: F.array_contains(kept, i) | ~x.rlike(r"[^\x20\x09-\x0D]"))
-    own = [F.array_join(lines, "\n").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
-    return marked.select(*own)
+    t = F.col(f"`{text}`")
+    rows = folded(docs, id=F.col(f"`{doc_id}`"), hash=F.xxhash64(t))
+    verdicts = line_verdicts(docs, doc_id, text, edits, min_chars)
+    marked = rows.join(verdicts, F.col("id").eqNullSafe(F.col("doc")) & (F.col("hash") == F.col("text_hash")), "left")
+    kept = F.coalesce("kept", F.array().cast("array<int>"))
+    lines = F.filter(F.split(F.col("all").getField(text), "\n"),
+                     lambda x, i: F.array_contains(kept, i) | ~x.rlike(r"[^\x20\x09-\x0D]"))
+    return unfolded(marked, docs.columns, **{text: F.array_join(lines, "\n")})
 
 
 def line_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: int = EDITS,

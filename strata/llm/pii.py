@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import drop_scratch, scratch_path
-from .common import flagged, materialise, session_of
+from .common import flagged, folded, materialise, session_of, unfolded
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _NAME = r"[^\W\d_]+(?:[-'’][^\W\d_]+)?"
@@ -223,6 +223,7 @@ def pseudonymise(docs: DataFrame, key: str | bytes, doc_id: str = "doc_id", text
     maps = (found.distinct().join(surrogates, ["type", "form"]).groupBy("doc", "text_hash")
             .agg(F.collect_list(F.struct("type", "form", "surrogate")).alias("_map"))
             .withColumnsRenamed({"doc": "_doc", "text_hash": "_hash"}))
+    columns_of = [c for c in docs.columns if c != "entities"]
     entry = pa.struct([("type", pa.string()), ("start", pa.int32()), ("stop", pa.int32())])
 
     def replace(rows: pa.Array) -> pa.Array:
@@ -243,11 +244,11 @@ def pseudonymise(docs: DataFrame, key: str | bytes, doc_id: str = "doc_id", text
 
     shape = "array<struct<type: string, start: int, stop: int>>"
     swap = F.arrow_udf(replace, f"struct<text: string, entities: {shape}>")
-    marked = flagged(docs, F.xxhash64(text_column), found.select(F.col("text_hash").alias("id")), "_some")
-    clean = marked.where(~F.col("_some")).drop("_some").withColumn("entities", F.array().cast(shape))
-    some = marked.where(F.col("_some")).drop("_some")
-    same = some[f"`{doc_id}`"].eqNullSafe(maps["_doc"]) & (F.xxhash64(some[f"`{text}`"]) == maps["_hash"])
-    joined = some.join(maps, same, "left").withColumn("_new", swap(F.struct(text_column.alias("text"), F.col("_map").alias("map"))))
-    own = [F.col("_new.text").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns if c != "entities"]
-    changed = joined.select(*own, F.col("_new.entities").alias("entities"))
-    return clean.select(*changed.columns).union(changed)
+    rows = folded(docs, id=id_column, hash=F.xxhash64(text_column))
+    marked = flagged(rows, F.col("hash"), found.select(F.col("text_hash").alias("id")), "some")
+    clean = unfolded(marked.where(~F.col("some")), columns_of, entities=F.array().cast(shape))
+    known = F.col("id").eqNullSafe(F.col("_doc")) & (F.col("hash") == F.col("_hash"))
+    joined = (marked.where(F.col("some")).join(maps, known, "left")
+              .withColumn("new", swap(F.struct(F.col("all").getField(text).alias("text"), F.col("_map").alias("map")))))
+    changed = unfolded(joined, columns_of, **{text: F.col("new.text"), "entities": F.col("new.entities")})
+    return clean.union(changed)
