@@ -35,11 +35,9 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per line of every document: its tokens, from one encoding of the whole text."""
-    import public_tokenizers
-
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    counted = token_counts.section_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"),
-                                          token_counts.line_sections(F.col("text")), rule="most")
+    counted = token_counts.section_tokens(docs, word_tokenizer(), token_counts.line_sections(F.col("text")),
+                                          rule="most", word_by_word=True)
     return counted.select("doc_id", "n_tokens", F.explode("section_tokens").alias("s")).select(
         "doc_id", "n_tokens", F.col("s.section").alias("line"), "s.start", "s.stop",
         F.col("s.tokens").cast("bigint").alias("line_tokens"))

@@ -25,12 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import session_of
+from .common import session_of, text_slices
+from .token_files import WordEncoder
 
 RULES = ("first", "most", "share")
 SECTION = "array<struct<start: int, stop: int>>"
-#: Characters encoded in one call.
-CALL_CHARS = 1 << 20
 
 
 def line_sections(text: Column) -> Column:
@@ -84,49 +83,93 @@ def allocate(starts: np.ndarray, stops: np.ndarray, sections: np.ndarray, rule:
     return out
 
 
+class WordSpans(WordEncoder):
+    """Token character spans of whole texts, each distinct word encoded once (see ``WordEncoder``)."""
+
+    def _keep(self, group: list[bytes], ids: np.ndarray, spans: np.ndarray, starts: np.ndarray, cuts: list[int]) -> None:
+        counts = np.diff([0, *cuts])
+        held = (spans - np.repeat(starts, counts)[:, None].astype(np.int32)).tobytes()
+        for word, a, b in zip(group, [0, *cuts], cuts):
+            self.memo[word] = held[8 * a:8 * b]
+
+    def spans(self, texts: list[str | None]) -> list[np.ndarray]:
+        out = []
+        for text, words in zip(texts, self._known(texts)):
+            chars = np.frombuffer((text or "").encode("utf-32-le"), "<u4")
+            blank = (chars == 32) | (chars >= 9) & (chars <= 13)
+            starts = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]])) if len(chars) else chars
+            counts = np.fromiter(map(len, words), np.int64, len(words)) // 8
+            inside = np.frombuffer(b"".join(words), np.int32).reshape(-1, 2)
+            out.append(inside + np.repeat(starts, counts)[:, None])
+        if not self.checked and out:
+            if not np.array_equal(out[0], self.whole_spans([texts[0] or ""])[0]):
+                raise ValueError("this tokenizer does not encode words apart; use word_by_word=False")
+            self.checked = True
+        return out
+
+    def whole_spans(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.offsets, np.int64).reshape(-1, 2)
+                for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+#: The coder of the last definition, kept from task to task while Spark reuses the worker.
+_KEPT: dict[str, WordSpans] = {}
+
+
+def _coder(definition: str) -> WordSpans:
+    if definition not in _KEPT:
+        _KEPT.clear()
+        _KEPT[definition] = WordSpans(definition)
+    return _KEPT[definition]
+
+
+def _counted(rows: pa.Array, definition: str, rule: str, word_by_word: bool) -> pa.Array:
+    coder, spans, at = _coder(definition), rows.field("sections"), 0
+    borders = spans.offsets.to_numpy()
+    pairs = np.stack([spans.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1)], 1)
+    totals, sizes, number, bounds, counts = [], [], [], [], []
+    for texts in text_slices(rows.field("text")):
+        tokens = coder.spans(texts) if word_by_word else coder.whole_spans([t or "" for t in texts])
+        for k, found in enumerate(tokens, at):
+            own = pairs[borders[k]:borders[k + 1]]
+            shares = allocate(found[:, 0], found[:, 1], own, rule)
+            rest = int(shares[-1] > 0)
+            totals.append(len(found))
+            sizes.append(len(own) + rest)
+            number.append(np.concatenate([np.arange(len(own)), np.full(rest, -1)]))
+            bounds.append(np.concatenate([own, np.full((rest, 2), -1)]))
+            counts.append(shares[:len(own) + rest])
+        at += len(texts)
+    join = lambda parts, empty: np.concatenate(parts) if parts else empty
+    number, counts = join(number, np.empty(0)).astype(np.int32), join(counts, np.empty(0))
+    bounds = join(bounds, np.empty((0, 2))).astype(np.int32)
+    none = number < 0
+    entries = pa.StructArray.from_arrays(
+        [pa.array(number), pa.array(bounds[:, 0], mask=none), pa.array(bounds[:, 1], mask=none), pa.array(counts)],
+        ["section", "start", "stop", "tokens"])
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.StructArray.from_arrays([pa.array(totals, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), entries)],
+                                      ["n_tokens", "section_tokens"])
+
+
 def section_tokens(docs: DataFrame, tokenizer: str, sections: Column, text: str = "text",
-                   rule: str = "most") -> DataFrame:
+                   rule: str = "most", word_by_word: bool = False) -> DataFrame:
     """``docs`` with ``n_tokens`` and ``section_tokens``, an array of (section, start, stop, tokens).
 
     ``tokenizer`` is the path of a tokenizers JSON file, read on the driver.
+    ``word_by_word`` is for tokenizers that drop white space and never join
+    across it: the spans are the same, but each distinct word is encoded once.
     """
     if rule not in RULES:
         raise ValueError(f"rule is one of {RULES}")
     spark = session_of(docs)
     with open(tokenizer, encoding="utf-8") as f:
         definition = spark.sparkContext.broadcast(f.read())
-    entry = pa.struct([("section", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("tokens", pa.float64())])
-
-    def count(rows: pa.Array) -> pa.Array:
-        import os
-
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        coder = Tokenizer.from_str(definition.value)
-        coder.encode_special_tokens = True
-        texts, spans = rows.field("text"), rows.field("sections")
-        totals, out, at = [], [], 0
-        while at < len(texts):
-            part, held = [], 0
-            while at + len(part) < len(texts) and held < CALL_CHARS:
-                part.append(texts[at + len(part)].as_py() or "")
-                held += len(part[-1])
-            for k, e in enumerate(coder.encode_batch(part, add_special_tokens=False)):
-                own = np.array([(s["start"], s["stop"]) for s in spans[at + k].as_py() or []], np.int64).reshape(-1, 2)
-                offsets = np.array(e.offsets, np.int64).reshape(-1, 2)
-                shares = allocate(offsets[:, 0], offsets[:, 1], own, rule).tolist()
-                rest = [{"section": -1, "start": None, "stop": None, "tokens": shares[-1]}] if shares[-1] else []
-                totals.append(len(offsets))
-                out.append([{"section": i, "start": int(a), "stop": int(b), "tokens": s}
-                            for i, ((a, b), s) in enumerate(zip(own, shares))] + rest)
-            at += len(part)
-        return pa.StructArray.from_arrays([pa.array(totals, pa.int64()), pa.array(out, pa.list_(entry))],
-                                          ["n_tokens", "section_tokens"])
-
-    udf = F.arrow_udf(count, "struct<n_tokens: bigint, section_tokens: "
-                             "array<struct<section: int, start: int, stop: int, tokens: double>>>")
+    shape = ("struct<n_tokens: bigint, section_tokens: "
+             "array<struct<section: int, start: int, stop: int, tokens: double>>>")
+    udf = F.arrow_udf(lambda rows: _counted(rows, definition.value, rule, word_by_word), shape)
     own = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_tokens", "section_tokens")]
-    return (docs.withColumn("section_tokens", udf(F.struct(F.col(f"`{text}`").alias("text"), sections.alias("sections"))))
+    given = F.coalesce(sections, F.array().cast(SECTION))
+    return (docs.withColumn("section_tokens", udf(F.struct(F.col(f"`{text}`").alias("text"), given.alias("sections"))))
             .select(*own, F.col("section_tokens.n_tokens").alias("n_tokens"),
                     F.col("section_tokens.section_tokens").alias("section_tokens")))
