@@ -2,10 +2,9 @@
 
 Suggestions come from the profile: one per feature with missing cells, one
 per feature with outliers, one per strongly correlated pair.  Applying a
-selection always starts from the raw cohort: the IDs to remove are the union
-of the missing-cell rows and the outlier rows of the selected suggestions
-(distinct, NULL dropped), removed with a left anti join (Spark picks a
-broadcast or a shuffle join from the real size); the selected correlation
+selection always starts from the raw cohort: a row goes if one of its cells is
+missing or outside the fences of a selected suggestion (rows without an ID
+stay), which is one filter without a shuffle; the selected correlation
 suggestions drop their later column.
 
 Fixed texts and formats:
@@ -24,7 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..cohort import Cohort
@@ -106,14 +105,30 @@ def filter_missing(cohort: Cohort, variables: DataFrame) -> DataFrame:
             .select("variable", "id"))
 
 
+def removal_condition(cohort: Cohort, selected: DataFrame) -> Column:
+    """True for the rows that the selected missing and outlier suggestions remove.
+
+    Read off the row itself: the selection and the fences (at most one row per
+    column each) are collected, so no row data is shuffled.
+    """
+    kinds = ("missing", "outlier")
+    chosen = {(r["type"], r["variable"]) for r in
+              selected.where(F.col("type").isin(*kinds)).select("type", "variable").distinct().collect()}
+    condition = F.lit(False)
+    for name in sorted(v for t, v in chosen if t == "missing"):
+        condition = condition | P.cell(cohort, name).isNull()
+    if any(t == "outlier" for t, _ in chosen):
+        for r in P.iqr_fences(cohort).collect():
+            if ("outlier", r["variable"]) in chosen:
+                x = P.cell(cohort, r["variable"])
+                condition = condition | F.coalesce(
+                    (x < F.lit(r["lower_bound"])) | (x > F.lit(r["upper_bound"])), F.lit(False))
+    return condition & qcol(cohort.id_col).isNotNull()
+
+
 def removed_ids(cohort: Cohort, selected: DataFrame) -> DataFrame:
-    """Distinct IDs removed by the selected missing and outlier suggestions (NULL dropped)."""
-    miss_vars = selected.where(F.col("type") == "missing").select("variable")
-    out_vars = selected.where(F.col("type") == "outlier").select(F.col("variable").alias("_ov"))
-    missing_rows = filter_missing(cohort, miss_vars).select("id")
-    outlier_rows = (P.outlier_ids(cohort).join(F.broadcast(out_vars), F.col("variable") == F.col("_ov"))
-                    .select("id"))
-    return missing_rows.union(outlier_rows).where(F.col("id").isNotNull()).distinct()
+    """IDs removed by the selected missing and outlier suggestions (NULL dropped; IDs are unique)."""
+    return cohort.df.where(removal_condition(cohort, selected)).select(qcol(cohort.id_col).alias("id"))
 
 
 def removed_columns(selected: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -130,9 +145,10 @@ def anti_join_removed(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
 
 def apply_cleaning(raw: Cohort, selected: DataFrame) -> tuple[Cohort, DataFrame, list[str]]:
     """(cleaned cohort, removed IDs, dropped columns).  Always starts from ``raw``."""
-    ids = removed_ids(raw, selected)
+    remove = removal_condition(raw, selected)
     drop = [r["column"] for r in removed_columns(selected, raw.df.columns).collect()]  # at most the column count
-    df = anti_join_removed(raw.df, raw.id_col, ids)
+    ids = raw.df.where(remove).select(qcol(raw.id_col).alias("id"))
+    df = raw.df.where(~remove)
     if drop:
         df = df.drop(*drop)
     feats = [c for c in df.columns if c not in (raw.id_col, raw.target_col)]

@@ -2,19 +2,20 @@
 
 Fold assignment is a deterministic shuffle: within each class, rows are
 ordered by ``md5('<seed>:<id>')`` (ties by ID) and dealt round robin to the k
-folds.  The row number inside a class comes from ``running_totals`` (range
-partitioned, no single-task window), so a class holding most of the rows is
-spread over all tasks.
+folds.  The row number inside a class is made of two parts: the rows of the
+class in lower buckets (a bucket is the first four hex digits of the hash; one
+table of at most 65,536 counts per class) and the row number inside the bucket.
+A class that holds most of the rows is thus spread over all tasks, and the only
+shuffle of whole rows is the one on (class, bucket).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .prefix import running_totals
-
 MAX_FOLDS = 10
+BUCKET_DIGITS = 4
 
 
 def fold_count(df: DataFrame, target_col: str, max_folds: int = MAX_FOLDS) -> DataFrame:
@@ -50,12 +51,18 @@ def stratified_folds(df: DataFrame, id_col: str, target_col: str, k: int, seed:
     starts at fold 0.
     """
     h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
-    keyed = df.withColumn("_h", h).withColumn("_one", F.lit(1).cast("bigint"))
-    if offset_classes:
-        ranked = running_totals(keyed, [], [target_col, "_h", id_col], ["_one"])
-    else:
-        ranked = running_totals(keyed, [target_col], ["_h", id_col], ["_one"], max_groups=2)
-    return ranked.withColumn(fold_col, (F.col("_one_before") % k).cast("int")).drop("_h", "_one", "_one_before")
+    bucket = F.conv(F.substring(h, 1, BUCKET_DIGITS), 16, 10).cast("int")
+    keyed = df.withColumn("_h", h).withColumn("_bucket", bucket)
+    counts = keyed.groupBy(F.col(target_col).alias("_class"), F.col("_bucket").alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    # at most classes x 16^BUCKET_DIGITS small rows: one window, then a broadcast
+    before = Window.orderBy("_class", "_b") if offset_classes else Window.partitionBy("_class").orderBy("_b")
+    offsets = counts.select("_class", "_b", F.coalesce(
+        F.sum("_n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(target_col, "_bucket").orderBy("_h", id_col)
+    same = keyed[target_col].eqNullSafe(offsets["_class"]) & (keyed["_bucket"].eqNullSafe(offsets["_b"]))
+    place = F.col("_before") + F.row_number().over(inside) - 1
+    return keyed.join(F.broadcast(offsets), same).withColumn(fold_col, (place % k).cast("int")).drop(
+        "_h", "_bucket", "_class", "_b", "_before")
 
 
 def fold_split(df: DataFrame, fold: int, fold_col: str = "fold") -> tuple[DataFrame, DataFrame]:

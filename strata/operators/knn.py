@@ -16,9 +16,9 @@ equi-join key instead of a range join):
    [u.q - r_q, u.q + r_q] (none when round one already covers the band);
 3. the k best over both rounds (distance, then reference ID) are exact.
 
-The top-k per query uses the salted two-stage ranking, so a query with a very
-large candidate band is still spread over many tasks.  Work is bounded by the
-band sizes, which the data decide; there is no cap on candidates.
+The top-k per query prunes to k rows in every map task, before the shuffle.
+Work is bounded by the band sizes, which the data decide; there is no cap on
+candidates.
 """
 
 from __future__ import annotations
@@ -35,16 +35,20 @@ from .topk import top_k_per_group
 
 TARGET_BUCKET_ROWS = 256
 MAX_BUCKETS = 100_000
+UNROLL_DIMENSIONS = 16
 
 
 def _dot(vec: F.Column, u: list[float]) -> F.Column:
-    """u . vec unrolled into plain arithmetic (stays inside whole-stage codegen)."""
-    return reduce(lambda acc, t: acc + t, [vec[i] * F.lit(float(x)) for i, x in enumerate(u)])
+    """u . vec."""
+    return F.aggregate(F.zip_with(vec, F.array(*[F.lit(float(x)) for x in u]), lambda a, b: a * b), F.lit(0.0),
+                       lambda acc, t: acc + t)
 
 
 def _dist(a: F.Column, b: F.Column, dim: int) -> F.Column:
-    """Euclidean distance unrolled over the known dimension (no interpreted higher-order function)."""
-    return F.sqrt(reduce(lambda acc, t: acc + t, [(a[i] - b[i]) * (a[i] - b[i]) for i in range(dim)]))
+    """Euclidean distance; unrolled for few dimensions only, where the generated code stays small."""
+    if dim <= UNROLL_DIMENSIONS:
+        return F.sqrt(reduce(lambda acc, t: acc + t, [(a[i] - b[i]) * (a[i] - b[i]) for i in range(dim)]))
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, t: acc + t))
 
 
 def principal_direction(ref: DataFrame, vec_col: str = "vec") -> list[float]:
@@ -144,7 +148,10 @@ def knn_join(queries: DataFrame, ref: DataFrame, k: int, exclude_self: bool = Fa
 
 def knn_scores(queries: DataFrame, ref: DataFrame, k: int, weights: str = "uniform",
                label_col: str = "target") -> DataFrame:
-    """(id, score, prediction): share (or 1/d-weighted share) of positive labels among the k nearest."""
+    """(id, score, prediction): share (or 1/d-weighted share) of positive labels among the k nearest.
+
+    The ids of ``ref`` have to be unique (repeated training rows get a key of their own).
+    """
     nn = knn_join(queries, ref, k).join(ref.select(F.col("id").alias("rid"), F.col(label_col).alias("_y")), "rid")
     if weights == "distance":
         has_zero = F.max((F.col("dist") == 0).cast("int")).over(Window.partitionBy("qid"))  # k rows per query

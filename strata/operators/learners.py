@@ -19,7 +19,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LOG_2PI = math.log(2 * math.pi)
@@ -33,17 +33,15 @@ def wide_to_long(df: DataFrame, id_col: str, cols: Sequence[str], keep: Sequence
 
 def gaussian_nb_fit(train: DataFrame, var_smoothing: float = 1e-9) -> DataFrame:
     """(target, d, mean, var, log_prior) from long training rows (id, target, d, value)."""
+    # every row has one cell per feature: the cells of a feature count the rows, repeated rows included
     per = train.groupBy("target", "d").agg(
-        F.avg("value").alias("mean"), F.var_pop("value").alias("var0"))
+        F.avg("value").alias("mean"), F.var_pop("value").alias("var0"), F.count(F.lit(1)).alias("n_c"))
     # two scalars from one-row aggregates: the largest feature variance and the row count
     max_var = train.groupBy("d").agg(F.var_pop("value").alias("v")).agg(F.max("v").alias("m")).first()["m"]
     eps = float(var_smoothing) * float(max_var or 0.0)
-    counts = train.select("id", "target").distinct().groupBy("target").agg(F.count(F.lit(1)).alias("n_c"))
-    n = train.select("id").distinct().count()
-    prior = counts.select("target", F.log(F.col("n_c") / F.lit(float(n))).alias("log_prior"))
-    # at most two classes: broadcast
-    return (per.join(F.broadcast(prior), "target")
-            .select("target", "d", "mean", (F.col("var0") + F.lit(eps)).alias("var"), "log_prior"))
+    n = F.sum("n_c").over(Window.partitionBy("d"))  # one row per class
+    return per.select("target", "d", "mean", (F.col("var0") + F.lit(eps)).alias("var"),
+                      F.log(F.col("n_c") / n).alias("log_prior"))
 
 
 def gaussian_nb_score(test: DataFrame, params: DataFrame) -> DataFrame:

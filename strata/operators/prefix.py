@@ -2,18 +2,17 @@
 
 ``Window.orderBy`` without ``partitionBy`` (or partitioned by a key that holds
 a third of the rows) pulls everything into one task.  This module computes
-exclusive running sums in two levels instead:
+exclusive running sums in two levels, in DataFrame operations only:
 
-1. range-partition on (group, order) with an explicit partition count and sort
-   within partitions;
-2. one Arrow batch pass per partition computes the local exclusive sums and
-   tags rows with the partition index; the result is checkpointed to the
-   shared checkpoint folder so that the partition numbering is fixed even if
-   executors are lost and tasks re-run;
-3. per (partition, group) totals form a table of at most
-   ``partitions + groups`` rows; a window over that small table gives the
-   offset of every partition, which is joined back.
+1. range-partition on (group, order) and write the rows with the number of
+   their range to the shared scratch folder: the ranges are fixed from then on,
+   even if executors are lost and tasks re-run;
+2. a window over each (range, group), whose size the ranges bound, gives the
+   sums inside it;
+3. the totals per (range, group), at most ``ranges + groups`` rows, are summed
+   by a second window and joined back as offsets.
 
+No value passes through Python, so every column keeps its type and its bits.
 Callers aggregate to unique (group, order) keys first (value counts, score
 counts) or add a unique tie-breaker, so equal keys never split a hot value
 across tasks and the order is total.
@@ -23,34 +22,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import checkpoint_root, num_partitions
+from ..session import num_partitions, scratch_path
 
-# The offsets table has one row per (range partition, group); above this many
-# rows it is joined with a shuffle instead of being broadcast.
+# The offsets table has one row per (range, group); above this many rows it is
+# joined with a shuffle instead of being broadcast (the result is the same).
 BROADCAST_OFFSET_ROWS = 200_000
 
 
-def _key_change(frame: pd.DataFrame) -> np.ndarray:
-    """True where a row starts a new group key (nulls compare equal)."""
-    if frame.shape[1] == 0:
-        out = np.zeros(len(frame), dtype=bool)
-        if len(frame):
-            out[0] = True
-        return out
-    prev = frame.shift()
-    differs = (frame != prev) & ~(frame.isna() & prev.isna())
-    out = differs.any(axis=1).to_numpy()
-    if len(out):
-        out[0] = True
-    return out
-
-
 def running_totals(
     df: DataFrame,
     group_cols: Sequence[str],
@@ -67,78 +49,34 @@ def running_totals(
     classes); with it the size of the offsets table is known without a job.
     """
     spark = df.sparkSession
-    checkpoint_root(spark)
-    group_cols = list(group_cols)
+    groups = list(group_cols)
     orders = [(o, False) if isinstance(o, str) else (o[0], bool(o[1])) for o in order_cols]
-    sort_exprs = [F.col(g).asc_nulls_first() for g in group_cols] + [
-        (F.col(c).desc_nulls_last() if d else F.col(c).asc_nulls_first()) for c, d in orders
-    ]
-    # an explicit count (the cluster's shuffle partitions): AQE leaves it alone, so the local pass
-    # keeps its parallelism; letting AQE merge ranges put medium inputs into one task (measured slower)
-    ranged = df.repartitionByRange(num_partitions(spark), *sort_exprs).sortWithinPartitions(*sort_exprs)
-
-    fields = {f.name: f for f in df.schema.fields}
-    integral = {w: isinstance(fields[w].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
-                for w in weight_cols}
-    out_fields = list(df.schema.fields) + [T.StructField("_pid", T.IntegerType(), False)] + [
-        T.StructField(f"{w}{suffix}", T.LongType() if integral[w] else T.DoubleType(), False)
-        for w in weight_cols
-    ]
-    out_schema = T.StructType(out_fields)
-    weights = list(weight_cols)
-
-    def local_sums(batches):
-        from pyspark import TaskContext
-
-        pid = TaskContext.get().partitionId()
-        carry_key = None
-        carry = None
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            w = pdf[weights].fillna(0)
-            w = w.astype("int64") if all(integral.values()) else w.astype("float64")
-            keys = pdf[group_cols]
-            starts = _key_change(keys)
-            gid = np.cumsum(starts)
-            incl = w.groupby(gid).cumsum()
-            excl = incl - w
-            if carry is not None and group_cols:
-                first_key = tuple(keys.iloc[0].tolist())
-                same = first_key == carry_key
-            else:
-                same = carry is not None
-            if same:
-                first_group = gid == gid[0]
-                excl.loc[first_group] = excl.loc[first_group] + carry
-            last = len(pdf) - 1
-            carry_key = tuple(keys.iloc[last].tolist()) if group_cols else ()
-            carry = (excl.iloc[last] + w.iloc[last]).to_numpy()
-            out = pdf.copy()
-            out["_pid"] = np.int32(pid)
-            for i, name in enumerate(weights):
-                col = excl[name]
-                out[f"{name}{suffix}"] = col.astype("int64") if integral[name] else col.astype("float64")
-            yield out
-
-    local = ranged.mapInPandas(local_sums, out_schema).checkpoint(eager=True)
-
-    totals = local.groupBy("_pid", *group_cols).agg(*[F.sum(w).alias(f"_tot_{w}") for w in weights])
-    win = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    inside = [F.col(c).desc_nulls_last() if d else F.col(c).asc_nulls_first() for c, d in orders]
+    n_ranges = num_partitions(spark)
+    ranged = df.repartitionByRange(n_ranges, *[F.col(g).asc_nulls_first() for g in groups], *inside)
+    path = scratch_path(spark, "ranges")
+    ranged.withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    rows = spark.read.parquet(path)
+
+    kind = {w: "bigint" if isinstance(df.schema[w].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+            else "double" for w in weight_cols}
+    amount = {w: F.coalesce(F.col(w).cast(kind[w]), F.lit(0)) for w in weight_cols}
+    zero = {w: F.lit(0).cast(kind[w]) for w in weight_cols}
+    local = Window.partitionBy("_range", *groups).orderBy(*inside).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("_range", *groups).agg(*[F.sum(amount[w]).alias(f"_sum_{w}") for w in weight_cols])
     offsets = totals.select(
-        F.col("_pid").alias("_o_pid"), *[F.col(g).alias(f"_o_{g}") for g in group_cols],
-        *[F.coalesce(F.sum(f"_tot_{w}").over(win), F.lit(0)).alias(f"_off_{w}") for w in weights],
-    )
-    if max_groups is not None or not group_cols:
-        # one row per (partition, group); a range partition spans consecutive groups
-        n_offsets = num_partitions(spark) + (max_groups or 1)
+        F.col("_range").alias("_o_range"), *[F.col(g).alias(f"_o_{g}") for g in groups],
+        *[F.coalesce(F.sum(f"_sum_{w}").over(earlier), zero[w]).alias(f"_off_{w}") for w in weight_cols])
+    if max_groups is not None or not groups:
+        n_offsets = n_ranges + (max_groups or 1)  # a range spans consecutive groups
     else:
         n_offsets = offsets.count()
     right = F.broadcast(offsets) if n_offsets <= BROADCAST_OFFSET_ROWS else offsets
-    cond = [F.col("_pid") == F.col("_o_pid")] + [F.col(g).eqNullSafe(F.col(f"_o_{g}")) for g in group_cols]
-    joined = local.join(right, cond, "left")
-    return joined.select(
+    same = F.col("_range") == F.col("_o_range")
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"_o_{g}"))
+    summed = rows.select("*", *[F.coalesce(F.sum(amount[w]).over(local), zero[w]).alias(f"_in_{w}") for w in weight_cols])
+    return summed.join(right, same, "left").select(
         *[F.col(f"`{c}`") for c in df.columns],
-        *[(F.col(f"{w}{suffix}") + F.coalesce(F.col(f"_off_{w}"), F.lit(0))).alias(f"{w}{suffix}")
-          for w in weights],
-    )
+        *[(F.col(f"_in_{w}") + F.coalesce(F.col(f"_off_{w}"), zero[w])).alias(f"{w}{suffix}") for w in weight_cols])

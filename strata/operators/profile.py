@@ -21,7 +21,7 @@ Fixed values that results depend on:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,6 +59,11 @@ def long_values(cohort: Cohort, include_target: bool = False) -> DataFrame:
     return df.select(qcol(cohort.id_col).alias("id"), F.inline(cells))
 
 
+def cell(cohort: Cohort, name: str) -> Column:
+    """A feature cell as ``long_values`` shows it."""
+    return as_double(qcol(name), _dtype(cohort.df, name))
+
+
 def value_counts(cohort: Cohort, include_target: bool = False) -> DataFrame:
     """(ordinal, variable, value, cnt, first_id); value NULL counts the missing cells."""
     return (long_values(cohort, include_target)

@@ -51,7 +51,9 @@ from .prep import FeatureTypes, Preparation, split_feature_types
 TUNING_SEED = 42
 EVALUATION_SEED = 137
 MAX_SPARK_DEPTH = 30
-RFF_FEATURES = 64
+#: Default settings of the SVM fit; a request's ``rff_features`` and ``max_iter`` replace them.
+RFF_FEATURES = 256
+SVM_MAX_ITER = 100
 
 
 # ---------------------------------------------------------------- fold-aware preparation
@@ -136,6 +138,16 @@ class Learner:
     name: str
     fit_score: Callable  # (train, test, cols, params, n_train) -> DataFrame(id, score, prediction)
     fixed: dict = field(default_factory=dict)
+    unused: tuple[str, ...] = ()  # grid keys without a Spark counterpart: not fitted apart, not reported
+
+    def distinct(self, candidates: Sequence[dict]) -> list[dict]:
+        """Candidates without the unused keys, each different fit once, in grid order."""
+        out: list[dict] = []
+        for params in candidates:
+            used = {key: v for key, v in params.items() if key not in self.unused}
+            if used not in out:
+                out.append(used)
+        return out
 
 
 def _assembled(df: DataFrame, cols) -> DataFrame:
@@ -214,12 +226,17 @@ def _rff(df: DataFrame, cols, gamma: float, dim: int, seed: int) -> DataFrame:
 def _svm_fit_score(train, test, cols, params, n_train):
     gamma = float(params.get("gamma", 0.1))
     c = float(params.get("C", 1.0))
-    names = [f"_rff{i}" for i in range(RFF_FEATURES)]
-    tr = _assembled(_rff(train, cols, gamma, RFF_FEATURES, TUNING_SEED), names).withColumnRenamed("target", "label")
-    te = _assembled(_rff(test, cols, gamma, RFF_FEATURES, TUNING_SEED), names)
-    # hinge loss converges slowly under OWL-QN: 30 iterations gave fold AUC 0.9473 against 0.9476 after
-    # 100 on ord/target_signal at sf0.01, in a third of the time
-    svm = LinearSVC(regParam=1.0 / (c * n_train), maxIter=30, tol=1e-4).fit(tr)
+    kernel = str(params.get("kernel", "rbf"))
+    if kernel == "linear":
+        tr, te = _assembled(train, cols).withColumnRenamed("target", "label"), _assembled(test, cols)
+    elif kernel == "rbf":
+        dim = int(params.get("rff_features", RFF_FEATURES))
+        names = [f"_rff{i}" for i in range(dim)]
+        tr = _assembled(_rff(train, cols, gamma, dim, TUNING_SEED), names).withColumnRenamed("target", "label")
+        te = _assembled(_rff(test, cols, gamma, dim, TUNING_SEED), names)
+    else:
+        raise ValueError(f"unsupported kernel {kernel!r}; use rbf or linear")
+    svm = LinearSVC(regParam=1.0 / (c * n_train), maxIter=int(params.get("max_iter", SVM_MAX_ITER)), tol=1e-4).fit(tr)
     margin = vector_to_array("rawPrediction")[1]
     cal_in = svm.transform(tr).select(margin.alias("m0"), "label")
     cal = LogisticRegression(regParam=0.0, maxIter=100).fit(
@@ -233,7 +250,8 @@ def _svm_fit_score(train, test, cols, params, n_train):
 
 def _knn_fit_score(train, test, cols, params, n_train):
     vec = F.array(*[qcol(c).cast("double") for c in cols]).alias("vec")
-    ref = train.select("id", vec, "target")
+    # a drawn row is a row of its own: (draw, id) is unique where the id is not
+    ref = train.select(F.col("row_key").alias("id"), vec, "target")
     q = test.select("id", vec)
     return knn_scores(q, ref, int(params.get("n_neighbors", 5)), str(params.get("weights", "uniform"))), None
 
@@ -247,11 +265,12 @@ def _nb_fit_score(train, test, cols, params, n_train):
 LEARNERS: dict[str, Learner] = {
     G.LOGISTIC: Learner(G.LOGISTIC, _spark_ml(_logistic), {"penalty": "l2", "solver": "lbfgs"}),
     G.ELASTIC_NET: Learner(G.ELASTIC_NET, _spark_ml(_logistic), {"penalty": "elasticnet", "solver": "saga"}),
-    G.RANDOM_FOREST: Learner(G.RANDOM_FOREST, _spark_ml(_forest)),
+    G.RANDOM_FOREST: Learner(G.RANDOM_FOREST, _spark_ml(_forest), unused=("min_samples_split",)),
     G.GRADIENT_BOOSTING: Learner(G.GRADIENT_BOOSTING, _spark_ml(_boosting), {"loss": "log_loss"}),
     G.XGBOOST: Learner(G.XGBOOST, _spark_ml(_xgb_preset), {"implementation": "GBTClassifier preset"}),
     G.LIGHTGBM: Learner(G.LIGHTGBM, _spark_ml(_lgbm_preset), {"implementation": "GBTClassifier preset"}),
-    G.CATBOOST: Learner(G.CATBOOST, _spark_ml(_catboost_preset), {"implementation": "GBTClassifier preset"}),
+    G.CATBOOST: Learner(G.CATBOOST, _spark_ml(_catboost_preset), {"implementation": "GBTClassifier preset"},
+                        ("l2_leaf_reg",)),
     G.SVM: Learner(G.SVM, _svm_fit_score, {"implementation": "random Fourier features + LinearSVC (approximation)"}),
     G.KNN: Learner(G.KNN, _knn_fit_score, {"metric": "minkowski"}),
     G.NAIVE_BAYES: Learner(G.NAIVE_BAYES, _nb_fit_score),
@@ -291,8 +310,15 @@ def _fold_data(plan: FoldPlan, f: int, balance: str | None, strategy: str = "med
     test = prep.transform(base.where(F.col("fold") == f), "id", ["target"])
     if balance:
         tc = Cohort(train, "id", "target", tuple(cols))
-        train = (B.random_oversample(tc) if balance == "oversample" else B.smote(tc, cols)).select(
-            "id", "target", *cols)
+        drawn = B.random_oversample(tc) if balance == "oversample" else B.smote(tc, cols)
+        base_id = F.coalesce("id", "base_id") if "base_id" in drawn.columns else F.col("id")
+        drawn = drawn.select("id", "target", *[qcol(c) for c in cols], F.struct("draw", base_id.alias("id")).alias("row_key"))
+        # every candidate reads the balanced rows: written once, not drawn again for each
+        path = scratch_path(c.df.sparkSession, "balanced")
+        drawn.write.parquet(path)
+        train = c.df.sparkSession.read.parquet(path)
+    else:
+        train = train.withColumn("row_key", F.struct(F.lit(-1).cast("bigint").alias("draw"), F.col("id").alias("id")))
     return train, test, cols
 
 
@@ -375,7 +401,7 @@ def train_model(cohort: Cohort | SearchContext, model: str, mode: str = "light",
     ctx = cohort if isinstance(cohort, SearchContext) else SearchContext(cohort, k)
     learner = LEARNERS[model]
     grid = G.select_grid(model, mode, custom, ctx.n_rows, svm_flexibility)
-    candidates = G.expand_grid(grid)
+    candidates = learner.distinct(G.expand_grid(grid))
     spark = ctx.cohort.df.sparkSession
     if len(candidates) > 1:
         tuned = _run(ctx.plan(TUNING_SEED), learner, candidates, balance, parallelism, lambda ci: str(ci))

@@ -1,10 +1,9 @@
-"""Top-k rows per group without gathering a hot group into one task.
+"""Top-k rows per group.
 
-Stage one ranks inside (group, salt) where the salt is a hash of the row's
-order key spread over many buckets, keeping at most k rows per bucket; stage
-two ranks the small survivor set (k x buckets rows per group).  The result is
-exactly the k first rows per group.  Without groups Spark's own
-``orderBy().limit(k)`` (a per-partition top-k followed by a merge) is used.
+``row_number() <= k`` over the group: Spark plans a group limit before the
+shuffle, so every map task sends at most k rows of a group, however large the
+group is.  Without groups ``orderBy().limit(k)`` (a per-partition top-k followed
+by a merge) is used.
 """
 
 from __future__ import annotations
@@ -14,19 +13,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import num_partitions
-
 
 def top_k_per_group(df: DataFrame, group_cols: Sequence[str], order: Sequence[Column], k: int,
-                    rank_col: str = "rank", salt_buckets: int | None = None) -> DataFrame:
-    group_cols = list(group_cols)
-    if not group_cols:
+                    rank_col: str = "rank") -> DataFrame:
+    groups = list(group_cols)
+    if not groups:
         ranked = df.orderBy(*order).limit(k)
         return ranked.withColumn(rank_col, F.row_number().over(Window.orderBy(*order)).cast("int"))
-    buckets = salt_buckets or max(16, 4 * num_partitions(df.sparkSession))
-    salt = F.pmod(F.xxhash64(*[c for c in df.columns if c not in group_cols]), F.lit(buckets))
-    w1 = Window.partitionBy(*group_cols, "_salt").orderBy(*order)
-    stage1 = df.withColumn("_salt", salt).withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= k)
-    w2 = Window.partitionBy(*group_cols).orderBy(*order)
-    return (stage1.withColumn(rank_col, F.row_number().over(w2).cast("int"))
-            .where(F.col(rank_col) <= k).drop("_salt", "_r1"))
+    place = F.row_number().over(Window.partitionBy(*groups).orderBy(*order))
+    return df.withColumn(rank_col, place).where(F.col(rank_col) <= k).withColumn(rank_col, F.col(rank_col).cast("int"))

@@ -2,8 +2,9 @@
 
 ``read_csv`` reads every column as text (no sampling pass), turns the pandas
 default missing-value tokens into NULL and then infers each column's type in
-one aggregation pass: BIGINT when every present value is an integer, DOUBLE
-when every present value is a number, text otherwise.
+one aggregation pass: BIGINT when every present value is an integer that fits,
+DECIMAL(38, 0) for longer integers, text for integers of more than 38 digits,
+DOUBLE when every present value is a number, text otherwise.
 
 Fixed values: the missing-value tokens
     '', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan',
@@ -22,7 +23,7 @@ from .tables import reject_format
 NA_TOKENS = ('', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan',
              '1.#IND', '1.#QNAN', '<NA>', 'N/A', 'NA', 'NULL', 'NaN', 'None', 'n/a',
              'nan', 'null')
-INTEGER_TEXT = r"^[+-]?\d{1,18}$"
+INTEGER_TEXT = r"^[+-]?\d+$"
 
 
 def _na(c):
@@ -42,12 +43,15 @@ def infer_types(df: DataFrame) -> DataFrame:
         t = F.trim(qcol(c))
         aggs.append(F.count_if(qcol(c).isNotNull() & ~t.rlike(INTEGER_TEXT)).alias(f"ni{i}"))
         aggs.append(F.count_if(qcol(c).isNotNull() & ~F.lower(t).rlike(NUMERIC_TEXT)).alias(f"nn{i}"))
+        aggs.append(F.count_if(qcol(c).isNotNull() & t.try_cast("bigint").isNull()).alias(f"nb{i}"))
+        aggs.append(F.count_if(qcol(c).isNotNull() & t.try_cast("decimal(38,0)").isNull()).alias(f"nd{i}"))
     row = df.agg(*aggs).first()  # one row of per-column counts
     cols = []
     for i, c in enumerate(df.columns):
         t = F.trim(qcol(c))
         if row[f"ni{i}"] == 0:
-            cols.append(t.try_cast("bigint").alias(c))
+            kind = "bigint" if row[f"nb{i}"] == 0 else "decimal(38,0)" if row[f"nd{i}"] == 0 else "string"
+            cols.append(t.try_cast(kind).alias(c))
         elif row[f"nn{i}"] == 0:
             cols.append(F.nanvl(t.try_cast("double"), F.lit(None).cast("double")).alias(c))
         else:
