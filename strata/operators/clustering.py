@@ -128,3 +128,14 @@ def cluster_members(assignments: DataFrame) -> DataFrame:
 def clusters_csv_rows(assignments: DataFrame) -> DataFrame:
     """Rows of the cluster export: Cluster, ID as text."""
     return assignments.select(F.col("cluster").cast("string").alias("Cluster"), F.col("id").cast("string").alias("ID"))
+
+
+def cluster_request(cohort: Cohort, parallelism: int = 4, max_k: int = MAX_ELBOW_K):
+    """K-Means as a result of a training request: elbow, suggested k, assignments."""
+    from .grids import KMEANS
+    from .search import ModelResult
+
+    elbow = kmeans_elbow(cohort, max_k, parallelism=parallelism)
+    k = suggest_k(elbow).first()["suggested_k"]
+    fit = kmeans(cohort, k, parallelism=parallelism)
+    return ModelResult(KMEANS, {"n_clusters": fit.k}, {"n_clusters": fit.k, "n_init": N_INIT}, fit.assignments, elbow)

@@ -437,31 +437,137 @@ def feature_importance(cohort: Cohort, params: dict, model: str = G.RANDOM_FORES
                                  "pos int, feature string, importance double")
 
 
-def stack_scores(base_scores: Sequence[DataFrame], names: Sequence[str], C: float = 1.0) -> DataFrame:
-    """Stacking: a logistic meta-model on the bases' positive-class scores.
+STACKING_FOLDS = 5
 
-    The meta-features of a row are the bases' out-of-fold scores; for each
-    evaluation fold the meta-model is fitted on the other folds' rows and
-    scores the fold's rows (cross-fitting on the same folds).
-    """
+
+def _meta_fit_score(train: DataFrame, test: DataFrame, cols: Sequence[str], c: float) -> DataFrame:
+    """Logistic meta-model on base scores: (id, score, prediction) of ``test``."""
+    n = train.count()
+    model = LogisticRegression(regParam=1.0 / (c * n), standardization=False).fit(_assembled(train, cols))
+    out = model.transform(_assembled(test, cols))
+    return out.select("id", vector_to_array("probability")[1].alias("score"), F.col("prediction").cast("int").alias("prediction"))
+
+
+def _wide_scores(scores: Sequence[DataFrame]) -> DataFrame:
+    """One row per id: label, fold and the score of every base (b0, b1, ...)."""
     wide = None
-    for i, (s, n) in enumerate(zip(base_scores, names)):
-        part = s.where(F.col("model") == n).select("fold", "id", "label", F.col("score").alias(f"b{i}"))
+    for i, s in enumerate(scores):
+        part = s.select("fold", "id", "label", F.col("score").alias(f"b{i}"))
         wide = part if wide is None else wide.join(part.drop("label", "fold"), "id")
-    cols = [f"b{i}" for i in range(len(names))]
-    wide = wide.checkpoint(eager=True)
-    folds = sorted(r["fold"] for r in wide.select("fold").distinct().collect())  # at most ten
-    parts = []
-    for f in folds:
-        tr = _assembled(wide.where(F.col("fold") != f), cols).withColumnRenamed("label", "target")
-        n = tr.count()
-        model = LogisticRegression(regParam=1.0 / (C * n), standardization=False).fit(
-            tr.withColumnRenamed("target", "label"))
-        te = model.transform(_assembled(wide.where(F.col("fold") == f), cols))
-        parts.append(te.select(F.lit(G.STACKING).alias("model"), F.col("fold").cast("int").alias("fold"), "id",
-                               "label", vector_to_array("probability")[1].alias("score"),
-                               F.col("prediction").cast("int").alias("prediction")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return wide
+
+
+def train_stacking(ctx: SearchContext, bases: Sequence[tuple[str, dict]], cs: Sequence[float] = (0.5, 1.0),
+                   balance: str | None = None, parallelism: int = 4) -> ModelResult:
+    """Stacking: a logistic meta-model on the positive-class scores of two or more trained bases.
+
+    For each evaluation fold, inner folds (``min(5, k)``) of its training rows
+    alone give the bases' out-of-fold scores; the meta-model's ``C`` is chosen by
+    cross-fitting on them, the meta-model is fitted on all of them, and it scores
+    the fold's rows from bases fitted on the training rows.  No row of a fold
+    reaches a fit that scores it.
+    """
+    if len(bases) < 2:
+        raise ValueError(STACKING_STATUS)
+    plan = ctx.plan(EVALUATION_SEED)
+    spark = plan.cohort.df.sparkSession
+    cols = [f"b{i}" for i in range(len(bases))]
+    inner_k = min(STACKING_FOLDS, ctx.k)
+    root = scratch_path(spark, "stacking")
+    votes: dict[float, float] = {}
+    cs = [float(c) for c in cs]
+    for f in range(plan.k):
+        sub = plan.cohort.with_df(plan.cohort.df.where(F.col("fold") != f).drop("fold"))
+        inner = fold_plan(sub, inner_k, TUNING_SEED, plan.types)
+        wide = _wide_scores([_run(inner, LEARNERS[name], [params], balance, parallelism, lambda ci, name=name: name)
+                             for name, params in bases]).checkpoint(eager=True)
+        tried = []
+        for g in range(inner_k if len(cs) > 1 else 0):
+            fit, held = wide.where(F.col("fold") != g), wide.where(F.col("fold") == g)
+            for c in cs:
+                scored = _meta_fit_score(fit, held, cols, c).join(held.select("id", "label"), "id")
+                tried.append(scored.select(F.lit(str(c)).alias("model"), F.lit(g).alias("fold"), "id", "label", "score",
+                                           "prediction"))
+        best = cs[0]
+        if tried:
+            both = tried[0]
+            for t in tried[1:]:
+                both = both.unionByName(t)
+            ranked = grid_rank(E.auc_exact(both).where(F.col("fold") != E.POOLED).select(
+                F.col("model").cast("double").alias("candidate"), "fold", "auc"))
+            best = ranked.where(F.col("rank") == 1).first()["candidate"]
+        votes[best] = votes.get(best, 0) + 1
+        train, test, features = _fold_data(plan, f, balance)
+        n_train = train.count()
+        parts = []
+        for name, params in bases:
+            learner_params = {key: v for key, v in params.items() if "__" not in key}
+            scores, _ = LEARNERS[name].fit_score(train, test, features, learner_params, n_train)
+            parts.append(scores.select("id", "score").join(test.select("id", F.col("target").alias("label")), "id")
+                         .withColumn("fold", F.lit(f).cast("int")))
+        outer = _wide_scores(parts)
+        out = _meta_fit_score(wide, outer, cols, best).join(outer.select("id", "label", "fold"), "id")
+        out.select(F.lit(G.STACKING).alias("model"), "fold", "id", "label", "score", "prediction").write.parquet(f"{root}/job={f}")
+    scores = spark.read.parquet(root).drop("job")
+    params = {"final_estimator__C": max(votes, key=lambda c: (votes[c], -c))}
+    names = ", ".join(n for n, _ in G.collect_bases([b for b, _ in bases], dict(bases)))
+    return ModelResult(G.STACKING, params, {**params, "estimators": names}, scores,
+                       spark.createDataFrame([(float(c), votes.get(c, 0)) for c in cs], "candidate double, folds_won int"))
+
+
+# ---------------------------------------------------------------- fixed values: status texts
+VOTING_STATUS = "Voting Classifier requires at least two trained supervised models."
+STACKING_STATUS = "Stacking Classifier requires at least two trained supervised models."
+# ---------------------------------------------------------------- end of fixed values
+
+
+def train_voting(ctx: SearchContext, results: Sequence[ModelResult]) -> ModelResult:
+    """Soft voting over the out-of-fold scores of two or more trained bases (hard where one has no scores)."""
+    if len(results) < 2:
+        raise ValueError(VOTING_STATUS)
+    names = [r.name for r in results]
+    rows = results[0].scores
+    for r in results[1:]:
+        rows = rows.unionByName(r.scores)
+    hard = rows.where(F.col("score").isNull()).limit(1).count() > 0
+    voted = L.voting_hard(rows, names) if hard else L.voting_soft(rows, names)
+    scores = voted.select(F.lit(G.VOTING).alias("model"), "fold", "id", "label", "score", "prediction")
+    kind = {"voting": "hard" if hard else "soft", "weights": None}
+    return ModelResult(G.VOTING, {"weights": None}, kind, scores, results[0].candidates.limit(0))
+
+
+def train_models(cohort: Cohort | SearchContext, requested: Sequence[str], mode: str = "light",
+                 custom: Mapping | None = None, balance: str | None = None, parallelism: int = 4,
+                 svm_flexibility: str = "Medium (Balanced)", k: int | None = None) -> list[ModelResult]:
+    """One result per different requested model, in request order, K-Means last.
+
+    Ensembles use the requested bases that could be trained.  A model that
+    cannot be trained keeps a result without scores, with ``status`` saying why.
+    """
+    ctx = cohort if isinstance(cohort, SearchContext) else SearchContext(cohort, k)
+    kinds = G.filter_models(list(dict.fromkeys(requested)))
+    spark = ctx.cohort.df.sparkSession
+    done: dict[str, ModelResult] = {}
+
+    def attempt(name: str, train: Callable[[], ModelResult]) -> None:
+        try:
+            done[name] = train()
+        except ValueError as problem:  # a request that cannot be met, not a failed job
+            empty = spark.createDataFrame([], "model string, fold int, id bigint, label int, score double, prediction int")
+            done[name] = ModelResult(name, {}, {}, empty, empty, status=str(problem))
+
+    for name in kinds["base"]:
+        attempt(name, lambda name=name: train_model(ctx, name, mode, custom, balance, parallelism, svm_flexibility))
+    bases = [r for r in done.values() if r.status is None]
+    for name in kinds["ensemble"]:
+        if name == G.VOTING:
+            attempt(name, lambda: train_voting(ctx, bases))
+        else:
+            cs = G.select_grid(name, mode, custom).get("final_estimator__C", [1.0])
+            attempt(name, lambda cs=cs: train_stacking(ctx, [(r.name, r.best_params) for r in bases], cs, balance, parallelism))
+    for name in kinds["clustering"]:
+        from .clustering import cluster_request
+
+        attempt(name, lambda name=name: cluster_request(ctx.cohort, parallelism))
+    wanted = [n for n in dict.fromkeys(requested) if n not in kinds["clustering"]] + kinds["clustering"]
+    return [done[n] for n in wanted]

@@ -149,10 +149,10 @@ def q_voting_cv(spark, sf):
 
 @register("stacking")
 def q_stacking(spark, sf):
-    """Logistic meta-model over base out-of-fold scores, cross-fitted on the evaluation folds."""
-    from ..operators.search import stack_scores
-    bases = [trained(spark, sf, m).scores for m in (G.LOGISTIC, G.NAIVE_BAYES)]
-    return finish(E.metrics_table(stack_scores(bases, [G.LOGISTIC, G.NAIVE_BAYES], C=1.0)))
+    """Logistic meta-model over base scores from inner folds, on three evaluation folds; C searched over 0.5 and 1."""
+    ctx = S.SearchContext(_signal(spark, sf), k=3)
+    bases = [(m, trained(spark, sf, m).best_params) for m in (G.LOGISTIC, G.NAIVE_BAYES)]
+    return finish(E.metrics_table(S.train_stacking(ctx, bases, (0.5, 1.0), parallelism=8).scores))
 
 
 @register("status_row")
