@@ -149,8 +149,8 @@ def q_voting_cv(spark, sf):
 
 @register("stacking")
 def q_stacking(spark, sf):
-    """Logistic meta-model over base scores from inner folds, on three evaluation folds; C searched over 0.5 and 1."""
-    ctx = S.SearchContext(_signal(spark, sf), k=3)
+    """Logistic meta-model over base scores from inner folds, on two evaluation folds; C searched over 0.5 and 1."""
+    ctx = S.SearchContext(_signal(spark, sf), k=2)
     bases = [(m, trained(spark, sf, m).best_params) for m in (G.LOGISTIC, G.NAIVE_BAYES)]
     return finish(E.metrics_table(S.train_stacking(ctx, bases, (0.5, 1.0), parallelism=8).scores))
 
