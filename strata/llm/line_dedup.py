@@ -87,16 +87,22 @@ def _count_gap(a: Column, b: Column) -> Column:
     return reduce(lambda x, y: x + y, gaps)
 
 
-def within_edits(left: Column, right: Column, edits: int) -> Column:
+def characters(line: Column) -> Column:
+    return F.filter(F.split(line, ""), lambda c: c != "")
+
+
+def within_edits(a: Column, b: Column, edits: int) -> Column:
     """Whether the edit distance of two lines is at most ``edits``: a banded bit-parallel automaton.
 
+    The lines come as arrays of characters, in columns of a table: an expression
+    would be evaluated again at every step.
+
     Register e (bits e*w .. e*w+w-1 of the state, w = 2*edits+1) has bit j set if
-    the first i characters of ``right`` are within e edits of the first
-    ``i + j - edits`` characters of ``left``.
+    the first i characters of ``b`` are within e edits of the first
+    ``i + j - edits`` characters of ``a``.
     """
     w = 2 * edits + 1
     full = (1 << w) - 1
-    a, b = F.split(left, ""), F.split(right, "")
     start = sum(sum(1 << (edits + p) for p in range(e + 1)) << (e * w) for e in range(edits + 1))
 
     def step(state: Column, i: Column) -> Column:
@@ -117,8 +123,8 @@ def within_edits(left: Column, right: Column, edits: int) -> Column:
             before, old = after, now
         return out
 
-    n, m = F.char_length(right), F.char_length(left)
-    # i runs over 0..n-1; an empty line on the right leaves the start state
+    n, m = F.size(b), F.size(a)
+    # i runs over 0..n-1; an empty line leaves the start state
     positions = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     end = F.aggregate(positions, F.lit(start).cast("bigint"), step)
     place = F.greatest(F.lit(0), F.lit(edits * w + edits) + m - n)
@@ -155,10 +161,11 @@ def near_lines(distinct: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
         F.least("i", "p").alias("a"), F.greatest("i", "p").alias("b")).distinct(), "line-pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = materialise(spark, flagged(distinct.select("h1", "h2", "line"), F.col("h1"), ids, "asked")
-                        .where("asked").drop("asked").join(ids, F.col("h1") == F.col("id"), "left_semi"), "line-texts")
-    side = lambda s: texts.select(*[F.col(c).alias(f"{s}_{c}") for c in ("h1", "h2", "line")])
+                        .where("asked").drop("asked").join(ids, F.col("h1") == F.col("id"), "left_semi")
+                        .select("h1", "h2", characters(F.col("line")).alias("chars")), "line-texts")
+    side = lambda s: texts.select(*[F.col(c).alias(f"{s}_{c}") for c in ("h1", "h2", "chars")])
     return (pairs.join(side("a"), F.col("a") == F.col("a_h1")).join(side("b"), F.col("b") == F.col("b_h1"))
-            .where(within_edits(F.col("a_line"), F.col("b_line"), edits)).select("a_h1", "a_h2", "b_h1", "b_h2"))
+            .where(within_edits(F.col("a_chars"), F.col("b_chars"), edits)).select("a_h1", "a_h2", "b_h1", "b_h2"))
 
 
 def line_verdicts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: int = EDITS,

@@ -296,7 +296,7 @@ def test_bit_parallel_edit_distance(spark, edits):
             b[k:k + rng.randint(0, 1)] = rng.choices("abé", k=rng.randint(0, 1))
         rows.append((a, "".join(b)))
     got = spark.createDataFrame(rows, "a string, b string").select(
-        "a", "b", line_dedup.within_edits(F.col("a"), F.col("b"), edits).alias("near")).collect()
+        "a", "b", line_dedup.within_edits(line_dedup.characters(F.col("a")), line_dedup.characters(F.col("b")), edits).alias("near")).collect()
     assert all(r["near"] == (_edits(r["a"], r["b"]) <= edits) for r in got)
 
 
