@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .files import NA_TOKENS, infer_types
+from ..session import ship_package
 
 NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main",
       "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships",
@@ -85,6 +86,7 @@ def first_sheet_cells(data: bytes):
 
 def read_workbooks(spark: SparkSession, folder: str) -> DataFrame:
     """Union of the first sheets of every .xlsx under ``folder``; header row = column names."""
+    ship_package(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(folder)
 
     def cells(batches):
@@ -175,5 +177,6 @@ def write_workbooks(df: DataFrame, folder: str) -> str:
                 fh.write(workbook_bytes(pdf, integral))
             yield pd.DataFrame({"path": [name], "rows": [len(pdf)]})
 
+    ship_package(df.sparkSession)
     df.mapInPandas(write, "path string, rows long").collect()  # one row per written file
     return folder
