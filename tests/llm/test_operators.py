@@ -411,3 +411,44 @@ def test_reseating_keeps_customers_and_follows_its_law():
     assert np.allclose(share, np.array([one, two, three]) / (one + two + three), atol=0.02)
     seats, tables = pitman_yor.reseat(np.array([5, 1]), np.array([1, 1]), np.array([-3, 4]), np.ones(2), np.ones(2), 0.5, 3, rng)
     assert [x.sum() for x in np.split(seats, np.cumsum(tables)[:-1])] == [2, 5]
+
+
+def test_a_sweep_reseats_every_customer():
+    rng = np.random.default_rng(5)
+    # exact draws against the law of the one-by-one moves, and against all seatings of 3 customers
+    share = np.bincount(pitman_yor.draw_tables(np.full(40000, 3), np.full(40000, 0.9), 0.5, rng), minlength=4)[1:] / 40000
+    law = np.array([0.9 * 0.5 * 1.5, 3 * 0.9 * 0.9 * 0.5, 0.9 ** 3])
+    assert np.allclose(share, law / law.sum(), atol=0.01)
+    # parts of one customer: the law of the exact draws
+    n, c = 400, 200
+    seats, tables = np.full(n, c), np.ones(n, np.int64)
+    for _ in range(12):
+        seats, tables = pitman_yor.reseat_all(seats, tables, np.full(n, 9.0), 0.8, c, rng)
+    drawn = pitman_yor.draw_tables(np.full(n, c), np.full(n, 9.0), 0.8, rng)
+    assert seats.sum() == n * c and abs(tables.mean() / drawn.mean() - 1) < 0.03
+    # large cells forget their start: the number of tables follows the base probability
+    for rate in (20.0, 2000.0):
+        ends = []
+        for start in (1, 3000):
+            size = np.full(8, 6000)
+            tables = np.full(8, start)
+            seats = np.ones((8, start), np.int64)
+            seats[:, 0] += 6000 - start
+            seats = seats.ravel()
+            for _ in range(15):
+                tables, seats = pitman_yor.swept(size, tables, seats, size, np.full(8, rate), 0.8, rng)
+            assert (np.add.reduceat(seats, np.cumsum(tables) - tables) == 6000).all()
+            ends.append(tables.mean())
+        assert abs(ends[0] / ends[1] - 1) < 0.1
+        assert (ends[0] < 100) == (rate < 100)
+
+
+def test_large_cells_leave_the_closed_form_start(spark):
+    # "bb" stands after "aa" only: few tables explain its 20,000 customers, the start has 20000^0.8 = 2,759
+    rows = spark.createDataFrame([(k, "aa bb " * 2000 + " ".join(f"w{k}x{j}" for j in range(500))) for k in range(10)],
+                                 "doc_id long, text string")
+    model = pitman_yor.train(rows)
+    context = pitman_yor.token_keys("aa bb", pitman_yor.TokenCodes())[1] & pitman_yor._LOW
+    # share that goes to the root; 0.8 * 2759 / 20000 = 11 % at the start
+    assert float(np.mean(model.back_off[int(context)])) < 0.04
+    assert model.sweeps > pitman_yor.SAMPLES
