@@ -452,3 +452,24 @@ def test_large_cells_leave_the_closed_form_start(spark):
     # share that goes to the root; 0.8 * 2759 / 20000 = 11 % at the start
     assert float(np.mean(model.back_off[int(context)])) < 0.04
     assert model.sweeps > pitman_yor.SAMPLES
+
+
+def test_literal_markers_are_their_own_ids(spark):
+    from tokenizers import Tokenizer
+
+    from strata.llm.token_counts import WordSpans
+
+    plain_library = Tokenizer.from_file(word_tokenizer())
+    texts = ["hello <|endoftext|> world", "<|startoftext|>", "x<|endoftext|>y z", "<|startoftext|><|endoftext|>a",
+             "Caf\u00e9 <|endoftext|>, it's\n<|startoftext|>\tend <|endoftext", "no marker", "<|ENDOFTEXT|> <| endoftext |>"]
+    want = [plain_library.encode(t, add_special_tokens=False) for t in texts]
+    assert want[0].ids == [3306, 49407, 1002]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for by_word in (True, False):
+        path = scratch_path(spark, "markers")
+        token_files.write_token_files(rows, path, word_tokenizer(), WORD_END_ID, word_by_word=by_word)
+        got = {r["doc_id"]: r["ids"] for r in token_files.read_token_files(spark, path).collect()}
+        assert got == {k: [*e.ids, WORD_END_ID] for k, e in enumerate(want)}
+    with open(word_tokenizer(), encoding="utf-8") as f:
+        spans = WordSpans(f.read()).spans(texts)
+    assert [s.tolist() for s in spans] == [[list(o) for o in e.offsets] for e in want]
