@@ -39,21 +39,20 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn at the rates that give the domains their target token weights.
+    """Documents drawn at the rates that give the domains their target shares of the kept tokens.
 
-    Rates are scaled so that every document of clean posterior ``SURE_CLEAN`` or more has a rate of at least 1, and
-    no document is repeated: the clean ones stay, the over-represented domains are thinned out.
+    Rates go from 0 to 1 and no document is repeated.  Those of clean posterior ``SURE_CLEAN`` or more all stay; the
+    others are thinned out as far as the shares ask for it (a domain with too few tokens beside them stays whole).
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = mixing.fit_domains(mixing.domain_labels(docs, labels), mixing.DOMAINS)
     scored = mixing.memberships(folded(docs, doc_id=F.col("doc_id"), text=F.col("text")), model)
     members = materialise(spark, scored.select("tokens", "posterior"), "members")
-    total = members.agg(F.sum("tokens")).first()[0] or 0
-    steps, _ = mixing.fit_rates(members, [mixing.WEIGHTS[d] * total for d in mixing.DOMAINS])
+    shares = [mixing.WEIGHTS[d] for d in mixing.DOMAINS]
     sure = F.col("posterior")[mixing.DOMAINS.index("clean")] >= SURE_CLEAN
-    lowest = mixing.with_rates(members, steps, keys=("tokens",)).where(sure).agg(F.min("rate")).first()[0]
-    rated = mixing.with_rates(scored, steps, scale=1 / lowest if lowest else 1.0, max_copies=1,
-                              keys=("doc_id", "text"))
+    steps, _ = mixing.fit_shares(members, shares, sure)
+    rated = mixing.with_rates(scored.withColumn("_gap", mixing.share_gaps(shares)), steps, posterior="_gap",
+                              keys=("doc_id", "text"), upper=1.0, held=sure)
     return unfolded(rated.where("copies > 0"), docs.columns)
 
 

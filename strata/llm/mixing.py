@@ -95,18 +95,22 @@ def memberships(docs: DataFrame, model: DomainModel, text: str = "text") -> Data
             .select(*own, F.col("posterior.tokens").alias("tokens"), F.col("posterior.posterior").alias("posterior")))
 
 
-def _rate(steps: list[np.ndarray], p: list[Column]) -> Column:
-    rate = F.lit(1.0)
+def _rates(steps: list[np.ndarray], p: list[Column], upper: float | None = None) -> tuple[Column, Column]:
+    """The rate, and what it was before the last step's bounds."""
+    rate = free = F.lit(1.0)
     for step in steps:
         move = sum((x * F.lit(float(s)) for x, s in zip(p, step)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate - move)
-    return rate
+        free = rate - move
+        rate = F.greatest(F.lit(0.0), free if upper is None else F.least(F.lit(float(upper)), free))
+    return rate, free
 
 
 def fit_rates(members: DataFrame, targets: list[float], tokens: str = "tokens", posterior: str = "posterior",
-              max_steps: int = MAX_STEPS, tolerance: float = 1e-6) -> tuple[list[np.ndarray], np.ndarray]:
+              max_steps: int = MAX_STEPS, tolerance: float = 1e-6, upper: float | None = None,
+              held: Column | None = None) -> tuple[list[np.ndarray], np.ndarray]:
     """The steps that bring the expected domain totals to ``targets``, and the totals reached.
 
+    No rate goes over ``upper``; documents for which ``held`` is true count with rate 1 and do not move.
     ``members`` is read once per step: pass a written or persisted table.
     """
     k, goal = len(targets), np.asarray(targets, float)
@@ -115,26 +119,54 @@ def fit_rates(members: DataFrame, targets: list[float], tokens: str = "tokens",
     while True:
         rate = F.col("_rate")
         sums = [F.sum(rate * F.col("_t") * F.col(f"_p{i}")) for i in range(k)]
-        sums += [F.sum(F.when(rate > 0, F.col("_t") * F.col(f"_p{i}") * F.col(f"_p{j}")).otherwise(F.lit(0.0)))
+        sums += [F.sum(F.when(F.col("_moves"), F.col("_t") * F.col(f"_p{i}") * F.col(f"_p{j}")).otherwise(F.lit(0.0)))
                  for i in range(k) for j in range(k)]
-        table = members.select(F.col(f"`{tokens}`").cast("double").alias("_t"),
-                               *[x.alias(f"_p{i}") for i, x in enumerate(p)], _rate(steps, p).alias("_rate"))
+        now, free = _rates(steps, p, upper)
+        moves = (free > 0) if upper is None else (free > 0) & (free <= upper)
+        if held is not None:
+            now, moves = F.when(held, 1.0).otherwise(now), moves & ~F.coalesce(held, F.lit(False))
+        table = members.select(F.col(f"`{tokens}`").cast("double").alias("_t"), *[x.alias(f"_p{i}") for i, x in enumerate(p)],
+                               now.alias("_rate"), moves.alias("_moves"))
         row = table.agg(*sums).first()
         values = np.array([v or 0.0 for v in row], float)
         reached, m = values[:k], values[k:].reshape(k, k)
         if len(steps) >= max_steps or np.abs(reached - goal).max(initial=0) <= tolerance * max(goal.sum(), 1.0):
             return steps, reached
+        # all that may move stand at their bounds: another step would only repeat the last one
+        if upper is not None and steps and steps[-1].any() and np.abs(reached - before).max() <= tolerance * 1e-3:
+            return steps, reached
+        before = reached
         steps.append(np.linalg.pinv(m, rcond=1e-9) @ (reached - goal))
 
 
+def fit_shares(members: DataFrame, shares: list[float], held: Column, tokens: str = "tokens", posterior: str = "posterior",
+               max_steps: int = 2 * MAX_STEPS, tolerance: float = 1e-5) -> tuple[list[np.ndarray], np.ndarray]:
+    """Steps for rates from 0 to 1, 1 where ``held``, that bring the domains' shares of the kept tokens to ``shares``.
+
+    A share is linear in the rates as sum(r * tokens * (p_k - share_k)) = 0.  Also returned: by how much of all
+    tokens each domain misses that; shares that the held documents rule out are missed.
+    """
+    total = members.agg(F.sum(F.col(f"`{tokens}`").cast("double"))).first()[0] or 1.0
+    steps, missed = fit_rates(members.withColumn("_gap", share_gaps(shares, posterior)), [0.0] * len(shares), tokens,
+                              "_gap", max_steps, tolerance * total, 1.0, held)
+    return steps, missed / total
+
+
+def share_gaps(shares: list[float], posterior: str = "posterior") -> Column:
+    return F.array(*[F.col(f"`{posterior}`")[i] - F.lit(float(x)) for i, x in enumerate(shares)])
+
+
 def with_rates(members: DataFrame, steps: list[np.ndarray], scale: float = 1.0, max_copies: int | None = None,
-               seed: int = 11, posterior: str = "posterior", keys: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+               seed: int = 11, posterior: str = "posterior", keys: tuple[str, ...] = ("doc_id", "text"),
+               upper: float | None = None, held: Column | None = None) -> DataFrame:
     """``members`` with ``rate`` and ``copies``: the rate rounded at random, by a hash of ``keys``.
 
     Equal rows draw the same number, so a recomputed task decides as before.
     """
     k = len(steps[0]) if steps else 0
-    rate = _rate(steps, [F.col(f"`{posterior}`")[i] for i in range(k)]) * F.lit(float(scale))
+    rate = _rates(steps, [F.col(f"`{posterior}`")[i] for i in range(k)], upper)[0] * F.lit(float(scale))
+    if held is not None:
+        rate = F.when(held, 1.0).otherwise(rate)
     draw = F.pmod(F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in keys]), F.lit(1 << 30)) / F.lit(float(1 << 30))
     copies = F.floor(F.col("rate") + draw).cast("bigint")
     out = members.withColumn("rate", rate)

@@ -473,3 +473,31 @@ def test_literal_markers_are_their_own_ids(spark):
     with open(word_tokenizer(), encoding="utf-8") as f:
         spans = WordSpans(f.read()).spans(texts)
     assert [s.tolist() for s in spans] == [[list(o) for o in e.offsets] for e in want]
+
+
+def test_mixing_keeps_the_shares_within_its_bounds(spark):
+    rng = np.random.default_rng(4)
+    # 2,000 surely clean documents, 1,500 toxic, 1,500 low and 500 between; all bounds of the pipeline
+    p = np.concatenate([rng.dirichlet([300, 1, 0.5], 2000), rng.dirichlet([1, 8, 1], 1500), rng.dirichlet([1, 1, 8], 1500),
+                        rng.dirichlet([6, 3, 3], 500)])
+    t = rng.integers(20, 400, len(p))
+    members = spark.createDataFrame([(k, int(n), [float(x) for x in q]) for k, (n, q) in enumerate(zip(t, p))],
+                                    "doc_id long, tokens long, posterior array<double>").cache()
+    shares = [mixing.WEIGHTS[d] for d in mixing.DOMAINS]
+    sure = F.col("posterior")[0] >= 0.8
+    steps, missed = mixing.fit_shares(members, shares, sure)
+    assert np.abs(missed).max() <= 1e-5
+    rated = mixing.with_rates(members.withColumn("gap", mixing.share_gaps(shares)), steps, posterior="gap",
+                              keys=("doc_id",), upper=1.0, held=sure).orderBy("doc_id").collect()
+    rate, copies = (np.array([r[c] for r in rated], float) for c in ("rate", "copies"))
+    assert (rate >= 0).all() and (rate <= 1).all() and (rate[p[:, 0] >= 0.8] == 1).all()
+    assert set(copies) <= {0, 1} and (copies[p[:, 0] >= 0.8] == 1).all()
+    for weight, room in ((rate, 1e-4), (copies, 5e-3)):
+        kept = (weight * t) @ p
+        assert np.allclose(kept / kept.sum(), shares, atol=room)
+    # no toxic or low document can make up for so few: all of them stay
+    few = members.where("doc_id < 2000 OR doc_id IN (2000, 3500)")
+    steps, missed = mixing.fit_shares(few, [0.5, 0.3, 0.2], sure)
+    got = mixing.with_rates(few.withColumn("gap", mixing.share_gaps([0.5, 0.3, 0.2])), steps, posterior="gap",
+                            keys=("doc_id",), upper=1.0, held=sure)
+    assert got.where("copies = 1").count() == 2002 and np.abs(missed).max() > 0.01
