@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import (decontaminate, jaccard_join, line_dedup, mixing, pii, pitman_yor, quality_rules, token_counts, token_files,
-               toxicity)
+from . import (chosen_path, decontaminate, hard_negatives, jaccard_join, line_dedup, merkle, mixing, pii, pitman_yor,
+               quality_rules, token_counts, token_files, toxicity)
 from .common import materialise
 
 
@@ -117,5 +117,33 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_score", "score")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its leaf, digests up to the root, its proof, and whether a copy with some texts lowered verifies."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    docs = _table(spark, sf_dir, "documents")
+    rest = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    own = merkle.leaf(*rest, F.col("text"))
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, F.lit(False))
+    claimed = F.when(tampered, merkle.leaf(*rest, F.translate("text", upper, lower))).otherwise(own)
+    proved = merkle.manifest(docs, F.col("lang"), F.col("doc_id"), own, claimed=claimed)
+    folded = proved.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root",
+                           merkle.proof_digest(F.col("proof")).alias("proof_sha256"),
+                           merkle.folded_root(F.col("claimed"), F.col("proof")).alias("folded_root"))
+    return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its near-duplicate component (4 words, similarity 0.8) and whether it is the one that stays."""
+    return chosen_path.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per anchor and positive: the ten best rows of other labels with 30 to 90 % of the positive's score."""
+    vec_id, label = F.col("vec_id"), F.col("label")
+    moved = F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings"), vec_id % 100 == 0, label=moved)
+
+
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_counts, op3_toxicity, op4_jaccard_join, op5_token_files, op6_mixing,
-                                  op7_quality_rules, op8_line_dedup, op9_pii, op10_lm_score)}
+                                  op7_quality_rules, op8_line_dedup, op9_pii, op10_lm_score,
+                                  op11_merkle_manifest, op12_chosen_path, op13_hard_negatives)}

@@ -91,4 +91,37 @@ SELECT d.doc_id, count(p) AS n_lines, count(*) FILTER (WHERE p IS NOT NULL AND N
        count(*) FILTER (WHERE is_first AND NOT is_near) AS n_kept,
        coalesce(string_agg(CAST(p AS VARCHAR), ',' ORDER BY p) FILTER (WHERE is_first AND NOT is_near), '') AS kept_lines
 FROM documents d LEFT JOIN f ON f.doc_id = d.doc_id GROUP BY d.doc_id""",
+    "op12_chosen_path": rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id,
+                            regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                                         'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+                     FROM documents),
+s AS (SELECT DISTINCT rid, array_to_string(ws[p : p + 3], ' ') AS g
+      FROM (SELECT rid, ws, unnest(range(1, greatest(2, len(ws) - 2))) AS p FROM d WHERE len(ws) > 0)),
+size AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+both_ AS (SELECT a.rid AS a, b.rid AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.rid <> b.rid
+          GROUP BY a.rid, b.rid),
+link AS (SELECT a, b FROM both_ JOIN size x ON x.rid = a JOIN size y ON y.rid = b
+         WHERE 100 * c >= 80 * (x.n + y.n - c)),
+reach AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+low AS (SELECT a, min(doc_id) AS least_id FROM reach JOIN d ON d.rid = reach.b GROUP BY a)
+SELECT doc_id, CAST(coalesce(size.n, 0) AS BIGINT) AS n_shingles,
+       CASE WHEN low.a IS NULL THEN doc_id ELSE least_id END AS component_id,
+       doc_id IS NOT DISTINCT FROM CASE WHEN low.a IS NULL THEN doc_id ELSE least_id END AS kept
+FROM d LEFT JOIN size USING (rid) LEFT JOIN low ON low.a = d.rid""",
+    "op13_hard_negatives": """
+WITH e AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256)) AS v
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS anchor, r.id AS id, a.label = r.label AS same, CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score
+      FROM (SELECT DISTINCT * FROM e WHERE id % 100 = 0) a, e r),
+pos AS (SELECT anchor, id AS positive, score FROM s WHERE same AND id <> anchor
+        QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) <= 5),
+neg AS (SELECT p.anchor, p.positive, p.score AS positive_score, s.id AS negative, s.score AS negative_score,
+               row_number() OVER (PARTITION BY p.anchor, p.positive ORDER BY s.score DESC, s.id) AS rank
+        FROM pos p JOIN s ON s.anchor = p.anchor AND NOT s.same
+         AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor AS anchor_id, positive AS positive_id, CAST(rank AS INTEGER) AS rank, negative AS negative_id,
+       positive_score, negative_score FROM neg WHERE rank <= 10""",
 }
