@@ -1,33 +1,41 @@
 """K-Means clustering of a cohort, the elbow curve and cluster reports.
 
 Every feature (binary ones too) is median-imputed and scaled to unit
-population variance; ``pyspark.ml.clustering.KMeans`` runs with ten seeds
-and the lowest training cost wins (k is clamped to [1, rows]).  Cluster
-labels are renumbered by the lexicographic order of the centroids so that
-equal fits give equal labels.  k = 1 is computed in closed form (Spark's
-KMeans needs k >= 2): the inertia of one cluster is the sum over features of
-n times the population variance of the scaled feature.
+population variance.  All runs (ten starts for every k) advance together: the
+centroids of all of them are one broadcast, one aggregation per step sums up
+each centroid's points, and runs that have settled leave the next pass, so an
+elbow takes as many passes as its slowest run takes steps.  Starts are
+k-means++ on a bounded sample; the lowest inertia wins (k is clamped to
+[1, rows]).  Cluster labels are numbered by the lexicographic order of the
+centroids so that equal fits give equal labels.  k = 1 is computed in closed
+form: the inertia of one cluster is the sum over features of n times the
+population variance of the scaled feature.
 
 Members stay a long (id, cluster) table; nothing is collected per cluster.
 """
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+import math
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..cohort import Cohort
 from ..functions.numeric import qcol
+from ..session import ship_package
 from .prep import fit_preparation
 
 N_INIT = 10
 SEED = 42
 MAX_ELBOW_K = 10
+MAX_ITER = 300
+#: Rows that the starts are drawn from, and rows that are worked on at once in a task.
+START_ROWS, SLAB = 5_000, 4096
 
 
 @dataclass
@@ -38,64 +46,147 @@ class KMeansFit:
     centers: list
 
 
+@dataclass
+class Restart:
+    """One run of Lloyd's steps: centroids, and the inertia of the last assignment to them."""
+
+    k: int
+    seed: int
+    centers: np.ndarray
+    cost: float = math.inf
+    done: bool = False
+
+
 def _prepared(cohort: Cohort) -> tuple[DataFrame, list[str]]:
     cohort.require_features()
     prep = fit_preparation(cohort, scale_all=True)
     base = cohort.df.withColumnRenamed(cohort.id_col, "id").withColumnRenamed(cohort.target_col, "target")
     data = prep.transform(base, "id", ["target"])
     cols = list(prep.output_cols)
-    return VectorAssembler(inputCols=cols, outputCol="features").transform(data), cols
-
-
-def _best_fit(data: DataFrame, k: int, n_init: int, parallelism: int):
-    def one(seed):
-        m = KMeans(k=k, seed=seed, maxIter=300, tol=1e-4, initMode="k-means||").fit(data)
-        return m.summary.trainingCost, seed, m
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        fits = list(pool.map(one, [SEED + i for i in range(n_init)]))
-    fits.sort(key=lambda t: (t[0], t[1]))
-    return fits[0]
-
-
-def one_cluster_inertia(data: DataFrame, cols) -> float:
-    row = data.agg(F.count(F.lit(1)).alias("n"), *[F.var_pop(qcol(c)).alias(f"v{i}") for i, c in enumerate(cols)]).first()
-    return float(sum((row[f"v{i}"] or 0.0) for i in range(len(cols))) * row["n"])
+    return data.select("id", "target", F.array(*[qcol(c) for c in cols]).alias("x")), cols
+
+
+def _points(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width) if len(column) else np.empty((0, width))
+
+
+def _distances(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Squared distances of all points to all centroids."""
+    return np.maximum((x * x).sum(1)[:, None] + (centers * centers).sum(1) - 2.0 * (x @ centers.T), 0.0)
+
+
+def _lloyd_rows(batches: Iterator[pa.RecordBatch], starts: np.ndarray, centers: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Per centroid of every run: points, their summed squared distances, their summed coordinates."""
+    total = np.zeros((len(centers), 2 + centers.shape[1]))
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLAB):
+            x = _points(batch.column(0).slice(at, SLAB), centers.shape[1])
+            far = _distances(x, centers)
+            for a, b in zip(starts, starts[1:]):
+                nearest = a + far[:, a:b].argmin(1)
+                total[:, 0] += np.bincount(nearest, minlength=len(total))
+                total[:, 1] += np.bincount(nearest, far[np.arange(len(x)), nearest], len(total))
+                for j in range(x.shape[1]):
+                    total[:, 2 + j] += np.bincount(nearest, x[:, j], len(total))
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(np.arange(len(total), dtype=np.int32)),
+         pa.ListArray.from_arrays(pa.array(np.arange(len(total) + 1, dtype=np.int32) * total.shape[1]), pa.array(total.ravel()))],
+        ["center", "sums"])
+
+
+def _spread_start(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k-means++: each further centroid is a sampled point, drawn by its squared distance to the nearest one so far."""
+    rng = np.random.default_rng([SEED, k, seed])
+    chosen = [int(rng.integers(len(sample)))]
+    near = ((sample - sample[chosen[0]]) ** 2).sum(1)
+    while len(chosen) < k:
+        at = int(rng.choice(len(sample), p=near / near.sum())) if near.sum() > 0 else int(rng.integers(len(sample)))
+        chosen.append(at)
+        near = np.minimum(near, ((sample - sample[at]) ** 2).sum(1))
+    return sample[chosen].copy()
+
+
+def lloyd(points: DataFrame, runs: Sequence[Restart], max_iter: int = MAX_ITER, tol: float = 1e-4) -> int:
+    """Moves the centroids of all runs together, one aggregation of ``points`` (x) per step; the number of passes.
+
+    A run is done once no centroid moves by more than ``tol``; a centroid without points stays where it is.  The last pass
+    of a run only measures its cost, so that the cost is that of the centroids returned.
+    """
+    spark, passes = points.sparkSession, 0
+    ship_package(spark)
+    settled: set[int] = set()
+    while passes < max_iter + 1:
+        open_ = [r for r in runs if not r.done]
+        if not open_:
+            break
+        starts = np.cumsum([0] + [r.k for r in open_])
+        held = spark.sparkContext.broadcast((starts, np.concatenate([r.centers for r in open_])))
+        partial = points.select("x").mapInArrow(lambda b, held=held: _lloyd_rows(b, *held.value), "center int, sums array<double>")
+        rows = (partial.select("center", F.posexplode("sums").alias("at", "v")).groupBy("center", "at")
+                .agg(F.sum("v").alias("v")).toArrow())  # centroids x (features + 2) numbers
+        held.unpersist()
+        passes += 1
+        sums = np.zeros((int(starts[-1]), 2 + open_[0].centers.shape[1]))
+        sums[rows["center"].to_numpy(), rows["at"].to_numpy()] = rows["v"].to_numpy()
+        for r, a, b in zip(open_, starts, starts[1:]):
+            own = sums[a:b]
+            r.cost = float(own[:, 1].sum())
+            if id(r) in settled or passes == max_iter + 1:
+                r.done = True
+                continue
+            moved = np.where(own[:, :1] > 0, own[:, 2:] / np.maximum(own[:, :1], 1.0), r.centers)
+            if ((moved - r.centers) ** 2).sum(1).max() <= tol * tol:
+                settled.add(id(r))
+            r.centers = moved
+    return passes
+
+
+def fit_runs(data: DataFrame, ks: Sequence[int], n_init: int = N_INIT) -> dict[int, Restart]:
+    """The cheapest of ``n_init`` runs for every k; all runs of all k advance together."""
+    some = data.orderBy(F.xxhash64("id"), "id").limit(START_ROWS).select("x").toArrow()  # a bounded sample for the starts
+    sample = _points(pa.concat_arrays(some["x"].chunks), len(some["x"][0])) if some.num_rows else np.empty((0, 0))
+    runs = [Restart(k, seed, _spread_start(sample, k, seed)) for k in ks for seed in range(n_init)]
+    lloyd(data, runs)
+    return {k: min((r for r in runs if r.k == k), key=lambda r: (r.cost, r.seed)) for k in ks}
+
+
+def one_cluster_inertia(data: DataFrame, width: int) -> float:
+    row = data.agg(F.count(F.lit(1)).alias("n"), *[F.var_pop(F.col("x")[i]).alias(f"v{i}") for i in range(width)]).first()
+    return float(sum((row[f"v{i}"] or 0.0) for i in range(width)) * row["n"])
+
+
+def assigned(data: DataFrame, centers: Sequence[Sequence[float]]) -> DataFrame:
+    """(id, target, cluster): the nearest of fixed centroids, the first one on ties."""
+    held = np.array(centers, float)
+
+    def nearest(column: pa.Array) -> pa.Array:
+        x = _points(column, held.shape[1])
+        far = np.stack([((x - c) ** 2).sum(1) for c in held], 1)
+        return pa.array(far.argmin(1).astype(np.int32))
+
+    ship_package(data.sparkSession)
+    return data.select("id", "target", F.arrow_udf(nearest, "int")(F.col("x")).alias("cluster"))
 
 
 def kmeans(cohort: Cohort, k: int, n_init: int = N_INIT, parallelism: int = 4) -> KMeansFit:
     data, cols = _prepared(cohort)
-    data = data.checkpoint(eager=True)  # read by every restart
+    data = data.checkpoint(eager=True)  # read by every pass
     n = data.count()
     k = max(1, min(int(k), n))
     if k == 1:
-        return KMeansFit(1, one_cluster_inertia(data, cols), data.select("id", "target", F.lit(0).alias("cluster")),
-                         [])
-    cost, _, model = _best_fit(data, k, n_init, parallelism)
-    centers = [list(map(float, c)) for c in model.clusterCenters()]
-    order = sorted(range(len(centers)), key=lambda i: centers[i])
-    relabel = F.create_map(*[x for new, old in enumerate(order) for x in (F.lit(old), F.lit(new))])
-    assigned = model.transform(data).select("id", "target", relabel[F.col("prediction")].alias("cluster"))
-    return KMeansFit(k, float(cost), assigned, [centers[i] for i in order])
+        return KMeansFit(1, one_cluster_inertia(data, len(cols)), data.select("id", "target", F.lit(0).alias("cluster")), [])
+    best = fit_runs(data, [k], n_init)[k]
+    centers = sorted(list(map(float, c)) for c in best.centers)
+    return KMeansFit(k, best.cost, assigned(data, centers), centers)
 
 
 def kmeans_elbow(cohort: Cohort, max_k: int = MAX_ELBOW_K, n_init: int = N_INIT, parallelism: int = 4) -> DataFrame:
-    """(k, inertia) for k = 1 .. min(max_k, rows)."""
+    """(k, inertia) for k = 1 .. min(max_k, rows); the runs of all k share their passes."""
     data, cols = _prepared(cohort)
     data = data.checkpoint(eager=True)
     n = data.count()
-    rows = [(1, one_cluster_inertia(data, cols))]
-    ks = list(range(2, min(max_k, n) + 1))
-
-    def one(job):
-        k, seed = job
-        m = KMeans(k=k, seed=seed, maxIter=300, tol=1e-4, initMode="k-means||").fit(data)
-        return k, seed, m.summary.trainingCost
-
-    # every (k, restart) fit in one pool: the driver threads keep the executors busy
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        fits = list(pool.map(one, [(k, SEED + i) for k in ks for i in range(n_init)]))
-    for k in ks:
-        rows.append((k, float(min((c, s) for kk, s, c in fits if kk == k)[0])))
+    best = fit_runs(data, list(range(2, min(max_k, n) + 1)), n_init)
+    rows = [(1, one_cluster_inertia(data, len(cols)))] + [(k, r.cost) for k, r in best.items()]
     return cohort.df.sparkSession.createDataFrame(rows, "k int, inertia double")
 
 

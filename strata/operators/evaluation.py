@@ -147,10 +147,17 @@ def fold_std(scores: DataFrame, fm: DataFrame | None = None) -> DataFrame:
 
 
 def metrics_table(scores: DataFrame) -> DataFrame:
-    """Pooled out-of-fold metrics per model with the seven fold standard deviations."""
-    pooled = rates(confusion_matrix(scores)).where(F.col("fold") == POOLED).drop("fold", "n")
-    auc = auc_exact(scores).where(F.col("fold") == POOLED).select("model", "auc")
-    return pooled.join(auc, "model", "left").join(fold_std(scores), "model", "left")
+    """Pooled out-of-fold metrics per model with the seven fold standard deviations.
+
+    Pooled and fold rows of the counts and AUCs are computed together and told apart in one last aggregation.
+    """
+    both = rates(confusion_matrix(scores)).join(auc_exact(scores), ["model", "fold"], "left")
+    pooled = F.col("fold") == POOLED
+    whole = [F.max(F.when(pooled, F.col(c))).alias(c) for c in
+             ("tp", "fp", "tn", "fn", "sensitivity", "specificity", "vpp", "vpn", "accuracy", "f1_score", "auc")]
+    spread = [F.when(F.count(x) >= 2, F.stddev_samp(x)).alias(f"{m}_std")
+              for m in METRICS for x in [F.when(~pooled, F.col(m))]]
+    return both.groupBy("model").agg(*whole, *spread)
 
 
 def minmax_scores(scores: DataFrame) -> DataFrame:

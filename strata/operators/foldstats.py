@@ -1,7 +1,7 @@
 """Statistics of "all rows except fold f" for every fold in one pass.
 
-Per (feature, distinct value) the row count of every fold is kept (k
-columns); the running sums of ``total - count_f`` over the sorted values give,
+Per (feature, distinct value) the number of rows outside every fold is kept (k
+columns); their running sums over the sorted values give,
 for all k training sets and all features at once, the exact ECDF, hence exact
 medians.  One sort, no per-fold or per-feature jobs.
 """
@@ -10,21 +10,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .prefix import running_totals
 
 
-def leave_fold_out_medians(df: DataFrame, value_cols: Sequence[str], fold_col: str, k: int) -> DataFrame:
-    """(variable, fold, median) over the rows outside each fold (linear interpolation), every column at once."""
+def leave_out_medians(df: DataFrame, value_cols: Sequence[str], left_out: Sequence[Column]) -> DataFrame:
+    """(variable, fold, median) per condition ``left_out[fold]``: over the rows for which it does not hold.
+
+    Linear interpolation, every column and condition at once.
+    """
+    k = len(left_out)
     cells = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(f"`{c}`").cast("double").alias("value"))
                       for c in value_cols])
-    long = df.select(F.col(fold_col).alias("_fold"), F.inline(cells))
+    long = df.select(*[c.alias(f"_out{f}") for f, c in enumerate(left_out)], F.inline(cells))
     v = F.col("value")
-    vc = long.where(v.isNotNull() & ~F.isnan(v)).groupBy("variable", "value").agg(
-        *[F.count_if(F.col("_fold") == f).alias(f"c{f}") for f in range(k)], F.count(F.lit(1)).alias("call"))
-    w = vc.select("variable", "value", *[(F.col("call") - F.col(f"c{f}")).alias(f"w{f}") for f in range(k)])
+    w = long.where(v.isNotNull() & ~F.isnan(v)).groupBy("variable", "value").agg(
+        *[F.count_if(~F.col(f"_out{f}")).alias(f"w{f}") for f in range(k)])
     rt = running_totals(w, ["variable"], ["value"], [f"w{f}" for f in range(k)], max_groups=len(value_cols))
     sizes = w.groupBy("variable").agg(*[F.sum(f"w{f}").alias(f"n{f}") for f in range(k)])
     tgt = sizes.select(F.col("variable").alias("t_var"), F.inline(F.array(*[
@@ -34,7 +37,7 @@ def leave_fold_out_medians(df: DataFrame, value_cols: Sequence[str], fold_col: s
     per_fold = rt.select("variable", "value", F.inline(F.array(*[
         F.struct(F.lit(f).alias("fold"), F.col(f"w{f}").alias("w"), F.col(f"w{f}_before").alias("before"))
         for f in range(k)])))
-    # at most 2 k rows per feature: bounded by k x the column count, broadcast
+    # at most 2 rows per feature and condition, whatever the rows: broadcast
     hit = per_fold.join(F.broadcast(tgt), (F.col("variable") == F.col("t_var")) & (F.col("fold") == F.col("t_fold"))
                         ).where((F.col("before") <= F.col("pos")) & (F.col("pos") < F.col("before") + F.col("w")))
     per = hit.groupBy("variable", "fold").agg(
@@ -44,6 +47,11 @@ def leave_fold_out_medians(df: DataFrame, value_cols: Sequence[str], fold_col: s
                       (F.col("v_lo") + (F.col("h") - F.col("lo")) * (F.col("v_hi") - F.col("v_lo"))).alias("median"))
 
 
+def leave_fold_out_medians(df: DataFrame, value_cols: Sequence[str], fold_col: str, k: int) -> DataFrame:
+    """(variable, fold, median) over the rows outside each fold."""
+    return leave_out_medians(df, value_cols, [F.col(f"`{fold_col}`") == f for f in range(k)])
+
+
 def leave_fold_out_median(df: DataFrame, value_col: str, fold_col: str, k: int) -> DataFrame:
     """(fold, median) for one column."""
     return leave_fold_out_medians(df, [value_col], fold_col, k).select("fold", "median")

@@ -1,170 +1,432 @@
-"""Exact k-nearest-neighbour join (Euclidean) without comparing all pairs.
-
-Points are projected on one unit direction u (the first principal component
-of the reference points, from ``pyspark.ml.feature.PCA``).  Projection is
-1-Lipschitz, so a reference point x can be among the k nearest of a query q
-only if |u.x - u.q| <= r_q, the query's true k-th distance.  The projected
-axis is cut into buckets at approximate quantiles (``Bucketizer``: an
-equi-join key instead of a range join):
-
-0. identical vectors are collapsed on both sides (a reference vector keeps
-   its k smallest IDs; a query vector is searched once);
-1. every query is joined with the reference points of its own bucket and the
-   two neighbouring ones; the k best give an upper bound r_q of its k-th
-   distance;
-2. every query is joined with the remaining buckets that intersect
-   [u.q - r_q, u.q + r_q] (none when round one already covers the band);
-3. the k best over both rounds (distance, then reference ID) are exact.
-
-The top-k per query prunes to k rows in every map task, before the shuffle.
-Work is bounded by the band sizes, which the data decide; there is no cap on
-candidates.
+"""Exact k-nearest-neighbour join (Euclidean) over an index of cells.
+
+Reference points are dealt into cells by a tree of cuts (each along the main direction of the points it divides, at their
+median), learned from at most ``SAMPLE_ROWS`` points.  What is known of every cell is exact: its box in the leading
+principal directions, and the largest distance from its pivot.  Both bound the distance of a query from below (an orthogonal
+projection shortens no less, and the triangle inequality), so a cell can be left out when its bound exceeds the query's k-th
+distance.
+
+1. Queries are dealt into the same cells and cut into blocks of about ``BLOCK`` queries.  Every block is compared with the
+   points of its own cell, and of the next ones if that has fewer than k: the k-th distance of each query is bounded now.
+2. Every block is compared with the remaining cells that some query's bound lets through.
+
+Reference points travel to the blocks that ask for their cell and are compared as they stream by, one matrix product per
+slice; a query holds its k best (distance, reference id), nothing else.  So memory is bounded, repeated vectors are rows
+like others, and the result is exact.  ``group`` runs many joins, such as one per fold, at once.
 """
 
 from __future__ import annotations
 
-import math
-from functools import reduce
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
-from pyspark.ml.feature import PCA, Bucketizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..session import scratch_path, ship_package
+from .prefix import running_totals
+
+SAMPLE_ROWS = 20_000
+#: Points per cell (about), fewest sampled points that a cell is learned from, queries per block, points per slice.
+CELL_ROWS, CELL_SAMPLE, BLOCK, SLICE = 512, 16, 1024, 4096
+DIRECTIONS = 16
+
+
+@dataclass
+class CellTree:
+    """Cuts as arrays: ``x . way[node] < cut[node]`` goes to ``low[node]``, else to ``high[node]``; leaves have ``cell`` >= 0."""
+
+    way: np.ndarray
+    cut: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    cell: np.ndarray
+    pivots: np.ndarray
+    axes: np.ndarray  # leading principal directions, one per column
+
+    def cells_of(self, x: np.ndarray) -> np.ndarray:
+        node = np.zeros(len(x), np.int64)
+        while True:
+            inner = np.flatnonzero(self.cell[node] < 0)
+            if not len(inner):
+                return self.cell[node]
+            at = node[inner]
+            below = np.einsum("ij,ij->i", x[inner], self.way[at]) < self.cut[at]
+            node[inner] = np.where(below, self.low[at], self.high[at])
+
+
+def cell_tree(sample: np.ndarray, cells: int) -> CellTree:
+    """About ``cells`` cells of equally many sampled points; fewer where points repeat."""
+    d = sample.shape[1]
+    way, cut, low, high, cell, pivots = [], [], [], [], [], []
+    least = max(CELL_SAMPLE, len(sample) // max(1, cells))
+
+    def grow(rows: np.ndarray) -> int:
+        node = len(cell)
+        for column in (way, cut, low, high, cell):
+            column.append(0)
+        points = sample[rows]
+        middle = points.mean(0) if len(rows) else np.zeros(d)
+        if len(rows) >= 2 * least:
+            gaps = points - middle
+            main = np.linalg.eigh(gaps.T @ gaps)[1][:, -1]
+            along = points @ main
+            at = np.median(along)
+            below = along < at
+            if 0 < below.sum() < len(rows):
+                way[node], cut[node], cell[node] = main, at, -1
+                low[node] = grow(rows[below])
+                high[node] = grow(rows[~below])
+                return node
+        way[node], cell[node] = np.zeros(d), len(pivots)
+        pivots.append(middle)
+        return node
+
+    grow(np.arange(len(sample)))
+    gaps = sample - sample.mean(0) if len(sample) else np.zeros((1, d))
+    axes = np.linalg.eigh(gaps.T @ gaps)[1][:, ::-1][:, :DIRECTIONS]
+    return CellTree(np.array(way, float).reshape(-1, d), np.array(cut, float), np.array(low), np.array(high), np.array(cell),
+                    np.array(pivots), axes)
+
+
+@dataclass
+class CellBounds:
+    """Cells of one group: numbers, points, radius around the pivot, box in the leading directions."""
+
+    cell: np.ndarray
+    n: np.ndarray
+    radius: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    def below(self, x: np.ndarray, tree: CellTree) -> np.ndarray:
+        """Lower bounds of the distances from the rows of ``x`` to the points of each cell."""
+        along = x @ tree.axes
+        out = np.empty((len(x), len(self.cell)))
+        for k in range(len(self.cell)):
+            outside = np.maximum(0.0, np.maximum(self.low[k] - along, along - self.high[k]))
+            far = np.sqrt(((x - tree.pivots[self.cell[k]]) ** 2).sum(1)) - self.radius[k]
+            out[:, k] = np.maximum(np.sqrt((outside * outside).sum(1)), far)
+        return out
+
+
+def _vectors(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width) if len(column) else np.empty((0, width))
+
+
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    """A column of a table as one array."""
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+
+
+def _celled(batches: Iterator[pa.RecordBatch], tree: CellTree, at: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x = _vectors(batch.column(at), tree.way.shape[1])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tree.cells_of(x).astype(np.int32))], [*batch.schema.names, "cell"])
+
 
-from .topk import top_k_per_group
+def _bound_rows(batches: Iterator[pa.RecordBatch], tree: CellTree) -> Iterator[pa.RecordBatch]:
+    """Per (grp, cell) of a batch: points, radius, box."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        grp, cell = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        x = _vectors(batch.column(2), tree.way.shape[1])
+        order = np.lexsort((cell, grp))
+        grp, cell, x = grp[order], cell[order], x[order]
+        starts = np.concatenate([[0], np.flatnonzero((grp[1:] != grp[:-1]) | (cell[1:] != cell[:-1])) + 1])
+        along, far = x @ tree.axes, np.sqrt(((x - tree.pivots[cell]) ** 2).sum(1))
+        low, high = np.minimum.reduceat(along, starts), np.maximum.reduceat(along, starts)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(grp[starts]), pa.array(cell[starts]), pa.array(np.diff([*starts, len(grp)])), pa.array(np.maximum.reduceat(far, starts)),
+             pa.array(list(low), pa.list_(pa.float64())), pa.array(list(high), pa.list_(pa.float64()))],
+            ["grp", "cell", "n", "radius", "low", "high"])
 
-TARGET_BUCKET_ROWS = 256
-MAX_BUCKETS = 100_000
-UNROLL_DIMENSIONS = 16
 
+class _Nearest:
+    """The ``size`` best (distance, key) of each query of a block."""
 
-def _dot(vec: F.Column, u: list[float]) -> F.Column:
-    """u . vec."""
-    return F.aggregate(F.zip_with(vec, F.array(*[F.lit(float(x)) for x in u]), lambda a, b: a * b), F.lit(0.0),
-                       lambda acc, t: acc + t)
+    def __init__(self, queries: int, size: int):
+        self.size = size
+        self.query = self.key = np.empty(0, np.int64)
+        self.dist = self.load = np.empty(0)
+        self.worst = np.full(queries, np.inf)
 
+    def push(self, query: np.ndarray, dist: np.ndarray, key: np.ndarray, load: np.ndarray) -> None:
+        if not len(query):
+            return
+        query, dist, key, load = (np.concatenate(x) for x in ((self.query, query), (self.dist, dist), (self.key, key), (self.load, load)))
+        order = np.lexsort((key, dist, query))
+        query, dist, key, load = query[order], dist[order], key[order], load[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        kept = place < self.size
+        self.query, self.dist, self.key, self.load = query[kept], dist[kept], key[kept], load[kept]
+        last = place == self.size - 1
+        self.worst[query[last]] = dist[last]
 
-def _dist(a: F.Column, b: F.Column, dim: int) -> F.Column:
-    """Euclidean distance; unrolled for few dimensions only, where the generated code stays small."""
-    if dim <= UNROLL_DIMENSIONS:
-        return F.sqrt(reduce(lambda acc, t: acc + t, [(a[i] - b[i]) * (a[i] - b[i]) for i in range(dim)]))
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, t: acc + t))
 
+def _compare(nearest: _Nearest, q: np.ndarray, own: np.ndarray, x: np.ndarray, key: np.ndarray, load: np.ndarray) -> None:
+    """Rows that may be nearer are chosen by a matrix product, with room for its rounding; their distances are plain sums."""
+    q2, x2 = (q * q).sum(1), (x * x).sum(1)
+    rough = q2[:, None] + x2 - 2.0 * (q @ x.T)
+    room = 1e-9 * (q2[:, None] + x2) + 1e-12
+    near = rough - room <= (nearest.worst ** 2)[:, None]
+    near &= own[:, None] != key
+    query, row = np.nonzero(near)
+    if len(query) > 4 * nearest.size * len(q):  # many: only the best by the rough distance, ties and rounding included
+        rough[~near] = np.inf
+        last = min(nearest.size, rough.shape[1]) - 1
+        near &= rough - 2 * room <= np.partition(rough, last, 1)[:, [last]]
+        query, row = np.nonzero(near)
+    total = np.zeros(len(query))
+    for j in range(q.shape[1]):
+        gap = q[query, j] - x[row, j]
+        total += gap * gap
+    nearest.push(query, np.sqrt(total), key[row], load[row])
 
-def principal_direction(ref: DataFrame, vec_col: str = "vec") -> list[float]:
-    """First principal component of the reference vectors (distributed covariance)."""
-    dim = len(ref.select(vec_col).first()[0])
-    if dim == 1:
-        return [1.0]
-    model = PCA(k=1, inputCol="_v", outputCol="_p").fit(ref.select(array_to_vector(vec_col).alias("_v")))
-    u = [float(x) for x in model.pc.toArray()[:, 0]]
-    norm = math.sqrt(sum(x * x for x in u)) or 1.0
-    return [x / norm for x in u]
 
+def _block_rows(batches: Iterator[pa.RecordBatch], size: int, width: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of queries (kind 0, sorted first) and the points they asked for (kind 1): the queries with their nearest."""
+    block, parts, state = None, [], None
 
-def knn_join(queries: DataFrame, ref: DataFrame, k: int, exclude_self: bool = False,
-             vec_col: str = "vec") -> DataFrame:
+    def finished() -> Iterator[pa.RecordBatch]:
+        if not parts:
+            return
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        nearest = state[0] if state else opened(rows)[0]
+        ends = np.searchsorted(nearest.query, np.arange(rows.num_rows + 1)).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(v, kind)) for v, kind in (
+            (nearest.key, pa.int64()), (nearest.dist, pa.float64()), (nearest.load, pa.float64()))]
+        seen = rows["seen"].to_numpy()
+        columns = [_whole(rows[c]) for c in ("block", "grp", "qid", "own", "cell", "vec")]
+        yield pa.RecordBatch.from_arrays([*columns, *lists, pa.array(seen + (state[3] if state else 0))],
+                                         ["block", "grp", "qid", "own", "cell", "vec", "keys", "dists", "loads", "seen"])
+
+    def opened(rows: pa.Table) -> list:
+        """Nearest so far, query vectors, query keys, points seen."""
+        nearest = _Nearest(rows.num_rows, size)
+        held = rows["keys"].combine_chunks()
+        counts = np.array([len(v) if v.is_valid else 0 for v in held], np.int64)
+        if counts.sum():
+            flat = [np.concatenate([np.asarray(v) for v in rows[c].to_pylist() if v]) for c in ("dists", "keys", "loads")]
+            nearest.push(np.repeat(np.arange(rows.num_rows), counts), flat[0].astype(float), flat[1].astype(np.int64), flat[2].astype(float))
+        return [nearest, _vectors(_whole(rows["vec"]), width), rows["own"].to_numpy(), 0]
+
+    for batch in batches:
+        blocks = batch.column(0).to_numpy(zero_copy_only=False)
+        kinds = batch.column(1).to_numpy(zero_copy_only=False)
+        borders = np.flatnonzero((blocks[1:] != blocks[:-1]) | (kinds[1:] != kinds[:-1])) + 1
+        for a, b in zip([0, *borders], [*borders, len(blocks)]):
+            if a == b:
+                continue
+            if blocks[a] != block:
+                yield from finished()
+                block, parts, state = blocks[a], [], None
+            part = batch.slice(a, b - a)
+            if kinds[a] == 0:
+                parts.append(part)
+                continue
+            if not parts:
+                continue  # points for a block without queries
+            if state is None:
+                state = opened(pa.Table.from_batches(parts).combine_chunks())
+            for at in range(0, part.num_rows, SLICE):
+                some = part.slice(at, SLICE)
+                x = _vectors(some.column(some.schema.get_field_index("vec")), width)
+                key = some.column(some.schema.get_field_index("own")).to_numpy(zero_copy_only=False)
+                load = some.column(some.schema.get_field_index("load")).to_numpy(zero_copy_only=False)
+                _compare(state[0], state[1], state[2], x, key, load)
+                state[3] += some.num_rows
+    yield from finished()
+
+
+def _asked_rows(batches: Iterator[pa.RecordBatch], tree: CellTree, bounds: dict, visited: dict, size: int) -> Iterator[pa.RecordBatch]:
+    """(block, grp, visit): cells that some query of a block still needs."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        block, grp, cell = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+        x, dists = _vectors(batch.column(3), tree.way.shape[1]), batch.column(4)
+        counts = np.diff(dists.offsets.to_numpy())
+        worst = np.full(len(block), np.inf)
+        full = counts >= size
+        worst[full] = dists.flatten().to_numpy(zero_copy_only=False)[np.cumsum(counts)[full] - 1]
+        out = set()
+        for g in np.unique(grp).tolist():
+            rows, known = np.flatnonzero(grp == g), bounds[g]
+            for at in range(0, len(rows), BLOCK):
+                some = rows[at:at + BLOCK]
+                # a little room, so that rounding of the bounds never leaves out a tie
+                needed = known.below(x[some], tree) <= (worst[some] * (1 + 1e-9) + 1e-9)[:, None]
+                for k in np.unique(block[some]).tolist():
+                    mine = block[some] == k
+                    own = int(cell[some][mine][0])
+                    out |= {(k, g, int(c)) for c in known.cell[needed[mine].any(0)] if int(c) not in visited[g, own]}
+        cells = sorted(out)
+        yield pa.RecordBatch.from_arrays([pa.array([c[i] for c in cells], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.int32()))],
+                                         ["block", "grp", "visit"])
+
+
+def _numbered(ids: DataFrame) -> DataFrame:
+    """(id, key): a BIGINT per different id, in id order."""
+    one = ids.select("id").distinct().withColumn("one", F.lit(1).cast("bigint"))
+    return running_totals(one, [], ["id"], ["one"]).select("id", F.col("one_before").alias("key"))
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def knn_join(queries: DataFrame, ref: DataFrame, k: int, exclude_self: bool = False, vec_col: str = "vec",
+             group: str | None = None, load: Column | None = None, with_candidates: bool = False) -> DataFrame:
     """(qid, rank, rid, dist) for the k nearest reference rows of every query.
 
     ``queries`` has (id, vec); ``ref`` has (id, vec, ...).  With
     ``exclude_self`` a reference row never matches the query with the same ID.
     Ties are broken by the reference ID.
 
-    Identical vectors are collapsed first on both sides: when the reference
-    side repeats a vector (one distinct-count check), a distinct reference
-    vector keeps only its k (+1 with ``exclude_self``) smallest IDs, which is
-    all an exact top-k can use; each distinct query vector is searched once
-    and fanned back out to its IDs.  A vector repeated in a third of the
-    rows therefore costs one candidate, not a third of all pairs.
+    ``group`` names an int column of both sides: a join of its own per value, which comes back in ``grp``.  ``load`` is a
+    number per reference row that comes back beside it; ``with_candidates`` adds how many rows a query was compared with.
     """
-    kk = k + 1 if exclude_self else k
-    r_all = ref.select(F.col("id").alias("rid"), F.col(vec_col).alias("rvec"))
-    sizes = r_all.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("rvec").alias("nd")).first()  # one row
-    if sizes["nd"] < sizes["n"]:
-        r_top = top_k_per_group(r_all, ["rvec"], [F.col("rid")], kk, "_r")
-        # at most kk IDs per distinct vector: a bounded list
-        rd = r_top.groupBy("rvec").agg(F.sort_array(F.collect_list("rid")).alias("rids"))
-    else:
-        # no repeated vector: every reference row is its own distinct vector
-        rd = r_all.select("rvec", F.array("rid").alias("rids"))
-    q_all = queries.select(F.col("id").alias("qid"), F.col(vec_col).alias("qvec"))
-    qsizes = q_all.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("qvec").alias("nd")).first()  # one row
-    if qsizes["nd"] < qsizes["n"]:
-        # repeated query vectors are searched once: key = the vector's exact text
-        q_all = q_all.withColumn("qk", F.to_json(F.col("qvec")))
-        qd = q_all.select("qk", "qvec").distinct()
+    spark = queries.sparkSession
+    ship_package(spark)
+    grp = F.lit(0) if group is None else F.col(group)
+    vec = F.transform(F.col(vec_col), lambda x: x.cast("double"))
+    integral = isinstance(ref.schema["id"].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    carried = F.lit(0.0) if load is None else load.cast("double")
+    points = ref.select(grp.cast("int").alias("grp"), F.col("id"), vec.alias("vec"), carried.alias("load"))
+    asked = queries.select(grp.cast("int").alias("grp"), F.col("id").alias("qid"), vec.alias("vec"))
+    none = F.lit(None).cast("bigint")
+    if integral:
+        points = points.withColumn("key", F.col("id").cast("bigint"))
+        asked = asked.withColumn("own", F.col("qid").cast("bigint") if exclude_self else none)
     else:
-        # all distinct: key = the query ID (no grouping on arrays)
-        q_all = q_all.withColumn("qk", F.col("qid").cast("string"))
-        qd = q_all.select("qk", "qvec")
-
-    u = principal_direction(rd.select(F.col("rvec").alias("vec")), "vec")
-    dim = len(u)
-    r = rd.withColumn("rp", _dot(F.col("rvec"), u))
-    q = qd.withColumn("qp", _dot(F.col("qvec"), u))
-    n_ref = r.count()
-    nb = int(min(MAX_BUCKETS, max(1, n_ref // TARGET_BUCKET_ROWS)))
-    probs = [i / nb for i in range(1, nb)]
-    cuts = sorted(set(r.approxQuantile("rp", probs, 1.0 / (4 * nb)))) if probs else []  # nb - 1 numbers
-    splits = [-math.inf] + [c for c in cuts if math.isfinite(c)] + [math.inf]
-    if len(splits) < 3:
-        splits = [-math.inf, 0.0, math.inf]
-    n_buckets = len(splits) - 1
-    rb = Bucketizer(splits=splits, inputCol="rp", outputCol="_b").transform(r).withColumn("b", F.col("_b").cast("int"))
-    qb = Bucketizer(splits=splits, inputCol="qp", outputCol="_b").transform(q).withColumn("b", F.col("_b").cast("int"))
-
-    def pairs(qs: DataFrame) -> DataFrame:
-        j = qs.join(rb.drop("_b"), "b")
-        j = j.select("qk", "qp", _dist(F.col("qvec"), F.col("rvec"), dim).alias("dist"), F.explode("rids").alias("rid"))
-        return j
-
-    order = [F.col("dist"), F.col("rid")]
-    # round 1: own bucket and both neighbours
-    q1 = qb.select("qk", "qvec", "qp", F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("b"))
-    q1 = q1.where((F.col("b") >= 0) & (F.col("b") < n_buckets))
-    c1 = top_k_per_group(pairs(q1), ["qk"], order, kk, "rank")
-    bound = c1.groupBy("qk").agg(F.max("dist").alias("r_q"), F.count(F.lit(1)).alias("n_c"))
-    qr = qb.join(bound, "qk", "left").withColumn(
-        "r_q", F.when(F.col("n_c") >= kk, F.col("r_q")).otherwise(F.lit(math.inf)))
-    # a little slack so that floating error in the projections never drops a tie at r_q
-    slack = F.col("r_q") * (1 + 1e-9) + 1e-12
-    qr = qr.withColumn("lo_p", F.col("qp") - slack).withColumn("hi_p", F.col("qp") + slack)
-    qr = Bucketizer(splitsArray=[splits, splits], inputCols=["lo_p", "hi_p"], outputCols=["lo_b", "hi_b"],
-                    handleInvalid="keep").transform(qr)
-    # round 2: buckets of the certified band not scanned in round 1
-    extra = qr.select("qk", "qvec", "qp", F.explode(F.sequence(F.col("lo_b").cast("int"), F.col("hi_b").cast("int")))
-                      .alias("b2"), F.col("b").alias("b0"))
-    extra = extra.where(F.abs(F.col("b2") - F.col("b0")) > 1).select("qk", "qvec", "qp", F.col("b2").alias("b"))
-    cand = c1.select("qk", "rid", "dist").unionByName(pairs(extra).select("qk", "rid", "dist"))
-    best = top_k_per_group(cand, ["qk"], order, kk, "rank").select("qk", "rid", "dist")
-    # fan out to the query IDs: at most kk rows per query
-    per_q = q_all.select("qid", "qk").join(best, "qk")
-    if exclude_self:
-        per_q = per_q.where(F.col("qid") != F.col("rid"))
-    w = Window.partitionBy("qid").orderBy("dist", "rid")  # at most kk rows per query
-    return (per_q.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
-            .select("qid", "rank", "rid", "dist"))
+        numbers = _written(_numbered(ref), "numbers")
+        points = points.join(numbers, "id")
+        mine = numbers.select(F.col("id").alias("_id"), F.col("key").alias("own"))
+        asked = (asked.join(mine, F.col("qid") == F.col("_id"), "left").drop("_id") if exclude_self
+                 else asked.withColumn("own", none))
+    asked = asked.withColumn("own", F.coalesce("own", F.lit(np.iinfo(np.int64).min + 1)))
+    points = _written(points.select("grp", "key", "load", "vec"), "points")
 
+    # the index: cuts from a bounded sample, exact bounds from all points
+    some = points.orderBy(F.xxhash64("key", "grp"), "key").limit(SAMPLE_ROWS).select("vec").toArrow()
+    if not some.num_rows:
+        kind = ref.schema["id"].dataType.simpleString()
+        empty = asked.where("false").select("grp", "qid", F.lit(0).alias("rank"), F.lit(None).cast(kind).alias("rid"),
+                                            F.lit(0.0).alias("dist"), F.lit(0.0).alias("load"), F.lit(0).cast("bigint").alias("candidates"))
+        return _shaped(empty, group, load, with_candidates)
+    width = len(some["vec"][0])
+    sample = _vectors(_whole(some["vec"]), width)
+    sizes = {r["grp"]: r["count"] for r in points.groupBy("grp").count().collect()}  # a row per group
+    tree = cell_tree(sample, max(1, max(sizes.values()) // CELL_ROWS))
+    held = spark.sparkContext.broadcast(tree)
+    celled = points.mapInArrow(lambda b: _celled(b, held.value, 3), "grp int, key bigint, load double, vec array<double>, cell int")
+    p = tree.axes.shape[1]
+    parts = celled.select("grp", "cell", "vec").mapInArrow(
+        lambda b: _bound_rows(b, held.value), "grp int, cell int, n bigint, radius double, low array<double>, high array<double>")
+    known = parts.groupBy("grp", "cell").agg(
+        F.sum("n").alias("n"), F.max("radius").alias("radius"), F.array(*[F.min(F.col("low")[i]) for i in range(p)]).alias("low"),
+        F.array(*[F.max(F.col("high")[i]) for i in range(p)]).alias("high")).orderBy("grp", "cell").collect()  # groups x cells
+    bounds = {g: CellBounds(*[np.array([r[c] for r in known if r["grp"] == g]) for c in ("cell", "n", "radius", "low", "high")])
+              for g in sizes}
 
-def knn_scores(queries: DataFrame, ref: DataFrame, k: int, weights: str = "uniform",
-               label_col: str = "target") -> DataFrame:
-    """(id, score, prediction): share (or 1/d-weighted share) of positive labels among the k nearest.
+    # blocks of queries, by cell; groups without points have no neighbours
+    counted = asked.mapInArrow(lambda b: _celled(b, held.value, 2),
+                               T.StructType([*asked.schema.fields, T.StructField("cell", T.IntegerType())]))
+    counted = _written(counted.where(F.col("grp").isin(list(sizes))), "queries")
+    subs = {(r["grp"], r["cell"]): -(-r["count"] // BLOCK) for r in counted.groupBy("grp", "cell").count().collect()}
+    kk = k + 1 if exclude_self else k
+    visited: dict[tuple[int, int], set[int]] = {}
+    visits = []
+    for g, c in subs:
+        b = bounds[g]
+        nearby = np.argsort(((tree.pivots[b.cell] - tree.pivots[c]) ** 2).sum(1), kind="stable")
+        enough = int(np.searchsorted(np.cumsum(b.n[nearby]), kk)) + 1
+        visited[g, c] = {int(x) for x in b.cell[nearby[:enough]]}
+        visits += [(g, c, s, x) for x in visited[g, c] for s in range(subs[g, c])]
+    plan = spark.createDataFrame(visits, "grp int, cell int, sub int, visit int") if visits else spark.createDataFrame(
+        [], "grp int, cell int, sub int, visit int")
+    many = spark.createDataFrame([(g, c, n) for (g, c), n in subs.items()], "grp int, cell int, subs int")
+    block = F.xxhash64("grp", "cell", "sub")
+    # both small tables have a row or a few per group and cell (queries / BLOCK at most for the first)
+    placed = counted.join(many, ["grp", "cell"]).withColumn(
+        "sub", F.pmod(F.xxhash64("qid"), F.col("subs")).cast("int")).withColumn("block", block)
+    longs, doubles = F.lit(None).cast("array<bigint>"), F.lit(None).cast("array<double>")
+    shape = T.StructType([T.StructField("block", T.LongType()), T.StructField("grp", T.IntegerType()),
+                          T.StructField("qid", counted.schema["qid"].dataType), T.StructField("own", T.LongType()),
+                          T.StructField("cell", T.IntegerType()), T.StructField("vec", T.ArrayType(T.DoubleType())),
+                          T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("dists", T.ArrayType(T.DoubleType())),
+                          T.StructField("loads", T.ArrayType(T.DoubleType())), T.StructField("seen", T.LongType())])
 
-    The ids of ``ref`` have to be unique (repeated training rows get a key of their own).
-    """
-    nn = knn_join(queries, ref, k).join(ref.select(F.col("id").alias("rid"), F.col(label_col).alias("_y")), "rid")
-    if weights == "distance":
-        has_zero = F.max((F.col("dist") == 0).cast("int")).over(Window.partitionBy("qid"))  # k rows per query
-        w = F.when(has_zero == 1, (F.col("dist") == 0).cast("double")).otherwise(1.0 / F.col("dist"))
-        nn = nn.withColumn("_w", w)
+    def compared(queries: DataFrame, visiting: DataFrame) -> DataFrame:
+        """``visiting``: (block, grp, visit)."""
+        q = queries.select("block", F.lit(0).alias("kind"), "grp", "qid", "own", "cell", "vec", "keys", "dists", "loads", "seen",
+                           F.lit(0.0).alias("load"))
+        kind = counted.schema["qid"].dataType
+        to = visiting.select("block", F.col("grp").alias("_g"), F.col("visit").alias("_c"))
+        x = celled.join(to, (F.col("grp") == F.col("_g")) & (F.col("cell") == F.col("_c"))).select(
+            "block", F.lit(1).alias("kind"), "grp", F.lit(None).cast(kind).alias("qid"), F.col("key").alias("own"), "cell", "vec",
+            longs.alias("keys"), doubles.alias("dists"), doubles.alias("loads"), F.lit(0).cast("bigint").alias("seen"), "load")
+        rows = q.unionByName(x).repartition("block").sortWithinPartitions("block", "kind")
+        return rows.mapInArrow(lambda b: _block_rows(b, k, width), shape)
+
+    first = _written(compared(placed.select("*", longs.alias("keys"), doubles.alias("dists"), doubles.alias("loads"),
+                                            F.lit(0).cast("bigint").alias("seen")),
+                              plan.withColumn("block", block).select("block", "grp", "visit")), "nearest")
+    table = spark.sparkContext.broadcast((bounds, visited))
+    more = first.select("block", "grp", "cell", "vec", "dists").mapInArrow(
+        lambda b: _asked_rows(b, held.value, *table.value, k), "block bigint, grp int, visit int").distinct()
+    best = compared(first, more)
+    rows = best.select("grp", "qid", "seen", F.posexplode(F.arrays_zip("keys", "dists", "loads")).alias("_at", "_n"))
+    out = rows.select("grp", "qid", (F.col("_at") + 1).cast("int").alias("rank"), F.col("_n.keys").alias("_key"),
+                      F.col("_n.dists").alias("dist"), F.col("_n.loads").alias("load"), F.col("seen").alias("candidates"))
+    if integral:
+        out = out.withColumn("rid", F.col("_key").cast(ref.schema["id"].dataType))
     else:
-        nn = nn.withColumn("_w", F.lit(1.0))
-    agg = nn.groupBy("qid").agg((F.sum(F.col("_w") * F.col("_y")) / F.sum("_w")).alias("score"))
-    return agg.select(F.col("qid").alias("id"), "score", (F.col("score") > 0.5).cast("int").alias("prediction"))
+        out = out.join(numbers.select(F.col("id").alias("rid"), F.col("key").alias("_key")), "_key")
+    return _shaped(out, group, load, with_candidates)
+
 
+def _shaped(rows: DataFrame, group: str | None, load: Column | None, with_candidates: bool) -> DataFrame:
+    extra = ["grp"] * (group is not None) + ["qid", "rank", "rid", "dist"] + ["load"] * (load is not None)
+    return rows.select(*extra, *["candidates"] * with_candidates)
 
-def to_vector_col(df: DataFrame, cols, out: str = "vec") -> DataFrame:
-    return df.withColumn(out, F.array(*[F.col(c).cast("double") for c in cols]))
 
+def knn_votes(queries: DataFrame, ref: DataFrame, candidates: Sequence[tuple[int, str]], label_col: str = "target",
+              group: str | None = None) -> DataFrame:
+    """(grp?, id, candidate, score, prediction) for every (k, weights) of ``candidates``, from one join at the largest k.
 
-__all__ = ["knn_join", "knn_scores", "principal_direction", "to_vector_col", "vector_to_array"]
+    The score is the share of positive labels among the k nearest, or the share weighted by 1/distance (rows at distance 0,
+    if there are any, alone).  The ids of ``ref`` have to be unique within a group.
+    """
+    nn = knn_join(queries, ref, max(k for k, _ in candidates), group=group, load=F.col(label_col))
+    zero, y = F.col("dist") == 0, F.col("load")
+    sums, scores = [], []
+    for i, (k, weights) in enumerate(candidates):
+        inside = F.col("rank") <= k
+        if weights == "distance":
+            far = F.when(inside & ~zero, 1.0 / F.col("dist"))
+            sums += [F.count_if(inside & zero).alias(f"z{i}"), F.sum(F.when(inside & zero, y)).alias(f"zy{i}"),
+                     F.sum(far).alias(f"f{i}"), F.sum(far * y).alias(f"fy{i}")]
+            share = F.when(F.col(f"z{i}") > 0, F.col(f"zy{i}") / F.nullif(F.col(f"z{i}"), F.lit(0))).otherwise(
+                F.col(f"fy{i}") / F.col(f"f{i}"))
+        else:
+            sums += [F.count_if(inside).alias(f"n{i}"), F.sum(F.when(inside, y)).alias(f"y{i}")]
+            share = F.col(f"y{i}") / F.col(f"n{i}")
+        scores.append(F.struct(F.lit(i).alias("candidate"), share.alias("score")))
+    keys = ["grp", "qid"] if group else ["qid"]
+    voted = nn.groupBy(*keys).agg(*sums).select(*keys, F.inline(F.array(*scores)))
+    return voted.select(*["grp"] * (group is not None), F.col("qid").alias("id"), "candidate", "score",
+                        (F.col("score") > 0.5).cast("int").alias("prediction"))
+
+
+def knn_scores(queries: DataFrame, ref: DataFrame, k: int, weights: str = "uniform",
+               label_col: str = "target") -> DataFrame:
+    """(id, score, prediction) of one k and one weighting."""
+    return knn_votes(queries, ref, [(k, weights)], label_col).drop("candidate")

@@ -10,8 +10,9 @@ column:
   third of the rows collapses to one row before the shuffle.
 
 Exact quartiles use the running-sum ECDF over ``value_counts`` (no single task
-per column).  Correlations are one plain aggregation of pairwise-complete
-moments over the wide table, in chunks.
+per column).  Correlations are pairwise-complete moments of all pairs from one
+scan: masked matrix products of column blocks (each task holds 48 bytes per pair
+of features).
 
 Fixed values that results depend on:
     correlation threshold 0.8 (inclusive), imbalance threshold 0.47 (strict),
@@ -21,13 +22,18 @@ Fixed values that results depend on:
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..cohort import Cohort
 from ..functions.numeric import as_double, qcol, ratio
-from ..session import checkpoint_root
+from ..session import checkpoint_root, ship_package
 from .prefix import running_totals
 from .topk import top_k_per_group
 
@@ -38,7 +44,8 @@ LOW_CARDINALITY_THRESHOLD = 15
 HISTOGRAM_BINS = 20
 FENCE_FACTOR = 1.5
 EXAMPLE_VALUES = 3
-CORRELATION_PAIRS_PER_AGG = 300
+#: Columns per block of the correlation's products.
+GRAM_BLOCK = 128
 
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
@@ -159,27 +166,51 @@ def distinct_count(cohort: Cohort, stats: DataFrame | None = None) -> DataFrame:
     return stats.select("variable", "n_distinct")
 
 
+def example_text(value: Column) -> Column:
+    """A number as text: whole numbers without a fraction, others with at most six places."""
+    whole = value == F.floor(value)
+    return F.when(whole, F.format_string("%.0f", value)).otherwise(
+        F.regexp_replace(F.format_string("%.6f", value), r"0+$", ""))
+
+
 def variable_info(cohort: Cohort) -> DataFrame:
-    """Name, type, missing %, distinct count for the ID, the features and the target."""
+    """Name, type, missing %, distinct count and example values for the ID, the features and the target.
+
+    Examples are three distinct present values as text, joined by ", ": those of a feature by their first ID, the
+    smallest IDs and target values.
+    """
     df = cohort.df
-    stats = column_stats(cohort)
+    vc = shared_value_counts(cohort)
+    stats = column_stats(cohort, vc)
+    examples = example_values(cohort, vc).groupBy("variable").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("_v"))  # three per feature
     feats = stats.select(
         (F.col("ordinal") + 1).alias("ordinal"), F.col("variable").alias("name"), variable_type_expr().alias("type"),
         (ratio(F.col("n_missing"), F.col("n_rows")) * 100).alias("missing"),
-        F.col("n_distinct").alias("distinct_values"))
+        F.col("n_distinct").alias("distinct_values")).join(
+            examples.select(F.col("variable").alias("name"), F.array_join(F.transform("_v", lambda x: example_text(x["value"])), ", ")
+                            .alias("examples")), "name", "left").select(
+            "ordinal", "name", "type", "missing", "distinct_values", F.coalesce("examples", F.lit("")).alias("examples"))
     idc, tc = qcol(cohort.id_col), qcol(cohort.target_col)
     ends = df.agg(
         F.count(F.lit(1)).alias("_n"),
         F.count_if(idc.isNull()).alias("_mid"), F.countDistinct(idc).alias("_did"),
         F.count_if(tc.isNull()).alias("_mt"), F.countDistinct(tc).alias("_dt"),
     )
+
+    def lowest(c: Column, name: str) -> DataFrame:
+        """One row: the three smallest values as text."""
+        few = df.where(c.isNotNull()).select(c.alias("v")).distinct().orderBy("v").limit(EXAMPLE_VALUES)
+        return few.agg(F.array_join(F.transform(F.array_sort(F.collect_list("v")), lambda x: x.cast("string")), ", ").alias(name))
+
+    ends = ends.crossJoin(lowest(idc, "_ei")).crossJoin(lowest(tc, "_et"))  # one row each
     nf = len(cohort.feature_cols)
     id_row = ends.select(F.lit(0).alias("ordinal"), F.lit(cohort.id_col).alias("name"), F.lit("ID").alias("type"),
                          (ratio(F.col("_mid"), F.col("_n")) * 100).alias("missing"),
-                         F.col("_did").cast("bigint").alias("distinct_values"))
+                         F.col("_did").cast("bigint").alias("distinct_values"), F.col("_ei").alias("examples"))
     t_row = ends.select(F.lit(nf + 1).alias("ordinal"), F.lit(cohort.target_col).alias("name"),
                         F.lit("Target").alias("type"), (ratio(F.col("_mt"), F.col("_n")) * 100).alias("missing"),
-                        F.col("_dt").cast("bigint").alias("distinct_values"))
+                        F.col("_dt").cast("bigint").alias("distinct_values"), F.col("_et").alias("examples"))
     return id_row.unionByName(feats).unionByName(t_row)
 
 
@@ -360,33 +391,64 @@ def histogram_labels(hist: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- correlation
+def _gram_rows(batches: Iterator[pa.RecordBatch], shift: np.ndarray, block: int) -> Iterator[pa.RecordBatch]:
+    """Per pair of column blocks: products of values, squares and presence over the rows of this task.
+
+    Per cell (i, j), over rows where both are present: count, sums of i and j, of their squares, of their product.
+    """
+    d = len(shift)
+    starts = range(0, d, block)
+    total = {(a, b): np.zeros((6, min(block, d - a), min(block, d - b))) for a in starts for b in starts if a <= b}
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, d) - shift
+        there = (~np.isnan(x)).astype(float)
+        x = np.where(there > 0, x, 0.0)
+        square = x * x
+        for (a, b), sums in total.items():
+            i, j = slice(a, a + block), slice(b, b + block)
+            for k, (left, right) in enumerate(((there, there), (x, there), (there, x), (square, there), (there, square), (x, x))):
+                sums[k] += left[:, i].T @ right[:, j]
+    keys = sorted(total)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([a for a, _ in keys], pa.int32()), pa.array([b for _, b in keys], pa.int32()),
+         pa.array([total[key].ravel() for key in keys], pa.list_(pa.float64()))], ["a", "b", "sums"])
+
+
 def correlation_matrix(cohort: Cohort) -> DataFrame:
-    """Pearson r for every feature pair (upper triangle), pairwise complete; undefined pairs dropped."""
-    df = cohort.df
-    feats = list(cohort.feature_cols)
-    vals = {c: as_double(qcol(c), _dtype(df, c)) for c in feats}
-    pairs = [(i, j) for i in range(len(feats)) for j in range(i + 1, len(feats))]
-    parts = []
-    for start in range(0, len(pairs), CORRELATION_PAIRS_PER_AGG):
-        chunk = pairs[start:start + CORRELATION_PAIRS_PER_AGG]
-        aggs = []
-        for i, j in chunk:
-            a, b = vals[feats[i]], vals[feats[j]]
-            both = a.isNotNull() & b.isNotNull()
-            r = F.try_divide(F.covar_pop(a, b),
-                             F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b)))
-            aggs.append(r.alias(f"r_{i}_{j}"))
-        wide = df.agg(*aggs)
-        cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(feats[i]).alias("var_a"),
-                                   F.lit(feats[j]).alias("var_b"), F.col(f"r_{i}_{j}").alias("r"))
-                          for i, j in chunk])
-        parts.append(wide.select(F.inline(cells)))
-    if not parts:
-        return df.sparkSession.createDataFrame([], "i int, j int, var_a string, var_b string, r double")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.where(F.col("r").isNotNull() & ~F.isnan("r"))
+    """Pearson r for every feature pair (upper triangle), pairwise complete; undefined pairs dropped.
+
+    One scan, however many features: masked products of column blocks per task, summed per block and place.
+    """
+    df, feats = cohort.df, list(cohort.feature_cols)
+    spark, d = df.sparkSession, len(feats)
+    if d < 2:
+        return spark.createDataFrame([], "i int, j int, var_a string, var_b string, r double")
+    ship_package(spark)
+    values = df.select(F.array(*[as_double(qcol(c), _dtype(df, c)) for c in feats]).alias("x"))
+    # a value near the column's keeps the sums of squares exact; any present value will do
+    first = df.agg(*[F.first(as_double(qcol(c), _dtype(df, c)), ignorenulls=True) for c in feats]).first()
+    shift = np.array([float(v) if v is not None and math.isfinite(v) else 0.0 for v in first])
+    parts = values.mapInArrow(lambda batches: _gram_rows(batches, shift, GRAM_BLOCK), "a int, b int, sums array<double>")
+    sums = parts.select("a", "b", F.posexplode("sums").alias("at", "v")).groupBy("a", "b", "at").agg(F.sum("v").alias("v"))
+    # place of a value in its block: [kind][row][column]
+    rows, cols = F.least(F.lit(GRAM_BLOCK), F.lit(d) - F.col("a")), F.least(F.lit(GRAM_BLOCK), F.lit(d) - F.col("b"))
+    kind = F.floor(F.col("at") / (rows * cols)).cast("int")
+    cell = F.col("at") % (rows * cols)
+    placed = sums.select((F.col("a") + F.floor(cell / cols)).cast("int").alias("i"), (F.col("b") + cell % cols).cast("int").alias("j"),
+                         kind.alias("kind"), "v").where("i < j")
+    names = ("n", "si", "sj", "sii", "sjj", "sij")
+    pair = placed.groupBy("i", "j").agg(*[F.sum(F.when(F.col("kind") == k, F.col("v"))).alias(x) for k, x in enumerate(names)])
+    n = F.nullif(F.col("n"), F.lit(0.0))
+    cov = F.col("sij") / n - F.col("si") / n * (F.col("sj") / n)
+    spread = [F.col(f"s{x}{x}") / n - F.pow(F.col(f"s{x}") / n, F.lit(2)) for x in "ij"]
+    # a spread within rounding of its sums is none
+    some = [F.when(v > 1e-13 * (F.col(f"s{x}{x}") / n), v) for x, v in zip("ij", spread)]
+    r = cov / F.sqrt(some[0] * some[1])
+    table = F.array(*[F.lit(c) for c in feats])
+    return pair.select("i", "j", table[F.col("i")].alias("var_a"), table[F.col("j")].alias("var_b"),
+                       F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)).alias("r")).where(F.col("r").isNotNull() & ~F.isnan("r"))
 
 
 def correlated_pairs(cohort: Cohort, matrix: DataFrame | None = None) -> DataFrame:

@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..cohort import Cohort
@@ -43,13 +43,15 @@ from . import evaluation as E
 from . import folds as FO
 from . import grids as G
 from . import learners as L
-from .foldstats import leave_fold_out_medians
-from .knn import knn_scores
+from . import batched as BT
+from .foldstats import leave_out_medians
+from .knn import knn_scores, knn_votes
 from ..session import scratch_path
 from .prep import FeatureTypes, Preparation, split_feature_types
 
 TUNING_SEED = 42
 EVALUATION_SEED = 137
+INNER_SEED = 211
 MAX_SPARK_DEPTH = 30
 #: Default settings of the SVM fit; a request's ``rff_features`` and ``max_iter`` replace them.
 RFF_FEATURES = 256
@@ -63,73 +65,63 @@ IMPUTER_STRATEGIES = ("median", "mean", "constant")
 
 def fit_fold_preparations(cohort: Cohort, fold_col: str, k: int, types: FeatureTypes,
                           strategy: str = "median") -> dict[int, Preparation]:
-    """Preparation fitted on the training rows of each of the k folds, in three passes.
+    """Preparation fitted on the training rows of each of the k folds."""
+    fitted = fit_preparations(cohort, [(f, -1) for f in range(k)], types, strategy, fold_col)
+    return {f: prep for (f, _), prep in fitted.items()}
+
+
+def fit_preparations(cohort: Cohort, left_out: Sequence[tuple[int, int]], types: FeatureTypes, strategy: str = "median",
+                     fold_col: str = "fold", inner_col: str | None = None) -> dict[tuple[int, int], Preparation]:
+    """Preparations on the rows outside (fold, inner fold), for all of ``left_out`` in three passes; inner -1: only the fold.
 
     ``strategy`` is the continuous imputer: median (default), mean of the
     present training values, or the constant 0.
     """
     if strategy not in IMPUTER_STRATEGIES:
         raise ValueError(f"unsupported imputer strategy {strategy!r}; use one of {IMPUTER_STRATEGIES}")
-    df = cohort.df
+    df, keys = cohort.df, list(left_out)
+    fold, inner = qcol(fold_col), qcol(inner_col) if inner_col else F.lit(-1)
     cont, binr = list(types.continuous), list(types.binary)
     med_cols = cont if (cont or not binr) else []
     if not cont and not binr:
         med_cols = list(cohort.feature_cols)
-    fills: dict[int, dict] = {f: {} for f in range(k)}
+    fills: dict[tuple[int, int], dict] = {key: {} for key in keys}
     if med_cols and strategy == "constant":
-        for f in range(k):
-            fills[f].update({c: 0.0 for c in med_cols})
+        for key in keys:
+            fills[key].update({c: 0.0 for c in med_cols})
     elif med_cols and (strategy == "median" or not cont):
-        for r in leave_fold_out_medians(df, med_cols, fold_col, k).collect():  # k rows per feature
-            fills[r["fold"]][r["variable"]] = r["median"]
-    if binr:
-        aggs = []
-        for i, c in enumerate(binr):
-            aggs += [F.count_if(qcol(c) == 1).alias(f"one{i}"), F.count_if(qcol(c) == 0).alias(f"zero{i}")]
-        per = {r[fold_col]: r for r in df.groupBy(fold_col).agg(*aggs).collect()}  # k rows
+        out = [(fold == f) | (inner == g) if g >= 0 else fold == f for f, g in keys]
+        for r in leave_out_medians(df, med_cols, out).collect():  # a row per feature and key
+            fills[keys[r["fold"]]][r["variable"]] = r["median"]
+    # sums per (fold, inner fold): a key's training sums are those of the cells outside it
+    shift = df.agg(F.count(F.lit(1)).alias("n"), *[F.avg(qcol(c)).alias(f"c{i}") for i, c in enumerate(cont)]).first()
+    centre = [float(shift[f"c{i}"] or 0.0) for i in range(len(cont))]
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for i, c in enumerate(binr):
+        aggs += [F.count_if(qcol(c) == 1).alias(f"one{i}"), F.count_if(qcol(c) == 0).alias(f"zero{i}")]
+    for i, c in enumerate(cont):
+        x = qcol(c).cast("double") - F.lit(centre[i])
+        aggs += [F.sum(x).alias(f"s1_{i}"), F.sum(x * x).alias(f"s2_{i}"), F.count(x).alias(f"np_{i}")]
+    cells = df.groupBy(fold.alias("_f"), inner.alias("_g")).agg(*aggs).collect() if cont or binr else []  # folds x inner folds
+    preps = {}
+    for key in keys:
+        f, g = key
+        used = [r for r in cells if r["_f"] != f and (g < 0 or r["_g"] != g)]
+        total = lambda name, used=used: sum(r[name] or 0 for r in used)
+        fill, mean, scale, n = fills[key], {}, {}, total("n")
         for i, c in enumerate(binr):
-            t1 = sum(r[f"one{i}"] for r in per.values())
-            t0 = sum(r[f"zero{i}"] for r in per.values())
-            for f in range(k):
-                r = per.get(f)
-                n1 = t1 - (r[f"one{i}"] if r else 0)
-                n0 = t0 - (r[f"zero{i}"] if r else 0)
-                fills[f][c] = 1.0 if n1 > n0 else 0.0
-    means: dict[int, dict] = {f: {} for f in range(k)}
-    scales: dict[int, dict] = {f: {} for f in range(k)}
-    if cont:
-        shift = df.agg(*[F.avg(qcol(c)).alias(f"c{i}") for i, c in enumerate(cont)]).first()  # one row
-        aggs = [F.count(F.lit(1)).alias("n")]
+            fill[c] = 1.0 if total(f"one{i}") > total(f"zero{i}") else 0.0
         for i, c in enumerate(cont):
-            x = qcol(c).cast("double") - F.lit(float(shift[f"c{i}"] or 0.0))
-            aggs += [F.sum(x).alias(f"s1_{i}"), F.sum(x * x).alias(f"s2_{i}"), F.count(x).alias(f"np_{i}")]
-        per = {r[fold_col]: r for r in df.groupBy(fold_col).agg(*aggs).collect()}  # k rows
-        tot = {key: sum((r[key] or 0) for r in per.values()) for key in per[next(iter(per))].asDict() if key != fold_col}
-        if strategy == "mean":
-            for f in range(k):
-                r = per.get(f)
-                for i, c in enumerate(cont):
-                    npres = tot[f"np_{i}"] - (r[f"np_{i}"] if r else 0)
-                    s1 = tot[f"s1_{i}"] - ((r[f"s1_{i}"] or 0) if r else 0)
-                    fills[f][c] = float(shift[f"c{i}"] or 0.0) + (s1 / npres if npres else 0.0)
-        for f in range(k):
-            r = per.get(f)
-            n = tot["n"] - (r["n"] if r else 0)
-            for i, c in enumerate(cont):
-                s1 = tot[f"s1_{i}"] - ((r[f"s1_{i}"] or 0) if r else 0)
-                s2 = tot[f"s2_{i}"] - ((r[f"s2_{i}"] or 0) if r else 0)
-                npres = tot[f"np_{i}"] - (r[f"np_{i}"] if r else 0)
-                c0 = float(shift[f"c{i}"] or 0.0)
-                m = fills[f].get(c)
-                dm = (m - c0) if m is not None else 0.0
-                miss = n - npres
-                t1, t2 = s1 + miss * dm, s2 + miss * dm * dm
-                mean = c0 + (t1 / n if n else 0.0)
-                var = max(t2 / n - (t1 / n) ** 2, 0.0) if n else 0.0
-                sd = math.sqrt(var)
-                means[f][c] = mean
-                scales[f][c] = sd if sd > 1e-12 * max(1.0, abs(mean)) else 1.0
-    return {f: Preparation(types, fills[f], means[f], scales[f]) for f in range(k)}
+            s1, s2, present = total(f"s1_{i}"), total(f"s2_{i}"), total(f"np_{i}")
+            if strategy == "mean":
+                fill[c] = centre[i] + (s1 / present if present else 0.0)
+            gap = fill[c] - centre[i] if fill.get(c) is not None else 0.0
+            t1, t2 = s1 + (n - present) * gap, s2 + (n - present) * gap * gap
+            mean[c] = centre[i] + (t1 / n if n else 0.0)
+            sd = math.sqrt(max(t2 / n - (t1 / n) ** 2, 0.0) if n else 0.0)
+            scale[c] = sd if sd > 1e-12 * max(1.0, abs(mean[c])) else 1.0
+        preps[key] = Preparation(types, fill, mean, scale)
+    return preps
 
 
 # ---------------------------------------------------------------- learners
@@ -139,6 +131,9 @@ class Learner:
     fit_score: Callable  # (train, test, cols, params, n_train) -> DataFrame(id, score, prediction)
     fixed: dict = field(default_factory=dict)
     unused: tuple[str, ...] = ()  # grid keys without a Spark counterpart: not fitted apart, not reported
+    # (train rows, model keys, candidates) -> Fitted: all folds and candidates together
+    fit_all: Callable | None = None
+    calibrated: bool = False  # scores of the chosen candidate are calibrated on inner folds
 
     def distinct(self, candidates: Sequence[dict]) -> list[dict]:
         """Candidates without the unused keys, each different fit once, in grid order."""
@@ -262,18 +257,66 @@ def _nb_fit_score(train, test, cols, params, n_train):
     return L.gaussian_nb_score(te, L.gaussian_nb_fit(tr, float(params.get("var_smoothing", 1e-9)))), None
 
 
+# ---------------------------------------------------------------- all folds and candidates together
+def _logistic_all(train: BT.Rows, keys: Sequence[BT.ModelKey], candidates: Sequence[dict]) -> BT.Fitted:
+    return BT.fit_logistic(train, keys, [(float(p.get("C", 1.0)), float(p.get("l1_ratio", 0.0))) for p in candidates])
+
+
+def _bayes_all(train: BT.Rows, keys: Sequence[BT.ModelKey], candidates: Sequence[dict]) -> BT.Fitted:
+    return BT.fit_bayes(train, keys, [float(p.get("var_smoothing", 1e-9)) for p in candidates])
+
+
+def _svm_feature(params: Mapping) -> BT.Feature:
+    kernel = str(params.get("kernel", "rbf"))
+    if kernel == "linear":
+        return BT.Feature()
+    if kernel != "rbf":
+        raise ValueError(f"unsupported kernel {kernel!r}; use rbf or linear")
+    return BT.Feature(float(params.get("gamma", 0.1)), int(params.get("rff_features", RFF_FEATURES)), TUNING_SEED)
+
+
+def _svm_all(train: BT.Rows, keys: Sequence[BT.ModelKey], candidates: Sequence[dict]) -> BT.Fitted:
+    steps = max((int(p.get("max_iter", SVM_MAX_ITER)) for p in candidates), default=SVM_MAX_ITER)
+    return BT.fit_hinge(train, keys, [(float(p.get("C", 1.0)), _svm_feature(p)) for p in candidates], max_steps=steps)
+
+
+def _logit(margin: Column) -> Column:
+    """Probability of log odds; a margin that could not be computed gives none."""
+    return F.when(~F.isnan(margin), 1.0 / (1.0 + F.exp(-margin)))
+
+
+def calibration(margins: DataFrame) -> dict[int, tuple[float, float]]:
+    """Platt's sigmoid per fold from (fold, label, margin) of rows that the margins' models did not see: {fold: (slope, offset)}.
+
+    Targets are smoothed by the class sizes, so that separable margins have a finite fit.
+    """
+    sizes = {(r["fold"], int(r["label"])): r["count"] for r in margins.groupBy("fold", "label").count().collect()}
+    folds = sorted({f for f, _ in sizes})
+    if not folds:
+        return {}
+    aim = F.create_map(*[F.lit(x) for f in folds for x in (
+        f, (sizes.get((f, 1), 0) + 1.0) / (sizes.get((f, 1), 0) + 2.0))])
+    low = F.create_map(*[F.lit(x) for f in folds for x in (f, 1.0 / (sizes.get((f, 0), 0) + 2.0))])
+    target = F.when(F.col("label") == 1, aim[F.col("fold")]).otherwise(low[F.col("fold")])
+    rows = BT.own_rows(margins.select("fold", F.lit(-1).alias("inner"), target.alias("label"), F.array("margin").alias("x")), 1)
+    fitted = BT.fit_logistic(rows, [BT.ModelKey(f, 0) for f in folds], [(math.inf, 0.0)])
+    return {f: (float(fitted.of(f, 0)[0]), float(fitted.of(f, 0)[1])) for f in folds}
+
+
 LEARNERS: dict[str, Learner] = {
-    G.LOGISTIC: Learner(G.LOGISTIC, _spark_ml(_logistic), {"penalty": "l2", "solver": "lbfgs"}),
-    G.ELASTIC_NET: Learner(G.ELASTIC_NET, _spark_ml(_logistic), {"penalty": "elasticnet", "solver": "saga"}),
+    G.LOGISTIC: Learner(G.LOGISTIC, _spark_ml(_logistic), {"penalty": "l2", "solver": "newton"}, fit_all=_logistic_all),
+    G.ELASTIC_NET: Learner(G.ELASTIC_NET, _spark_ml(_logistic), {"penalty": "elasticnet", "solver": "proximal newton"},
+                           fit_all=_logistic_all),
     G.RANDOM_FOREST: Learner(G.RANDOM_FOREST, _spark_ml(_forest), unused=("min_samples_split",)),
     G.GRADIENT_BOOSTING: Learner(G.GRADIENT_BOOSTING, _spark_ml(_boosting), {"loss": "log_loss"}),
     G.XGBOOST: Learner(G.XGBOOST, _spark_ml(_xgb_preset), {"implementation": "GBTClassifier preset"}),
     G.LIGHTGBM: Learner(G.LIGHTGBM, _spark_ml(_lgbm_preset), {"implementation": "GBTClassifier preset"}),
     G.CATBOOST: Learner(G.CATBOOST, _spark_ml(_catboost_preset), {"implementation": "GBTClassifier preset"},
                         ("l2_leaf_reg",)),
-    G.SVM: Learner(G.SVM, _svm_fit_score, {"implementation": "random Fourier features + LinearSVC (approximation)"}),
+    G.SVM: Learner(G.SVM, _svm_fit_score, {"implementation": "random Fourier features + hinge loss (approximation)"},
+                   fit_all=_svm_all, calibrated=True),
     G.KNN: Learner(G.KNN, _knn_fit_score, {"metric": "minkowski"}),
-    G.NAIVE_BAYES: Learner(G.NAIVE_BAYES, _nb_fit_score),
+    G.NAIVE_BAYES: Learner(G.NAIVE_BAYES, _nb_fit_score, fit_all=_bayes_all),
 }
 
 
@@ -293,6 +336,15 @@ class FoldPlan:
             self.by_strategy[strategy] = fit_fold_preparations(self.cohort, "fold", self.k, self.types, strategy)
         return self.by_strategy[strategy]
 
+    def nested(self, inner_k: int) -> Cohort:
+        """The cohort with an ``inner`` fold per row beside ``fold``, stratified by the target, written once."""
+        if inner_k not in self.by_strategy:
+            c = self.cohort
+            apart = c.df.withColumnRenamed("fold", "_outer")
+            both = FO.stratified_folds(apart, c.id_col, c.target_col, inner_k, INNER_SEED, fold_col="inner")
+            self.by_strategy[inner_k] = c.with_df(both.withColumnRenamed("_outer", "fold").checkpoint(eager=True))
+        return self.by_strategy[inner_k]
+
 
 def fold_plan(cohort: Cohort, k: int, seed: int, types: FeatureTypes) -> FoldPlan:
     # materialized once in the shared checkpoint folder: every fit of the search reads it
@@ -322,8 +374,91 @@ def _fold_data(plan: FoldPlan, f: int, balance: str | None, strategy: str = "med
     return train, test, cols
 
 
+CALIBRATION_FOLDS = 5
+
+
+def _balanced_rows(plan: FoldPlan, balance: str, strategy: str, inner_k: int = 0) -> BT.Rows:
+    """Balanced training rows of all folds; copies and offspring of a row share its inner fold."""
+    parts = None
+    for f in range(plan.k):
+        train, _, cols = _fold_data(plan, f, balance, strategy)
+        inner = F.pmod(F.xxhash64("row_key.id"), F.lit(inner_k)).cast("int") if inner_k else F.lit(-1)
+        part = train.select(F.lit(f).alias("fold"), inner.alias("inner"), F.col("target").cast("double").alias("label"),
+                            F.array(*[qcol(c).cast("double") for c in cols]).alias("x"))
+        parts = part if parts is None else parts.unionByName(part)
+    return BT.own_rows(parts, len(cols))
+
+
+def _run_all(plan: FoldPlan, learner: Learner, candidates: Sequence[dict], balance: str | None,
+             tag: Callable[[int], str], final: bool) -> DataFrame:
+    """All folds and candidates of a learner in the passes of one batched fit (per imputer strategy)."""
+    spark, c = plan.cohort.df.sparkSession, plan.cohort
+    root = scratch_path(spark, "scores")
+    for strategy in sorted({str(p.get(IMPUTER_KEY) or "median") for p in candidates}):
+        places = [ci for ci, p in enumerate(candidates) if str(p.get(IMPUTER_KEY) or "median") == strategy]
+        some = [{key: v for key, v in candidates[ci].items() if "__" not in key} for ci in places]
+        preps = {(f, -1): prep for f, prep in plan.preps_for(strategy).items()}
+        calibrate = final and learner.calibrated
+        inner_k = CALIBRATION_FOLDS if calibrate else 0
+        source = plan.nested(inner_k).df if calibrate else c.df
+        rows = BT.raw_rows(source, preps, c.target_col, inner=F.col("inner") if calibrate else None,
+                           keep=[qcol(c.id_col).alias("id")])
+        train = _balanced_rows(plan, balance, strategy, inner_k) if balance else rows
+        keys = [BT.ModelKey(f, i) for f in range(plan.k) for i in range(len(some))]
+        found = BT.margins(rows, learner.fit_all(train, keys, some))
+        names = F.create_map(*[x for i, ci in enumerate(places) for x in (F.lit(i), F.lit(tag(ci)))])
+        score = _logit(F.col("margin"))
+        if learner.calibrated and not calibrate:
+            score = F.col("margin")  # the order is all that a ranking needs
+        elif calibrate:
+            inner_keys = [BT.ModelKey(f, 0, g) for f in range(plan.k) for g in range(inner_k)]
+            unseen = BT.margins(rows, learner.fit_all(train, inner_keys, some[:1]), inner=True).select("fold", "label", "margin")
+            path = scratch_path(spark, "margins")
+            unseen.write.parquet(path)
+            curves = calibration(spark.read.parquet(path))
+            slope, offset = (F.create_map(*[F.lit(x) for f, ab in curves.items() for x in (f, ab[k])])[F.col("fold")] for k in (0, 1))
+            score = _logit(slope * F.col("margin") + offset)
+        found.select(names[F.col("candidate")].alias("model"), "fold", "id", F.col("label").cast("int").alias("label"),
+                     score.alias("score"), (~F.isnan("margin") & (F.col("margin") > 0)).cast("int").alias("prediction")
+                     ).write.parquet(f"{root}/job={places[0]}")
+    return spark.read.parquet(root).drop("job")
+
+
+def _run_knn(plan: FoldPlan, learner: Learner, candidates: Sequence[dict], balance: str | None,
+             tag: Callable[[int], str]) -> DataFrame:
+    """All folds, numbers of neighbours and weightings from one join (per imputer strategy) at the largest number."""
+    spark = plan.cohort.df.sparkSession
+    root = scratch_path(spark, "scores")
+    for strategy in sorted({str(p.get(IMPUTER_KEY) or "median") for p in candidates}):
+        places = [ci for ci, p in enumerate(candidates) if str(p.get(IMPUTER_KEY) or "median") == strategy]
+        wanted = [(int(candidates[ci].get("n_neighbors", 5)), str(candidates[ci].get("weights", "uniform"))) for ci in places]
+        queries = ref = None
+        for f in range(plan.k):
+            train, test, cols = _fold_data(plan, f, balance, strategy)
+            vec, at = F.array(*[qcol(c).cast("double") for c in cols]).alias("vec"), F.lit(f).alias("fold")
+            # a drawn row is a row of its own: (draw, id) is unique where the id is not
+            own = F.col("row_key" if balance else "id").alias("id")
+            q, r = test.select(at, "id", vec, "target"), train.select(at, own, vec, "target")
+            queries, ref = (q, r) if queries is None else (queries.unionByName(q), ref.unionByName(r))
+        path = scratch_path(spark, "queries")
+        queries.write.parquet(path)
+        queries = spark.read.parquet(path)
+        votes = knn_votes(queries, ref, wanted, group="fold")
+        labels = queries.select(F.col("fold").alias("grp"), F.col("id").alias("_id"), F.col("target").alias("label"))
+        names = F.create_map(*[x for i, ci in enumerate(places) for x in (F.lit(i), F.lit(tag(ci)))])
+        (votes.join(labels, (votes["grp"] == labels["grp"]) & (votes["id"] == labels["_id"]))
+         .select(names[F.col("candidate")].alias("model"), votes["grp"].cast("int").alias("fold"), "id",
+                 F.col("label").cast("int").alias("label"), "score", "prediction").write.parquet(f"{root}/job={places[0]}"))
+    return spark.read.parquet(root).drop("job")
+
+
 def _run(plan: FoldPlan, learner: Learner, candidates: Sequence[dict], balance: str | None, parallelism: int,
-         tag: Callable[[int], str]) -> DataFrame:
+         tag: Callable[[int], str], final: bool = True) -> DataFrame:
+    """Out-of-fold scores of all candidates; ``final`` False: for ranking only, scores need not be probabilities."""
+    if learner.fit_all:
+        return _run_all(plan, learner, candidates, balance, tag, final)
+    if learner.name == G.KNN:
+        return _run_knn(plan, learner, candidates, balance, tag)
     jobs = []
     data = {}
     strategies = sorted({str(p.get(IMPUTER_KEY) or "median") for p in candidates})
@@ -404,7 +539,7 @@ def train_model(cohort: Cohort | SearchContext, model: str, mode: str = "light",
     candidates = learner.distinct(G.expand_grid(grid))
     spark = ctx.cohort.df.sparkSession
     if len(candidates) > 1:
-        tuned = _run(ctx.plan(TUNING_SEED), learner, candidates, balance, parallelism, lambda ci: str(ci))
+        tuned = _run(ctx.plan(TUNING_SEED), learner, candidates, balance, parallelism, lambda ci: str(ci), False)
         fold_auc = E.auc_exact(tuned).where(F.col("fold") != E.POOLED).select(
             F.col("model").cast("int").alias("candidate"), "fold", "auc")
         ranked = grid_rank(fold_auc)
@@ -448,6 +583,60 @@ def _meta_fit_score(train: DataFrame, test: DataFrame, cols: Sequence[str], c: f
     return out.select("id", vector_to_array("probability")[1].alias("score"), F.col("prediction").cast("int").alias("prediction"))
 
 
+def _stacked_rows(parts: Sequence[DataFrame]) -> DataFrame:
+    """Margins of the bases (id, inner_of, fold, label, margin) as one row of scores per fold and id: own rows of ``batched``."""
+    every = None
+    for i, part in enumerate(parts):
+        one = part.select("id", "inner_of", "fold", "label", F.lit(i).alias("base"), _logit(F.col("margin")).alias("score"))
+        every = one if every is None else every.unionByName(one)
+    scores = [F.max(F.when(F.col("base") == i, F.col("score"))) for i in range(len(parts))]
+    return every.groupBy("fold", "id").agg(F.first("inner_of").alias("inner"), F.first("label").alias("label"), F.array(*scores).alias("x")
+                                           ).select("fold", "inner", "label", "x", "id")
+
+
+def _nested_stacking(ctx: SearchContext, bases: Sequence[tuple[str, dict]], cs: Sequence[float], balance: str | None,
+                     inner_k: int) -> tuple[DataFrame, dict[float, int]]:
+    """(out-of-fold scores, folds won per C): outer and inner folds of all bases as data, a few batched fits in all."""
+    plan = ctx.plan(EVALUATION_SEED)
+    spark, c = plan.cohort.df.sparkSession, plan.nested(inner_k)
+    folds, inner = range(plan.k), range(inner_k)
+    pairs = [(f, -1) for f in folds] + [(f, g) for f in folds for g in inner]
+    by_strategy, unseen, seen = {}, [], []
+    for name, params in bases:
+        strategy = str(params.get(IMPUTER_KEY) or "median")
+        if strategy not in by_strategy:
+            preps = fit_preparations(c, pairs, plan.types, strategy, "fold", "inner")
+            by_strategy[strategy] = BT.raw_rows(c.df, preps, c.target_col, inner=F.col("inner"),
+                                                keep=[qcol(c.id_col).alias("id"), F.col("inner").alias("inner_of")])
+        rows = by_strategy[strategy]
+        train = _balanced_rows(plan, balance, strategy, inner_k) if balance else rows
+        own = {key: v for key, v in params.items() if "__" not in key}
+        fit_all = LEARNERS[name].fit_all
+        unseen.append(BT.margins(rows, fit_all(train, [BT.ModelKey(f, 0, g) for f in folds for g in inner], [own]), inner=True))
+        seen.append(BT.margins(rows, fit_all(train, [BT.ModelKey(f, 0) for f in folds], [own])))
+    path = scratch_path(spark, "stacking")
+    _stacked_rows(unseen).write.parquet(path)
+    meta = BT.own_rows(spark.read.parquet(path), len(bases))
+    best = dict.fromkeys(folds, 0)
+    if len(cs) > 1:
+        keys = [BT.ModelKey(f, i, g) for f in folds for i in range(len(cs)) for g in inner]
+        kept = BT.own_rows(meta.frame.select("fold", "inner", "label", "x", F.col("inner").alias("held")), len(bases))
+        tried = BT.margins(kept, BT.fit_logistic(meta, keys, [(x, 0.0) for x in cs]), inner=True)
+        auc = E.auc_exact(tried.select(F.concat_ws(":", "fold", "candidate").alias("model"), F.col("held").alias("fold"),
+                                       "label", F.col("margin").alias("score"))).where(F.col("fold") != E.POOLED)
+        mean = {r["model"]: r["a"] for r in auc.groupBy("model").agg(F.avg("auc").alias("a")).collect()}  # folds x C
+        for f in folds:
+            best[f] = max(range(len(cs)), key=lambda i, f=f: (mean.get(f"{f}:{i}") or -1.0, -i))
+    final = BT.fit_logistic(meta, [BT.ModelKey(f, best[f]) for f in folds], [(x, 0.0) for x in cs])
+    outer = BT.own_rows(_stacked_rows(seen), len(bases))
+    scored = BT.margins(outer, final).select("id", "fold", F.col("label").cast("int").alias("label"),
+                                             _logit(F.col("margin")).alias("score"), (F.col("margin") > 0).cast("int").alias("prediction"))
+    path = scratch_path(spark, "stacking")
+    scored.select(F.lit(G.STACKING).alias("model"), "fold", "id", "label", "score", "prediction").write.parquet(path)
+    votes = {x: sum(best[f] == i for f in folds) for i, x in enumerate(cs)}
+    return spark.read.parquet(path), votes
+
+
 def _wide_scores(scores: Sequence[DataFrame]) -> DataFrame:
     """One row per id: label, fold and the score of every base (b0, b1, ...)."""
     wide = None
@@ -465,10 +654,15 @@ def train_stacking(ctx: SearchContext, bases: Sequence[tuple[str, dict]], cs: Se
     alone give the bases' out-of-fold scores; the meta-model's ``C`` is chosen by
     cross-fitting on them, the meta-model is fitted on all of them, and it scores
     the fold's rows from bases fitted on the training rows.  No row of a fold
-    reaches a fit that scores it.
+    reaches a fit that scores it.  Where all bases can be fitted together, so
+    are all outer and inner folds (an SVM enters by the logistic of its margin);
+    else the outer folds run one after the other.
     """
     if len(bases) < 2:
         raise ValueError(STACKING_STATUS)
+    if all(LEARNERS[name].fit_all for name, _ in bases):
+        scores, votes = _nested_stacking(ctx, bases, [float(c) for c in cs], balance, min(STACKING_FOLDS, ctx.k))
+        return _stacking_result(ctx, bases, cs, scores, votes)
     plan = ctx.plan(EVALUATION_SEED)
     spark = plan.cohort.df.sparkSession
     cols = [f"b{i}" for i in range(len(bases))]
@@ -509,10 +703,16 @@ def train_stacking(ctx: SearchContext, bases: Sequence[tuple[str, dict]], cs: Se
         out = _meta_fit_score(wide, outer, cols, best).join(outer.select("id", "label", "fold"), "id")
         out.select(F.lit(G.STACKING).alias("model"), "fold", "id", "label", "score", "prediction").write.parquet(f"{root}/job={f}")
     scores = spark.read.parquet(root).drop("job")
+    return _stacking_result(ctx, bases, cs, scores, votes)
+
+
+def _stacking_result(ctx: SearchContext, bases: Sequence[tuple[str, dict]], cs: Sequence[float], scores: DataFrame,
+                     votes: Mapping[float, float]) -> ModelResult:
     params = {"final_estimator__C": max(votes, key=lambda c: (votes[c], -c))}
     names = ", ".join(n for n, _ in G.collect_bases([b for b, _ in bases], dict(bases)))
+    won = [(float(c), int(votes.get(c, 0))) for c in cs]
     return ModelResult(G.STACKING, params, {**params, "estimators": names}, scores,
-                       spark.createDataFrame([(float(c), votes.get(c, 0)) for c in cs], "candidate double, folds_won int"))
+                       ctx.cohort.df.sparkSession.createDataFrame(won, "candidate double, folds_won int"))
 
 
 # ---------------------------------------------------------------- fixed values: status texts

@@ -6,11 +6,14 @@ from pyspark.sql import functions as F
 
 from ..cohort import Cohort
 from ..operators import balance as B
+from ..operators import batched as BT
 from ..operators import folds as FO
+from ..operators import grids as G
 from ..operators import learners as L
 from ..operators import prep as PR
 from ..operators.foldstats import leave_fold_out_median
-from ..operators.knn import knn_join, knn_scores
+from ..operators.knn import knn_join, knn_votes
+from ..operators.search import fit_fold_preparations
 from ..sources import fixtures as X
 from .registry import finish, register
 
@@ -21,7 +24,15 @@ K_NEIGHBOURS = 5
 def emb_folded(spark, sf):
     v = X.emb_vectors(spark, sf)
     k = FO.resolve_fold_count(v, "target")
-    return FO.stratified_folds(v, "id", "target", k, SEED)
+    return FO.stratified_folds(v, "id", "target", k, SEED), k
+
+
+def emb_sides(spark, sf):
+    """Queries (every row, in its fold) and references (every row, in all other folds)."""
+    e, k = emb_folded(spark, sf)
+    e = e.checkpoint(eager=True)
+    folds = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda f: f != F.col("fold"))
+    return e, e.select("id", "vec", "target", F.explode(folds).alias("fold"))
 
 
 def doc_folded(spark, sf):
@@ -32,16 +43,17 @@ def doc_folded(spark, sf):
 
 @register("knn_join")
 def q_knn_join(spark, sf):
-    """The 5 nearest training embeddings (folds 1..) of every test embedding (fold 0)."""
-    e = emb_folded(spark, sf)
-    return finish(knn_join(e.where("fold = 0"), e.where("fold <> 0"), K_NEIGHBOURS))
+    """The 5 nearest training embeddings of every embedding, for every fold."""
+    q, ref = emb_sides(spark, sf)
+    return finish(knn_join(q, ref, K_NEIGHBOURS, group="fold").withColumnRenamed("grp", "fold"))
 
 
 @register("knn")
 def q_knn(spark, sf):
-    """KNN classifier (k = 5, uniform weights) scores of the test embeddings (fold 0)."""
-    e = emb_folded(spark, sf)
-    return finish(knn_scores(e.where("fold = 0"), e.where("fold <> 0"), K_NEIGHBOURS))
+    """KNN classifier (k = 5, uniform weights): out-of-fold share of label 1 among the neighbours of every embedding."""
+    q, ref = emb_sides(spark, sf)
+    is_one = ref.withColumn("target", (F.col("target") == 1).cast("int"))
+    return finish(knn_votes(q, is_one, [(K_NEIGHBOURS, "uniform")], group="fold").drop("candidate").withColumnRenamed("grp", "fold"))
 
 
 @register("minority_nn_join")
@@ -64,17 +76,19 @@ def q_smote_k1(spark, sf):
 
 @register("gaussian_nb")
 def q_gaussian_nb(spark, sf):
-    """Gaussian NB (var_smoothing 1e-9) on standardized embeddings: fit on folds 1.., score fold 0."""
-    e = emb_folded(spark, sf)
+    """Out-of-fold Gaussian NB scores (label 1 against the rest) of standardized embeddings, for all smoothing values of the light grid."""
+    e, k = emb_folded(spark, sf)
     dims = len(e.select("vec").first()[0])
-    wide = e.select("id", *[F.col("vec")[i].alias(f"e{i}") for i in range(dims)], "target", "fold")
-    c = Cohort.from_frame(wide.drop("fold"))
-    train = c.with_df(wide.where("fold <> 0").drop("fold"))
-    prep = PR.fit_preparation(train, PR.split_feature_types(c))
-    tr = L.wide_to_long(prep.transform(wide.where("fold <> 0"), "id", ["target"]), "id", prep.output_cols, ["target"])
-    te = L.wide_to_long(prep.transform(wide.where("fold = 0"), "id"), "id", prep.output_cols)
-    params = L.gaussian_nb_fit(tr, 1e-9)
-    return finish(L.gaussian_nb_score(te, params))
+    wide = e.select("id", *[F.col("vec")[i].alias(f"e{i}") for i in range(dims)],
+                    (F.col("target") == 1).cast("int").alias("target"), "fold").checkpoint(eager=True)
+    c = Cohort.from_frame(wide.drop("fold")).with_df(wide)
+    preps = fit_fold_preparations(c, "fold", k, PR.split_feature_types(c))
+    rows = BT.raw_rows(wide, {(f, -1): p for f, p in preps.items()}, "target", keep=[F.col("id")])
+    smoothings = G.LIGHT_GRIDS[G.NAIVE_BAYES]["var_smoothing"]
+    keys = [BT.ModelKey(f, i) for f in range(k) for i in range(len(smoothings))]
+    found = BT.margins(rows, BT.fit_bayes(rows, keys, smoothings))
+    return finish(found.select("fold", "candidate", "id", (1.0 / (1.0 + F.exp(-F.col("margin")))).alias("score"),
+                               (F.col("margin") > 0).cast("int").alias("prediction")))
 
 
 @register("threshold_classifier")

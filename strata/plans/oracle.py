@@ -187,12 +187,19 @@ def _profile_oracles() -> None:
     nf = len(ORD_FEATURES)
     o["variable_info"] = with_views(rounded(f"""
         SELECT 0 AS ordinal, 'id' AS name, 'ID' AS type, COUNT(*) FILTER (WHERE id IS NULL) * 100e0 / COUNT(*)
-               AS missing, CAST(COUNT(DISTINCT id) AS BIGINT) AS distinct_values FROM ordc
+               AS missing, CAST(COUNT(DISTINCT id) AS BIGINT) AS distinct_values,
+               (SELECT string_agg(CAST(v AS VARCHAR), ', ' ORDER BY v) FROM (SELECT DISTINCT id AS v FROM ordc ORDER BY v LIMIT 3))
+               AS examples FROM ordc
         UNION ALL
-        SELECT ordinal + 1, variable, {TYPE_EXPR}, n_missing * 100e0 / n_rows, n_distinct FROM stats
+        SELECT ordinal + 1, stats.variable, {TYPE_EXPR}, n_missing * 100e0 / n_rows, n_distinct, COALESCE(x.examples, '')
+        FROM stats LEFT JOIN (SELECT variable, string_agg(CASE WHEN value = floor(value) THEN printf('%.0f', value)
+                     ELSE rtrim(printf('%.6f', value), '0') END, ', ' ORDER BY first_id, value) AS examples
+              FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY variable ORDER BY first_id, value) AS r FROM vc WHERE value IS NOT NULL)
+              WHERE r <= 3 GROUP BY variable) x ON x.variable = stats.variable
         UNION ALL
         SELECT {nf + 1}, 'target', 'Target', COUNT(*) FILTER (WHERE target IS NULL) * 100e0 / COUNT(*),
-               CAST(COUNT(DISTINCT target) AS BIGINT) FROM ordc""", ["missing"]),
+               CAST(COUNT(DISTINCT target) AS BIGINT), (SELECT string_agg(CAST(v AS VARCHAR), ', ' ORDER BY v)
+               FROM (SELECT DISTINCT target AS v FROM ordc WHERE target IS NOT NULL ORDER BY v LIMIT 3)) FROM ordc""", ["missing"]),
         "ord", "ordc", "ordl", "vc", "stats")
     o["target_distribution"] = with_views("""
         SELECT class0, class1, CAST(LEAST(class0, class1) * 1e0 /
@@ -596,9 +603,9 @@ BASE_VIEWS.update({
     "ords": f"SELECT id, {', '.join(ORD_FEATURES)}, target_signal AS target FROM ord",
     "f42": "SELECT *, CAST((ROW_NUMBER() OVER (ORDER BY target, MD5('42:' || CAST(id AS VARCHAR)), id) - 1) % 10 "
            "AS INTEGER) AS fold FROM ords",
-    "trl": "\nUNION ALL\n".join(
-        f"SELECT id, {i} AS ordinal, '{c}' AS variable, CAST({c} AS DOUBLE) AS value FROM f42 WHERE fold <> 0"
-        for i, c in enumerate(ORD_FEATURES)),
+    "trl": "SELECT g.fold AS hold, f.id, f.ordinal, f.variable, f.value FROM (" + "\nUNION ALL\n".join(
+        f"SELECT fold, id, {i} AS ordinal, '{c}' AS variable, CAST({c} AS DOUBLE) AS value FROM f42"
+        for i, c in enumerate(ORD_FEATURES)) + ") f JOIN (SELECT DISTINCT fold FROM f42) g ON g.fold <> f.fold",
     "kinds": """
 SELECT ordinal, variable, CASE WHEN COUNT(value) = 0 THEN 'empty'
        WHEN COUNT(*) FILTER (WHERE value IS NOT NULL AND value NOT IN (0, 1)) = 0 THEN 'binary'
@@ -606,22 +613,23 @@ SELECT ordinal, variable, CASE WHEN COUNT(value) = 0 THEN 'empty'
 FROM (""" + "\nUNION ALL\n".join(
         f"SELECT {i} AS ordinal, '{c}' AS variable, CAST({c} AS DOUBLE) AS value FROM ords"
         for i, c in enumerate(ORD_FEATURES)) + ") GROUP BY ordinal, variable",
-    "med": "SELECT t.variable, t.ordinal, quantile_cont(t.value, 0.5) AS median FROM trl t "
+    "med": "SELECT t.hold, t.variable, t.ordinal, quantile_cont(t.value, 0.5) AS median FROM trl t "
            "JOIN kinds k ON k.ordinal = t.ordinal WHERE k.kind = 'continuous' AND t.value IS NOT NULL "
-           "GROUP BY t.variable, t.ordinal",
-    "mode_": "SELECT variable, ordinal, value AS mode FROM (SELECT t.variable, t.ordinal, t.value, "
-             "ROW_NUMBER() OVER (PARTITION BY t.ordinal ORDER BY COUNT(*) DESC, t.value) AS r FROM trl t "
+           "GROUP BY t.hold, t.variable, t.ordinal",
+    "mode_": "SELECT hold, variable, ordinal, value AS mode FROM (SELECT t.hold, t.variable, t.ordinal, t.value, "
+             "ROW_NUMBER() OVER (PARTITION BY t.hold, t.ordinal ORDER BY COUNT(*) DESC, t.value) AS r FROM trl t "
              "JOIN kinds k ON k.ordinal = t.ordinal WHERE k.kind = 'binary' AND t.value IS NOT NULL "
-             "GROUP BY t.variable, t.ordinal, t.value) WHERE r = 1",
-    "stdz": "SELECT t.variable, t.ordinal, AVG(COALESCE(t.value, m.median)) AS mean, "
+             "GROUP BY t.hold, t.variable, t.ordinal, t.value) WHERE r = 1",
+    "stdz": "SELECT t.hold, t.variable, t.ordinal, AVG(COALESCE(t.value, m.median)) AS mean, "
             "CASE WHEN stddev_pop(COALESCE(t.value, m.median)) = 0 THEN 1e0 "
             "ELSE stddev_pop(COALESCE(t.value, m.median)) END AS scale "
-            "FROM trl t JOIN med m ON m.ordinal = t.ordinal GROUP BY t.variable, t.ordinal",
+            "FROM trl t JOIN med m ON m.ordinal = t.ordinal AND m.hold = t.hold GROUP BY t.hold, t.variable, t.ordinal",
     "prm": """
-SELECT CAST(ROW_NUMBER() OVER (ORDER BY CASE WHEN k.kind = 'continuous' THEN 0 ELSE 1 END, k.ordinal) - 1 AS INTEGER)
-         AS pos, k.variable, COALESCE(m.median, d.mode) AS fill, s.mean, s.scale, k.ordinal
-FROM kinds k LEFT JOIN med m ON m.ordinal = k.ordinal LEFT JOIN mode_ d ON d.ordinal = k.ordinal
-LEFT JOIN stdz s ON s.ordinal = k.ordinal WHERE k.kind <> 'empty'
+SELECT h.hold AS fold, CAST(ROW_NUMBER() OVER (PARTITION BY h.hold ORDER BY CASE WHEN k.kind = 'continuous' THEN 0 ELSE 1 END,
+         k.ordinal) - 1 AS INTEGER) AS pos, k.variable, COALESCE(m.median, d.mode) AS fill, s.mean, s.scale, k.ordinal
+FROM kinds k CROSS JOIN (SELECT DISTINCT fold AS hold FROM f42) h
+LEFT JOIN med m ON m.ordinal = k.ordinal AND m.hold = h.hold LEFT JOIN mode_ d ON d.ordinal = k.ordinal AND d.hold = h.hold
+LEFT JOIN stdz s ON s.ordinal = k.ordinal AND s.hold = h.hold WHERE k.kind <> 'empty'
 """,
 })
 PREP_CHAIN = ("ord", "ords", "f42", "trl", "kinds", "med", "mode_", "stdz", "prm")
@@ -635,15 +643,15 @@ def _prep_oracles() -> None:
                CAST(COUNT(*) AS BIGINT) AS n_classes, CAST(LEAST(MIN(n), SUM(n), 10) AS INTEGER) AS k,
                CAST(LEAST(MIN(n), SUM(n), 10) >= 2 AND COUNT(*) >= 2 AS INTEGER) AS ok
         FROM (SELECT target, COUNT(*) AS n FROM ords GROUP BY target)""", "ord", "ords")
-    o["fold_split"] = with_views("SELECT id, target FROM f42 WHERE fold = 3", "ord", "ords", "f42")
+    o["fold_split"] = with_views("SELECT fold, id, target FROM f42", "ord", "ords", "f42")
     o["split_feature_types"] = with_views("SELECT ordinal, variable, kind FROM kinds", "ord", "ords", "kinds")
-    o["impute_median"] = with_views(rounded("SELECT variable, median FROM med", ["median"]), *PREP_CHAIN[:6])
-    o["impute_mode"] = with_views(rounded("SELECT variable, mode FROM mode_", ["mode"]), *PREP_CHAIN[:7])
-    o["standardize"] = with_views(rounded("SELECT pos, variable, fill, mean, scale FROM prm",
+    o["impute_median"] = with_views(rounded("SELECT hold AS fold, variable, median FROM med", ["median"]), *PREP_CHAIN[:6])
+    o["impute_mode"] = with_views(rounded("SELECT hold AS fold, variable, mode FROM mode_", ["mode"]), *PREP_CHAIN[:7])
+    o["standardize"] = with_views(rounded("SELECT fold, pos, variable, fill, mean, scale FROM prm",
                                           ["fill", "mean", "scale"]), *PREP_CHAIN)
     cells = "\nUNION ALL\n".join(
-        f"SELECT f.id, '{c}' AS variable, (COALESCE(CAST(f.{c} AS DOUBLE), p.fill) - COALESCE(p.mean, 0e0)) "
-        f"/ COALESCE(p.scale, 1e0) AS value FROM f42 f, prm p WHERE f.fold = 0 AND p.variable = '{c}'"
+        f"SELECT f.fold, f.id, '{c}' AS variable, (COALESCE(CAST(f.{c} AS DOUBLE), p.fill) - COALESCE(p.mean, 0e0)) "
+        f"/ COALESCE(p.scale, 1e0) AS value FROM f42 f JOIN prm p ON p.fold = f.fold WHERE p.variable = '{c}'"
         for c in ORD_FEATURES)
     o["assemble"] = with_views(rounded(cells, ["value"]), *PREP_CHAIN)
     o["random_oversample"] = with_views("""
@@ -671,16 +679,16 @@ _prep_oracles()
 # ---------------------------------------------------------------- relational models
 BASE_VIEWS.update({
     "embv": "SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec, label AS target "
-            "FROM embeddings WHERE label IN (0, 1)",
+            "FROM embeddings",
     "embf": "SELECT *, CAST((ROW_NUMBER() OVER (ORDER BY target, MD5('42:' || CAST(id AS VARCHAR)), id) - 1) % "
             "(SELECT LEAST(MIN(n), SUM(n), 10) FROM (SELECT COUNT(*) AS n FROM embv GROUP BY target)) AS INTEGER) "
             "AS fold FROM embv",
     "docf": "SELECT *, CAST((ROW_NUMBER() OVER (ORDER BY target, MD5('42:' || CAST(id AS VARCHAR)), id) - 1) % "
             "(SELECT LEAST(MIN(n), SUM(n), 10) FROM (SELECT COUNT(*) AS n FROM doc GROUP BY target)) AS INTEGER) "
             "AS fold FROM doc",
-    "knn5": "SELECT q.id AS qid, r.id AS rid, list_distance(q.vec, r.vec) AS dist, "
+    "knn5": "SELECT q.fold, q.id AS qid, r.id AS rid, list_distance(q.vec, r.vec) AS dist, "
             "CAST(ROW_NUMBER() OVER (PARTITION BY q.id ORDER BY list_distance(q.vec, r.vec), r.id) AS INTEGER) AS rank "
-            "FROM embf q, embf r WHERE q.fold = 0 AND r.fold <> 0 QUALIFY rank <= 5",
+            "FROM embf q JOIN embf r ON r.fold <> q.fold QUALIFY rank <= 5",
     "mino": "SELECT d.* FROM doc d WHERE d.target = (SELECT target FROM (SELECT target, COUNT(*) AS n FROM doc "
             "GROUP BY target) ORDER BY n, target LIMIT 1)",
     "mnn": "SELECT a.id AS qid, b.id AS rid, sqrt((a.n_chars - b.n_chars)^2 + (a.n_spaces - b.n_spaces)^2 "
@@ -691,10 +699,10 @@ BASE_VIEWS.update({
 
 def _model_oracles() -> None:
     o = ORACLE
-    o["knn_join"] = with_views(rounded("SELECT qid, rank, rid, dist FROM knn5", ["dist"]), "embv", "embf", "knn5")
+    o["knn_join"] = with_views(rounded("SELECT fold, qid, rank, rid, dist FROM knn5", ["dist"]), "embv", "embf", "knn5")
     o["knn"] = with_views(rounded(
-        "SELECT k.qid AS id, AVG(CAST(e.target AS DOUBLE)) AS score, CAST(AVG(CAST(e.target AS DOUBLE)) > 0.5 "
-        "AS INTEGER) AS prediction FROM knn5 k JOIN embf e ON e.id = k.rid GROUP BY k.qid", ["score"]),
+        "SELECT k.fold, k.qid AS id, AVG(CAST(e.target = 1 AS DOUBLE)) AS score, CAST(AVG(CAST(e.target = 1 AS DOUBLE)) > 0.5 "
+        "AS INTEGER) AS prediction FROM knn5 k JOIN embf e ON e.id = k.rid GROUP BY k.fold, k.qid", ["score"]),
         "embv", "embf", "knn5")
     o["minority_nn_join"] = with_views(rounded("SELECT qid, rid, dist FROM mnn", ["dist"]), "doc", "mino", "mnn")
     o["smote_k1"] = with_views(rounded("""
@@ -713,24 +721,29 @@ def _model_oracles() -> None:
         dr AS (SELECT r.range AS draw, CAST(FLOOR({_draw(42, 'pick', 'r.range')} * mn.m) AS BIGINT) AS idx,
                       {_draw(42, 'gap', 'r.range')} AS gap FROM mn, mx, range(mx.big - mn.m) r)""")
     o["gaussian_nb"] = with_views(rounded("""
-        SELECT id, CASE WHEN diff >= 0 THEN 1 / (1 + exp(-diff)) ELSE exp(diff) / (1 + exp(diff)) END AS score,
+        SELECT fold, candidate, id, CASE WHEN diff >= 0 THEN 1 / (1 + exp(-diff)) ELSE exp(diff) / (1 + exp(diff)) END AS score,
                CAST(diff > 0 AS INTEGER) AS prediction
-        FROM (SELECT id, MAX(jll) FILTER (WHERE target = 1) - MAX(jll) FILTER (WHERE target = 0) AS diff
-              FROM jll GROUP BY id)""", ["score"]), "embv", "embf", extra="""
-        , embl AS (SELECT e.id, e.target, e.fold, r.range AS d, e.vec[r.range + 1] AS value
+        FROM (SELECT hold AS fold, candidate, id, MAX(jll) FILTER (WHERE target = 1) - MAX(jll) FILTER (WHERE target = 0) AS diff
+              FROM jll GROUP BY hold, candidate, id)""", ["score"]), "embv", "embf", extra="""
+        , embl AS (SELECT e.id, CAST(e.target = 1 AS INTEGER) AS target, e.fold, r.range AS d, e.vec[r.range + 1] AS value
                    FROM embf e, range(64) r),
-        zst AS (SELECT d, AVG(value) AS mu, CASE WHEN stddev_pop(value) = 0 THEN 1e0 ELSE stddev_pop(value) END AS sd
-                FROM embl WHERE fold <> 0 GROUP BY d),
-        z AS (SELECT l.id, l.target, l.fold, l.d, (l.value - s.mu) / s.sd AS value FROM embl l JOIN zst s ON s.d = l.d),
-        nbp AS (SELECT target, d, AVG(value) AS mean, var_pop(value) AS var0 FROM z WHERE fold <> 0
-                GROUP BY target, d),
-        eps AS (SELECT 1e-9 * MAX(v) AS eps FROM (SELECT var_pop(value) AS v FROM z WHERE fold <> 0 GROUP BY d)),
-        pri AS (SELECT target, LN(COUNT(*) * 1e0 / SUM(COUNT(*)) OVER ()) AS lp FROM embf WHERE fold <> 0
-                GROUP BY target),
-        jll AS (SELECT z.id, p.target, SUM(-0.5 * (LN(2 * PI()) + LN(p.var0 + eps.eps)
+        holds AS (SELECT DISTINCT fold AS hold FROM embf),
+        zst AS (SELECT hold, d, AVG(value) AS mu, CASE WHEN stddev_pop(value) = 0 THEN 1e0 ELSE stddev_pop(value) END AS sd
+                FROM embl JOIN holds ON hold <> fold GROUP BY hold, d),
+        z AS (SELECT s.hold, l.id, l.target, l.fold, l.d, (l.value - s.mu) / s.sd AS value FROM embl l JOIN zst s ON s.d = l.d),
+        nbp AS (SELECT hold, target, d, AVG(value) AS mean, var_pop(value) AS var0 FROM z WHERE fold <> hold
+                GROUP BY hold, target, d),
+        sm AS (SELECT * FROM (VALUES (0, 1e-9), (1, 1e-8), (2, 1e-7)) t(candidate, smoothing)),
+        eps AS (SELECT hold, candidate, smoothing * MAX(v) AS eps FROM (SELECT hold, var_pop(value) AS v FROM z WHERE fold <> hold
+                GROUP BY hold, d), sm GROUP BY hold, candidate, smoothing),
+        pri AS (SELECT hold, target, LN(n * 1e0 / SUM(n) OVER (PARTITION BY hold)) AS lp
+                FROM (SELECT hold, CAST(target = 1 AS INTEGER) AS target, COUNT(*) AS n FROM embf JOIN holds ON hold <> fold
+                      GROUP BY hold, CAST(target = 1 AS INTEGER))),
+        jll AS (SELECT z.hold, eps.candidate, z.id, p.target, SUM(-0.5 * (LN(2 * PI()) + LN(p.var0 + eps.eps)
                        + (z.value - p.mean) ^ 2 / (p.var0 + eps.eps))) + MAX(pri.lp) AS jll
-                FROM z JOIN nbp p ON p.d = z.d CROSS JOIN eps JOIN pri ON pri.target = p.target
-                WHERE z.fold = 0 GROUP BY z.id, p.target)""")
+                FROM z JOIN nbp p ON p.d = z.d AND p.hold = z.hold JOIN eps ON eps.hold = z.hold
+                JOIN pri ON pri.target = p.target AND pri.hold = z.hold
+                WHERE z.fold = z.hold GROUP BY z.hold, eps.candidate, z.id, p.target)""")
     o["threshold_classifier"] = with_views("""
         SELECT d.fold, d.id, d.target AS label, CAST(d.n_chars >= t.thr AS INTEGER) AS prediction
         FROM docf d JOIN (SELECT f.fold, quantile_cont(x.n_chars, 0.5) AS thr FROM (SELECT DISTINCT fold FROM docf) f

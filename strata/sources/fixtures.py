@@ -83,8 +83,8 @@ def doc_cohort(spark: SparkSession, sf_dir: str) -> Cohort:
 
 
 def emb_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, vec ARRAY<DOUBLE>, target) for rows with label 0 or 1."""
-    e = scan_parquet(spark, sf_dir, "embeddings").where(F.col("label").isin(0, 1))
+    """(id, vec ARRAY<DOUBLE>, target) of all embeddings; the target is the label, 0 to 9."""
+    e = scan_parquet(spark, sf_dir, "embeddings")
     return e.select(
         F.col("vec_id").alias("id"),
         F.transform("embedding", lambda x: x.cast("double")).alias("vec"),
@@ -93,7 +93,7 @@ def emb_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def emb_cohort(spark: SparkSession, sf_dir: str, dims: int = EMB_DIM) -> Cohort:
-    v = emb_vectors(spark, sf_dir)
+    v = emb_vectors(spark, sf_dir).where(F.col("target").isin(0, 1))  # a cohort has two outcomes
     cols = [F.col("vec")[i].alias(f"e{i}") for i in range(dims)]
     return Cohort.from_frame(v.select("id", *cols, "target"))
 
