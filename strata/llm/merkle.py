@@ -7,7 +7,7 @@ subroot; the subroots, in group order, make up the top tree and its root in the
 
 1. Every row gets its place in its group: rows are range-partitioned and sorted, and a table with a row per range and
    group gives what lies before each range.
-2. Aligned runs of ``FANOUT ** LEVELS`` leaves are the partitions of the tree.  Each hashes its own subtree.
+2. Aligned runs of ``FANOUT ** levels`` leaves are the partitions of the tree.  Each hashes its own subtree.
 3. Butterfly: in round r, partitions that agree in all base-``FANOUT`` digits of their number but digit r swap their
    subtree roots, at most ``FANOUT`` of them in an exchange, and every one hashes the common parent itself.  So after
    each round every partition knows its ancestor and that level's siblings, and nothing has to be sent down again.
@@ -100,19 +100,19 @@ def _runs(nodes: list[str]) -> list[list[str]]:
     return [nodes[k:k + FANOUT] for k in range(0, len(nodes), FANOUT)]
 
 
-def _local_levels(n: int) -> int:
-    """Levels that a partition hashes by itself: all of a small group's, else ``LEVELS``."""
+def _local_levels(n: int, levels: int) -> int:
+    """Levels that a partition hashes by itself: all of a small group's, else ``levels``."""
     height = 0
-    while n > 1 and height < LEVELS:
+    while n > 1 and height < levels:
         n, height = -(-n // FANOUT), height + 1
     return height
 
 
-def _subtrees(leaves: pa.Array, sizes: pa.Array) -> pa.Array:
+def _subtrees(leaves: pa.Array, sizes: pa.Array, levels: int) -> pa.Array:
     """Root of each partition's own subtree."""
     out = []
     for nodes, n in zip(leaves.to_pylist(), sizes.to_pylist()):
-        for _ in range(_local_levels(n)):
+        for _ in range(_local_levels(n, levels)):
             nodes = [_hex("".join(run)) for run in _runs(nodes)]
         out.append(nodes[0])
     return pa.array(out, pa.string())
@@ -144,13 +144,14 @@ def _exchange(parts: DataFrame, parts_of_group: Column, r: int) -> DataFrame:
                       F.array_append("sides", _siblings(F.col("_met"), F.col("digit"))).alias("sides"))
 
 
-def _trees(leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _trees(leaves: DataFrame, levels: int) -> tuple[DataFrame, DataFrame]:
     """From (grp, key, leaf, carry): partitions (grp, part, n, rows), and (grp, part, node, sides) with subroots."""
-    spark, size = leaves.sparkSession, FANOUT ** LEVELS
+    spark, size = leaves.sparkSession, FANOUT ** levels
     placed = _placed(leaves).withColumn("part", F.floor(F.col("place") / size))
     rows = F.array_sort(F.collect_list(F.struct("place", "key", "leaf", "carry")))  # at most ``size`` rows
     aligned = materialise(spark, placed.groupBy("grp", "part").agg(F.first("n").alias("n"), rows.alias("rows")), "subtrees")
-    now = aligned.select("grp", "part", "n", F.arrow_udf(_subtrees, "string")(F.col("rows.leaf"), F.col("n")).alias("node"),
+    root = F.arrow_udf(lambda nodes, n: _subtrees(nodes, n, levels), "string")
+    now = aligned.select("grp", "part", "n", root(F.col("rows.leaf"), F.col("n")).alias("node"),
                          F.array().cast(SIDES).alias("sides"))
     now = materialise(spark, now, "butterfly")
     many = F.ceil(F.col("n") / size)
@@ -163,14 +164,14 @@ def _trees(leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
     return aligned, now
 
 
-def _leaf_rows(batches: Iterator[pa.RecordBatch], names: list[str], sides: pa.DataType) -> Iterator[pa.RecordBatch]:
+def _leaf_rows(batches: Iterator[pa.RecordBatch], names: list[str], sides: pa.DataType, levels: int) -> Iterator[pa.RecordBatch]:
     """Each partition's leaves, their proofs inside the partition followed by the partition's own."""
     for batch in batches:
         for k in range(batch.num_rows):
             part = batch.slice(k, 1)
             rows, upper = part.column(0).flatten(), part.column(1)[0].as_py()
             level, climbs = rows.field("leaf").to_pylist(), []
-            for _ in range(_local_levels(part.column(2)[0].as_py())):
+            for _ in range(_local_levels(part.column(2)[0].as_py(), levels)):
                 runs = _runs(level)
                 climbs.append([{"before": "".join(run[:i]), "after": "".join(run[i + 1:])}
                                for run in runs for i in range(len(run))])
@@ -182,7 +183,7 @@ def _leaf_rows(batches: Iterator[pa.RecordBatch], names: list[str], sides: pa.Da
                  pa.array(proofs, sides)], names)
 
 
-def _proved(aligned: DataFrame, done: DataFrame, **own: Column) -> DataFrame:
+def _proved(aligned: DataFrame, done: DataFrame, levels: int, **own: Column) -> DataFrame:
     """(key, leaf, carry, own..., proof) of all leaves; ``own`` and ``sides`` are columns of ``done``."""
     upper = done.select(F.col("grp").alias("_grp"), F.col("part").alias("_part"), F.col("sides").alias("upper"),
                         *[c.alias(name) for name, c in own.items()])
@@ -194,10 +195,10 @@ def _proved(aligned: DataFrame, done: DataFrame, **own: Column) -> DataFrame:
              *[rows.schema[c].dataType for c in ("grp", *own)]]
     shape = ", ".join(f"{n} {k.simpleString()}" for n, k in zip(names, kinds)) + f", proof {SIDES}"
     sides = pa.list_(pa.struct([("before", pa.string()), ("after", pa.string())]))
-    return rows.mapInArrow(lambda b: _leaf_rows(b, names, sides), shape)
+    return rows.mapInArrow(lambda b: _leaf_rows(b, names, sides, levels), shape)
 
 
-def manifest(rows: DataFrame, group: Column, key: Column, leaf_of: Column, **carry: Column) -> DataFrame:
+def manifest(rows: DataFrame, group: Column, key: Column, leaf_of: Column, levels: int = LEVELS, **carry: Column) -> DataFrame:
     """Per row: (group, key, carry..., leaf, subroot, root, proof).
 
     ``proof`` has per level, from the leaf to the root, the concatenated siblings before and behind: see
@@ -207,15 +208,15 @@ def manifest(rows: DataFrame, group: Column, key: Column, leaf_of: Column, **car
     kept = F.struct(*[c.alias(name) for name, c in carry.items()] or [F.lit(0).alias("_none")])
     leaves = materialise(spark, rows.select(group.alias("grp"), key.alias("key"), leaf_of.alias("leaf"),
                                             kept.alias("carry")), "rows")
-    aligned, done = _trees(leaves)
+    aligned, done = _trees(leaves, levels)
     # a subroot is a leaf of the top tree, whose only group is null
     subroots = done.where("part = 0").select(F.lit(None).cast("string").alias("grp"), F.col("grp").alias("key"),
                                              F.col("node").alias("leaf"), F.struct(F.lit(0).alias("_none")).alias("carry"))
-    top_aligned, top_done = _trees(materialise(spark, subroots, "subroots"))
-    tops = _proved(top_aligned, top_done, root=F.col("node")).select(
+    top_aligned, top_done = _trees(materialise(spark, subroots, "subroots"), levels)
+    tops = _proved(top_aligned, top_done, levels, root=F.col("node")).select(
         F.col("key").alias("_top"), "root", F.col("proof").alias("above"))
     climbed = done.join(tops, F.col("grp").eqNullSafe(F.col("_top"))).select(
         "grp", "part", "node", "root", F.concat("sides", "above").alias("sides"))
-    proved = _proved(aligned, climbed, subroot=F.col("node"), root=F.col("root"))
+    proved = _proved(aligned, climbed, levels, subroot=F.col("node"), root=F.col("root"))
     return proved.select(F.col("grp").alias("group"), "key", *[F.col(f"carry.{name}").alias(name) for name in carry],
                          "leaf", "subroot", "root", "proof")
