@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,6 +98,17 @@ def text_slices(texts: pa.Array) -> Iterator[list[str | None]]:
         yield part
 
 
+def array_slices(texts: pa.Array, size: int = 4 * SLICE_BYTES) -> Iterator[pa.Array]:
+    """The texts as Arrow slices of about ``size`` bytes, a longer text alone."""
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at, n = 0, len(texts)
+    while at < n:
+        before = int(ends[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield texts.slice(at, stop - at)
+        at = stop
+
+
 def list_array(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     """An Arrow list column from one numpy array per row."""
     ends = np.cumsum([0] + [len(p) for p in parts])

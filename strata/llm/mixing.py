@@ -20,6 +20,7 @@ results; without labelled rows every posterior is uniform.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 import numpy as np
@@ -95,61 +96,74 @@ def memberships(docs: DataFrame, model: DomainModel, text: str = "text") -> Data
             .select(*own, F.col("posterior.tokens").alias("tokens"), F.col("posterior.posterior").alias("posterior")))
 
 
-def _rates(steps: list[np.ndarray], p: list[Column], upper: float | None = None) -> tuple[Column, Column]:
-    """The rate, and what it was before the last step's bounds."""
-    rate = free = F.lit(1.0)
-    for step in steps:
-        move = sum((x * F.lit(float(s)) for x, s in zip(p, step)), F.lit(0.0))
-        free = rate - move
-        rate = F.greatest(F.lit(0.0), free if upper is None else F.least(F.lit(float(upper)), free))
-    return rate, free
+def _free_rate(steps: list[np.ndarray], posterior: Column, upper: float | None = None) -> Column:
+    """The rate before the last step's bounds.  The steps are one literal, folded row by row: the plan does not grow."""
+    taken = F.from_json(F.lit(json.dumps([s.tolist() for s in steps])), "array<array<double>>")
+
+    def moved(free: Column, step: Column) -> Column:
+        return _bounded(free, upper) - F.aggregate(F.zip_with(posterior, step, lambda x, y: x * y), F.lit(0.0), lambda a, b: a + b)
+
+    return F.aggregate(taken, F.lit(1.0), moved)
+
+
+def _bounded(free: Column, upper: float | None) -> Column:
+    return F.greatest(F.lit(0.0), free if upper is None else F.least(F.lit(float(upper)), free))
+
+
+@dataclass
+class Fit:
+    """``steps`` give the rates, ``missed`` by how much each domain's total (or gap of shares) is off its target."""
+
+    steps: list[np.ndarray]
+    missed: np.ndarray
+    met: bool
 
 
 def fit_rates(members: DataFrame, targets: list[float], tokens: str = "tokens", posterior: str = "posterior",
               max_steps: int = MAX_STEPS, tolerance: float = 1e-6, upper: float | None = None,
-              held: Column | None = None) -> tuple[list[np.ndarray], np.ndarray]:
-    """The steps that bring the expected domain totals to ``targets``, and the totals reached.
+              held: Column | None = None) -> Fit:
+    """The steps that bring the expected domain totals to ``targets``; ``met`` tells whether they got there.
 
     No rate goes over ``upper``; documents for which ``held`` is true count with rate 1 and do not move.
     ``members`` is read once per step: pass a written or persisted table.
     """
     k, goal = len(targets), np.asarray(targets, float)
-    p = [F.col(f"`{posterior}`")[i] for i in range(k)]
-    steps: list[np.ndarray] = []
+    p, steps, before = F.col(f"`{posterior}`"), [], None
     while True:
-        rate = F.col("_rate")
-        sums = [F.sum(rate * F.col("_t") * F.col(f"_p{i}")) for i in range(k)]
-        sums += [F.sum(F.when(F.col("_moves"), F.col("_t") * F.col(f"_p{i}") * F.col(f"_p{j}")).otherwise(F.lit(0.0)))
+        sums = [F.sum(F.col("_rate") * F.col("_t") * F.col("_p")[i]) for i in range(k)]
+        sums += [F.sum(F.when(F.col("_moves"), F.col("_t") * F.col("_p")[i] * F.col("_p")[j]).otherwise(F.lit(0.0)))
                  for i in range(k) for j in range(k)]
-        now, free = _rates(steps, p, upper)
-        moves = (free > 0) if upper is None else (free > 0) & (free <= upper)
+        free = F.col("_free")
+        now, moves = _bounded(free, upper), (free > 0) if upper is None else (free > 0) & (free <= upper)
         if held is not None:
-            now, moves = F.when(held, 1.0).otherwise(now), moves & ~F.coalesce(held, F.lit(False))
-        table = members.select(F.col(f"`{tokens}`").cast("double").alias("_t"), *[x.alias(f"_p{i}") for i, x in enumerate(p)],
-                               now.alias("_rate"), moves.alias("_moves"))
-        row = table.agg(*sums).first()
+            now, moves = F.when(F.col("_held"), 1.0).otherwise(now), moves & ~F.col("_held")
+        table = members.select(F.col(f"`{tokens}`").cast("double").alias("_t"), p.alias("_p"),
+                               _free_rate(steps, p, upper).alias("_free"),
+                               F.coalesce(F.lit(False) if held is None else held, F.lit(False)).alias("_held"))
+        row = table.select("_t", "_p", now.alias("_rate"), moves.alias("_moves")).agg(*sums).first()
         values = np.array([v or 0.0 for v in row], float)
         reached, m = values[:k], values[k:].reshape(k, k)
-        if len(steps) >= max_steps or np.abs(reached - goal).max(initial=0) <= tolerance * max(goal.sum(), 1.0):
-            return steps, reached
-        # all that may move stand at their bounds: another step would only repeat the last one
-        if upper is not None and steps and steps[-1].any() and np.abs(reached - before).max() <= tolerance * 1e-3:
-            return steps, reached
+        missed = reached - goal
+        met = bool(np.abs(missed).max(initial=0) <= tolerance * max(goal.sum(), 1.0))
+        # standing still: all that may move is at its bounds, another step would only repeat the last one
+        still = before is not None and np.abs(reached - before).max() <= tolerance * 1e-3 * max(goal.sum(), 1.0) and steps[-1].any()
+        if met or len(steps) >= max_steps or (still and upper is not None):
+            return Fit(steps, missed, met)
         before = reached
-        steps.append(np.linalg.pinv(m, rcond=1e-9) @ (reached - goal))
+        steps.append(np.linalg.pinv(m, rcond=1e-9) @ missed)
 
 
 def fit_shares(members: DataFrame, shares: list[float], held: Column, tokens: str = "tokens", posterior: str = "posterior",
-               max_steps: int = 2 * MAX_STEPS, tolerance: float = 1e-5) -> tuple[list[np.ndarray], np.ndarray]:
+               max_steps: int = 2 * MAX_STEPS, tolerance: float = 1e-5) -> Fit:
     """Steps for rates from 0 to 1, 1 where ``held``, that bring the domains' shares of the kept tokens to ``shares``.
 
-    A share is linear in the rates as sum(r * tokens * (p_k - share_k)) = 0.  Also returned: by how much of all
-    tokens each domain misses that; shares that the held documents rule out are missed.
+    A share is linear in the rates as sum(r * tokens * (p_k - share_k)) = 0.  ``missed`` is what each domain misses of
+    that, as a part of all tokens; shares that the held documents rule out are missed.
     """
     total = members.agg(F.sum(F.col(f"`{tokens}`").cast("double"))).first()[0] or 1.0
-    steps, missed = fit_rates(members.withColumn("_gap", share_gaps(shares, posterior)), [0.0] * len(shares), tokens,
-                              "_gap", max_steps, tolerance * total, 1.0, held)
-    return steps, missed / total
+    fit = fit_rates(members.withColumn("_gap", share_gaps(shares, posterior)), [0.0] * len(shares), tokens,
+                    "_gap", max_steps, tolerance * total, 1.0, held)
+    return Fit(fit.steps, fit.missed / total, fit.met)
 
 
 def share_gaps(shares: list[float], posterior: str = "posterior") -> Column:
@@ -163,8 +177,7 @@ def with_rates(members: DataFrame, steps: list[np.ndarray], scale: float = 1.0,
 
     Equal rows draw the same number, so a recomputed task decides as before.
     """
-    k = len(steps[0]) if steps else 0
-    rate = _rates(steps, [F.col(f"`{posterior}`")[i] for i in range(k)], upper)[0] * F.lit(float(scale))
+    rate = _bounded(_free_rate(steps, F.col(f"`{posterior}`"), upper), upper) * F.lit(float(scale))
     if held is not None:
         rate = F.when(held, 1.0).otherwise(rate)
     draw = F.pmod(F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in keys]), F.lit(1 << 30)) / F.lit(float(1 << 30))

@@ -35,12 +35,9 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per line of every document: its tokens, from one encoding of the whole text."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    counted = token_counts.section_tokens(docs, word_tokenizer(), token_counts.line_sections(F.col("text")),
-                                          rule="most", word_by_word=True)
-    return counted.select("doc_id", "n_tokens", F.explode("section_tokens").alias("s")).select(
-        "doc_id", "n_tokens", F.col("s.section").alias("line"), "s.start", "s.stop",
-        F.col("s.tokens").cast("bigint").alias("line_tokens"))
+    counted = token_counts.line_tokens(_table(spark, sf_dir, "documents"), word_tokenizer(), rule="most", word_by_word=True)
+    return counted.select("doc_id", "n_tokens", F.col("section").alias("line"), "start", "stop",
+                          F.col("tokens").cast("bigint").alias("line_tokens"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,10 +71,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = materialise(spark, mixing.memberships(docs.select("doc_id", "text"), model)
                           .select("doc_id", F.xxhash64("text").alias("text_hash"), "tokens", "posterior"), "members")
     total = members.agg(F.sum("tokens")).first()[0] or 0
-    steps, _ = mixing.fit_rates(members, [mixing.WEIGHTS[d] * total for d in mixing.DOMAINS])
-    rated = mixing.with_rates(members, steps, keys=("doc_id", "text_hash"))
+    fit = mixing.fit_rates(members, [mixing.WEIGHTS[d] * total for d in mixing.DOMAINS])
+    rated = mixing.with_rates(members, fit.steps, keys=("doc_id", "text_hash"))
     return rated.select("doc_id", "tokens", *[F.col("posterior")[k].alias(f"p_{d}")
-                                              for k, d in enumerate(mixing.DOMAINS)], "rate", "copies")
+                                              for k, d in enumerate(mixing.DOMAINS)], "rate", "copies",
+                        F.lit(fit.met).alias("targets_met"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

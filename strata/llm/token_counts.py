@@ -20,14 +20,21 @@ empty result; the other columns pass through.
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import session_of, text_slices
+from .common import array_slices, session_of, text_slices
 from .token_files import WordEncoder
 
+#: Texts whose spans are worked on together have about so many bytes.
+SPAN_BYTES = 4 << 20
 RULES = ("first", "most", "share")
 SECTION = "array<struct<start: int, stop: int>>"
 
@@ -86,37 +93,45 @@ def allocate(starts: np.ndarray, stops: np.ndarray, sections: np.ndarray, rule:
 class WordSpans(WordEncoder):
     """Token character spans of whole texts, each distinct word encoded once (see ``WordEncoder``)."""
 
-    def _keep(self, group: list[bytes], ids: np.ndarray, spans: np.ndarray, starts: np.ndarray, cuts: list[int]) -> None:
-        counts = np.diff([0, *cuts])
-        held = (spans - np.repeat(starts, counts)[:, None].astype(np.int32)).tobytes()
-        for word, a, b in zip(group, [0, *cuts], cuts):
-            self.memo[word] = held[8 * a:8 * b]
+    PER_TOKEN = 2
+
+    def _held(self, ids: np.ndarray, spans: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        return spans - np.repeat(starts, counts)[:, None].astype(np.int32)
+
+    def joined_spans(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Spans in the texts joined by line breaks (one behind each), first token and first character of each text."""
+        inside, per_word, borders, blank = self.gathered(texts)
+        chars = joined_characters(texts)
+        sizes = pc.utf8_length(texts.fill_null("")).to_numpy().astype(np.int64) + 1
+        begins = np.concatenate([[0], np.cumsum(sizes)])
+        space = (chars == 32) | (chars >= 9) & (chars <= 13)
+        starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]])) if len(chars) else chars
+        spans = inside.astype(np.int64) + np.repeat(starts, per_word[~blank])[:, None]
+        ends = np.concatenate([[0], np.cumsum(per_word)])[borders]
+        self._check(texts, lambda k: (spans[ends[k]:ends[k + 1]] - begins[k]).tobytes(),
+                    lambda t: self.whole_spans([t])[0].tobytes())
+        return spans, ends, begins
 
     def spans(self, texts: list[str | None]) -> list[np.ndarray]:
-        out = []
-        for text, words in zip(texts, self._known(texts)):
-            chars = np.frombuffer((text or "").encode("utf-32-le"), "<u4")
-            blank = (chars == 32) | (chars >= 9) & (chars <= 13)
-            starts = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]])) if len(chars) else chars
-            counts = np.fromiter(map(len, words), np.int64, len(words)) // 8
-            inside = np.frombuffer(b"".join(words), np.int32).reshape(-1, 2)
-            out.append(inside + np.repeat(starts, counts)[:, None])
-        if not self.checked and out:
-            if not np.array_equal(out[0], self.whole_spans([texts[0] or ""])[0]):
-                raise ValueError("this tokenizer does not encode words apart; use word_by_word=False")
-            self.checked = True
-        return out
+        spans, ends, begins = self.joined_spans(pa.array(texts, pa.string()))
+        return [spans[a:b] - at for a, b, at in zip(ends, ends[1:], begins)]
 
     def whole_spans(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.offsets, np.int64).reshape(-1, 2)
                 for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def joined_characters(texts: pa.Array) -> np.ndarray:
+    """Code points of all texts, a line break behind each."""
+    return np.frombuffer("".join(f"{t or ''}\n" for t in texts.to_pylist()).encode("utf-32-le"), "<u4")
+
+
 #: The coder of the last definition, kept from task to task while Spark reuses the worker.
 _KEPT: dict[str, WordSpans] = {}
 
 
 def _coder(definition: str) -> WordSpans:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if definition not in _KEPT:
         _KEPT.clear()
         _KEPT[definition] = WordSpans(definition)
@@ -152,6 +167,63 @@ def _counted(rows: pa.Array, definition: str, rule: str, word_by_word: bool) ->
                                       ["n_tokens", "section_tokens"])
 
 
+def _line_rows(batches: Iterator[pa.RecordBatch], definition: str, rule: str,
+               word_by_word: bool) -> Iterator[pa.RecordBatch]:
+    """A row per line of every text, and one of section -1 where a text has tokens outside its lines."""
+    coder = _coder(definition)
+    for batch in batches:
+        done = 0
+        for texts in array_slices(batch.column(0), SPAN_BYTES):
+            if word_by_word:
+                spans, ends, begins = coder.joined_spans(texts)
+            else:
+                found = coder.whole_spans([t or "" for t in texts.to_pylist()])
+                sizes = pc.utf8_length(texts.fill_null("")).to_numpy().astype(np.int64) + 1
+                begins, ends = (np.concatenate([[0], np.cumsum(x)]) for x in (sizes, [len(f) for f in found]))
+                spans = np.concatenate([f + at for f, at in zip(found, begins)])
+            breaks = np.flatnonzero(joined_characters(texts) == 10) + 1  # the lines of all texts are lines of the joined text
+            lines = np.stack([np.concatenate([[0], breaks[:-1]]), breaks], 1)
+            counts = allocate(spans[:, 0], spans[:, 1], lines, rule)[:-1]
+            owner = np.searchsorted(begins, lines[:, 0], "right") - 1
+            first = np.searchsorted(lines[:, 0], begins[:-1])
+            number, bounds = np.arange(len(lines)) - first[owner], lines - begins[owner][:, None]
+            n_tokens = np.diff(ends)
+            spare = n_tokens - np.bincount(owner, counts, len(texts))
+            rest = np.flatnonzero(spare > 0.5)  # tokens of no characters
+            owner = np.concatenate([owner, rest])
+            outside = np.concatenate([np.zeros(len(lines), bool), np.ones(len(rest), bool)])
+            column = lambda x, fill: np.concatenate([x, np.full(len(rest), fill)]).astype(np.int32)
+            at = pa.array(owner + done, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*(c.take(at) for c in batch.columns[1:]), pa.array(n_tokens[owner], pa.int64()),
+                 pa.array(column(number, -1)), pa.array(column(bounds[:, 0], 0), mask=outside),
+                 pa.array(column(bounds[:, 1], 0), mask=outside), pa.array(np.concatenate([counts, np.round(spare[rest])]))],
+                [*batch.schema.names[1:], "n_tokens", "section", "start", "stop", "tokens"])
+            done += len(texts)
+
+
+def _definition(docs: DataFrame, tokenizer: str, rule: str) -> Broadcast:
+    if rule not in RULES:
+        raise ValueError(f"rule is one of {RULES}")
+    with open(tokenizer, encoding="utf-8") as f:
+        return session_of(docs).sparkContext.broadcast(f.read())
+
+
+def line_tokens(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", rule: str = "most",
+                word_by_word: bool = False) -> DataFrame:
+    """A row per line of every document: (key, n_tokens, section, start, stop, tokens).
+
+    The same as exploding ``section_tokens`` of ``line_sections``, but line borders and rows are made by the task that
+    encodes the text, which it does once.
+    """
+    definition = _definition(docs, tokenizer, rule)
+    rows = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{key}`").alias("key"))
+    kind = rows.schema["key"].dataType.simpleString()
+    counted = rows.mapInArrow(lambda b: _line_rows(b, definition.value, rule, word_by_word),
+                              f"key {kind}, n_tokens bigint, section int, start int, stop int, tokens double")
+    return counted.withColumnRenamed("key", key)
+
+
 def section_tokens(docs: DataFrame, tokenizer: str, sections: Column, text: str = "text",
                    rule: str = "most", word_by_word: bool = False) -> DataFrame:
     """``docs`` with ``n_tokens`` and ``section_tokens``, an array of (section, start, stop, tokens).
@@ -160,14 +232,11 @@ def section_tokens(docs: DataFrame, tokenizer: str, sections: Column, text: str
     ``word_by_word`` is for tokenizers that drop white space and never join
     across it: the spans are the same, but each distinct word is encoded once.
     """
-    if rule not in RULES:
-        raise ValueError(f"rule is one of {RULES}")
-    spark = session_of(docs)
-    with open(tokenizer, encoding="utf-8") as f:
-        definition = spark.sparkContext.broadcast(f.read())
+    definition = _definition(docs, tokenizer, rule)
     shape = ("struct<n_tokens: bigint, section_tokens: "
              "array<struct<section: int, start: int, stop: int, tokens: double>>>")
     udf = F.arrow_udf(lambda rows: _counted(rows, definition.value, rule, word_by_word), shape)
+    udf = udf.asNondeterministic()  # else a filter above (such as of explode) would encode the texts again
     own = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_tokens", "section_tokens")]
     given = F.coalesce(sections, F.array().cast(SECTION))
     return (docs.withColumn("section_tokens", udf(F.struct(F.col(f"`{text}`").alias("text"), given.alias("sections"))))

@@ -119,8 +119,8 @@ def test_classifiers(spark, odd, nothing):
         got = mixing.memberships(odd, model)
         assert got.count() == len(ROWS) and got.where("tokens = 0").count() == 4
         assert mixing.memberships(nothing, model).count() == 0
-        steps, _ = mixing.fit_rates(got, [10.0, 1.0, 1.0])
-        assert mixing.with_rates(got, steps).where("rate >= 0 AND copies >= 0").count() == len(ROWS)
+        fit = mixing.fit_rates(got, [10.0, 1.0, 1.0])
+        assert mixing.with_rates(got, fit.steps).where("rate >= 0 AND copies >= 0").count() == len(ROWS)
         severity = toxicity.severity(odd, toxicity.fit_severity(rows, 3))
         assert severity.where("expected_severity BETWEEN 0 AND 2").count() == len(ROWS)
         assert toxicity.severity(nothing, toxicity.fit_severity(rows, 3)).count() == 0
