@@ -46,13 +46,13 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = mixing.fit_domains(mixing.domain_labels(docs, labels), mixing.DOMAINS)
-    scored = mixing.memberships(folded(docs, doc_id=F.col("doc_id"), text=F.col("text")), model)
-    members = materialise(spark, scored.select("tokens", "posterior"), "members")
+    rows = folded(docs, doc_id=F.col("doc_id"), text_hash=F.xxhash64("text"), text=F.col("text"))
+    scored = materialise(spark, mixing.memberships(rows, model).drop("text"), "members")  # texts are scored once
     shares = [mixing.WEIGHTS[d] for d in mixing.DOMAINS]
     sure = F.col("posterior")[mixing.DOMAINS.index("clean")] >= SURE_CLEAN
-    steps, _ = mixing.fit_shares(members, shares, sure)
-    rated = mixing.with_rates(scored.withColumn("_gap", mixing.share_gaps(shares)), steps, posterior="_gap",
-                              keys=("doc_id", "text"), upper=1.0, held=sure)
+    fit = mixing.fit_shares(scored.select("tokens", "posterior"), shares, sure)
+    rated = mixing.with_rates(scored.withColumn("_gap", mixing.share_gaps(shares)), fit.steps, posterior="_gap",
+                              keys=("doc_id", "text_hash"), upper=1.0, held=sure)
     return unfolded(rated.where("copies > 0"), docs.columns)
 
 
