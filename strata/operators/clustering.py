@@ -57,7 +57,8 @@ class Restart:
     done: bool = False
 
 
-def _prepared(cohort: Cohort) -> tuple[DataFrame, list[str]]:
+def prepared_points(cohort: Cohort) -> tuple[DataFrame, list[str]]:
+    """(id, target, x) with all features imputed and scaled, and the features' names."""
     cohort.require_features()
     prep = fit_preparation(cohort, scale_all=True)
     base = cohort.df.withColumnRenamed(cohort.id_col, "id").withColumnRenamed(cohort.target_col, "target")
@@ -168,8 +169,15 @@ def assigned(data: DataFrame, centers: Sequence[Sequence[float]]) -> DataFrame:
     return data.select("id", "target", F.arrow_udf(nearest, "int")(F.col("x")).alias("cluster"))
 
 
+def prefix_inertia(data: DataFrame, centers: Sequence[Sequence[float]]) -> list[float]:
+    """Inertia of the assignment to the first k of some fixed centroids, for every k, from one pass."""
+    runs = [Restart(k, 0, np.array(centers[:k], float)) for k in range(1, len(centers) + 1)]
+    lloyd(data, runs, max_iter=0)
+    return [r.cost for r in runs]
+
+
 def kmeans(cohort: Cohort, k: int, n_init: int = N_INIT, parallelism: int = 4) -> KMeansFit:
-    data, cols = _prepared(cohort)
+    data, cols = prepared_points(cohort)
     data = data.checkpoint(eager=True)  # read by every pass
     n = data.count()
     k = max(1, min(int(k), n))
@@ -182,7 +190,7 @@ def kmeans(cohort: Cohort, k: int, n_init: int = N_INIT, parallelism: int = 4) -
 
 def kmeans_elbow(cohort: Cohort, max_k: int = MAX_ELBOW_K, n_init: int = N_INIT, parallelism: int = 4) -> DataFrame:
     """(k, inertia) for k = 1 .. min(max_k, rows); the runs of all k share their passes."""
-    data, cols = _prepared(cohort)
+    data, cols = prepared_points(cohort)
     data = data.checkpoint(eager=True)
     n = data.count()
     best = fit_runs(data, list(range(2, min(max_k, n) + 1)), n_init)

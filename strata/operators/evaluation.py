@@ -255,21 +255,46 @@ def order_by_request(df: DataFrame, names: Sequence[str], col: str = "model") ->
     return df.withColumn("request_pos", pos[F.col(col)])
 
 
-def results_document(metrics: DataFrame, roc: DataFrame, hyperparameters: Column | None = None) -> DataFrame:
-    """One JSON document per model: name, metrics with the confusion matrix, hyperparameters.
+def order_results(metrics: DataFrame, requested: Sequence[str], clustering: Sequence[str] = ()) -> DataFrame:
+    """(model, request_pos, is_clustering, auc) of every requested name: in request order, clusterings last."""
+    names = [n for n in dict.fromkeys(requested) if n not in clustering]
+    names += [n for n in dict.fromkeys(requested) if n in clustering]
+    order = metrics.sparkSession.createDataFrame([(n, i, int(n in clustering)) for i, n in enumerate(names)],
+                                                 "model string, request_pos int, is_clustering int")  # the request's names
+    return order.join(metrics.select("model", "auc"), "model", "left")
 
-    The ROC curve has one point per distinct score, which grows with the
-    data, so it is not folded into the document; the document carries the
-    number of points and the curve stays the long (model, point, fpr, tpr)
-    table next to it (write both with ``write.json``).
+
+#: Points or members in one part of a result document.
+PART_ROWS = 1000
+
+
+def results_document(metrics: DataFrame, roc: DataFrame, hyperparameters: Column | None = None,
+                     clusters: DataFrame | None = None) -> DataFrame:
+    """The results of a request as JSON parts (model, part, document).
+
+    Part 0 has name, metrics with the confusion matrix, hyperparameters and the number of ROC points; the parts behind it
+    have ``PART_ROWS`` points of the ROC curve each, in order.  ``clusters`` (model, cluster, id) adds parts with as many
+    members.  A curve or a cluster that grows with the data is thus never one value.
     """
     n_pts = roc.groupBy("model").agg(F.count(F.lit(1)).alias("_n_pts"))
     m = metrics.join(n_pts, "model", "left")
     metric_cols = ("sensitivity", "specificity", "vpp", "vpn", "accuracy", "f1_score", "auc")
-    doc = F.struct(
+    head = F.struct(
         F.col("model").alias("name"),
         F.struct(F.struct("tp", "fp", "tn", "fn").alias("confusion_matrix"),
                  *[F.col(c) for c in metric_cols], *[F.col(f"{c}_std") for c in metric_cols]).alias("metrics"),
         F.coalesce(F.col("_n_pts"), F.lit(0)).alias("roc_points"),
         (hyperparameters if hyperparameters is not None else F.lit(None).cast("string")).alias("hyperparameters"))
-    return m.select("model", F.to_json(doc).alias("document"))
+    out = m.select("model", F.lit(0).cast("bigint").alias("part"), F.to_json(head).alias("document"))
+    points = roc.groupBy("model", (F.floor(F.col("point") / PART_ROWS) + 1).cast("bigint").alias("part")).agg(
+        F.array_sort(F.collect_list(F.struct("point", "fpr", "tpr"))).alias("roc_curve"))
+    out = out.unionByName(points.select("model", "part", F.to_json(F.struct("roc_curve")).alias("document")))
+    if clusters is not None:
+        # members are dealt into parts by a hash, about ``PART_ROWS`` in each
+        parts = clusters.groupBy(F.col("model").alias("_m"), F.col("cluster").alias("_c")).agg(
+            F.ceil(F.count(F.lit(1)) / PART_ROWS).alias("_parts"))
+        dealt = clusters.join(parts, (F.col("model") == F.col("_m")) & (F.col("cluster") == F.col("_c"))).withColumn(
+            "part", F.pmod(F.xxhash64("id"), F.col("_parts")) + 1)
+        members = dealt.groupBy("model", "cluster", "part").agg(F.array_sort(F.collect_list("id")).alias("members"))
+        out = out.unionByName(members.select("model", "part", F.to_json(F.struct("cluster", "members")).alias("document")))
+    return out

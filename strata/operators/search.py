@@ -491,6 +491,12 @@ def _run(plan: FoldPlan, learner: Learner, candidates: Sequence[dict], balance:
     return spark.read.parquet(root).drop("job")
 
 
+def out_of_fold(plan: FoldPlan, learner: Learner, candidates: Sequence[dict], tag: Callable[[int], str],
+                balance: str | None = None, parallelism: int = 4) -> DataFrame:
+    """(model, fold, id, label, score, prediction): every row scored, for every candidate, by a fit without its fold."""
+    return _run(plan, learner, candidates, balance, parallelism, tag)
+
+
 def grid_rank(fold_auc: DataFrame) -> DataFrame:
     """(candidate, mean_auc, rank): best mean fold AUC first; ties keep grid order."""
     per = fold_auc.groupBy("candidate").agg(F.avg("auc").alias("mean_auc"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as E
+from ..operators import grids as G
 from ..sources.fixtures import SCORE_MODELS, scores_frame
 from .registry import finish, register
 
@@ -94,13 +95,16 @@ def q_export_metrics_csv(spark, sf):
 
 @register("order_results")
 def q_order_results(spark, sf):
-    """Results in request order (a clustering result would come last)."""
-    m = E.order_by_request(E.metrics_table(_scores(spark, sf)), SCORE_MODELS)
-    return finish(m.select("model", "request_pos", F.lit(0).alias("is_clustering"), "auc"))
+    """Results of a request in its order, the clustering last."""
+    asked = [G.KMEANS, *SCORE_MODELS]
+    return finish(E.order_results(E.metrics_table(_scores(spark, sf)), asked, [n for n in asked if n in G.CLUSTERING_MODELS]))
 
 
 @register("results_document")
 def q_results_document(spark, sf):
-    """One JSON result document per model (metrics, confusion matrix, ROC points)."""
+    """The results as JSON parts: metrics, confusion matrix and hyperparameters, ROC points, members of (fixed) clusters."""
+    from .search_queries import fixed_assignment
+
     s = _scores(spark, sf)
-    return E.results_document(E.metrics_table(s), E.roc_curve(s))
+    clusters = fixed_assignment(spark, sf).withColumn("model", F.lit(G.KMEANS))
+    return E.results_document(E.metrics_table(s), E.roc_curve(s), F.lit(G.format_hyperparameters({"source": "score table"})), clusters)

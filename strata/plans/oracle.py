@@ -235,12 +235,17 @@ def _profile_oracles() -> None:
                   + (SELECT COUNT(*) FROM corr WHERE ABS(r) >= 0.8) AS BIGINT) AS issues,
                CAST({nf} AS BIGINT) AS n_features""", *PROFILE_CHAIN, "corr")
     o["chart_subset"] = with_views("""
-        SELECT b.ordinal, b.variable, b.chart_pos, i.id, i.id_pos
+        SELECT b.ordinal, b.variable, b.chart_pos, i.id, i.id_pos, 'box' AS chart, NULL AS bin, NULL AS bin_lo, NULL AS bin_hi,
+               NULL AS count
         FROM (SELECT ordinal, variable, CAST(ROW_NUMBER() OVER (ORDER BY ordinal) AS INTEGER) AS chart_pos
               FROM quart q WHERE (SELECT n_distinct FROM stats s WHERE s.ordinal = q.ordinal) > 1
               QUALIFY chart_pos <= 4) b
         LEFT JOIN (SELECT ordinal, id, CAST(ROW_NUMBER() OVER (PARTITION BY ordinal ORDER BY id) AS INTEGER) AS id_pos
-                   FROM outid QUALIFY id_pos <= 5) i ON i.ordinal = b.ordinal""", *PROFILE_CHAIN)
+                   FROM outid QUALIFY id_pos <= 5) i ON i.ordinal = b.ordinal
+        UNION ALL
+        SELECT ordinal, variable, chart_pos, NULL, NULL, 'histogram', bin, ROUND(bin_lo, 6), ROUND(bin_hi, 6), count
+        FROM (SELECT *, CAST(DENSE_RANK() OVER (ORDER BY ordinal) AS INTEGER) AS chart_pos FROM hall) WHERE chart_pos <= 4""",
+        *PROFILE_CHAIN, "hst", extra=HIST_BODY)
 
 
 _profile_oracles()
@@ -427,8 +432,14 @@ def _eval_oracles() -> None:
         f"SELECT model AS Model, {', '.join(cells)}, CAST(tp AS VARCHAR) AS TP, CAST(fp AS VARCHAR) AS FP, "
         "CAST(tn AS VARCHAR) AS TN, CAST(fn AS VARCHAR) AS FN, 'N/A' AS Hyperparameters FROM mt WHERE tp IS NOT NULL",
         *chain)
-    o["order_results"] = with_views(rounded(
-        f"SELECT model, {req} AS request_pos, 0 AS is_clustering, auc FROM mt", ["auc"]), *chain)
+    o["order_results"] = with_views(rounded("""
+        SELECT r.model, r.request_pos, r.is_clustering, mt.auc FROM (VALUES ('price', 0, 0), ('lines', 1, 0), ('none', 2, 0),
+               ('K-Means Clustering', 3, 1)) r(model, request_pos, is_clustering) LEFT JOIN mt ON mt.model = r.model""", ["auc"]), *chain)
+    o["grid_rank"] = with_views(rounded("""
+        SELECT candidate, COALESCE(a, -1e0) AS mean_auc,
+               CAST(ROW_NUMBER() OVER (ORDER BY COALESCE(a, -1e0) DESC, candidate) AS INTEGER) AS rank
+        FROM (SELECT CASE model WHEN 'price' THEN 0 WHEN 'lines' THEN 1 ELSE 2 END AS candidate, AVG(auc) AS a
+              FROM auc WHERE fold <> -1 GROUP BY 1)""", ["mean_auc"]), "ord", "scores", "sc", "auc")
 
 
 _eval_oracles()
@@ -744,6 +755,59 @@ def _model_oracles() -> None:
                 FROM z JOIN nbp p ON p.d = z.d AND p.hold = z.hold JOIN eps ON eps.hold = z.hold
                 JOIN pri ON pri.target = p.target AND pri.hold = z.hold
                 WHERE z.fold = z.hold GROUP BY z.hold, eps.candidate, z.id, p.target)""")
+    o["oof_assemble"] = with_views(rounded("""
+        SELECT fold, id, label, CASE WHEN diff >= 0 THEN 1 / (1 + exp(-diff)) ELSE exp(diff) / (1 + exp(diff)) END AS score,
+               CAST(diff > 0 AS INTEGER) AS prediction
+        FROM (SELECT fold, id, label, MAX(jll) FILTER (WHERE target = 1) - MAX(jll) FILTER (WHERE target = 0) AS diff
+              FROM jll GROUP BY fold, id, label)""", ["score"]), *PREP_CHAIN, extra="""
+        , cells AS (SELECT f.id, f.fold, f.target, x.ordinal, x.value FROM f42 f JOIN (""" + "\nUNION ALL\n".join(
+            f"SELECT id, {i} AS ordinal, CAST({c} AS DOUBLE) AS value FROM f42" for i, c in enumerate(ORD_FEATURES)) + """) x
+                  ON x.id = f.id),
+        z AS (SELECT p.fold AS hold, c.id, c.fold, c.target, c.ordinal,
+                     (COALESCE(c.value, p.fill) - COALESCE(p.mean, 0e0)) / COALESCE(p.scale, 1e0) AS v
+              FROM cells c JOIN prm p ON p.ordinal = c.ordinal),
+        nbp AS (SELECT hold, target, ordinal, AVG(v) AS mean, var_pop(v) AS var0, COUNT(*) AS n FROM z WHERE fold <> hold
+                GROUP BY hold, target, ordinal),
+        eps AS (SELECT hold, 1e-9 * MAX(x) AS eps FROM (SELECT hold, var_pop(v) AS x FROM z WHERE fold <> hold
+                GROUP BY hold, ordinal) GROUP BY hold),
+        tot AS (SELECT hold, ordinal, SUM(n) AS n FROM nbp GROUP BY hold, ordinal),
+        jll AS (SELECT z.fold, z.id, z.target AS label, p.target, SUM(-0.5 * (LN(2 * PI()) + LN(p.var0 + eps.eps)
+                       + (z.v - p.mean) ^ 2 / (p.var0 + eps.eps))) + MAX(LN(p.n * 1e0 / tot.n)) AS jll
+                FROM z JOIN nbp p ON p.hold = z.hold AND p.ordinal = z.ordinal JOIN eps ON eps.hold = z.hold
+                JOIN tot ON tot.hold = z.hold AND tot.ordinal = z.ordinal
+                WHERE z.fold = z.hold GROUP BY z.fold, z.id, z.target, p.target)""")
+    o["status_row"] = with_views(rounded("""
+        SELECT 'Threshold' AS model, CAST(NULL AS DOUBLE) AS auc, AVG(CAST(CAST(d.n_chars >= t.thr AS INTEGER) = d.target AS DOUBLE))
+               AS accuracy, 'Threshold does not expose probability estimates; AUC and ROC curves are unavailable for this model.'
+               AS status_message
+        FROM docf d JOIN (SELECT f.fold, quantile_cont(x.n_chars, 0.5) AS thr FROM (SELECT DISTINCT fold FROM docf) f
+                          JOIN docf x ON x.fold <> f.fold GROUP BY f.fold) t ON t.fold = d.fold""", ["accuracy"]), "doc", "docf")
+    fixed = """
+        , kmed AS (SELECT ordinal, quantile_cont(value, 0.5) AS med FROM ordl WHERE value IS NOT NULL GROUP BY ordinal),
+        kst AS (SELECT l.ordinal, AVG(COALESCE(l.value, m.med)) AS mu, CASE WHEN stddev_pop(COALESCE(l.value, m.med)) = 0 THEN 1e0
+                       ELSE stddev_pop(COALESCE(l.value, m.med)) END AS sd FROM ordl l JOIN kmed m ON m.ordinal = l.ordinal GROUP BY l.ordinal),
+        kz AS (SELECT l.id, l.ordinal, (COALESCE(l.value, m.med) - s.mu) / s.sd AS z FROM ordl l JOIN kmed m ON m.ordinal = l.ordinal
+               JOIN kst s ON s.ordinal = l.ordinal),
+        kc AS (SELECT * FROM (VALUES (0, -1e0), (1, 0e0), (2, 1e0), (3, 2e0), (4, -2e0), (5, 0.5e0)) t(j, c)),
+        kd AS (SELECT kz.id, kc.j, SUM((z - c) * (z - c)) AS d FROM kz, kc GROUP BY kz.id, kc.j),
+        ka AS (SELECT t.id, t.target, k.cluster FROM ordc t JOIN (SELECT id, CAST(arg_min(j, (d, j)) AS INTEGER) AS cluster FROM kd
+               WHERE j < 3 GROUP BY id) k ON k.id = t.id),
+        ke AS (SELECT CAST(k AS INTEGER) AS k, SUM(d) AS inertia FROM (SELECT n.range AS k, kd.id, MIN(kd.d) AS d FROM range(1, 7) n
+               JOIN kd ON kd.j < n.range GROUP BY n.range, kd.id) GROUP BY k)"""
+    chain = ("ord", "ordc", "ordl")
+    o["attach_cluster"] = with_views("SELECT id, target, cluster FROM ka", *chain, extra=fixed)
+    o["cluster_members"] = with_views("SELECT cluster, id FROM ka", *chain, extra=fixed)
+    o["export_clusters_csv"] = with_views('SELECT CAST(cluster AS VARCHAR) AS "Cluster", CAST(id AS VARCHAR) AS "ID" FROM ka', *chain,
+                                          extra=fixed)
+    o["cluster_analysis"] = with_views(rounded("""
+        SELECT CAST(r.range AS INTEGER) AS cluster, COUNT(ka.id) AS count, COALESCE(AVG(CAST(ka.target AS DOUBLE)), 0e0) AS positive_rate
+        FROM range(3) r LEFT JOIN ka ON ka.cluster = r.range GROUP BY r.range""", ["positive_rate"]), *chain, extra=fixed)
+    o["one_cluster_inertia"] = with_views(rounded("SELECT 1 AS k, SUM(v) AS inertia FROM (SELECT var_pop(z) * COUNT(*) AS v FROM kz "
+                                                  "GROUP BY ordinal)", ["inertia"]), *chain, extra=fixed)
+    o["fixed_elbow"] = with_views(rounded("SELECT k, inertia FROM ke", ["inertia"]), *chain, extra=fixed)
+    o["suggest_k"] = with_views("""
+        SELECT COALESCE((SELECT k FROM (SELECT k, (LAG(inertia) OVER (ORDER BY k) - inertia) - (inertia - LEAD(inertia) OVER (ORDER BY k))
+               AS diff FROM ke) WHERE diff > 0 ORDER BY diff DESC, k LIMIT 1), 2) AS suggested_k""", *chain, extra=fixed)
     o["threshold_classifier"] = with_views("""
         SELECT d.fold, d.id, d.target AS label, CAST(d.n_chars >= t.thr AS INTEGER) AS prediction
         FROM docf d JOIN (SELECT f.fold, quantile_cont(x.n_chars, 0.5) AS thr FROM (SELECT DISTINCT fold FROM docf) f

@@ -119,9 +119,14 @@ def q_correlated_pairs(spark, sf):
 
 @register("chart_subset")
 def q_chart_subset(spark, sf):
-    """First four box plots in feature order with the first five outlier IDs of each."""
+    """First four box plots in feature order with the first five outlier IDs of each, and the first four histograms."""
     c = ord_cohort(spark, sf)
     ranked_box = top_k_per_group(P.box_plot(c), [], [F.col("ordinal")], 4, "chart_pos")
     ids = top_k_per_group(P.outlier_ids(c), ["ordinal", "variable"], [F.col("id")], 5, "id_pos")
-    return finish(ranked_box.select("ordinal", "variable", "chart_pos")
-                  .join(ids.select("ordinal", "id", "id_pos"), "ordinal", "left"))
+    boxes = (ranked_box.select("ordinal", "variable", "chart_pos")
+             .join(ids.select("ordinal", "id", "id_pos"), "ordinal", "left").withColumn("chart", F.lit("box")))
+    hist = P.histogram(c)
+    first = top_k_per_group(hist.select("ordinal").distinct(), [], [F.col("ordinal")], 4, "chart_pos")
+    bars = hist.join(first, "ordinal").select("ordinal", "variable", "chart_pos", "bin", "bin_lo", "bin_hi", "count",
+                                              F.lit("histogram").alias("chart"))
+    return finish(boxes.unionByName(bars, allowMissingColumns=True))

@@ -11,6 +11,9 @@ memoized per application and data folder because several queries read them.
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import clustering as CL
@@ -75,6 +78,14 @@ def q_cv_search(spark, sf):
 
 @register("grid_rank")
 def q_grid_rank(spark, sf):
+    """Mean exact fold AUC and rank of the score table's models as candidates (no AUC counts as -1, ties by order)."""
+    auc = E.auc_exact(X.scores_frame(spark, sf)).where(F.col("fold") != E.POOLED)
+    place = F.create_map(*[F.lit(x) for i, m in enumerate(X.SCORE_MODELS) for x in (m, i)])
+    return finish(S.grid_rank(auc.select(place[F.col("model")].alias("candidate"), "fold", "auc")))
+
+
+@register("grid_winner")
+def q_grid_winner(spark, sf):
     """The winning candidate of the logistic search with its parameters."""
     r = trained(spark, sf, G.LOGISTIC)
     best = r.candidates.where(F.col("rank") == 1).select("candidate", "mean_auc")
@@ -89,7 +100,16 @@ def q_cv_evaluate(spark, sf):
 
 @register("oof_assemble")
 def q_oof_assemble(spark, sf):
-    """Every row's out-of-fold score from the evaluation folds (one row per ID)."""
+    """Every row's out-of-fold naive Bayes score from the tuning folds (one row per ID)."""
+    plan = context(spark, sf).plan(S.TUNING_SEED)
+    bayes = S.LEARNERS[G.NAIVE_BAYES]
+    scores = S.out_of_fold(plan, bayes, [{"var_smoothing": 1e-9}], lambda ci: G.NAIVE_BAYES)
+    return finish(scores.select("fold", "id", "label", "score", "prediction"))
+
+
+@register("oof_logistic")
+def q_oof_logistic(spark, sf):
+    """Every row's out-of-fold score of the best logistic candidate from the evaluation folds."""
     return finish(trained(spark, sf, G.LOGISTIC).scores)
 
 
@@ -156,6 +176,19 @@ def q_stacking(spark, sf):
     return finish(E.metrics_table(_memo(spark, sf, G.STACKING, lambda: S.train_stacking(context(spark, sf), bases, cs)).scores))
 
 
+@register("train_request")
+def q_train_request(spark, sf):
+    """A whole request: results in request order with the clustering last, AUC, status and the sanitized name."""
+    asked = [G.KMEANS, G.VOTING, G.NAIVE_BAYES, G.LOGISTIC]
+    done = S.train_models(context(spark, sf), asked)
+    pooled = [E.metrics_table(r.scores).select("model", "auc") for r in done if r.name != G.KMEANS]
+    auc = reduce(DataFrame.unionByName, pooled)
+    order = spark.createDataFrame([(i, r.name, slug, int(r.name == G.KMEANS), r.status) for i, (r, slug) in enumerate(
+        zip(done, G.sanitize_names([r.name for r in done])))],
+        "position int, model string, slug string, is_clustering int, status string")  # a row per requested model
+    return finish(order.join(auc, "model", "left").select("position", "model", "slug", "is_clustering", "auc", "status"))
+
+
 @register("status_row")
 def q_status_row(spark, sf):
     """Result rows for models without scores: the threshold learner (no probabilities)."""
@@ -192,30 +225,71 @@ def q_kmeans_elbow(spark, sf):
     return finish(_elbow(spark, sf))
 
 
+#: Centroids that are the same in every feature (scaled): with them SQL can follow the outputs of a clustering.
+FIXED_CENTROIDS = (-1.0, 0.0, 1.0, 2.0, -2.0, 0.5)
+
+
+def _fixed(spark, sf):
+    def make():
+        data, cols = CL.prepared_points(X.ord_cohort(spark, sf))
+        return data.checkpoint(eager=True), [[c] * len(cols) for c in FIXED_CENTROIDS]
+    return _memo(spark, sf, "fixed centroids", make)
+
+
+def fixed_assignment(spark, sf):
+    data, centers = _fixed(spark, sf)
+    return CL.assigned(data, centers[:KMEANS_K])
+
+
+def _fixed_elbow(spark, sf):
+    """Inertia of the first k fixed centroids, k = 1 to 6, from one pass."""
+    data, centers = _fixed(spark, sf)
+    rows = CL.prefix_inertia(data, centers)
+    return spark.createDataFrame([(k + 1, float(v)) for k, v in enumerate(rows)], "k int, inertia double")
+
+
+@register("one_cluster_inertia")
+def q_one_cluster_inertia(spark, sf):
+    """The elbow at k = 1, in closed form."""
+    data, centers = _fixed(spark, sf)
+    return finish(spark.createDataFrame([(1, CL.one_cluster_inertia(data, len(centers[0])))], "k int, inertia double"))
+
+
 @register("suggest_k")
 def q_suggest_k(spark, sf):
+    """The k suggested by the inertias of growing sets of fixed centroids."""
+    return finish(CL.suggest_k(_fixed_elbow(spark, sf)))
+
+
+@register("fixed_elbow")
+def q_fixed_elbow(spark, sf):
+    return finish(_fixed_elbow(spark, sf))
+
+
+@register("suggest_k_elbow")
+def q_suggest_k_elbow(spark, sf):
+    """The k suggested by the elbow of fitted clusterings."""
     return finish(CL.suggest_k(_elbow(spark, sf)))
 
 
 @register("cluster_analysis")
 def q_cluster_analysis(spark, sf):
-    f = _kfit(spark, sf)
-    return finish(CL.cluster_analysis(f.assignments, f.k))
+    return finish(CL.cluster_analysis(fixed_assignment(spark, sf), KMEANS_K))
 
 
 @register("cluster_members")
 def q_cluster_members(spark, sf):
-    return finish(CL.cluster_members(_kfit(spark, sf).assignments))
+    return finish(CL.cluster_members(fixed_assignment(spark, sf)))
 
 
 @register("attach_cluster")
 def q_attach_cluster(spark, sf):
-    return finish(_kfit(spark, sf).assignments)
+    return finish(fixed_assignment(spark, sf))
 
 
 @register("export_clusters_csv")
 def q_export_clusters_csv(spark, sf):
-    return finish(CL.clusters_csv_rows(_kfit(spark, sf).assignments))
+    return finish(CL.clusters_csv_rows(fixed_assignment(spark, sf)))
 
 
 @register("balanced_fit")

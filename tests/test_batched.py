@@ -245,3 +245,37 @@ def test_stacking_of_all_folds_as_data(cohort):
     folds = {x["id"]: x["fold"] for x in ctx.plan(S.EVALUATION_SEED).cohort.df.select("id", "fold").collect()}
     assert all(folds[x["id"]] == x["fold"] for x in r.scores.collect())
     assert FO.resolve_fold_count(cohort.df, "target") == 10
+
+
+def test_result_documents_in_parts(spark, monkeypatch):
+    import json
+
+    from strata.operators import evaluation as E
+
+    monkeypatch.setattr(E, "PART_ROWS", 3)
+    rng = np.random.default_rng(6)
+    rows = [(m, k % 2, k, int(rng.random() < 0.5), float(rng.random()), int(k % 3 == 0)) for m in ("x", "y") for k in range(40)]
+    scores = spark.createDataFrame(rows, "model string, fold int, id long, label int, score double, prediction int")
+    roc = E.roc_curve(scores)
+    clusters = spark.createDataFrame([("km", k % 2, k) for k in range(20)], "model string, cluster int, id long")
+    parts = [(r["model"], r["part"], json.loads(r["document"])) for r in
+             E.results_document(E.metrics_table(scores), roc, F.lit("C: 1"), clusters).collect()]
+    for m in ("x", "y"):
+        head = next(d for n, k, d in parts if n == m and k == 0)
+        points = [p for _, _, d in sorted((x for x in parts if x[0] == m and x[1] > 0), key=lambda x: x[1]) for p in d["roc_curve"]]
+        assert head["name"] == m and head["hyperparameters"] == "C: 1" and head["roc_points"] == len(points)
+        assert head["metrics"]["confusion_matrix"]["tp"] >= 0
+        assert [p["point"] for p in points] == list(range(len(points))) and points[0] == {"point": 0, "fpr": 0.0, "tpr": 0.0}
+    members = {}
+    for n, _, d in parts:
+        if n == "km":
+            members.setdefault(d["cluster"], []).extend(d["members"])
+    assert {c: sorted(v) for c, v in members.items()} == {c: list(range(c, 20, 2)) for c in (0, 1)}
+
+
+def test_request_order_has_clusterings_last(spark):
+    from strata.operators import evaluation as E
+
+    metrics = spark.createDataFrame([("b", 0.7), ("a", 0.6)], "model string, auc double")
+    got = sorted(map(tuple, E.order_results(metrics, ["k", "a", "b", "a"], ["k"]).select("request_pos", "model", "is_clustering", "auc").collect()))
+    assert got == [(0, "a", 0, 0.6), (1, "b", 0, 0.7), (2, "k", 1, None)]
