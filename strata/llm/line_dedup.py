@@ -13,8 +13,13 @@ The join's own condition drops pairs whose letter counts differ by more than the
 edits can explain.  What is left is compared by a banded bit-parallel automaton:
 per number of errors one register of ``2 * edits + 1`` bits, one bit per diagonal.
 
-Lines shorter than ``min_chars`` are only matched exactly (two edits would make
-any two short lines equal).  Lines of white space are neither counted nor
+Bare keys are counted first: only keys of a segment that two lines probe can make
+a pair, and only their rows carry ids and letter counts on.
+
+Shorter lines have smaller bounds (two edits would make any two short lines equal):
+``edits`` from ``min_chars`` characters, one less below that, down to half of it, and
+so on; with the defaults 2 from 20 characters, 1 from 10, and only equal lines below.
+The shorter line of a pair decides.  Lines of white space are neither counted nor
 dropped.  Defined results: a null text has no lines; rows equal in id and text
 are one document and share the verdict; null ids sort first; an empty table
 gives an empty result; other columns pass through.
@@ -151,15 +156,38 @@ def distinct_lines(lines: DataFrame) -> DataFrame:
                                          F.min(F.struct("doc", "text_hash", "place")).alias("first"))
 
 
-def near_lines(distinct: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Pairs of different lines within ``edits``: (a_h1, a_h2, b_h1, b_h2), each pair once."""
+def useful_keys(long: DataFrame, edits: int) -> DataFrame:
+    """(id): keys of a segment of some line that two lines or more probe, the only ones that can make a pair.
+
+    Bare keys are counted; the lowest bit tells the line's own segments, which it probes as well.
+    """
+    own = index_keys(F.col("line"), F.col("l"), edits)
+    bare = F.transform(probe_keys(F.col("line"), F.col("l"), edits),
+                       lambda k: F.shiftleft(F.shiftright(k, 1), 1) + F.when(F.array_contains("own", k), 1).otherwise(0))
+    keys = long.withColumn("own", own).select(F.explode(F.array_distinct(bare)).alias("k"))
+    seen = keys.groupBy(F.shiftright("k", 1).alias("id")).agg(F.count(F.lit(1)).alias("n"), F.max(F.col("k").bitwiseAND(F.lit(1))).alias("segment"))
+    return seen.where("n > 1 AND segment = 1").select("id")
+
+
+def near_lines(distinct: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, max_chars: int | None = None) -> DataFrame:
+    """Pairs of different lines within ``edits``: (a_h1, a_h2, b_h1, b_h2), each pair once.
+
+    Lines of ``min_chars`` to ``max_chars`` characters take part.
+    """
     spark = distinct.sparkSession
     length = F.char_length("line")
-    long = distinct.where(length >= min_chars).select("h1", "line", length.alias("l"), letter_counts(F.col("line")).alias("sign"))
-    index = long.select(F.explode(index_keys(F.col("line"), F.col("l"), edits)).alias("key"),
-                        F.col("h1").alias("i"), F.col("sign").alias("i_sign"))
-    probe = long.select(F.explode(probe_keys(F.col("line"), F.col("l"), edits)).alias("key"),
-                        F.col("h1").alias("p"), F.col("sign").alias("p_sign"))
+    fits = (length >= min_chars) if max_chars is None else (length >= min_chars) & (length <= max_chars)
+    long = distinct.where(fits).select("h1", "line", length.alias("l"))
+    useful = materialise(spark, useful_keys(long, edits), "line-keys")
+
+    def keyed(keys: Column, name: str) -> DataFrame:
+        """(key, line) for the useful keys: chosen by a bitmap of fixed size, then exactly by the join itself."""
+        rows = long.select(F.explode(keys).alias("key"), F.col("h1").alias(name), F.col("line").alias(f"{name}_line"))
+        marked = flagged(rows, F.shiftright("key", 1), useful, "some").where("some")
+        return marked.select("key", name, letter_counts(F.col(f"{name}_line")).alias(f"{name}_sign"))
+
+    index = keyed(index_keys(F.col("line"), F.col("l"), edits), "i")
+    probe = keyed(probe_keys(F.col("line"), F.col("l"), edits), "p")
     near = (index["key"] == probe["key"]) & (F.col("i") != F.col("p")) & (
         _count_gap(F.col("i_sign"), F.col("p_sign")) <= 2 * edits)
     pairs = materialise(spark, index.join(probe, near).select(
@@ -173,6 +201,19 @@ def near_lines(distinct: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
             .where(within_edits(F.col("a_chars"), F.col("b_chars"), edits)).select("a_h1", "a_h2", "b_h1", "b_h2"))
 
 
+def near_pairs(distinct: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """Pairs of near copies: ``edits`` for lines of ``min_chars`` and more, one less for every halving of that length.
+
+    The shorter line of a pair decides; each level is a join of its own over the lines that it can concern.
+    """
+    out, low, most = None, min_chars, None
+    for allowed in range(edits, 0, -1):
+        part = near_lines(distinct, allowed, low, most)
+        out = part if out is None else out.union(part)
+        most, low = low - 1 + (allowed - 1), low // 2
+    return out.distinct()
+
+
 def line_verdicts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: int = EDITS,
                   min_chars: int = MIN_CHARS) -> DataFrame:
     """Per different document (doc, text_hash): ``kept``, the sorted numbers of the lines that stay.
@@ -181,7 +222,7 @@ def line_verdicts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", e
     """
     spark = docs.sparkSession
     distinct = materialise(spark, distinct_lines(corpus_lines(docs, doc_id, text)), "lines")
-    pairs = materialise(spark, near_lines(distinct, edits, min_chars), "near-lines")
+    pairs = materialise(spark, near_pairs(distinct, edits, min_chars), "near-lines")
     both = pairs.select(F.col("a_h1").alias("h1"), F.col("a_h2").alias("h2"), F.col("b_h1").alias("o1"), F.col("b_h2").alias("o2")).union(
         pairs.select(F.col("b_h1"), F.col("b_h2"), F.col("a_h1"), F.col("a_h2")))
     firsts = distinct.select("h1", "h2", "first")

@@ -79,11 +79,16 @@ WITH l AS (SELECT doc_id, p, line FROM (SELECT doc_id, unnest(string_split(text,
                                                unnest(range(0, len(string_split(text, chr(10))))) AS p FROM documents)
            WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 u AS (SELECT line, min((doc_id, p)) AS first, length(line) AS n FROM l GROUP BY line),
-c AS (SELECT *, n // 3 AS k FROM u WHERE n >= 20),
+c AS (SELECT *, n // 3 AS k, n // 2 AS h FROM u WHERE n >= 10),
 near AS (SELECT DISTINCT b.line FROM c a JOIN c b ON a.n BETWEEN b.n - 2 AND b.n + 2 AND a.first < b.first
+         AND least(a.n, b.n) >= 20
          AND (contains(a.line, b.line[1 : b.k]) OR contains(a.line, b.line[b.k + 1 : 2 * b.k])
               OR contains(a.line, b.line[2 * b.k + 1 : b.n]))
-         WHERE levenshtein(a.line, b.line) <= 2),
+         WHERE levenshtein(a.line, b.line) <= 2
+         UNION
+         SELECT DISTINCT b.line FROM c a JOIN c b ON a.n BETWEEN b.n - 1 AND b.n + 1 AND a.first < b.first
+         AND least(a.n, b.n) < 20 AND (contains(a.line, b.line[1 : b.h]) OR contains(a.line, b.line[b.h + 1 : b.n]))
+         WHERE levenshtein(a.line, b.line) <= 1),
 f AS (SELECT l.doc_id, l.p, (l.doc_id, l.p) = u.first AS is_first, l.line IN (SELECT line FROM near) AS is_near
       FROM l JOIN u ON l.line = u.line)
 SELECT d.doc_id, count(p) AS n_lines, count(*) FILTER (WHERE p IS NOT NULL AND NOT is_first) AS n_exact,

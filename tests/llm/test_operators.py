@@ -332,6 +332,27 @@ def test_near_lines_match_brute_force(spark):
     assert len(got) > 50
 
 
+def test_short_lines_have_smaller_bounds(spark):
+    rng, lines = random.Random(9), set()
+    for _ in range(60):
+        a = "".join(rng.choices("etao ", k=rng.randint(5, 23)))
+        lines.add(a)
+        for _ in range(4):
+            b = list(a)
+            for _ in range(rng.randint(1, 2)):
+                k = rng.randint(0, len(b))
+                b[k:k + rng.randint(0, 1)] = rng.choices("etaox", k=rng.randint(0, 1))
+            lines.add("".join(b))
+    lines = [x for x in lines if x.strip()]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "doc_id long, text string")
+    distinct = line_dedup.distinct_lines(line_dedup.corpus_lines(df)).cache()
+    name = {(r["h1"], r["h2"]): r["line"] for r in distinct.collect()}
+    got = {frozenset((name[r[0], r[1]], name[r[2], r[3]])) for r in line_dedup.near_pairs(distinct).collect()}
+    bound = lambda a, b: 2 if min(len(a), len(b)) >= 20 else int(min(len(a), len(b)) >= 10)
+    assert got == {frozenset(p) for p in itertools.combinations(lines, 2) if _edits(*p) <= bound(*p)}
+    assert any(min(map(len, p)) < 20 for p in got) and any(min(map(len, p)) >= 20 for p in got)
+
+
 def test_dropped_lines_leave_the_rest_in_place(spark):
     a, b = "the first long line of the text", "another line that is long enough"
     rows = [(1, f"{a}\n\n{b}\n{a}"), (2, f"{a[:-1]}\nshort\n{b}x"), (3, "short\n \nshorx"), (4, None), (2, f"{a[:-1]}\nshort\n{b}x")]
