@@ -108,11 +108,11 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: base and model log10 probability; learned from the documents that are not held out."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
     model = pitman_yor.train(docs.where(~held_out))
     return pitman_yor.score(docs, model).select(
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"),
-        "base_score", "score")
+        "base_score", "score", F.lit(model.settled).alias("settled"))
 
 
 def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:

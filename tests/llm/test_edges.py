@@ -98,7 +98,7 @@ def test_language_model(spark, odd, nothing):
     assert len(got) == len(ROWS) and {r["n_tokens"] for r in got if r["doc_id"] in (1, 2, 8)} == {1}
     assert all(r["score"] < 0 for r in got)
     empty = pitman_yor.train(nothing)
-    assert (empty.tokens, empty.words) == (0, 0)
+    assert (empty.tokens, empty.vocabulary) == (0, 0)
     assert all(r["n_known"] == 0 and r["base_score"] == 0 for r in pitman_yor.score(odd, empty).collect())
     assert pitman_yor.score(nothing, model).count() == 0
 

@@ -458,57 +458,109 @@ def test_language_model(spark, sf, docs, texts, monkeypatch):
     words = {i: (t or "").encode().lower().split() + [b""] for i, t in texts.items()}
     count = Counter(w for i in train for w in words[i])
     n, v = sum(count.values()), len(count)
-    model = pitman_yor.train(docs.where(F.crc32(F.col("doc_id").cast("string")) % 7 != 2))
-    assert (model.tokens, model.words) == (n, v)
+    model = pitman_yor.train(docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2))
+    assert (model.tokens, model.vocabulary) == (n, v) and model.settled
     held = {r["doc_id"]: r for r in pitman_yor.score(docs, model).collect()}
-    monkeypatch.setattr(pitman_yor, "HOT_WORDS", 40)  # most words take the way of the join
+    monkeypatch.setattr(pitman_yor, "HOT_CELLS", 40)  # most tokens take the way of the join
     joined = {r["doc_id"]: r for r in pitman_yor.score(docs, model).collect()}
+    # the formula, from the sampled numbers of tables
+    codes, d = pitman_yor.TokenCodes(), pitman_yor.DISCOUNT
+    contexts = {r["u"]: (r["customers"], [r[f"t{s}"] for s in range(3)]) for r in model.contexts.collect()}
+    roots = {r["w"]: (r["count"], [r[f"p{s}"] for s in range(3)]) for r in model.words.collect()}
+    cells = {(r["u"], r["w"]): (r["c"], r["p"]) for r in model.cells.collect()}
+    pairs = Counter((codes[a], codes[b]) for i in train for a, b in zip([b"", *words[i]], words[i]))
+    assert {k: c for k, (c, _) in cells.items()} == pairs
+
+    def chance(u, w):
+        if (u, w) in cells:
+            return cells[u, w][1]
+        customers, tables = contexts.get(u, (0, [0] * 3))
+        p = roots[w][1] if w in roots else model.unknown
+        return sum((1 + d * t) * x for t, x in zip(tables, p)) / 3 / (1 + customers)
+
     for i, w in words.items():
         base = sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w)
+        score = sum(math.log10(chance(codes[a], codes[b])) for a, b in zip([b"", *w], w))
         for r in (held[i], joined[i]):
             assert (r["n_tokens"], r["n_known"]) == (len(w), sum(x in count for x in w))
-            assert r["base_score"] == pytest.approx(base, rel=1e-9)
-        assert held[i]["score"] == pytest.approx(joined[i]["score"], rel=1e-5)
+            assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] == pytest.approx(score, rel=1e-9)
     test = [i for i in texts if i not in train]
     assert sum(held[i]["score"] for i in test) > sum(held[i]["base_score"] for i in test)
     # the predictive probabilities of a context add up to 1 over the vocabulary and the unknown slot
-    rows = model.table.collect()
-    for u in (0, 17):
-        total = float(model.unknown[u])
-        for r in rows:
-            total += (r["mean"][r["context"].index(u)] if u in r["context"]
-                      else float(np.mean(model.back_off[u] * np.array(r["roots"]))))
-        assert total == pytest.approx(1, abs=1e-9)
-
-
-def test_a_sweep_reseats_every_customer():
-    rng = np.random.default_rng(5)
-    # exact draws against the law of the one-by-one moves, and against all seatings of 3 customers
-    share = np.bincount(pitman_yor.draw_tables(np.full(40000, 3), np.full(40000, 0.9), 0.5, rng), minlength=4)[1:] / 40000
+    for u in [codes[b""], codes[count.most_common(3)[2][0]], codes[count.most_common()[-1][0]], 12345]:
+        customers, tables = contexts.get(u, (0, [0] * 3))
+        rest = sum((1 + d * t) * x for t, x in zip(tables, model.unknown)) / 3 / (1 + customers)
+        assert sum(chance(u, w) for w in roots) + rest == pytest.approx(1, abs=1e-9)
+
+
+def test_seating_draws_follow_their_laws():
+    n = np.arange(40000)
+    # all seatings of 3 customers
+    share = np.bincount(pitman_yor.draw_tables(np.full(40000, 3), np.full(40000, 1), np.full(40000, 0.9), 0.5, n), minlength=4)[1:] / 40000
     law = np.array([0.9 * 0.5 * 1.5, 3 * 0.9 * 0.9 * 0.5, 0.9 ** 3])
     assert np.allclose(share, law / law.sum(), atol=0.01)
-    # parts of one customer: the law of the exact draws
-    n, c = 400, 200
-    seats, tables = np.full(n, c), np.ones(n, np.int64)
-    for _ in range(12):
-        seats, tables = pitman_yor.reseat_all(seats, tables, np.full(n, 9.0), 0.8, c, rng)
-    drawn = pitman_yor.draw_tables(np.full(n, c), np.full(n, 9.0), 0.8, rng)
-    assert seats.sum() == n * c and abs(tables.mean() / drawn.mean() - 1) < 0.03
-    # large cells forget their start: the number of tables follows the base probability
-    for rate in (20.0, 2000.0):
-        ends = []
-        for start in (1, 3000):
-            size = np.full(8, 6000)
-            tables = np.full(8, start)
-            seats = np.ones((8, start), np.int64)
-            seats[:, 0] += 6000 - start
-            seats = seats.ravel()
-            for _ in range(15):
-                tables, seats = pitman_yor.swept(size, tables, seats, size, np.full(8, rate), 0.8, rng)
-            assert (np.add.reduceat(seats, np.cumsum(tables) - tables) == 6000).all()
-            ends.append(tables.mean())
-        assert abs(ends[0] / ends[1] - 1) < 0.1
-        assert (ends[0] < 100) == (rate < 100)
+    # gamma draws, functions of their keys
+    for shape in (0.2, 2.7, 90.0):
+        g = pitman_yor.gamma(np.full(40000, shape), 1, n)
+        assert abs(g.mean() / shape - 1) < 0.03 and abs(g.var() / shape - 1) < 0.05
+        assert (g == pitman_yor.gamma(np.full(40000, shape), 1, n)).all() and (g != pitman_yor.gamma(np.full(40000, shape), 2, n)).all()
+    # numbers of seatings without the table of all smaller ones
+    exact = pitman_yor._log_stirling(pitman_yor.DISCOUNT)
+    for c in (40, 256):
+        t = np.arange(1, int(2 * c ** 0.8))
+        assert np.allclose(pitman_yor.log_stirling(np.full(len(t), c), t, pitman_yor.DISCOUNT), exact[c, t - 1], atol=1e-5)
+
+
+def test_large_cells_are_drawn_from_the_law_of_small_ones(monkeypatch):
+    n = np.arange(2000)
+    exact = pitman_yor.draw_tables(np.full(2000, 256), np.full(2000, 1), np.full(2000, 5.0), 0.8, n)
+    monkeypatch.setattr(pitman_yor, "EXACT", 200)
+    pitman_yor._log_stirling.cache_clear()
+    for start in (1, 256):
+        t = np.full(2000, start)
+        for k in range(3):
+            t = pitman_yor.draw_tables(np.full(2000, 256), t, np.full(2000, 5.0), 0.8, n, k)
+        assert abs(t.mean() - exact.mean()) < 0.25 and abs(t.std() / exact.std() - 1) < 0.08
+    pitman_yor._log_stirling.cache_clear()
+
+
+def test_sampled_tables_match_the_exact_posterior():
+    """Two words in two restaurants: the sampler's mean numbers of tables against the sum over all seatings' weights."""
+    d, c = pitman_yor.DISCOUNT, {("u", "a"): 5, ("u", "b"): 1, ("x", "a"): 3, ("x", "b"): 4}
+    stirling = np.exp(pitman_yor._log_stirling(d)[:12, :12])
+
+    def rising(a, step, n):
+        return math.prod(a + step * k for k in range(n))
+
+    weights, tables = 0.0, np.zeros(4)
+    for t in itertools.product(*[range(1, n + 1) for n in c.values()]):
+        seats = dict(zip(c, t))
+        weight = math.prod(stirling[n, k - 1] for n, k in zip(c.values(), t))
+        for u in "ux":
+            weight *= rising(1 + d, d, sum(seats[u, w] for w in "ab") - 1)  # theta = 1
+        roots = {w: seats["u", w] + seats["x", w] for w in "ab"}
+        total = 0.0
+        for r in itertools.product(*[range(1, roots[w] + 1) for w in "ab"]):
+            total += rising(1 + d, d, sum(r) - 1) / 3 ** sum(r) * math.prod(stirling[roots[w], k - 1] for w, k in zip("ab", r))
+        weight *= total / rising(2, 1, sum(roots.values()) - 1)
+        weights += weight
+        tables += weight * np.array(t)
+    # the same sweeps as ``train``, for 4,000 copies of the corpus at once
+    n, seats, root = np.arange(4000), {k: np.ones(4000, np.int64) for k in c}, {w: np.ones(4000, np.int64) for w in "ab"}
+    seen = np.zeros(4)
+    for k in range(40):
+        customers = {w: seats["u", w] + seats["x", w] for w in "ab"}
+        heat = pitman_yor.gamma(1 / d + root["a"] + root["b"], n, k, 100) * d / 3
+        root = {w: pitman_yor.draw_tables(customers[w], root[w], heat, d, n, k, j) for j, w in enumerate("ab")}
+        g = {w: pitman_yor.gamma(customers[w] - d * root[w], n, k, 10 + j) for j, w in enumerate("ab")}
+        rest = pitman_yor.gamma(1 + d * (root["a"] + root["b"]), n, k, 20)
+        v = {u: pitman_yor.gamma(1 / d + seats[u, "a"] + seats[u, "b"], n, k, 30 + j) for j, u in enumerate("ux")}
+        for j, (u, w) in enumerate(c):
+            share = (g[w] + rest / 3) / (g["a"] + g["b"] + rest)
+            seats[u, w] = pitman_yor.draw_tables(np.full(4000, c[u, w]), seats[u, w], d * v[u] * share, d, n, k, 40 + j)
+        if k >= 20:
+            seen += [seats[x].mean() for x in c]
+    assert np.allclose(seen / 20, tables / weights, atol=0.08)
 
 
 def test_large_cells_leave_the_closed_form_start(spark):
@@ -516,9 +568,9 @@ def test_large_cells_leave_the_closed_form_start(spark):
     rows = spark.createDataFrame([(k, "aa bb " * 2000 + " ".join(f"w{k}x{j}" for j in range(500))) for k in range(10)],
                                  "doc_id long, text string")
     model = pitman_yor.train(rows)
-    context = pitman_yor.token_keys("aa bb", pitman_yor.TokenCodes())[1] & pitman_yor._LOW
+    r = model.contexts.where(F.col("u") == pitman_yor.TokenCodes()[b"aa"]).first()
     # share that goes to the root; 0.8 * 2759 / 20000 = 11 % at the start
-    assert float(np.mean(model.back_off[int(context)])) < 0.04
+    assert (1 + 0.8 * np.mean([r["t0"], r["t1"], r["t2"]])) / (1 + r["customers"]) < 0.04
     assert model.sweeps > pitman_yor.SAMPLES
 
 
