@@ -18,8 +18,9 @@ candidate carries its own stretch of words, so texts are never shuffled.
 
 Defined results: null or wordless texts have no words and no hits; null or
 wordless items have no windows; an item_id may repeat (its windows are united)
-and a null item_id takes no part in ``items``; repeated document rows each get
-their own row; empty tables give empty or all-clean results; other columns are
+and a null item_id takes no part in ``items``, but its windows still mark words,
+so that such a document is contaminated with no item named; repeated document rows
+each get their own row; empty tables give empty or all-clean results; other columns are
 ignored.
 """
 

@@ -12,6 +12,9 @@ start at 1, so they stay as near to equal as the targets allow.  Each step is on
 aggregation of K + K*K sums over the membership table; a rate is a function of
 the document's own ``p`` and the steps taken, so no rate table is kept or joined.
 
+A fit tells whether its targets were met and by how much each is missed: they may lie
+beyond what the documents (or the bounds on rates) can give.
+
 Defined results: a null or empty text has 0 tokens and the posterior of the
 class shares; a domain that no document can belong to is left at 0 (its target
 is missed); repeated rows are separate documents; empty tables give empty
