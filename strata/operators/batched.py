@@ -114,10 +114,14 @@ def prepared(x: np.ndarray, preps: dict[tuple[int, int], Arrays], fold: int, inn
 
 
 def fourier(x: np.ndarray, gamma: float, features: int, seed: int) -> np.ndarray:
-    """Random Fourier features of exp(-gamma |x - y|^2) (Rahimi and Recht, 2007)."""
+    """Random Fourier features of exp(-gamma |x - y|^2) (Rahimi and Recht, 2007) and a column of ones, in single precision."""
     rng = np.random.default_rng(seed)
-    w = rng.normal(0.0, math.sqrt(2.0 * gamma), (x.shape[1], features))
-    return math.sqrt(2.0 / features) * np.cos(x @ w + rng.uniform(0.0, 2.0 * math.pi, features))
+    w = rng.normal(0.0, math.sqrt(2.0 * gamma), (x.shape[1], features)).astype(np.float32)
+    shift = rng.uniform(0.0, 2.0 * math.pi, features).astype(np.float32)
+    out = np.ones((len(x), features + 1), np.float32)
+    angle = x.astype(np.float32) @ w + shift
+    np.multiply(np.cos(angle, out=angle), np.float32(math.sqrt(2.0 / features)), out=out[:, :-1])
+    return out
 
 
 @dataclass(frozen=True)
@@ -132,12 +136,15 @@ class Feature:
         return (self.features if self.gamma is not None else d) + 1
 
     def of(self, x: np.ndarray) -> np.ndarray:
-        x = x if self.gamma is None else fourier(x, self.gamma, self.features, self.seed)
+        """Features, and a column of ones for the intercept."""
+        if self.gamma is not None:
+            return fourier(x, self.gamma, self.features, self.seed)
         return np.concatenate([x, np.ones((len(x), 1))], 1)
 
 
-def _logistic_sums(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Per model: loss, gradient, Hessian (row by row)."""
+def _logistic_sums(x: np.ndarray, y: np.ndarray, w: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """Per model, over the rows that are ``there``: loss, gradient, Hessian (row by row)."""
+    x, y = x[there], y[there]
     z = x @ w.T
     p = 1.0 / (1.0 + np.exp(-np.clip(z, -700, 700)))
     loss = (np.logaddexp(0.0, z) - y[:, None] * z).sum(0)
@@ -147,13 +154,17 @@ def _logistic_sums(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.concatenate([loss[:, None], grad, hess.reshape(len(w), -1)], 1)
 
 
-def _hinge_sums(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Per model: loss and gradient of the hinge loss, rounded off below its corner."""
-    sign = 2.0 * y[:, None] - 1.0
-    gap = 1.0 - sign * (x @ w.T)
-    slope = np.clip(gap / ROUNDING, 0.0, 1.0)
-    loss = np.where(gap > ROUNDING, gap - ROUNDING / 2, slope * slope * ROUNDING / 2)
-    return np.concatenate([loss.sum(0)[:, None], (-sign * slope).T @ x], 1)
+def _hinge_sums(x: np.ndarray, y: np.ndarray, w: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """Per model, over the rows that are ``there``: loss and gradient of the hinge loss, rounded off below its corner.
+
+    Rows are left out by weight, not by copying their many features.
+    """
+    sign = (2.0 * y[:, None] - 1.0).astype(x.dtype)
+    gap = 1.0 - sign * (x @ w.T.astype(x.dtype))
+    slope = np.clip(gap / ROUNDING, 0.0, 1.0) * there[:, None]
+    loss = np.where(gap > ROUNDING, gap - ROUNDING / 2, slope * slope * ROUNDING / 2) * there[:, None]
+    grad = (-sign * slope).astype(x.dtype).T @ x
+    return np.concatenate([loss.sum(0, dtype=np.float64)[:, None], grad.astype(np.float64)], 1)
 
 
 def _pass_rows(batches: Iterator[pa.RecordBatch], rows: tuple, models: list[tuple[ModelKey, Feature]], weights: np.ndarray,
@@ -180,7 +191,7 @@ def _pass_rows(batches: Iterator[pa.RecordBatch], rows: tuple, models: list[tupl
                 g_prep = g if (f, g) in preps else -1
                 if last[0] != (f, g_prep, feature):
                     last = (f, g_prep, feature), feature.of(prepared(x, preps, f, g))
-                sums = sums_of(last[1][mask], label[mask], weights[members][:, :last[1].shape[1]])
+                sums = sums_of(last[1], label, weights[members][:, :last[1].shape[1]], mask)
                 if total is None:
                     total = np.zeros((len(models), size))
                 total[members, :sums.shape[1]] += sums
@@ -314,6 +325,12 @@ class Fitted:
     converged: list[bool]
     passes: int
 
+    def part(self, inner: bool) -> Fitted:
+        """The models with, or without, an inner fold left out."""
+        at = [m for m, key in enumerate(self.keys) if (key.inner >= 0) == inner]
+        pick = lambda values: [values[m] for m in at]
+        return Fitted(pick(self.keys), pick(self.features), pick(self.weights), pick(self.converged), self.passes)
+
     def of(self, fold: int, candidate: int, inner: int = -1) -> np.ndarray | Bayes:
         return self.weights[self.keys.index(ModelKey(fold, candidate, inner))]
 
@@ -367,8 +384,7 @@ def fit_hinge(rows: Rows, keys: Sequence[ModelKey], settings: Sequence[tuple[flo
         states.append(_Lbfgs(feature.width(rows.width), n, 1.0 / (c * n), tol))
     # models with the same features next to each other: a pass makes them once
     order = sorted(range(len(models)), key=lambda m: (models[m][0].fold, str(models[m][1]), models[m][0].inner))
-    fitted = _fit(rows, [models[m] for m in order], [states[m] for m in order], _hinge_sums, max_steps)
-    return fitted
+    return _fit(rows, [models[m] for m in order], [states[m] for m in order], _hinge_sums, max_steps)
 
 
 # ---------------------------------------------------------------- Gaussian naive Bayes from additive statistics

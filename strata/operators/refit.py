@@ -111,9 +111,8 @@ def refit(ctx: S.SearchContext, result: S.ModelResult, balance: str | None = Non
     # prepared rows that train the models of fold ``ALL``
     rows = BT.own_rows(train.select(F.lit(ALL).alias("fold"), inner.alias("inner"), F.col("target").cast("double").alias("label"),
                                     F.array(*[qcol(x).cast("double") for x in cols]).alias("x")), len(cols))
-    fitted = learner.fit_all(rows, [BT.ModelKey(ALL, 0)], [params])
+    fitted = learner.fit_all(rows, [BT.ModelKey(ALL, 0)] + [BT.ModelKey(ALL, 0, g) for g in range(inner_k)], [params])
     curve = None
     if learner.calibrated:
-        held = learner.fit_all(rows, [BT.ModelKey(ALL, 0, g) for g in range(inner_k)], [params])
-        curve = S.calibration(BT.margins(rows, held, inner=True).select("fold", "label", "margin")).get(ALL)
-    return FittedModel(result.name, params, prep, fitted.of(ALL, 0), fitted.features[0], curve)
+        curve = S.calibration(BT.margins(rows, fitted.part(True), inner=True).select("fold", "label", "margin")).get(ALL)
+    return FittedModel(result.name, params, prep, fitted.of(ALL, 0), fitted.part(False).features[0], curve)

@@ -405,14 +405,16 @@ def _run_all(plan: FoldPlan, learner: Learner, candidates: Sequence[dict], balan
                            keep=[qcol(c.id_col).alias("id")])
         train = _balanced_rows(plan, balance, strategy, inner_k) if balance else rows
         keys = [BT.ModelKey(f, i) for f in range(plan.k) for i in range(len(some))]
-        found = BT.margins(rows, learner.fit_all(train, keys, some))
+        if calibrate:  # the chosen candidate: its models without inner folds are fitted in the same passes
+            keys += [BT.ModelKey(f, 0, g) for f in range(plan.k) for g in range(inner_k)]
+        fitted = learner.fit_all(train, keys, some)
+        found = BT.margins(rows, fitted.part(False))
         names = F.create_map(*[x for i, ci in enumerate(places) for x in (F.lit(i), F.lit(tag(ci)))])
         score = _logit(F.col("margin"))
         if learner.calibrated and not calibrate:
             score = F.col("margin")  # the order is all that a ranking needs
         elif calibrate:
-            inner_keys = [BT.ModelKey(f, 0, g) for f in range(plan.k) for g in range(inner_k)]
-            unseen = BT.margins(rows, learner.fit_all(train, inner_keys, some[:1]), inner=True).select("fold", "label", "margin")
+            unseen = BT.margins(rows, fitted.part(True), inner=True).select("fold", "label", "margin")
             path = scratch_path(spark, "margins")
             unseen.write.parquet(path)
             curves = calibration(spark.read.parquet(path))
