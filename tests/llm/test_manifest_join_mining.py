@@ -166,7 +166,7 @@ def test_chosen_path_edges(spark):
 
 
 def test_trees_and_least_values_keep_the_recall():
-    assert chosen_path.trees_needed(0.8, 0.99999) == 3 and chosen_path.trees_needed(1.0, 0.9) == 1
+    assert chosen_path.trees_needed(0.8, 0.9999) == 2 and chosen_path.trees_needed(1.0, 0.9) == 1
     assert chosen_path.least_equal(1.0) == chosen_path.VALUES
     rng = np.random.default_rng(1)
     draws = (rng.random((200_000, chosen_path.VALUES)) < 0.8).sum(1)
