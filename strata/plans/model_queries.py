@@ -12,7 +12,7 @@ from ..operators import grids as G
 from ..operators import learners as L
 from ..operators import prep as PR
 from ..operators.foldstats import leave_fold_out_median
-from ..operators.knn import knn_join, knn_votes
+from ..operators.knn import knn_join, knn_out_of_folds, votes_out_of_folds
 from ..operators.search import fit_fold_preparations
 from ..sources import fixtures as X
 from .registry import finish, register
@@ -27,12 +27,11 @@ def emb_folded(spark, sf):
     return FO.stratified_folds(v, "id", "target", k, SEED), k
 
 
-def emb_sides(spark, sf):
-    """Queries (every row, in its fold) and references (every row, in all other folds)."""
-    e, k = emb_folded(spark, sf)
-    e = e.checkpoint(eager=True)
-    folds = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda f: f != F.col("fold"))
-    return e, e.select("id", "vec", "target", F.explode(folds).alias("fold"))
+def emb_rows(spark, sf):
+    """Every embedding in its fold, components in single precision if the table has them so."""
+    e = emb_folded(spark, sf)[0]
+    kind = X.scan_parquet(spark, sf, "embeddings").schema["embedding"].dataType
+    return e.withColumn("vec", F.col("vec").cast(kind)).checkpoint(eager=True)
 
 
 def doc_folded(spark, sf):
@@ -44,16 +43,14 @@ def doc_folded(spark, sf):
 @register("knn_join")
 def q_knn_join(spark, sf):
     """The 5 nearest training embeddings of every embedding, for every fold."""
-    q, ref = emb_sides(spark, sf)
-    return finish(knn_join(q, ref, K_NEIGHBOURS, group="fold").withColumnRenamed("grp", "fold"))
+    return finish(knn_out_of_folds(emb_rows(spark, sf), K_NEIGHBOURS).withColumnRenamed("grp", "fold"))
 
 
 @register("knn")
 def q_knn(spark, sf):
     """KNN classifier (k = 5, uniform weights): out-of-fold share of label 1 among the neighbours of every embedding."""
-    q, ref = emb_sides(spark, sf)
-    is_one = ref.withColumn("target", (F.col("target") == 1).cast("int"))
-    return finish(knn_votes(q, is_one, [(K_NEIGHBOURS, "uniform")], group="fold").drop("candidate").withColumnRenamed("grp", "fold"))
+    is_one = emb_rows(spark, sf).withColumn("target", (F.col("target") == 1).cast("int"))
+    return finish(votes_out_of_folds(is_one, [(K_NEIGHBOURS, "uniform")]).drop("candidate").withColumnRenamed("grp", "fold"))
 
 
 @register("minority_nn_join")
