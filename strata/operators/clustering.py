@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..cohort import Cohort
 from ..functions.numeric import qcol
-from ..session import ship_package
+from ..session import ship_package, spread
 from .prep import fit_preparation
 
 N_INIT = 10
@@ -35,7 +35,7 @@ SEED = 42
 MAX_ELBOW_K = 10
 MAX_ITER = 300
 #: Rows that the starts are drawn from, and rows that are worked on at once in a task.
-START_ROWS, SLAB = 5_000, 4096
+START_ROWS, SLAB = 5_000, 1024
 
 
 @dataclass
@@ -76,19 +76,45 @@ def _distances(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] + (centers * centers).sum(1) - 2.0 * (x @ centers.T), 0.0)
 
 
+def _slab_sums(x: np.ndarray, starts: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Per centroid of every run: points, summed squared distances, summed coordinates; the first centroid on ties."""
+    # squared distances less the point's own square: one product for all runs, centroids as rows
+    ones = np.concatenate([x, np.ones((len(x), 1))], 1)
+    far = np.concatenate([-2.0 * centers, (centers * centers).sum(1)[:, None]], 1) @ ones.T
+    near, hot = np.empty((len(starts) - 1, len(x))), np.empty(far.shape, bool)
+    for i, (a, b) in enumerate(zip(starts, starts[1:])):
+        far[a:b].min(0, out=near[i])
+        np.equal(far[a:b], near[i], out=hot[a:b])
+        if np.count_nonzero(hot[a:b]) != len(x):
+            hot[a:b] = far[a:b].argmin(0) == np.arange(b - a)[:, None]
+    sums = hot.astype(float) @ ones
+    cost = np.maximum(near + (x * x).sum(1), 0.0).sum(1)
+    out = np.zeros((len(centers), 2 + x.shape[1]))
+    out[:, 0], out[:, 2:] = sums[:, -1], sums[:, :-1]
+    out[starts[:-1], 1] = cost  # only a run's whole cost is read
+    return out
+
+
+def _slab_sums_of_any(x: np.ndarray, starts: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """``_slab_sums`` for points with cells that are no numbers: they reach their own centroid's sums only."""
+    total, far = np.zeros((len(centers), 2 + centers.shape[1])), _distances(x, centers)
+    for a, b in zip(starts, starts[1:]):
+        nearest = a + far[:, a:b].argmin(1)
+        total[:, 0] += np.bincount(nearest, minlength=len(total))
+        total[:, 1] += np.bincount(nearest, far[np.arange(len(x)), nearest], len(total))
+        for j in range(x.shape[1]):
+            total[:, 2 + j] += np.bincount(nearest, x[:, j], len(total))
+    return total
+
+
 def _lloyd_rows(batches: Iterator[pa.RecordBatch], starts: np.ndarray, centers: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Per centroid of every run: points, their summed squared distances, their summed coordinates."""
+    """Per centroid of every run: points, summed squared distances (they add up to a run's), summed coordinates."""
     total = np.zeros((len(centers), 2 + centers.shape[1]))
+    whole = np.isfinite(centers).all()
     for batch in batches:
         for at in range(0, batch.num_rows, SLAB):
             x = _points(batch.column(0).slice(at, SLAB), centers.shape[1])
-            far = _distances(x, centers)
-            for a, b in zip(starts, starts[1:]):
-                nearest = a + far[:, a:b].argmin(1)
-                total[:, 0] += np.bincount(nearest, minlength=len(total))
-                total[:, 1] += np.bincount(nearest, far[np.arange(len(x)), nearest], len(total))
-                for j in range(x.shape[1]):
-                    total[:, 2 + j] += np.bincount(nearest, x[:, j], len(total))
+            total += (_slab_sums if whole and np.isfinite(x).all() else _slab_sums_of_any)(x, starts, centers)
     yield pa.RecordBatch.from_arrays(
         [pa.array(np.arange(len(total), dtype=np.int32)),
          pa.ListArray.from_arrays(pa.array(np.arange(len(total) + 1, dtype=np.int32) * total.shape[1]), pa.array(total.ravel()))],
@@ -178,7 +204,7 @@ def prefix_inertia(data: DataFrame, centers: Sequence[Sequence[float]]) -> list[
 
 def kmeans(cohort: Cohort, k: int, n_init: int = N_INIT, parallelism: int = 4) -> KMeansFit:
     data, cols = prepared_points(cohort)
-    data = data.checkpoint(eager=True)  # read by every pass
+    data = spread(data, "points")  # read by every pass
     n = data.count()
     k = max(1, min(int(k), n))
     if k == 1:
@@ -191,7 +217,7 @@ def kmeans(cohort: Cohort, k: int, n_init: int = N_INIT, parallelism: int = 4) -
 def kmeans_elbow(cohort: Cohort, max_k: int = MAX_ELBOW_K, n_init: int = N_INIT, parallelism: int = 4) -> DataFrame:
     """(k, inertia) for k = 1 .. min(max_k, rows); the runs of all k share their passes."""
     data, cols = prepared_points(cohort)
-    data = data.checkpoint(eager=True)
+    data = spread(data, "points")
     n = data.count()
     best = fit_runs(data, list(range(2, min(max_k, n) + 1)), n_init)
     rows = [(1, one_cluster_inertia(data, len(cols)))] + [(k, r.cost) for k, r in best.items()]
