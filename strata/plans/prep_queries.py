@@ -11,6 +11,7 @@ from ..operators import balance as B
 from ..operators import folds as FO
 from ..operators import prep as PR
 from ..operators.search import fit_fold_preparations
+from ..session import spread
 from ..sources import fixtures as X
 from .registry import finish, register
 
@@ -54,8 +55,9 @@ def q_split_feature_types(spark, sf):
 
 def fold_preparations(spark, sf):
     """Cohort, folds, and the preparation fitted on the training rows of every fold, in three passes."""
-    c, cf, k = folded(spark, sf)
-    return cf, k, fit_fold_preparations(cf, "fold", k, PR.split_feature_types(c))
+    _, lazy, k = folded(spark, sf)
+    cf = lazy.with_df(spread(lazy.df, "folds"))  # every pass reads the rows, none joins and deals them again
+    return cf, k, fit_fold_preparations(cf, "fold", k, PR.split_feature_types(cf))
 
 
 def _fitted(spark, preps, kind):
