@@ -60,6 +60,8 @@ class Restart:
 def prepared_points(cohort: Cohort) -> tuple[DataFrame, list[str]]:
     """(id, target, x) with all features imputed and scaled, and the features' names."""
     cohort.require_features()
+    # written once: the fit's passes and those over the points read rows, none joins them again
+    cohort = cohort.with_df(spread(cohort.df.select(*map(qcol, cohort.columns)), "cohort"))
     prep = fit_preparation(cohort, scale_all=True)
     base = cohort.df.withColumnRenamed(cohort.id_col, "id").withColumnRenamed(cohort.target_col, "target")
     data = prep.transform(base, "id", ["target"])
