@@ -35,3 +35,8 @@ def test_points_read_a_written_cohort(spark):
     joined = c.with_df(c.df.join(spark.range(400), "id"))
     data, cols = CL.prepared_points(joined)
     assert "Join" not in data._jdf.queryExecution().toString() and data.count() == 400 and "a" in cols
+
+
+def test_large_tree_fits_run_one_by_one():
+    assert S.fits_at_once(10_000, 8, 12) == 8 and S.fits_at_once(0, 8, 12) == 8
+    assert S.fits_at_once(4_000_000, 8, 12) == 3 and S.fits_at_once(50_000_000, 8, 12) == 1
