@@ -40,3 +40,11 @@ def test_points_read_a_written_cohort(spark):
 def test_large_tree_fits_run_one_by_one():
     assert S.fits_at_once(10_000, 8, 12) == 8 and S.fits_at_once(0, 8, 12) == 8
     assert S.fits_at_once(4_000_000, 8, 12) == 3 and S.fits_at_once(50_000_000, 8, 12) == 1
+
+
+def test_hash_of_folds_is_not_dealt_out(spark):
+    c = cohort(spark)
+    plan = FO.stratified_folds(c.df, "id", "target", 5)._jdf.queryExecution().executedPlan().toString()
+    dealt = [i for i, line in enumerate(plan.splitlines()) if re.search(r"Exchange hashpartitioning\(target#\d+, _bucket", line)]
+    hashed = [i for i, line in enumerate(plan.splitlines()) if re.search(r"Project .* AS _h#", line)]
+    assert len(dealt) == 1 and hashed and max(hashed) < dealt[0]  # a plan is read from below
