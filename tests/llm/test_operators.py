@@ -361,6 +361,25 @@ def test_dropped_lines_leave_the_rest_in_place(spark):
     assert got == sorted([(1, f"{a}\n\n{b}"), (2, "short"), (3, " \nshorx"), (4, None), (2, "short")], key=str)
 
 
+def test_verdicts_of_a_group_of_near_copies_make_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "near_lines", lambda *a, **k: pytest.fail("pairs are made"))
+    rng, base = random.Random(12), "one line that many pages have in nearly the same words é"
+    lines = [base] + ["".join(rng.choices("etaoin ", k=rng.randint(8, 40))) for _ in range(20)]
+    for _ in range(80):
+        b = list(rng.choice(lines[:3]))
+        for _ in range(rng.randint(1, 3)):
+            k = rng.randrange(len(b))
+            b[k:k + rng.randint(0, 1)] = rng.choices("xyzé", k=rng.randint(0, 1))
+        lines.append("".join(b))
+    lines = [x for x in dict.fromkeys(lines) if x.strip()]
+    rng.shuffle(lines)
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(4)
+    got = {r["doc"]: r["kept"] for r in line_dedup.line_verdicts(df).collect()}
+    bound = lambda a, b: 2 if min(len(a), len(b)) >= 20 else int(min(len(a), len(b)) >= 10)
+    late = {k for k, b in enumerate(lines) if any(abs(len(a) - len(b)) < 3 and 0 < _edits(a, b) <= bound(a, b) for a in lines[:k])}
+    assert got == {k: [] if k in late else [0] for k in range(len(lines))} and len(late) > 20
+
+
 def test_surrogates_are_consistent_and_distinct(spark):
     text = ("Mail Anna.Lee@mail.example.com or ANNA.LEE@MAIL.example.com, call +1 (555) 010-2345 or 555-010-2345. "
             "Card 4111 1111 1111 1111, not 4111 1111 1111 1112. Host 10.20.30.40, version 1.2.3. "
