@@ -72,7 +72,7 @@ def test_a_tree_splits_where_the_squared_error_falls_most():
     assert np.allclose(T.grow(bins, target, weight, [0, 1])[0], np.average(target, weights=weight))
 
 
-@pytest.mark.parametrize("model, candidates", [(G.XGBOOST, 16), (G.GRADIENT_BOOSTING, 8), (G.RANDOM_FOREST, 6)])
+@pytest.mark.parametrize("model, candidates", [(G.CATBOOST, 8), (G.XGBOOST, 16), (G.GRADIENT_BOOSTING, 8), (G.RANDOM_FOREST, 6)])
 def test_registered_tree_learners_run_their_whole_light_grid(monkeypatch, model, candidates):
     asked = {}
     monkeypatch.setattr(Q, "context", lambda *a: None)
@@ -83,7 +83,7 @@ def test_registered_tree_learners_run_their_whole_light_grid(monkeypatch, model,
     assert grid == G.LIGHT_GRIDS[model] and len(S.LEARNERS[model].distinct(G.expand_grid(grid))) == candidates
 
 
-@pytest.mark.parametrize("model", [G.XGBOOST, G.GRADIENT_BOOSTING, G.RANDOM_FOREST])
+@pytest.mark.parametrize("model", [G.CATBOOST, G.XGBOOST, G.GRADIENT_BOOSTING, G.RANDOM_FOREST])
 def test_every_candidate_scores_every_row_once(spark, monkeypatch, model):
     small = {"n_estimators": [3, 6], "iterations": [3, 6]}
     grid = {key: small.get(key, v) for key, v in G.LIGHT_GRIDS[model].items()}
