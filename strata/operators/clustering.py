@@ -29,13 +29,14 @@ from ..cohort import Cohort
 from ..functions.numeric import qcol
 from ..session import ship_package, spread
 from .prep import fit_preparation
+from .sums import added, tasks_of
 
 N_INIT = 10
 SEED = 42
 MAX_ELBOW_K = 10
 MAX_ITER = 300
 #: Rows that the starts are drawn from, and rows that are worked on at once in a task.
-START_ROWS, SLAB = 5_000, 1024
+START_ROWS, SLAB = 5_000, 256
 
 
 @dataclass
@@ -78,23 +79,54 @@ def _distances(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] + (centers * centers).sum(1) - 2.0 * (x @ centers.T), 0.0)
 
 
+class _SlabSums:
+    """Per centroid of every run: points, summed squared distances, summed coordinates; the first centroid on ties.
+
+    Runs of the same k lie next to each other and are compared together, in arrays that are made once.
+    """
+
+    def __init__(self, starts: np.ndarray, centers: np.ndarray):
+        self.starts, self.centers, self.arrays = starts, centers, {}
+        # squared distances less the point's own square: one product for all runs, centroids as rows
+        self.left = np.concatenate([-2.0 * centers, (centers * centers).sum(1)[:, None]], 1)
+        sizes, edges = np.diff(starts), [0]
+        edges += [i for i in range(1, len(sizes)) if sizes[i] != sizes[i - 1]] + [len(sizes)]
+        self.alike = [(i, j, int(sizes[i])) for i, j in zip(edges, edges[1:]) if j > i]
+        self.sums, self.cost = np.zeros((len(centers), centers.shape[1] + 1)), np.zeros(len(sizes))
+
+    def add(self, x: np.ndarray) -> None:
+        n = len(x)
+        if n not in self.arrays:
+            self.arrays = {} if len(self.arrays) > 3 else self.arrays
+            total, runs = len(self.centers), len(self.cost)
+            self.arrays[n] = (np.ones((x.shape[1] + 1, n)), np.empty((total, n)), np.empty((total, n), bool),
+                              np.empty((total, n)), np.empty((runs, n)))
+        ones, far, nearest, hot, near = self.arrays[n]
+        ones[:-1] = x.T
+        np.matmul(self.left, ones, out=far)
+        for i, j, k in self.alike:
+            rows = slice(self.starts[i], self.starts[j])
+            part, mark = far[rows].reshape(j - i, k, n), nearest[rows].reshape(j - i, k, n)
+            np.minimum.reduce(part, axis=1, out=near[i:j])
+            np.equal(part, near[i:j, None], out=mark)
+            if np.count_nonzero(mark) != (j - i) * n:
+                np.equal(part.argmin(1)[:, None], np.arange(k)[:, None], out=mark)
+        hot[...] = nearest
+        self.sums += hot @ ones.T
+        near += (x * x).sum(1)
+        self.cost += np.maximum(near, 0.0, out=near).sum(1)
+
+    def total(self) -> np.ndarray:
+        out = np.zeros((len(self.centers), 2 + self.centers.shape[1]))
+        out[:, 0], out[:, 2:] = self.sums[:, -1], self.sums[:, :-1]
+        out[self.starts[:-1], 1] = self.cost  # only a run's whole cost is read
+        return out
+
+
 def _slab_sums(x: np.ndarray, starts: np.ndarray, centers: np.ndarray) -> np.ndarray:
-    """Per centroid of every run: points, summed squared distances, summed coordinates; the first centroid on ties."""
-    # squared distances less the point's own square: one product for all runs, centroids as rows
-    ones = np.concatenate([x, np.ones((len(x), 1))], 1)
-    far = np.concatenate([-2.0 * centers, (centers * centers).sum(1)[:, None]], 1) @ ones.T
-    near, hot = np.empty((len(starts) - 1, len(x))), np.empty(far.shape, bool)
-    for i, (a, b) in enumerate(zip(starts, starts[1:])):
-        far[a:b].min(0, out=near[i])
-        np.equal(far[a:b], near[i], out=hot[a:b])
-        if np.count_nonzero(hot[a:b]) != len(x):
-            hot[a:b] = far[a:b].argmin(0) == np.arange(b - a)[:, None]
-    sums = hot.astype(float) @ ones
-    cost = np.maximum(near + (x * x).sum(1), 0.0).sum(1)
-    out = np.zeros((len(centers), 2 + x.shape[1]))
-    out[:, 0], out[:, 2:] = sums[:, -1], sums[:, :-1]
-    out[starts[:-1], 1] = cost  # only a run's whole cost is read
-    return out
+    sums = _SlabSums(starts, centers)
+    sums.add(x)
+    return sums.total()
 
 
 def _slab_sums_of_any(x: np.ndarray, starts: np.ndarray, centers: np.ndarray) -> np.ndarray:
@@ -112,11 +144,16 @@ def _slab_sums_of_any(x: np.ndarray, starts: np.ndarray, centers: np.ndarray) ->
 def _lloyd_rows(batches: Iterator[pa.RecordBatch], starts: np.ndarray, centers: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Per centroid of every run: points, summed squared distances (they add up to a run's), summed coordinates."""
     total = np.zeros((len(centers), 2 + centers.shape[1]))
-    whole = np.isfinite(centers).all()
+    whole, sums = np.isfinite(centers).all(), _SlabSums(starts, centers)
     for batch in batches:
-        for at in range(0, batch.num_rows, SLAB):
-            x = _points(batch.column(0).slice(at, SLAB), centers.shape[1])
-            total += (_slab_sums if whole and np.isfinite(x).all() else _slab_sums_of_any)(x, starts, centers)
+        points = _points(batch.column(0), centers.shape[1])
+        for at in range(0, len(points), SLAB):
+            x = points[at:at + SLAB]
+            if whole and np.isfinite(x).all():
+                sums.add(x)
+            else:
+                total += _slab_sums_of_any(x, starts, centers)
+    total += sums.total()
     yield pa.RecordBatch.from_arrays(
         [pa.array(np.arange(len(total), dtype=np.int32)),
          pa.ListArray.from_arrays(pa.array(np.arange(len(total) + 1, dtype=np.int32) * total.shape[1]), pa.array(total.ravel()))],
@@ -141,7 +178,7 @@ def lloyd(points: DataFrame, runs: Sequence[Restart], max_iter: int = MAX_ITER,
     A run is done once no centroid moves by more than ``tol``; a centroid without points stays where it is.  The last pass
     of a run only measures its cost, so that the cost is that of the centroids returned.
     """
-    spark, passes = points.sparkSession, 0
+    spark, passes, tasks = points.sparkSession, 0, tasks_of(points)
     ship_package(spark)
     settled: set[int] = set()
     while passes < max_iter + 1:
@@ -151,12 +188,9 @@ def lloyd(points: DataFrame, runs: Sequence[Restart], max_iter: int = MAX_ITER,
         starts = np.cumsum([0] + [r.k for r in open_])
         held = spark.sparkContext.broadcast((starts, np.concatenate([r.centers for r in open_])))
         partial = points.select("x").mapInArrow(lambda b, held=held: _lloyd_rows(b, *held.value), "center int, sums array<double>")
-        rows = (partial.select("center", F.posexplode("sums").alias("at", "v")).groupBy("center", "at")
-                .agg(F.sum("v").alias("v")).toArrow())  # centroids x (features + 2) numbers
+        sums = added(partial, tasks, int(starts[-1]), 2 + open_[0].centers.shape[1])
         held.unpersist()
         passes += 1
-        sums = np.zeros((int(starts[-1]), 2 + open_[0].centers.shape[1]))
-        sums[rows["center"].to_numpy(), rows["at"].to_numpy()] = rows["v"].to_numpy()
         for r, a, b in zip(open_, starts, starts[1:]):
             own = sums[a:b]
             r.cost = float(own[:, 1].sum())

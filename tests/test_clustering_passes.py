@@ -25,6 +25,51 @@ def test_sums_of_all_runs_match_a_loop():
                 assert got[a + j, 0] == (near == j).sum() and np.allclose(got[a + j, 2:], points[near == j].sum(0))
 
 
+def test_runs_of_one_k_are_compared_together(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(0, 1, (1300, 4)), 2)
+    sizes = [2, 2, 2, 3, 3, 5]
+    starts = np.cumsum([0, *sizes])
+    centers = np.round(rng.normal(0, 1, (starts[-1], 4)), 2)
+    centers[7] = centers[6]  # a tie in one run of a group
+    calls, least = [], np.minimum
+    monkeypatch.setattr(CL.np, "minimum", type("Counted", (), {"reduce": staticmethod(lambda *a, **k: (calls.append(1), least.reduce(*a, **k))[1])}))
+    lists = pa.array(list(x), pa.list_(pa.float64()))
+    batches = [pa.RecordBatch.from_arrays([lists.slice(at, n)], ["x"]) for at, n in ((0, 1000), (1000, 300))]
+    found, = CL._lloyd_rows(iter(batches), starts, centers)
+    assert len(calls) == 3 * 6  # three different k, six slabs: 3 x 256, 232, 256 and 44 points
+    sums = np.array(found.column("sums").to_pylist())
+    want = CL._slab_sums_of_any(x, starts, centers)
+    assert np.allclose(sums[:, [0, 2, 3, 4, 5]], want[:, [0, 2, 3, 4, 5]])
+    for a, b in zip(starts, starts[1:]):
+        assert np.isclose(sums[a:b, 1].sum(), want[a:b, 1].sum())
+
+
+def test_few_sums_are_added_without_a_shuffle(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    from strata.operators import sums as SU
+
+    def partial(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            v = [float(sum(b.column(0).to_pylist())), float(b.num_rows)]
+            yield pa.RecordBatch.from_arrays([pa.array([0, 2], pa.int32()), pa.array([v, [-x for x in v]])], ["model", "sums"])
+
+    rows = spark.range(0, 1000, 1, 4)
+    sent = rows.mapInArrow(partial, "model int, sums array<double>")
+    want = [[499500.0, 1000.0], [0.0, 0.0], [-499500.0, -1000.0]]
+    monkeypatch.setattr(SU, "SENT", 0)
+    assert SU.added(sent, SU.tasks_of(rows), 3, 2).tolist() == want
+    monkeypatch.setattr(SU, "SENT", 24)
+    monkeypatch.setattr(DataFrame, "groupBy", lambda *a: 1 / 0)
+    assert SU.tasks_of(rows) == 4 and SU.added(sent, 4, 3, 2).tolist() == want
+    assert SU.added(sent.where("false"), 4, 3, 2).tolist() == [[0.0, 0.0]] * 3
+
+
 def test_rows_of_many_passes_are_dealt_to_all_cores(spark):
     one = spark.range(1000).coalesce(1).select("id", F.lit(None).alias("nothing"))
     table = spread(one, "test")
